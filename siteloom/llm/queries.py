@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siteloom.llm.common import scratch_path
 from siteloom.llm.decontaminate import contamination_report
 from siteloom.llm.exact_dedup import exact_dedup
+from siteloom.llm.ngram_join import near_duplicates
 from siteloom.llm.token_counts import count_tokens
 from siteloom.llm.token_files import document_digests, write_token_file
 
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_files": op6_token_files,
     "op9_token_counts": op9_token_counts,
