@@ -8,6 +8,7 @@ in id order.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import zlib
 from collections.abc import Iterator
@@ -20,33 +21,73 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.dac import Packed, pack
 
-_CACHE_WORDS = 400_000
-_BATCH_CHARS = 2_000_000
+_CACHE_WORDS = 800_000
+_BATCH_BYTES = 2_000_000
+_FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 class CachedEncoder:
-    """Ids of texts as little-endian u32 bytes, from the tokenizers library, one call for each new word.
+    """Ids of UTF-8 texts as little-endian u32 bytes, from the tokenizers library, each distinct word encoded once.
 
-    Texts are cut at spaces and line feeds only. That is exact for tokenizers whose pre-tokenizer never joins across white
-    space and drops it, and whose normalizer works inside words, as word_bpe_49k does.
+    For tokenizers that lower-case, drop white space, and never join across it, as word_bpe_49k does: texts are folded in
+    A-Z and cut at spaces and line feeds, a full stop or comma after a letter is a word of its own, and words of letters
+    only are encoded many at a time, told apart by the word-end mark that their last token carries. A text that holds the
+    opening of a special token goes to the library as it is.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, word_end: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        words = set().union(*cut)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(word_end)]] = True
+        self.special = [x.content[:2].encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        stem = {w: w[:-1] for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
+        new = [w.decode("utf-8", "replace") for w in ({stem.get(w, w) for w in words} | {b".", b","}) - self.known.keys()]
+        letters = [w for w in new if w.isalpha()]
+        runs = [letters[i : i + 500] for i in range(0, len(letters), 500)]
+        for run, code in zip(runs, self._plain([" ".join(r) for r in runs])):
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[np.frombuffer(code, "<u4")]) + 1)).tolist()]
+            codes = [code[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(run) + 1 else self._plain(run)
+            self.known.update(zip((w.encode() for w in run), codes))
+        others = [w for w in new if not w.isalpha()]
+        self.known.update(zip((w.encode() for w in others), self._plain(others)))
+        for w, bare in stem.items():
+            self.known[w] = self.known[bare] + self.known[w[-1:]]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > _CACHE_WORDS:
             self.known = {}
-        new = list(words - self.known.keys())
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(code.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        own = [any(x in text for x in self.special) for text in texts]
+        cut = [[] if o else text.translate(_FOLD).replace(b"\n", b" ").split(b" ") for text, o in zip(texts, own)]
+        if new := set().union(*cut) - self.known.keys():
+            self._learn(new)
+        known = self.known.__getitem__
+        codes = [b"".join(map(known, words)) for words in cut]
+        for k, o in enumerate(own):
+            if o:
+                codes[k] = self._plain([texts[k].decode()])[0]
+        return codes
+
+
+#: One encoder for each tokenizer in a worker process, so that what one task learnt serves the next.
+_ENCODERS: dict[str, CachedEncoder] = {}
+
+
+def encoder_of(tokenizer_json: str) -> CachedEncoder:
+    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = CachedEncoder(tokenizer_json)
+    return _ENCODERS[key]
 
 
 _BLOCK_SCHEMA = (
@@ -74,17 +115,17 @@ def _encode_blocks(tokenizer_json, end_id: int, block_tokens: int):
         def pieces():
             for batch in batches:
                 some, chars = [], 0
-                for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for pair in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                     some.append(pair)
                     chars += len(pair[1])
-                    if chars > _BATCH_CHARS:
+                    if chars > _BATCH_BYTES:
                         yield some
                         some, chars = [], 0
                 if some:
                     yield some
 
         for some in pieces():
-            encoder = encoder or CachedEncoder(tokenizer_json.value)
+            encoder = encoder or encoder_of(tokenizer_json.value)
             for (doc_id, _), code in zip(some, encoder.encode([text for _, text in some])):
                 ids.append(doc_id)
                 codes.append(code + end)
