@@ -3,23 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteloom.llm.common import scratch_path
 from siteloom.llm.decontaminate import contamination_report
 from siteloom.llm.exact_dedup import exact_dedup
+from siteloom.llm.html_text import extract_main_text
+from siteloom.llm.language import identify_languages, train_grams
+from siteloom.llm.mixing import mix
 from siteloom.llm.ngram_join import near_duplicates
+from siteloom.llm.quality import graded, train_quality
 from siteloom.llm.token_counts import count_tokens
 from siteloom.llm.token_files import document_digests, write_token_file
 
 #: Production parameters: the tokenizer of token files, and the vocabulary of token counts.
 WORD_TOKENIZER = "word_bpe_49k.json"
 UNIGRAM_VOCABULARY = "piece_bpe_32k.model"
+#: The quality classifier keeps a document whose highest grade is this probable.
+LEAST_P_TOP = 0.8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "mix.*")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    found = graded(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", "quality.*")
+    return found.withColumn("kept", F.col("p_top") >= LEAST_P_TOP)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +55,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_digests(spark, path)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = train_grams(table(spark, sf_dir, "documents"))
+    return identify_languages(table(spark, sf_dir, "pages"), model)
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,9 +75,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
     "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_files": op6_token_files,
+    "op7_language_id": op7_language_id,
+    "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
