@@ -12,6 +12,7 @@ from siteloom.llm.html_text import extract_main_text
 from siteloom.llm.language import identify_languages, train_grams
 from siteloom.llm.mixing import mix
 from siteloom.llm.ngram_join import near_duplicates
+from siteloom.llm.pii import personal_data
 from siteloom.llm.quality import graded, train_quality
 from siteloom.llm.token_counts import count_tokens
 from siteloom.llm.token_files import document_digests, write_token_file
@@ -47,6 +48,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents")).drop("found", "removed_terms")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_personal_data": op5_personal_data,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
     "op8_html_extraction": op8_html_extraction,
