@@ -247,7 +247,7 @@ class GroupedPrefixJoin:
         return self.verified(inner.where("a <> b").union(pairs.where(ok[0] & ok[1]).select("a", "b")).distinct())
 
     def postings(self, comps: DataFrame) -> DataFrame:
-        """(token, rep, n, comp, short) for each shingle of each group's prefix, once for each component in the group."""
+        """(token, rep, n, comp) for each shingle of each group's prefix, once for each component in the group."""
         named = self.classes.join(comps, F.col("rep") == F.col("node"), "left")
         named = saved(named.select("group_key", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "named")
         groups = named.groupBy("group_key", "comp").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
@@ -256,17 +256,14 @@ class GroupedPrefixJoin:
         )
         known = saved(self.holders.select("doc_id", "group_key").join(groups, "group_key").drop("group_key"), "known")
         rows = self.sets.where("prefix IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "prefix")
-        rows = rows.join(self._few(known), "doc_id").select("rep", "n", "comp", F.posexplode("prefix").alias("at", "token"))
-        # the smaller of two similar sets meets the larger within this many of its first shingles
-        short = F.col("at") < F.col("n") - F.ceil(F.col("n") * 6 / 7) + 1
-        return rows.select("token", "rep", "n", "comp", short.alias("short"))
+        return rows.join(self._few(known), "doc_id").select(F.explode("prefix").alias("token"), "rep", "n", "comp")
 
     def crossing(self, comps: DataFrame) -> DataFrame:
         """Postings of the shingles that groups of two or more components share."""
         postings = self.postings(comps)
         ends = postings.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"))
         shared = saved(ends.where("_a < _b").select("token"), "shared")
-        return saved(postings.join(self._few(shared), "token"), "crossing")
+        return saved(postings.join(self._few(shared), "token").distinct(), "crossing")
 
     def merged(self, comps: DataFrame, links: DataFrame) -> DataFrame:
         """Components after `links` are added."""
@@ -286,24 +283,45 @@ class GroupedPrefixJoin:
     @staticmethod
     def relabelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
         moved = postings.drop("comp").join(comps, F.col("rep") == F.col("node"), "left")
-        return moved.select("token", "rep", "n", "short", F.coalesce("comp", "rep").alias("comp"))
+        return moved.select("token", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+
+    @staticmethod
+    def enough(shared: str, a: str, b: str):
+        """Whether sets of sizes `a` and `b` with so many common prefix shingles can still be similar.
+
+        At most n - overlap shingles of a set are not in the other, and of the two prefixes the one that ends first in the
+        global order has all its common shingles in the other; so two similar sets share this many shingles of prefixes.
+        """
+        overlap = F.ceil((F.col(a) + F.col(b)) * 3 / 7)
+
+        def least(n: str):
+            return F.col(n) - F.ceil(F.col(n) * 3 / 4) + 1 - (F.col(n) - overlap)
+
+        return F.col(shared) >= F.least(least(a), least(b))
 
     def stars(self, crossing: DataFrame) -> DataFrame:
-        """One candidate for each shingle and component: its least class with that of the shingle's least component."""
-        heads = crossing.groupBy("token", "comp").agg(F.min("rep").alias("b"))
+        """Candidates between each component of a shingle, by its least class, and the shingle's least component.
+
+        Pairs that share few shingles in this way are left to `rest`, which misses none.
+        """
+        heads = crossing.groupBy("token", "comp").agg(F.min(F.struct("rep", "n")).alias("b"))
         firsts = heads.groupBy("token").agg(F.min("comp").alias("comp"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
         pivots = heads.join(firsts.drop("_n"), ["token", "comp"]).select("token", F.col("b").alias("a"))
-        return heads.join(pivots, "token").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = heads.join(pivots, "token").where("a.rep <> b.rep").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_shared"))
+        pairs = pairs.select("_shared", F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("_m"), F.col("b.n").alias("_n"))
+        ok = self.near_in_size("_m", "_n")
+        pairs = pairs.where(ok[0] & ok[1] & self.enough("_shared", "_m", "_n"))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def rest(self, crossing: DataFrame) -> DataFrame:
-        """All candidates between components: classes of groups that share a shingle of their prefixes and fit in size."""
-        one = crossing.select("token", *(F.col(c).alias("a_" + c) for c in ("rep", "n", "comp", "short")))
-        two = crossing.select("token", *(F.col(c).alias("b_" + c) for c in ("rep", "n", "comp", "short")))
+        """All candidates between components: groups that fit in size and share enough shingles of their prefixes."""
+        one = crossing.select("token", *(F.col(c).alias("a_" + c) for c in ("rep", "n", "comp")))
+        two = crossing.select("token", *(F.col(c).alias("b_" + c) for c in ("rep", "n", "comp")))
         ok = self.near_in_size("a_n", "b_n")
-        meets = (F.col("a_short") & (F.col("a_n") <= F.col("b_n"))) | (F.col("b_short") & (F.col("b_n") <= F.col("a_n")))
-        pairs = one.join(two, "token").where((F.col("a_comp") < F.col("b_comp")) & ok[0] & ok[1] & meets)
-        pairs = pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
-        return pairs.distinct()
+        pairs = one.join(two, "token").where((F.col("a_comp") < F.col("b_comp")) & ok[0] & ok[1])
+        pairs = pairs.groupBy("a_rep", "b_rep", "a_n", "b_n").agg(F.count(F.lit(1)).alias("_shared"))
+        pairs = pairs.where(self.enough("_shared", "a_n", "b_n"))
+        return pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
 
     def members(self, pairs: DataFrame) -> DataFrame:
         """Candidate groups, given by one class of each, as all pairs of their classes."""
@@ -344,7 +362,7 @@ def near_duplicates(
 
     Two documents link when their sets of five-word shingles have a Jaccard similarity of 0.75 or more. Sets are ordered
     by one global order, common shingles last; documents with the same size and the same prefix form one group, and only
-    groups enter the index, so two groups are candidates only if they share a shingle of their prefixes and fit in size.
+    groups enter the index, so two groups are candidates only if they fit in size and share enough shingles of their prefixes.
 
     The result asks for components, so candidates that are already in one component need no check. First, each group meets
     only the least group under each of its three rarest shingles, and the classes of a group its head: a group of
