@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +18,9 @@ TWO_LABEL_SUFFIXES = [
 ]
 
 
-def part(url: Column, name: str) -> Column:
-    return F.try_parse_url(url, F.lit(name))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)`, with `value` evaluated once for a row however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def seed_url(c: Column) -> Column:
@@ -67,16 +71,23 @@ def _resolved(base: Column, link: Column) -> Column:
         .otherwise(F.concat(root, folder, link))
     )
 
+    return let(full, _without_dots)
+
+
+def _without_dots(url: Column) -> Column:
     def step(kept: Column, x: Column) -> Column:
         up = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
         return F.when(x == "..", up).when(x == ".", kept).otherwise(F.array_append(kept, x))
 
-    steps = F.split(path_of(full), "/")
-    tail = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    clean = F.concat(F.aggregate(steps, F.array().cast("array<string>"), step), tail)
-    after = F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*(\?[^#]*)?", 1)
-    start = F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    return F.when(start != "", F.concat(start, F.array_join(clean, "/"), F.coalesce(after, F.lit(""))))
+    def joined(steps: Column) -> Column:
+        tail = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(F.aggregate(steps, F.array().cast("array<string>"), step), tail), "/")
+
+    path = path_of(url)
+    clean = F.when(path.rlike(r"/\.\.?(/|\z)"), let(F.split(path, "/"), joined)).otherwise(path)
+    start = filled(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    after = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*(\?[^#]*)?", 1)
+    return F.concat(start, clean, F.coalesce(after, F.lit("")))
 
 
 def _clean_query(query: Column) -> Column:
@@ -89,32 +100,34 @@ def _clean_query(query: Column) -> Column:
         ),
     )
     pairs = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(fixed.TRACKING_PARAMETERS))
-    grouped = F.flatten(
-        F.transform(
-            F.transform(F.array(pairs), lambda ps: F.array_distinct(F.transform(ps, lambda p: p["k"])))[0],
-            lambda k: F.filter(pairs, lambda p: p["k"] == k),
-        )
-    )
-    return F.array_join(F.transform(grouped, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+
+    def grouped(ps: Column) -> Column:
+        names = F.array_distinct(F.transform(ps, lambda p: p["k"]))
+        return F.flatten(F.transform(names, lambda k: F.filter(ps, lambda p: p["k"] == k)))
+
+    shown = F.transform(let(pairs, grouped), lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"])))
+    return F.when(query != "", F.array_join(shown, "&")).otherwise("")
 
 
 def canonical_url(base: Column, link: Column) -> Column:
     """A link of a page in canonical form, or null if it leads to no page."""
-    link = strip(link)
-    skipped = F.lit(False)
-    for start in fixed.SKIPPED_SCHEMES:
-        skipped = skipped | F.startswith(link, F.lit(start))
-    url = _resolved(base, link)
-    scheme = F.lower(F.regexp_extract(url, "^([^:]+):", 1))
-    path = path_of(url)
-    media = F.lower(path).rlike(rf"\.({'|'.join(fixed.SKIPPED_ENDINGS)})\z")
-    short = F.when((F.length(path) > 1) & F.endswith(path, F.lit("/")), F.left(path, F.length(path) - 1)).otherwise(path)
-    query = _clean_query(F.regexp_extract(url, r"\?([^#]*)", 1))
-    clean = F.concat(
-        scheme, F.lit("://"), host_of(url), F.coalesce(filled(short), F.lit("/")),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-    )
-    return F.when((link != "") & ~skipped & scheme.isin("http", "https") & ~media, clean)
+
+    def of(link: Column) -> Column:
+        skipped = link.rlike("^(?:" + "|".join(re.escape(x) for x in fixed.SKIPPED_SCHEMES) + ")")
+        return F.when((link != "") & ~skipped, let(_resolved(base, link), clean))
+
+    def clean(url: Column) -> Column:
+        return let(F.struct(F.lower(F.regexp_extract(url, "^([^:]+):", 1)).alias("scheme"), path_of(url).alias("path"), url.alias("url")), built)
+
+    def built(u: Column) -> Column:
+        scheme, path = u["scheme"], u["path"]
+        media = F.lower(path).rlike(rf"\.({'|'.join(fixed.SKIPPED_ENDINGS)})\z")
+        short = F.coalesce(filled(F.regexp_replace(path, "(.)/\\z", "$1")), F.lit("/"))
+        query = let(F.regexp_extract(u["url"], r"\?([^#]*)", 1), _clean_query)
+        tail = let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+        return F.when(scheme.isin("http", "https") & ~media, F.concat(scheme, F.lit("://"), host_of(u["url"]), short, tail))
+
+    return let(strip(link), of)
 
 
 def url_score(url: Column, start: Column) -> Column:
@@ -130,7 +143,7 @@ def url_score(url: Column, start: Column) -> Column:
             for kw, w, c in fixed.URL_KEYWORDS
         )
     )
-    hits = F.filter(table, lambda k: (F.size(F.array_except(k["words"], words)) == 0) | F.contains(path, k["kw"]))
+    hits = let(words, lambda ws: F.filter(table, lambda k: (F.size(F.array_except(k["words"], ws)) == 0) | F.contains(path, k["kw"])))
     three = F.lit("3").cast("decimal(6,3)")
 
     def fold(a: Column, k: Column) -> Column:
@@ -145,7 +158,10 @@ def url_score(url: Column, start: Column) -> Column:
     zero = F.struct(
         F.lit("1").cast("decimal(6,3)").alias("best"), F.lit("general").alias("c"), F.lit("0").cast("decimal(10,3)").alias("bonus")
     )
-    folded = F.aggregate(hits, zero, fold)
+    return let(F.aggregate(hits, zero, fold), lambda folded: _scored(url, start, path, folded))
+
+
+def _scored(url: Column, start: Column, path: Column, folded: Column) -> Column:
     depth = F.size(F.filter(F.split(path, "/"), lambda p: p != ""))
     total = (folded["best"] + folded["bonus"]).cast("decimal(12,4)")
     total = (

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from siteloom.plans import companies, web
+
+QUERIES: dict = {**web.QUERIES, **companies.QUERIES}
+ORACLE_SQL: dict = {**web.ORACLE_SQL, **companies.ORACLE_SQL}
