@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import salt_of, saved, spread_join
@@ -15,6 +16,8 @@ from siteloom.llm.components import components
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK_BYTES = 4_000_000
+#: Least hashes of a set that seek its first partners; as a random sample of the set, near copies share most of them.
+_HEAD = 6
 
 
 class _WordHashes(dict):
@@ -100,12 +103,15 @@ def _local_counts(width: int, least: int, held: int):
     return run
 
 
-def frequent_shingles(texts: DataFrame, width: int, most: int, least: int = 4, held: int = 3_000_000) -> np.ndarray:
+def frequent_shingles(texts: DataFrame, width: int, most: int, least: int = 3, held: int = 3_000_000) -> np.ndarray:
     """At most `most` shingles that many documents have, rarest first; they come last in the global order of shingles.
 
     Any fixed order gives the same links: this table only keeps common passages out of the prefixes. A shingle counts
     where a task meets it in `least` or more documents, so nearly all shingles, which are rare, are never shuffled.
     """
+    # small splits are counted together: what a task meets often must mean the same whatever the size of the splits
+    parts, slots = texts.rdd.getNumPartitions(), texts.sparkSession.sparkContext.defaultParallelism
+    texts = texts.coalesce(max(1, 2 * slots, parts // 16))
     counts = texts.mapInArrow(_local_counts(width, least, held), "shingle long, n long")
     counts = saved(counts.groupBy("shingle").agg(F.sum("n").alias("n")), "frequent")
     level = F.floor(F.log2("n") * 8)
@@ -121,7 +127,7 @@ def frequent_shingles(texts: DataFrame, width: int, most: int, least: int = 4, h
     return rows["shingle"].to_numpy(np.int64).view(np.uint64)
 
 
-_SET_SCHEMA = "doc_id long, n_shingles long, group_key binary, set_key binary, prefix array<long>"
+_SET_SCHEMA = "doc_id long, n_shingles long, group_key binary, set_key binary, prefix array<long>, head array<long>"
 
 
 def _sets(width: int, frequent):
@@ -134,7 +140,7 @@ def _sets(width: int, frequent):
         seen: set[bytes] = set()
         for batch in batches:
             for first, texts in _chunks(batch, 1):
-                sizes, groups, keys, prefixes = [], [], [], []
+                sizes, groups, keys, prefixes, heads = [], [], [], [], []
                 for values in shingler.of(texts):
                     n = len(values)
                     at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
@@ -145,7 +151,9 @@ def _sets(width: int, frequent):
                     sizes.append(n)
                     keys.append(xxh3_128_digest(values.tobytes()))
                     groups.append(group)
-                    prefixes.append(None if group in seen or not n else prefix.view(np.int64))
+                    new = n and group not in seen
+                    prefixes.append(prefix.view(np.int64) if new else None)
+                    heads.append(values[:_HEAD].view(np.int64) if new else None)
                     seen.add(group)
                 if len(seen) > 500_000:
                     seen.clear()
@@ -156,8 +164,9 @@ def _sets(width: int, frequent):
                         pa.array(groups, pa.binary()),
                         pa.array(keys, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
+                        pa.array(heads, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "group_key", "set_key", "prefix"],
+                    ["doc_id", "n_shingles", "group_key", "set_key", "prefix", "head"],
                 )
 
     return run
@@ -209,7 +218,7 @@ class GroupedPrefixJoin:
         #: the documents that gave a group's prefix, at most one for each group and task, as the class they stand for
         self.holders = saved(
             ids.where("prefix IS NOT NULL")
-            .select("doc_id", "group_key", "set_key", F.slice("prefix", 1, 3).alias("head"))
+            .select("doc_id", "group_key", "set_key", "head")
             .join(self.classes.select("group_key", "set_key", "rep", "n"), ["group_key", "set_key"])
             .select("doc_id", "group_key", "rep", "n", "head"),
             "holders",
@@ -234,7 +243,7 @@ class GroupedPrefixJoin:
         return F.col(a) * 4 >= F.col(b) * 3, F.col(b) * 4 >= F.col(a) * 3
 
     def first_links(self) -> DataFrame:
-        """Links of each class with the head of its group, and of groups with the least group that shares a rarest shingle."""
+        """Links of each class with the first of its group, and of groups with the least group that shares a least hash."""
         heads = self.classes.groupBy("group_key").agg(F.min("own").alias("a"))
         inner = self.classes.select("group_key", F.col("rep").alias("b")).join(heads, "group_key").select("a", "b")
         keys = self.holders.select("rep", "n", F.explode("head").alias("token")).distinct()
@@ -299,14 +308,16 @@ class GroupedPrefixJoin:
 
         return F.col(shared) >= F.least(least(a), least(b))
 
-    def stars(self, crossing: DataFrame) -> DataFrame:
-        """Candidates between each component of a shingle, by its least class, and the shingle's least component.
+    def stars(self, crossing: DataFrame, turn: int) -> DataFrame:
+        """Candidates between each component of a shingle, by one of its classes, and one component of the shingle.
+
+        A hash of the class and the turn picks both, so that each turn tries other pairs.
 
         Pairs that share few shingles in this way are left to `rest`, which misses none.
         """
-        heads = crossing.groupBy("token", "comp").agg(F.min(F.struct("rep", "n")).alias("b"))
-        firsts = heads.groupBy("token").agg(F.min("comp").alias("comp"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        pivots = heads.join(firsts.drop("_n"), ["token", "comp"]).select("token", F.col("b").alias("a"))
+        pick = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n")
+        heads = crossing.groupBy("token", "comp").agg(F.min(pick).alias("b"))
+        pivots = heads.groupBy("token").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
         pairs = heads.join(pivots, "token").where("a.rep <> b.rep").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_shared"))
         pairs = pairs.select("_shared", F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("_m"), F.col("b.n").alias("_n"))
         ok = self.near_in_size("_m", "_n")
@@ -314,13 +325,41 @@ class GroupedPrefixJoin:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def rest(self, crossing: DataFrame) -> DataFrame:
-        """All candidates between components: groups that fit in size and share enough shingles of their prefixes."""
-        one = crossing.select("token", *(F.col(c).alias("a_" + c) for c in ("rep", "n", "comp")))
-        two = crossing.select("token", *(F.col(c).alias("b_" + c) for c in ("rep", "n", "comp")))
+        """All candidates between components: groups that fit in size and share enough shingles of their prefixes.
+
+        What two groups must share grows as their sizes draw near, so groups meet by bands of size: under a key of shingle,
+        size class of the smaller and difference of the classes. If groups of a band must share k shingles, each leaves out
+        its k - 1 most frequent ones: the rarest shingle of any k that they share is kept on both sides.
+        """
+        step, bands = 1.06, 6
+        often = crossing.groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
+        top = Window.partitionBy("rep").orderBy(F.desc("_f"), "token")
+        rows = crossing.join(often, "token").withColumn("_top", F.row_number().over(top))
+        rows = saved(rows.withColumn("_class", F.floor(F.log("n") / math.log(step))), "ranked")
+        n, sides = F.col("n").cast("double"), {}
+        for side, way in (("a", 1), ("b", -1)):
+            options = []
+            for d in range(bands + 1):
+                # the partner's size is between these; a hair of slack guards against rounding of logarithms
+                sizes = [n * step ** (way * e) for e in (max(d - 1, 0) - 0.001, d + 1.001)]
+                musts = [F.floor(F.least((n + m) * 3 / 7 - n * 3 / 4, (n + m) * 3 / 7 - m * 3 / 4)) for m in sizes]
+                options.append(
+                    F.struct(F.lit(d).alias("d"), (F.col("_class") - (0 if way > 0 else d)).alias("low"), F.greatest(F.lit(1), F.least(*musts)).alias("must"))
+                )
+            banded = rows.select("token", "rep", "n", "comp", "_top", F.explode(F.array(*options)).alias("o"))
+            banded = banded.where(F.col("_top") >= F.col("o.must"))
+            sides[side] = banded.select(
+                "token", F.col("o.d").alias("d"), F.col("o.low").alias("low"), *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "comp"))
+            )
         ok = self.near_in_size("a_n", "b_n")
-        pairs = one.join(two, "token").where((F.col("a_comp") < F.col("b_comp")) & ok[0] & ok[1])
-        pairs = pairs.groupBy("a_rep", "b_rep", "a_n", "b_n").agg(F.count(F.lit(1)).alias("_shared"))
-        pairs = pairs.where(self.enough("_shared", "a_n", "b_n"))
+        order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_rep") < F.col("b_rep")))
+        pairs = sides["a"].join(sides["b"], ["token", "d", "low"]).where((F.col("a_comp") != F.col("b_comp")) & order & ok[0] & ok[1])
+        pairs = saved(pairs.select("a_rep", "b_rep").distinct(), "near")
+        held = saved(crossing.groupBy("rep", "n").agg(F.collect_set("token").alias("held")), "held")
+        for side in ("a", "b"):
+            own = held.select(F.col("rep").alias(f"{side}_rep"), F.col("n").alias(f"{side}_n"), F.col("held").alias(f"{side}_held"))
+            pairs = pairs.join(own, f"{side}_rep")
+        pairs = pairs.withColumn("_shared", F.size(F.array_intersect("a_held", "b_held"))).where(self.enough("_shared", "a_n", "b_n"))
         return pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
 
     def members(self, pairs: DataFrame) -> DataFrame:
@@ -334,12 +373,12 @@ class GroupedPrefixJoin:
             pairs = pairs.join(own, side, "left").withColumn(side, F.coalesce("_mate", side)).drop("_mate")
         return pairs.distinct()
 
-    def run(self, rounds: int = 2) -> DataFrame:
+    def run(self, turns: int = 1) -> DataFrame:
         comps = self.spark.createDataFrame([], "node long, comp long")
         comps = self.merged(comps, self.first_links())
         crossing = self.crossing(comps)
-        for _ in range(rounds):
-            links = self.verified(self.stars(crossing))
+        for turn in range(turns):
+            links = self.verified(self.stars(crossing, turn))
             if links.isEmpty():
                 break
             comps = self.merged(comps, links)
@@ -365,7 +404,7 @@ def near_duplicates(
     groups enter the index, so two groups are candidates only if they fit in size and share enough shingles of their prefixes.
 
     The result asks for components, so candidates that are already in one component need no check. First, each group meets
-    only the least group under each of its three rarest shingles, and the classes of a group its head: a group of
+    only the least group under each of its six least hashes, and the classes of a group its first: a group of
     thousands of near copies becomes a star, not all its pairs. Then the whole prefixes are counted by shingle, and only
     shingles that groups of different components share go on: first as stars between components, last as all remaining
     pairs, expanded to the groups' members and verified on whole texts. So no link between two components is missed.
