@@ -1,2 +1,294 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries over company data: validated values, votes, registry matching, and reports; the tables stand in for registries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siteloom.functions import text
+from siteloom.functions.urls import host_of
+from siteloom.operators import candidates, jurisdiction, links, matching, registry, reports
+from siteloom.plans import fixtures
+from siteloom.sources.pages import parse_pages, read_pages
+
+_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def emails_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_MAIL), F.lit(0))).alias("raw"))
+    return found.select("doc_id", text.valid_email(F.col("raw")).alias("email")).where("email IS NOT NULL").groupBy("doc_id", "email").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def numbers_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phones, registration and VAT numbers among the runs of digits of documents."""
+    runs = F.regexp_extract_all("text", F.lit(r"\+?[0-9][0-9 .-]{5,20}[0-9]"), F.lit(0))
+    found = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(runs).alias("ord", "raw"))
+    raw = F.col("raw")
+    return found.select(
+        "doc_id", "ord", text.valid_phone(raw).alias("phone"), text.valid_registration(raw).alias("registration"), text.valid_vat(raw).alias("vat")
+    )
+
+
+_VECTORS = [
+    "AB41 8BX, UK", "ab418bx", "G2 1BP", "90210", "contact us today", "in England", "New York, NY 10118", "Los Angeles, CA 90028",
+    "West Virginia hills", "+1 212 555 0100", "0044 20 7946 0000", "brewdog.co.uk", "x.de/y", "Acme Holdings, Inc.", "Acme  Tools Ltd ,;", "SC12345",
+    "1234", "10 Downing Street, London", "all rights reserved 2024", "plain words",
+]
+_VECTOR_VALUES = ", ".join(f"('{v}')" for v in _VECTORS)
+
+
+def scalar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scalar function over one set of strings."""
+    s = F.col("s")
+    return spark.createDataFrame([(v,) for v in _VECTORS], "s string").select(
+        "s", text.uk_postcode(s).alias("postcode"), text.country_in_text(s).alias("country"), text.ny_phone(s).alias("ny_phone"),
+        text.country_of_host(s).alias("host_country"), text.clean_text(s).alias("clean"), text.company_number(s).alias("number"),
+        text.valid_address(s).alias("address"), text.comparable_name(s, [(r"\bLIMITED\b", "LTD")]).alias("comparable"),
+    )
+
+
+def site_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of all sites from all candidate branches, as cards."""
+    pages = parse_pages(read_pages(spark, sf_dir))
+    # five branches read the parsed pages; parsing is the only Python step
+    pages = pages.withColumns({"site": host_of(F.col("url")), "batch": F.lit(0), "page_ord": F.col("page_id")}).persist()
+    found = candidates.all_candidates(pages)
+    sites = pages.select("site", F.col("site").alias("domain")).distinct()
+    return reports.cards(candidates.profiles(found, sites))
+
+
+def registry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as companies, customers' market segments and names as registry: the 25 first names that contain the searched one."""
+    customers = _table(spark, sf_dir, "customer")
+    registry_names = customers.select(F.col("c_custkey").cast("string").alias("entity"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("name"))
+    wanted = customers.select(F.col("c_mktsegment").alias("key"), F.left("c_mktsegment", F.lit(4)).alias("search_name")).distinct()
+    return matching.name_search(wanted, registry_names).select("key", "entity", "name", "hit_ord")
+
+
+def registry_top_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and second customer of each nation by balance, with the gap between them."""
+    rows = _table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("hit_ord"), F.col("c_acctbal").cast("decimal(8,2)").alias("score")
+    )
+    best = matching.best_and_gap(rows)
+    return best.select("key", F.col("hit_ord").alias("best"), "score", "gap", F.size("candidates").cast("long").alias("n_candidates"))
+
+
+def latest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    rows = registry.latest(orders, "o_custkey", [F.desc("o_orderdate"), "o_orderkey"], 3)
+    return rows.select("o_custkey", "o_orderkey", F.col("_n").cast("long").alias("n"))
+
+
+def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their newest orders as one nested column, reduced to what SQL can compare."""
+    orders = registry.latest(_table(spark, sf_dir, "orders"), "o_custkey", [F.desc("o_orderdate"), "o_orderkey"], 20)
+    lists = registry.nested(orders, "o_custkey", {"k": F.col("o_orderkey"), "status": F.col("o_orderstatus")}, "orders")
+    customers = _table(spark, sf_dir, "customer").select("c_custkey")
+    rows = customers.join(lists, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("c_custkey", F.coalesce(F.array_join(F.transform("orders", lambda o: o["k"].cast("string")), ","), F.lit("")).alias("order_keys"))
+
+
+def best_record_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best address of each customer, orders standing in for addresses: type by priority, then the newest."""
+    orders = _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("corpid_num"), F.left("o_orderpriority", F.lit(1)).alias("addr_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_filed"),
+        F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("addr1"), F.lit(None).cast("string").alias("addr2"),
+        F.col("o_orderstatus").alias("city"), F.lit("NY").alias("state"), F.lit("1").alias("zip5"), F.lit("").alias("country"), F.lit("n").alias("name"),
+    )
+    return registry.best_address(orders).select("corpid_num", "address_line_1", "addr_type_label", "country")
+
+
+def first_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("corpid_num"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("status")
+    )
+    return registry.first_status(rows)
+
+
+def vote_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted votes of event types by user, as signals of a jurisdiction."""
+    votes = _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("site"), F.col("event_id").alias("ord"), F.lit("country").alias("kind"), F.col("event_type").alias("vote"),
+        (F.col("event_id") % 7 / 10).cast("decimal(10,2)").alias("weight"),
+    )
+    return jurisdiction.winners(votes).select("site", "vote", F.col("score").cast("decimal(20,2)").alias("score"), F.col("total").cast("decimal(20,2)").alias("total"))
+
+
+def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.col("ts").alias("at"), F.col("event_id").alias("entry"))
+    return reports.latest_by_site(events)
+
+
+def jurisdictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jurisdiction.jurisdictions(fixtures.websites(spark), "key")
+    route = jurisdiction.registry_route(F.col("country"), F.col("state_abbr"))
+    return rows.select("key", "country", "state_abbr", F.col("confidence").cast("double").alias("confidence"), route.alias("route"))
+
+
+def uk_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = fixtures.websites(spark).where("key < 'W7' AND key NOT LIKE 'W1_'")
+    found = matching.resolve_uk(sites, fixtures.uk_search(spark), fixtures.uk_profiles(spark))
+    return found.select("key", "status", "company_number", "method", *(F.col(c).cast("double").alias(c) for c in ("confidence", "score", "gap")))
+
+
+def ny_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.resolve_ny(fixtures.websites(spark).where("key IN ('W6', 'W7', 'W8', 'W2')"), fixtures.ny_entities(spark))
+    return found.select("key", "status", "matched", "matched_name", *(F.col(c).cast("double").alias(c) for c in ("confidence", "score", "gap")))
+
+
+def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([("abcd", "bcde"), ("SMITH AND JONES LTD", "SMITH JONES LTD"), ("", ""), ("a", "")], "a string, b string")
+    return pairs.select("a", "b", F.round(matching.similarity(F.col("a"), F.col("b")), 4).alias("ratio"))
+
+
+def wiki_infobox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.infobox_fields(fixtures.articles(spark))
+
+
+def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = ["/", "/private/x", "/private/open/y", "/public"]
+    urls = spark.createDataFrame([(f"https://h.example{p}",) for p in paths] + [("https://o.org/private",)], "url string")
+    return links.allowed(urls, links.robots_rules(fixtures.robots(spark)))
+
+
+def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = spark.createDataFrame([("https://h.example/", "https://h.example/map.xml")], "site string, url string")
+    return links.sitemap_pages(fixtures.sitemaps(spark), roots)
+
+
+def company_revenue_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue by region and nation with all subtotals, from line items up."""
+    t = lambda n: _table(spark, sf_dir, n)
+    lines = t("lineitem").select("l_orderkey", (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("revenue"))
+    per_order = lines.groupBy("l_orderkey").agg(F.sum("revenue").alias("revenue"))
+    rows = per_order.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.cube("r_name", "n_name").agg(F.sum("revenue").cast("double").alias("revenue"), F.count(F.lit(1)).alias("n_orders")).where("r_name IS NOT NULL OR n_name IS NULL")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        emails_validated, numbers_validated, scalar_vectors, site_completeness, registry_search, registry_top_gap, latest_records,
+        nested_records, best_record_priority, first_status, vote_argmax, history_latest, jurisdictions, uk_resolution, ny_resolution,
+        sequence_similarity, wiki_infobox, robots_allowed, sitemap_pages, company_revenue_cube,
+    )
+}
+
+_UK_PC = r"regexp_extract(upper(regexp_replace(trim(s), '\s+', ' ', 'g')), '\b([A-Z]{1,2}[0-9][A-Z0-9]?\s*[0-9][A-Z]{2})\b', 1)"
+_ALIASES = " ".join(
+    rf"WHEN regexp_matches(lower(s), '\b{alias.replace('.', chr(92) + '.')}\b') THEN '{name}'" for alias, name in text.fixed.COUNTRY_ALIASES.items()
+)
+_ENDINGS = " ".join(f"WHEN h LIKE '%{e}' THEN '{n}'" for e, n in text.fixed.COUNTRY_ENDINGS.items())
+_REJECTS = "|".join(p.replace(r"\z", "$") for p in text.fixed.EMAIL_REJECTS)
+
+ORACLE_SQL = {
+    "emails_validated": rf"""
+        SELECT doc_id, email, count(*) AS n
+        FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_MAIL}'))) AS email FROM documents)
+        WHERE regexp_matches(email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}$') AND NOT regexp_matches(email, '{_REJECTS}')
+        GROUP BY ALL""",
+    "numbers_validated": r"""
+        WITH runs AS (SELECT doc_id, regexp_extract_all(text, '\+?[0-9][0-9 .-]{5,20}[0-9]') AS l FROM documents),
+        r AS (SELECT doc_id, unnest(range(len(l))) AS ord, unnest(l) AS raw FROM runs),
+        v AS (SELECT *, regexp_replace(trim(raw), '\s+', ' ', 'g') AS p, trim(raw, ' :.-,#/') AS c FROM r),
+        w AS (SELECT *, length(regexp_replace(p, '[^0-9]', '', 'g')) AS n,
+                     upper(regexp_extract(c, '(?i)^([A-Z]{0,2}[0-9]{5,8}|[A-Z0-9\-]{4,15})', 1)) AS reg,
+                     trim(regexp_extract(c, '(?i)^([A-Z]{0,2}\s*[0-9\s.\-]{6,16})', 1)) AS raw_vat FROM v)
+        SELECT doc_id, CAST(ord AS INTEGER) AS ord, CASE WHEN n BETWEEN 7 AND 15 AND length(p) >= 7 THEN p END AS phone,
+               CASE WHEN regexp_matches(reg, '[0-9]') THEN reg END AS registration,
+               CASE WHEN length(regexp_replace(raw_vat, '[^0-9]', '', 'g')) BETWEEN 6 AND 15
+                    THEN trim(upper(regexp_replace(raw_vat, '\s+', ' ', 'g')), ' ,.-') END AS vat
+        FROM w""",
+    "scalar_vectors": rf"""
+        WITH v AS (SELECT *, lower(s) AS l, split_part(split_part(lower(s), '/', 1), '?', 1) AS h, regexp_replace(s, '[^0-9]', '', 'g') AS d,
+                          trim(regexp_replace(trim(s, ' ,;-'), '\s+', ' ', 'g')) AS a, upper(regexp_replace(s, '\s+', '', 'g')) AS num,
+                          replace({_UK_PC}, ' ', '') AS pc FROM (VALUES {_VECTOR_VALUES}) t(s))
+        SELECT s, CASE WHEN pc <> '' THEN pc[:-4] || ' ' || pc[-3:] END AS postcode,
+               CASE {_ALIASES} WHEN contains(l, 'united kingdom') THEN 'United Kingdom' WHEN contains(l, 'united states') THEN 'United States' END AS country,
+               coalesce(CASE WHEN d LIKE '1%' AND length(d) >= 4 THEN d[2:4] WHEN length(d) >= 3 THEN d[1:3] END
+                        IN ({", ".join(f"'{c}'" for c in text.fixed.NY_AREA_CODES)}), FALSE) AS ny_phone,
+               CASE {_ENDINGS} END AS host_country, nullif(trim(regexp_replace(s, '\s+', ' ', 'g'), ' ,;'), '') AS clean,
+               CASE WHEN regexp_matches(num, '^(SC|NI|OC|LP|SO|IP|SL|NC|NL|NZ)[0-9]+$') THEN num[1:2] || CASE WHEN length(num) >= 8 THEN num[3:] ELSE lpad(num[3:], 6, '0') END
+                    WHEN regexp_matches(num, '^[0-9]+$') THEN CASE WHEN length(num) >= 8 THEN num ELSE lpad(num, 8, '0') END ELSE num END AS number,
+               CASE WHEN length(a) BETWEEN 10 AND 300 AND (regexp_matches(a, '[0-9]') OR regexp_matches(a, '(?i)\b({text.fixed.STREET_WORDS})\b'))
+                     AND NOT regexp_matches(a, '(?i)\b({text.fixed.ADDRESS_BOILERPLATE})\b') THEN a END AS address,
+               trim(regexp_replace(regexp_replace(regexp_replace(upper(trim(s)), '[^\w\s]', ' ', 'g'), '\bLIMITED\b', 'LTD', 'g'), '\s+', ' ', 'g')) AS comparable
+        FROM v""",
+    "registry_search": """
+        WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS entity, c_mktsegment || ' ' || c_name AS name FROM customer),
+        w AS (SELECT DISTINCT c_mktsegment AS key, left(c_mktsegment, 4) AS q FROM customer)
+        SELECT key, entity, name, CAST(n AS INTEGER) AS hit_ord FROM (
+            SELECT key, entity, name, row_number() OVER (PARTITION BY key ORDER BY name, entity) AS n
+            FROM w JOIN r ON contains(upper(name), upper(q))) WHERE n <= 25""",
+    "registry_top_gap": """
+        WITH r AS (SELECT c_nationkey AS key, c_custkey, CAST(c_acctbal AS DECIMAL(8, 2)) AS score FROM customer),
+        n AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS next, count(*) OVER (PARTITION BY key) AS c FROM r
+              WINDOW w AS (PARTITION BY key ORDER BY score DESC, c_custkey))
+        SELECT key, c_custkey AS best, score, CAST(score - coalesce(next, 0) AS DECIMAL(8, 2)) AS gap, least(c, 10) AS n_candidates FROM n WHERE n = 1""",
+    "latest_records": """
+        SELECT o_custkey, o_orderkey, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders)
+        WHERE n <= 3""",
+    "nested_records": """
+        WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders)
+        SELECT c_custkey, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY n), '') AS order_keys
+        FROM customer LEFT JOIN (SELECT * FROM n WHERE n <= 20) ON c_custkey = o_custkey GROUP BY c_custkey""",
+    "best_record_priority": """
+        WITH o AS (SELECT o_custkey AS corpid_num, o_orderkey, left(o_orderpriority, 1) AS t, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders),
+        n AS (SELECT *, row_number() OVER (PARTITION BY corpid_num ORDER BY CASE t WHEN '3' THEN 0 WHEN '1' THEN 1 ELSE 2 END, d DESC, o_orderkey) AS n FROM o)
+        SELECT corpid_num, CAST(o_orderkey AS VARCHAR) AS address_line_1,
+               CASE t WHEN '3' THEN 'Principal Office' WHEN '1' THEN 'Registered Agent' ELSE 'Type ' || t END AS addr_type_label,
+               'United States' AS country FROM n WHERE n = 1""",
+    "first_status": """
+        SELECT o_custkey AS corpid_num, arg_min(o_orderstatus, o_orderkey) AS company_status FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1""",
+    "vote_argmax": """
+        WITH v AS (SELECT user_id AS site, event_type AS vote, CAST(event_id % 7 / 10.0 AS DECIMAL(10, 2)) AS w, event_id FROM events),
+        s AS (SELECT site, vote, sum(w) AS score, min(event_id) AS first FROM v GROUP BY ALL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, first) AS n, sum(score) OVER (PARTITION BY site) AS total FROM s)
+        SELECT site, vote, CAST(score AS DECIMAL(20, 2)) AS score, CAST(total AS DECIMAL(20, 2)) AS total FROM n WHERE n = 1""",
+    "history_latest": """
+        SELECT user_id AS site, ts AS at, event_id AS entry FROM (
+            SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 ORDER BY ts DESC, user_id LIMIT 20""",
+    "jurisdictions": """
+        SELECT * FROM (VALUES
+            ('W1', 'United Kingdom', NULL, 1.0, 'uk'), ('W2', 'United Kingdom', NULL, 0.715, 'uk'), ('W3', 'United Kingdom', NULL, 1.0, 'uk'),
+            ('W4', 'United Kingdom', NULL, 0.91, 'uk'), ('W5', NULL, NULL, 0.0, 'no_jurisdiction'), ('W6', NULL, NULL, 0.0, 'no_jurisdiction'),
+            ('W7', 'United States', 'NY', 1.0, 'ny'), ('W8', 'United States', 'NY', 1.0, 'ny'), ('W9', 'United States', 'NY', 1.0, 'ny'),
+            ('W10', 'United States', 'CA', 1.0, 'unsupported'), ('W11', 'United States', NULL, 0.91, 'state_required'),
+            ('W12', NULL, NULL, 0.0, 'no_jurisdiction'), ('W13', 'United Kingdom', NULL, 0.78, 'uk')
+        ) t(key, country, state_abbr, confidence, route)""",
+    "uk_resolution": """
+        SELECT key, status, company_number, method, CAST(confidence AS DOUBLE) AS confidence, CAST(score AS DOUBLE) AS score, CAST(gap AS DOUBLE) AS gap FROM (VALUES
+            ('W1', 'resolved_direct', 'SC311560', 'registration_number', 1.0, NULL, NULL), ('W2', 'not_found', '99999999', NULL, NULL, NULL, NULL),
+            ('W3', 'resolved', '12345678', 'exact_name_verified', 0.95, 100.0, 42.14), ('W4', 'resolved', 'AAAAAA', 'exact_name_verified', 0.95, 90.0, 50.23),
+            ('W5', 'unresolved', NULL, NULL, 0.5, 50.0, 4.71), ('W6', 'skipped', NULL, NULL, NULL, NULL, NULL)
+        ) t(key, status, company_number, method, confidence, score, gap)""",
+    "ny_resolution": """
+        SELECT key, status, matched, matched_name, CAST(confidence AS DOUBLE) AS confidence, CAST(score AS DOUBLE) AS score, CAST(gap AS DOUBLE) AS gap FROM (VALUES
+            ('W2', 'not_found', FALSE, NULL, NULL, NULL, NULL), ('W6', 'skipped', FALSE, NULL, NULL, NULL, NULL),
+            ('W7', 'resolved', TRUE, 'ACME TECHNOLOGIES INC', 1.0, 100.0, 55.0), ('W8', 'ambiguous', FALSE, 'ABC GROUP INC', 0.95, 95.0, 0.0)
+        ) t(key, status, matched, matched_name, confidence, score, gap)""",
+    "sequence_similarity": """
+        SELECT a, b, CAST(ratio AS DOUBLE) AS ratio FROM (VALUES ('abcd', 'bcde', 0.75), ('SMITH AND JONES LTD', 'SMITH JONES LTD', 0.8824), ('', '', 1.0), ('a', '', 0.0)) t(a, b, ratio)""",
+    "wiki_infobox": """
+        SELECT * FROM (VALUES ('Acme', 'legal_name', 'Acme Corp'), ('Acme', 'company_type', 'Public'), ('Acme', 'industry', 'Tools'),
+            ('Acme', 'full_address', 'Leeds'), ('Acme', 'website', 'https://acme.example')) t(title, field, value)""",
+    "robots_allowed": """
+        SELECT * FROM (VALUES ('https://h.example/'), ('https://h.example/private/open/y'), ('https://h.example/public'), ('https://o.org/private')) t(url)""",
+    "sitemap_pages": """
+        SELECT 'https://h.example/' AS site, url FROM (VALUES ('https://h.example/a?x=1&y=2'), ('https://sub.h.example/b')) t(url)""",
+    "company_revenue_cube": """
+        SELECT r_name, n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS revenue,
+               count(DISTINCT l_orderkey) AS n_orders
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        GROUP BY ROLLUP (r_name, n_name)""",
+}

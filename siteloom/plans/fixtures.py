@@ -1,0 +1,83 @@
+"""Small inline tables for queries whose inputs the test tables lack: websites, registry hits, articles, robots files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SITE = ["key", "domain", "company_name", "legal_name", "registration_number", "vat_tax_number", "country", "city", "full_address", "postal_code", "phone"]
+
+
+def websites(spark: SparkSession) -> DataFrame:
+    def row(key: str, **k):
+        return tuple(key if c == "key" else k.get(c) for c in _SITE)
+
+    rows = [
+        row("W1", company_name="BrewDog", registration_number="SC311560", domain="brewdog.com"),
+        row("W2", company_name="Ghost Corp", registration_number="99999999"),
+        row("W3", company_name="XYZ Limited", domain="xyz.co.uk", postal_code="SW1A 1AA", city="London"),
+        row("W4", company_name="Precision Widgets Limited", postal_code="M1 1AA", city="Manchester"),
+        row("W5", company_name="Smith and Jones Limited"),
+        row("W6"),
+        row("W7", company_name="Acme Technologies Inc", city="New York", postal_code="10118"),
+        row("W8", company_name="ABC Group", city="New York", postal_code="10004"),
+        row("W9", country="United States", full_address="350 Fifth Avenue, New York, NY 10118"),
+        row("W10", country="United States", full_address="123 Sunset Blvd, Los Angeles, CA 90028"),
+        row("W11", country="United States"),
+        row("W12", phone="+1 212 555 0100"),
+        row("W13", vat_tax_number="GB 897 6381 54"),
+    ]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in _SITE))
+
+
+def uk_search(spark: SparkSession) -> DataFrame:
+    def hit(query, ord_, number, title, status, code=None, town=None):
+        return (query, ord_, number, title, status, (None, None, town, None, code, None))
+
+    rows = [
+        hit("XYZ Limited", 0, "12345678", "XYZ LIMITED", "active", "SW1A 1AA", "London"),
+        hit("XYZ Limited", 1, "87654321", "XYZZY HOLDINGS", "active", "EC1A 1BB", "London"),
+        hit("Precision Widgets Limited", 0, "AAAAAA", "PRECISION WIDGETS LIMITED", "active", "M1 1AA", "Manchester"),
+        hit("Precision Widgets Limited", 1, "BBBBBB", "PRECISION PLASTICS LTD", "active", "E1 6AN", "London"),
+        hit("Precision Widgets Limited", 2, "CCCCCC", "PRECISION TOOLS PLC", "dissolved", "EX1 1AA"),
+        hit("Smith and Jones Limited", 0, "AAAA01", "SMITH & JONES LIMITED", "active"),
+        hit("Smith and Jones Limited", 1, "AAAA02", "SMITH AND JONES LIMITED", "active"),
+    ]
+    address = "struct<address_line_1:string,address_line_2:string,locality:string,region:string,postal_code:string,country:string>"
+    return spark.createDataFrame(rows, f"query string, hit_ord int, company_number string, title string, company_status string, address {address}")
+
+
+def uk_profiles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("SC311560", "BREWDOG PLC")], "company_number string, company_name string")
+
+
+def ny_entities(spark: SparkSession) -> DataFrame:
+    rows = [
+        ("9999999", "ACME TECHNOLOGIES INC", "DOMESTIC BUSINESS CORPORATION", "New York", "New York", "10118"),
+        ("1000001", "ACME TECHNOLOGIES INCUBATOR", "DOMESTIC BUSINESS CORPORATION", "Albany", "Albany", "12207"),
+        ("2000001", "ABC GROUP LLC", "DOMESTIC LIMITED LIABILITY COMPANY", "New York", "New York", "10004"),
+        ("2000002", "ABC GROUP INC", "DOMESTIC BUSINESS CORPORATION", "New York", "New York", "10004"),
+    ]
+    names = ["dos_id", "current_entity_name", "entity_type", "county", "dos_process_city", "dos_process_zip"]
+    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+
+
+def articles(spark: SparkSession) -> DataFrame:
+    text = (
+        "{{short description|x}}\n{{Infobox company\n| name = '''Acme''' Corp<ref>a b</ref>\n| type = [[Public company|Public]]\n"
+        "| industry = [[Tools]]\n| location = London\n| headquarters = {{flag|UK}} Leeds\n| website = {{URL|https://acme.example}}\n}}"
+    )
+    return spark.createDataFrame([("Acme", text), ("Other", "no infobox here")], "title string, wikitext string")
+
+
+def robots(spark: SparkSession) -> DataFrame:
+    body = (
+        "# all\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /private # x\nAllow: /private/open\n"
+        "Sitemap: https://h.example/map.xml"
+    )
+    return spark.createDataFrame([("h.example", body)], "host string, body string")
+
+
+def sitemaps(spark: SparkSession) -> DataFrame:
+    index = '<sitemapindex xmlns="http://x"><sitemap><loc>https://h.example/m1.xml</loc></sitemap><sitemap><loc> https://h.example/map.xml </loc></sitemap></sitemapindex>'
+    pages = "<urlset><url><loc>https://h.example/a?x=1&amp;y=2</loc></url><url><loc>https://sub.h.example/b</loc></url><url><loc>https://o.org/</loc></url></urlset>"
+    return spark.createDataFrame([("https://h.example/map.xml", index), ("https://h.example/m1.xml", pages), ("https://h.example/bad", "<not")], "url string, body string")
