@@ -206,7 +206,8 @@ def find_benchmark(
     spark = docs.sparkSession
     pairs = benchmark_windows(benchmark, item_col, item_text_col, width)
     blocks = max(1, -(-pairs.count() // block_windows))
-    text_at = docs.columns.index(text_col)
+    text_at, names = docs.columns.index(text_col), docs.columns
+    docs = docs.toDF(*(f"_{i}" for i in range(len(names))))
     fields = docs.schema.fields
     found = T.StructField("found", _FOUND)
     for b in range(blocks):
@@ -216,7 +217,7 @@ def find_benchmark(
         kept = [i for i in range(len(fields)) if keep_text or not last or i != text_at]
         scan = _scan(windows, text_at, kept, len(fields) if b else None, cut and last)
         docs = docs.mapInArrow(scan, T.StructType([*(fields[i] for i in kept), found]))
-    return docs
+    return docs.toDF(*(names[i] for i in kept), "found")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:

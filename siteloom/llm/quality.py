@@ -67,7 +67,8 @@ class OrdinalModel:
 
 
 def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, size: int, features: int = 512, ridge: float = 1e-4, steps: int = 400, shift: float = 0.3) -> OrdinalModel:
-    """Fit by gradient steps (Adam) on the features whose presence moves the mean grade by `shift` or more, z above 4.
+    """Fit by gradient steps (Adam) on the features whose presence moves a cumulative share of grades by `shift` or more,
+    with a z statistic above 4.
 
     The bound on the shift leaves out words that most texts have: many of them, each with a small weight, would make a long
     text look good whatever else it says.
@@ -77,12 +78,15 @@ def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, size: int, features: in
     flat = np.concatenate(x) if x else np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(x)), lengths)
     count = np.bincount(flat, minlength=size)
-    total = np.bincount(flat, weights=grades[of].astype(float), minlength=size)
-    spread = grades.std() or 1.0
-    z = (total - count * grades.mean()) / (spread * np.sqrt(np.maximum(count, 1)))
-    moved = np.abs(total / np.maximum(count, 1) - grades.mean()) if len(x) else np.zeros(size)
-    chosen = np.flatnonzero((count >= 5) & (np.abs(z) > 4) & (moved >= shift))
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")][:features])
+    z, moved = np.zeros(size), np.zeros(size)
+    for k in range(levels - 1):
+        low = (grades <= k).astype(float)
+        share = min(max(low.mean(), 1e-6), 1 - 1e-6)
+        more = np.bincount(flat, weights=low[of], minlength=size) - count * share
+        z = np.maximum(z, np.abs(more) / np.sqrt(np.maximum(count, 1) * share * (1 - share)))
+        moved = np.maximum(moved, np.abs(more) / np.maximum(count, 1))
+    chosen = np.flatnonzero((count >= 5) & (z > 4) & (moved >= shift))
+    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")][:features])
     column = np.full(size, -1)
     column[chosen] = np.arange(len(chosen))
     dense = np.zeros((len(x), len(chosen)))
