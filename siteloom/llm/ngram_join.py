@@ -328,10 +328,10 @@ class GroupedPrefixJoin:
         """All candidates between components: groups that fit in size and share enough shingles of their prefixes.
 
         What two groups must share grows as their sizes draw near, so groups meet by bands of size: under a key of shingle,
-        size class of the smaller and difference of the classes. If groups of a band must share k shingles, each leaves out
+        size class of the smaller and difference of the classes, hashed. If groups of a band must share k shingles, each leaves out
         its k - 1 most frequent ones: the rarest shingle of any k that they share is kept on both sides.
         """
-        step, bands = 1.06, 6
+        step, bands = 1.06, 5
         often = crossing.groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
         top = Window.partitionBy("rep").orderBy(F.desc("_f"), "token")
         rows = crossing.join(often, "token").withColumn("_top", F.row_number().over(top))
@@ -349,11 +349,11 @@ class GroupedPrefixJoin:
             banded = rows.select("token", "rep", "n", "comp", "_top", F.explode(F.array(*options)).alias("o"))
             banded = banded.where(F.col("_top") >= F.col("o.must"))
             sides[side] = banded.select(
-                "token", F.col("o.d").alias("d"), F.col("o.low").alias("low"), *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "comp"))
+                F.xxhash64("token", "o.d", "o.low").alias("key"), *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "comp"))
             )
         ok = self.near_in_size("a_n", "b_n")
         order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_rep") < F.col("b_rep")))
-        pairs = sides["a"].join(sides["b"], ["token", "d", "low"]).where((F.col("a_comp") != F.col("b_comp")) & order & ok[0] & ok[1])
+        pairs = sides["a"].join(sides["b"], "key").where((F.col("a_comp") != F.col("b_comp")) & order & ok[0] & ok[1])
         pairs = saved(pairs.select("a_rep", "b_rep").distinct(), "near")
         held = saved(crossing.groupBy("rep", "n").agg(F.collect_set("token").alias("held")), "held")
         for side in ("a", "b"):
@@ -394,7 +394,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 5,
-    common: int = 200_000,
+    common: int = 1_000_000,
     small: int = 1_000_000,
 ) -> DataFrame:
     """Per document: its id, `n_shingles` (distinct word shingles) and `component_id` (least id reachable by links).
