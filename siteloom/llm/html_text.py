@@ -212,7 +212,7 @@ def extract_main_text(
         found = rows.join(F.broadcast(winners), "_host", "left")
     else:
         hosts = rows.select("_host").distinct().join(winners, "_host", "left")
-        found = spread_join(rows.withColumn("_salt", salt_of("_id", 64)), hosts, ["_host"], "_salt")
+        found = spread_join(rows.withColumn("_salt", salt_of("_id", 64, run=1)), hosts, ["_host"], "_salt")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     texts = found.select("_id", "_url", "_html", "_path").mapInArrow(
         _extract, f"_id {kinds['_id']}, _url {kinds['_url']}, text string"

@@ -148,7 +148,7 @@ def identify_languages(
     by_host = hosts.join(by_domain, ["tld", "domain"])
     prior = F.array(*(F.log(p) for p in smoothed(by_host, [F.col(f"d{k}") for k in range(len(langs))], "h")))
     by_host = by_host.select("host", prior.alias("_prior"))
-    found = spread_join(scored.withColumn("_salt", salt_of("_id", 64)), by_host, ["host"], "_salt")
+    found = spread_join(scored.withColumn("_salt", salt_of("_id", 64, run=1)), by_host, ["host"], "_salt")
     found = found.join(likelihoods("declared"), "declared").join(likelihoods("suffix"), "suffix")
     parts = ("log", "_declared", "_suffix", "_prior")
     logs = F.array(*(F.round(sum((F.col(c)[k] for c in parts), F.lit(0.0)), 9) for k in range(len(langs))))
