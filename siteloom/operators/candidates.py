@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import fixed
 from siteloom.functions.text import (
-    clean_address, clean_text, collapsed, filled, matched, state_in_text, strip, uk_postcode, valid_address, valid_email, valid_phone,
+    clean_address, clean_text, filled, matched, strip, uk_postcode, valid_address, valid_email, valid_phone,
     valid_registration, valid_vat, without_suffixes,
 )
-from siteloom.functions.urls import host_of
 from siteloom.sources.pages import json_ld_nodes
 
 #: Stages in the order in which ties between candidates are decided.
