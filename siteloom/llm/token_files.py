@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.dac import Packed, pack
 
-_CACHE_WORDS = 800_000
+_CACHE_WORDS = 500_000
 _BATCH_BYTES = 2_000_000
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -45,6 +45,8 @@ class CachedEncoder:
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(word_end)]] = True
         self.special = [x.content[:2].encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        #: what was known before the cache filled up last; words in use move back from there
+        self.older: dict[bytes, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,11 +67,14 @@ class CachedEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > _CACHE_WORDS:
-            self.known = {}
+            self.known, self.older = {}, self.known
         own = [any(x in text for x in self.special) for text in texts]
         cut = [[] if o else text.translate(_FOLD).replace(b"\n", b" ").split(b" ") for text, o in zip(texts, own)]
         if new := set().union(*cut) - self.known.keys():
-            self._learn(new)
+            back = new & self.older.keys()
+            self.known.update((w, self.older[w]) for w in back)
+            if new := new - back:
+                self._learn(new)
         known = self.known.__getitem__
         codes = [b"".join(map(known, words)) for words in cut]
         for k, o in enumerate(own):
