@@ -18,6 +18,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Hand Python workers Arrow batches of at most `most` bytes, whatever the length of the texts in them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/siteloom/{name}-{uuid.uuid4().hex}"
 

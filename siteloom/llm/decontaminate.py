@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteloom.llm.common import bounded_batches
+
 #: Bytes that separate words after lower-casing A-Z: all of ASCII but digits and letters. Other bytes belong to words.
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -204,6 +206,7 @@ def find_benchmark(
     `docs` are carried by position, so a column named like ours is no problem until the caller selects by name.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     pairs = benchmark_windows(benchmark, item_col, item_text_col, width)
     blocks = max(1, -(-pairs.count() // block_windows))
     text_at, names = docs.columns.index(text_col), docs.columns

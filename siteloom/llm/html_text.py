@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import salt_of, saved, spread_join
+from siteloom.llm.common import bounded_batches, salt_of, saved, spread_join
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S
@@ -199,6 +199,7 @@ def extract_main_text(
     dealt over salts. Null html counts as empty; a page with no readable host shares the votes of all such pages;
     repeated rows are extracted each for itself; other columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.expr(f"try_parse_url(`{url_col}`, 'HOST')")), F.lit(""))
     rows = pages.select(
         F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"),

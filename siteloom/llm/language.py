@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import salt_of, saved, spread_join
+from siteloom.llm.common import bounded_batches, salt_of, saved, spread_join
 
 _TAGS = re.compile(r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _SLOTS = 1 << 14
@@ -77,6 +77,7 @@ def identify_languages(
     the pages is spread. Repeated rows count each; other columns are ignored; ties go to the first language by name.
     """
     langs, table = model
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(table)
     host = F.coalesce(F.lower(F.expr(f"try_parse_url(`{url_col}`, 'HOST')")), F.lit(""))
     tag = F.lower(F.regexp_extract(F.col(html_col), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))

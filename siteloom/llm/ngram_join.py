@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import salt_of, saved, spread_join
+from siteloom.llm.common import bounded_batches, salt_of, saved, spread_join
 from siteloom.llm.components import components
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -26,7 +26,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxh64_intdigest(word)
         return value
@@ -195,6 +195,7 @@ class GroupedPrefixJoin:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, common: int, small: int):
         self.spark: SparkSession = docs.sparkSession
+        bounded_batches(self.spark)
         self.docs = docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
         )

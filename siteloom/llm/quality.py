@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteloom.llm.common import bounded_batches
+
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[^\w\s]{2,}")
 
@@ -76,7 +78,7 @@ def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, size: int, features: in
     levels = int(grades.max()) + 1 if len(grades) else 1
     lengths = [len(v) for v in x]
     flat = np.concatenate(x) if x else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(x)), lengths)
+    of = np.repeat(np.arange(len(x), dtype=np.int32), lengths)
     count = np.bincount(flat, minlength=size)
     z, moved = np.zeros(size), np.zeros(size)
     for k in range(levels - 1):
@@ -89,7 +91,7 @@ def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, size: int, features: in
     chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")][:features])
     column = np.full(size, -1)
     column[chosen] = np.arange(len(chosen))
-    dense = np.zeros((len(x), len(chosen)))
+    dense = np.zeros((len(x), len(chosen)), dtype=np.float32)
     keep = column[flat] >= 0
     dense[of[keep], column[flat[keep]]] = 1.0
     shares = np.cumsum(np.bincount(grades, minlength=levels) + 1.0)
@@ -133,6 +135,7 @@ def train_quality(
 
     Labels with a null quality are left out, a null toxic counts as 0. Only the sample's hashed features reach the driver.
     """
+    bounded_batches(docs.sparkSession)
     grade = F.when(F.col("quality") <= 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 1).otherwise(2)
     rated = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), grade.alias("_grade"))
     rated = rated.orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -148,7 +151,7 @@ def train_quality(
             )
 
     rows = sorted((r["id"], r["grade"], bytes(r["x"])) for r in rows.mapInArrow(run, "id string, grade int, x binary").toLocalIterator())
-    x = [np.frombuffer(b, "<i4").astype(np.int64) for *_, b in rows]
+    x = [np.frombuffer(b, "<i4") for *_, b in rows]
     return fit_ordinal(x, np.array([g for _, g, _ in rows], dtype=np.int64), size, features)
 
 
@@ -160,6 +163,7 @@ def graded(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep_te
 
     One narrow pass over whole texts. Null texts count as empty. Columns pass through by position.
     """
+    bounded_batches(docs.sparkSession)
     fields = docs.schema.fields
     text_at = docs.columns.index(text_col)
     kept = [i for i in range(len(fields)) if keep_text or i != text_at]

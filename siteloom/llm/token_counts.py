@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteloom.llm.common import bounded_batches
+
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
 _CACHE_WORDS = 500_000
@@ -95,6 +97,7 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], text_col: str
     One narrow pass, no shuffle. The vocabulary is broadcast: its size is that of the tokenizer, not of the data. Null and
     empty texts count 0; repeated rows are counted each for itself; other columns pass through by position.
     """
+    bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)
     text_at = docs.columns.index(text_col)
     others = [i for i in range(len(docs.columns)) if i != text_at]

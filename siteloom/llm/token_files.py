@@ -19,9 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siteloom.llm.common import bounded_batches
 from siteloom.llm.dac import Packed, pack
 
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 400_000
 _BATCH_BYTES = 2_000_000
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -161,6 +162,7 @@ def write_token_file(
     that repeat an id lie side by side. The tokenizer travels as a broadcast of its file, read on the driver.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = spark.sparkContext.broadcast(file.read())
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
