@@ -108,13 +108,13 @@ def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, size: int, features: in
     rows = np.arange(len(x))
     for t in range(1, steps + 1 if levels > 1 and len(x) else 1):
         cuts = thresholds(free)
-        score = dense @ free[:d]
+        score = (dense @ free[:d].astype(np.float32)).astype(float)
         cumulative = np.hstack([np.zeros((len(x), 1)), _logistic(cuts[None, :] - score[:, None]), np.ones((len(x), 1))])
         slope = cumulative * (1 - cumulative)
         p = np.maximum(cumulative[rows, grades + 1] - cumulative[rows, grades], 1e-12)
         d_score = (slope[rows, grades + 1] - slope[rows, grades]) / p
         g = np.zeros_like(free)
-        g[:d] = dense.T @ d_score / len(x) + ridge * free[:d]
+        g[:d] = dense.T @ d_score.astype(np.float32) / len(x) + ridge * free[:d]
         d_cut = np.zeros(levels - 1)
         for k in range(levels - 1):
             d_cut[k] = (-(slope[grades == k, k + 1] / p[grades == k]).sum() + (slope[grades == k + 1, k + 1] / p[grades == k + 1]).sum()) / len(x)
