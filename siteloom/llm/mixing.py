@@ -119,15 +119,26 @@ def mix(
     return ranked.select(*(f"_{i}" for i in range(len(names))), where).toDF(*names, "mix")
 
 
-def mixed_to_weights(docs: DataFrame, ordered: bool = True, **options) -> DataFrame:
-    """The rows of `docs` whose slots come before the first source runs out, in slot order over range partitions.
-
-    What is left meets the target weights to less than one block for each source, after any number of slots.
-    """
-    mixed = mix(docs, **options)
+def _in_slot_order(mixed: DataFrame, where: str | None, ordered: bool) -> DataFrame:
+    """The rows of a table from `mix`, all or those `where` holds, in slot order over range partitions, without `mix`."""
     at = mixed.columns[:-1]
-    mixed = mixed.toDF(*(f"_{i}" for i in range(len(at))), "_mix").where("_mix.within")
+    mixed = mixed.toDF(*(f"_{i}" for i in range(len(at))), "_mix")
+    mixed = mixed.where(where) if where else mixed
     if ordered:
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         mixed = mixed.repartitionByRange(parts, "_mix.slot").sortWithinPartitions("_mix.slot", "_mix.position")
     return mixed.drop("_mix").toDF(*at)
+
+
+def mixed_rows(docs: DataFrame, ordered: bool = True, **options) -> DataFrame:
+    """All rows of `docs` in slot order over range partitions; those of sources that last longer follow to the end."""
+    return _in_slot_order(mix(docs, **options), None, ordered)
+
+
+def mixed_to_weights(docs: DataFrame, ordered: bool = True, **options) -> DataFrame:
+    """The rows of `docs` whose slots come before the first source runs out, in slot order over range partitions.
+
+    What is left meets the target weights to less than one block for each source, after any number of slots. A small source
+    can run out early, and all rows from there on are dropped: for callers that want no other rows. See `mixed_rows`.
+    """
+    return _in_slot_order(mix(docs, **options), "_mix.within", ordered)

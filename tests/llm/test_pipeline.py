@@ -50,3 +50,9 @@ def test_stages(spark, folder):
     assert seen[2] == seen[1] - {3, 8}
     assert seen[3] <= seen[2] and len(seen[3]) > 0.7 * len(seen[2]) and seen[4] == seen[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == seen[4]
+
+
+def test_mixing_keeps_rows_beside_a_source_of_one_row(spark):
+    docs = [(i, f"s{i % 4}") for i in range(4000)] + [(9000, "lone"), (9001, None)]
+    kept = corpus_pipeline.mixing(spark, spark.createDataFrame(docs, "doc_id long, source string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in docs]
