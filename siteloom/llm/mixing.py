@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +54,78 @@ def pfair_period(shares: dict[str, int]) -> list[tuple[str, int]]:
     return slots
 
 
+class _Flow:
+    """The ideal flow of blocks: each source is served in proportion to its weight until it has no more blocks.
+
+    In a time v that serves a source of weight w by v w blocks, a source of n blocks runs out at n / w. The slots used up by
+    v are D + v W, with D the blocks of sources that ran out before v and W the weights of the others; all exact.
+    """
+
+    def __init__(self, weights: dict[str, Fraction], blocks: dict[str, int]):
+        self.weights = weights
+        order = sorted(weights, key=lambda s: blocks[s] / weights[s])
+        self.ends = [blocks[s] / weights[s] for s in order]
+        self.dead, self.alive = [0], [sum(weights.values(), Fraction(0))]
+        for s in order:
+            self.dead.append(self.dead[-1] + blocks[s])
+            self.alive.append(self.alive[-1] - weights[s])
+
+    def from_phase(self, source: str, j: int) -> tuple[int, int, int, int]:
+        """(last block count, blocks, numerator, denominator) of the phase in which `source` has had j of its blocks."""
+        p = min(bisect_left(self.ends, j / self.weights[source]), len(self.ends) - 1)
+        rate = self.alive[p] / self.weights[source]
+        return int(self.ends[p] * self.weights[source]), self.dead[p], rate.numerator, rate.denominator
+
+
+def fair_schedule(weights: dict[str, Fraction], blocks: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, block) for each slot until all `blocks` are dealt, by earliest deadline first among released blocks.
+
+    Block j of a source is released at the slot in which the ideal flow (`_Flow`) begins it and due by that in which the
+    flow has ended it. The flow itself fits these windows and fills every slot, so every deadline is met, and after any
+    number of slots each source has had less than one block more or less than the flow: its exact weight's share until
+    the first source runs out, and after that its share among those that remain.
+    """
+    flow = _Flow(weights, blocks)
+    phases = {s: flow.from_phase(s, 0) for s in weights}
+
+    def window(s: str, j: int) -> tuple[int, int]:
+        at = []
+        for k in (j, j + 1):
+            if k > phases[s][0]:
+                phases[s] = flow.from_phase(s, k)
+            _, dead, over, under = phases[s]
+            at.append((dead + k * over // under, dead - (-k * over // under)))
+        return at[0][0], at[1][1]
+
+    ahead = [(*window(s, 0), s, 0) for s in sorted(weights) if blocks[s]]
+    heapq.heapify(ahead)
+    ready: list[tuple[int, str, int]] = []
+    for slot in range(sum(blocks.values())):
+        while ahead and ahead[0][0] <= slot:
+            _, due, name, j = heapq.heappop(ahead)
+            heapq.heappush(ready, (due, name, j))
+        due, name, j = heapq.heappop(ready)
+        if due <= slot:
+            raise AssertionError("a deadline was missed")
+        yield name, j
+        if j + 1 < blocks[name]:
+            heapq.heappush(ahead, (*window(name, j + 1), name, j + 1))
+
+
+def _scheduled(weights: dict[str, Fraction], blocks: dict[str, int], most: int = 100_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                slots, first = fair_schedule(weights, blocks), 0
+                while part := list(islice(slots, most)):
+                    columns = [[s for s, _ in part], [j for _, j in part], range(first, first + len(part))]
+                    kinds = (pa.string(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), ["_source", "_block", "_slot"])
+                    first += len(part)
+
+    return run
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -57,20 +133,22 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     block_rows: int = 8,
-    period: int = 1000,
     buckets: int = 1024,
+    small: int = 500_000,
 ) -> DataFrame:
     """`docs` with a last column `mix`: source block number `block`, its `slot`, the row's `position` in the slot, and
     `within`: whether the slot comes before the first source ran out, up to where the weights hold for every source.
 
-    A source's rows are ordered by a hash of their id and cut into blocks of `block_rows`. One period of slots is scheduled
-    from the weights (its length bounds the table, whatever the data's size), and block j of a source with k blocks in a
-    period takes the slot of block j mod k in period j div k. Without `weights`, a source weighs its row count to the power
-    `smoothing`. Ranks come from counts of (source, bucket) and a row number inside each bucket, so a source with a third
-    of all rows is dealt over all buckets. No row is dropped or repeated here; see `mixed_to_weights`.
+    A source's rows are ordered by a hash of their id and cut into blocks of `block_rows`; `fair_schedule` gives each block
+    its slot, from the exact weights, and goes on among the sources that remain when one runs out. It is one pass over the
+    blocks in one task, written in parts; the table of slots is broadcast up to `small` blocks and joined by a shuffle
+    beyond. Without `weights`, a source weighs its row count to the power `smoothing`. Ranks come from counts of (source,
+    bucket) and a row number inside each bucket, so a source with a third of all rows is dealt over all buckets. No row
+    is dropped or repeated here; see `mixed_to_weights`.
 
     Null sources form one source; null ids come first in a bucket; repeated rows each take a place; columns pass through
-    by position; an empty table gives an empty result. Sources missing in `weights` raise ValueError.
+    by position; an empty table gives an empty result. Sources missing in `weights`
+    raise ValueError, as do weights that are not above zero.
     """
     spark = docs.sparkSession
     names = docs.columns
@@ -93,25 +171,21 @@ def mix(
         if missing := [s[1:] for s in sizes if s not in known]:
             raise ValueError(f"no weight for sources {missing[:5]}")
         weighed = {s: known[s] for s in sizes}
-    shares = whole_shares(weighed, max(period, 4 * len(sizes)))
-    length = sum(shares.values())
-    schedule = [(s, j, slot) for slot, (s, j) in enumerate(pfair_period(shares))]
-    slots = {(s, j): slot for s, j, slot in schedule}
-
-    def slot_of(s: str, block: int) -> int:
-        return block // shares[s] * length + slots[s, block % shares[s]]
-
-    horizon = min(slot_of(s, n // block_rows) for s, n in sizes.items())
-    table = spark.createDataFrame(schedule, "_source string, _j long, _s long")
-    share = spark.createDataFrame(list(shares.items()), "_source string, _k long")
+    if wrong := [s[1:] for s, w in weighed.items() if not w > 0]:
+        raise ValueError(f"weights of sources {wrong[:5]} are not above zero")
+    exact = {s: Fraction(w) for s, w in weighed.items()}
+    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
+    # the weights hold for every source while each has whole blocks left
+    horizon = int(sum(exact.values()) * min(n // block_rows / exact[s] for s, n in sizes.items()))
+    table = saved(spark.range(0, 1, 1, 1).mapInArrow(_scheduled(exact, blocks), "_source string, _block long, _slot long"), "mix-slots")
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_source", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inner = Window.partitionBy("_source", "_bucket").orderBy("_hash", key)
     ranked = rows.withColumn("_rank", F.row_number().over(inner) - 1).join(offsets, ["_source", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
-    ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows)).join(F.broadcast(share), "_source")
-    ranked = ranked.withColumn("_j", F.col("_block") % F.col("_k")).join(F.broadcast(table), ["_source", "_j"])
-    slot = F.floor(F.col("_block") / F.col("_k")) * length + F.col("_s")
+    ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows))
+    ranked = ranked.join(F.broadcast(table) if sum(blocks.values()) <= small else table, ["_source", "_block"])
+    slot = F.col("_slot")
     where = F.struct(
         F.col("_block").alias("block"), slot.alias("slot"), (F.col("_rank") % block_rows).alias("position"),
         (slot < horizon).alias("within"),

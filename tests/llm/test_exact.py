@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from siteloom.llm.dac import Packed, pack
 from siteloom.llm.decontaminate import contamination_report, decontaminate
 from siteloom.llm.exact_dedup import exact_dedup
-from siteloom.llm.mixing import mix, mixed_to_weights, pfair_period, whole_shares
+from siteloom.llm.mixing import fair_schedule, mix, mixed_to_weights, pfair_period, whole_shares
 from siteloom.llm.ngram_join import near_duplicates
 from siteloom.llm.pii import personal_data, sanitised
 
@@ -173,6 +174,36 @@ def test_pfair_meets_weights_to_less_than_a_block():
         assert all(abs(had[n] - t * k / 200) < 1 for n, k in shares.items())
 
 
+def test_fair_schedule_meets_exact_weights_in_every_phase():
+    weights = {s: Fraction(w) for s, w in {"a": 1000.3, "b": 0.2, "c": 333.1, "d": 0.7, "e": 50.0}.items()}
+    blocks = {"a": 3000, "b": 2, "c": 300, "d": 3, "e": 1}
+    order = list(fair_schedule(weights, blocks))
+    assert sorted(order) == sorted((s, j) for s, n in blocks.items() for j in range(n))
+    had, flow = dict.fromkeys(blocks, 0), dict.fromkeys(blocks, Fraction(0))
+    for s, _ in order:
+        had[s] += 1
+        left = Fraction(1)  # one slot of the ideal flow
+        while left:
+            alive = [x for x in blocks if flow[x] < blocks[x]]
+            total = sum(weights[x] for x in alive)
+            step = min([left / total, *((blocks[x] - flow[x]) / weights[x] for x in alive)])
+            for x in alive:
+                flow[x] += step * weights[x]
+            left -= step * total
+        assert all(abs(had[x] - flow[x]) < 1 for x in blocks)
+
+
+def test_mix_holds_given_weights_below_a_thousandth(spark):
+    d = spark.createDataFrame([(i, "a") for i in range(3000)] + [(5000 + i, "b") for i in range(3)], "doc_id long, source string")
+    for small in (500_000, 0):
+        rows = mix(d, weights={"a": 0.9996, "b": 0.0004}, block_rows=1, small=small).select("source", "mix.*").collect()
+        assert len(rows) == 3003 and sorted(r.slot for r in rows) == list(range(3003))
+        had = 0
+        for t, r in enumerate(sorted((r for r in rows if r.within), key=lambda r: r.slot), 1):
+            had += r.source == "b"
+            assert abs(had - t * 0.0004) < 1
+
+
 def test_mix(spark):
     docs = [(i, "s1" if i % 3 else None if i % 2 else "s2", i % 5) for i in range(400)] + [(None, "s1", 0)]
     d = spark.createDataFrame(docs, "doc_id long, source string, mix int")
