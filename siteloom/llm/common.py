@@ -39,11 +39,11 @@ def salt_of(key: str, salts: int, run: int = 1024):
     return F.coalesce(F.pmod(F.xxhash64(F.floor(F.col(key) / run)), F.lit(salts)).cast("int"), F.lit(0))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], salt: str) -> DataFrame:
-    """Inner-join `facts` (one row for each key) to `rows` when one key may hold a third of `rows`.
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], salt: str, how: str = "inner") -> DataFrame:
+    """Join `facts` (one row for each key) to `rows` when one key may hold a third of `rows`; `how` is inner or left.
 
     `rows` carries a salt column. The distinct (key, salt) pairs, at most the number of salts for each key, fetch the
     facts first; the wide join then runs on (key, salt), so a hot key is dealt over as many tasks as it has salts.
     """
     homes = rows.select(*on, salt).distinct()
-    return rows.join(homes.join(facts, on), [*on, salt])
+    return rows.join(homes.join(facts, on, how), [*on, salt])

@@ -141,7 +141,8 @@ def _sets(width: int, frequent):
         for batch in batches:
             for first, texts in _chunks(batch, 1):
                 sizes, groups, keys, prefixes, heads = [], [], [], [], []
-                for values in shingler.of(texts):
+                known = batch.column(0).slice(first, len(texts)).is_valid().to_pylist()
+                for named, values in zip(known, shingler.of(texts)):
                     n = len(values)
                     at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
                     late = common[at] == values if len(common) else np.zeros(n, bool)
@@ -151,10 +152,12 @@ def _sets(width: int, frequent):
                     sizes.append(n)
                     keys.append(xxh3_128_digest(values.tobytes()))
                     groups.append(group)
-                    new = n and group not in seen
+                    # a row without an id can't stand for its group: the next one with an id does
+                    new = n and named and group not in seen
                     prefixes.append(prefix.view(np.int64) if new else None)
                     heads.append(values[:_HEAD].view(np.int64) if new else None)
-                    seen.add(group)
+                    if named:
+                        seen.add(group)
                 if len(seen) > 500_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays(
@@ -418,6 +421,6 @@ def near_duplicates(
     join = GroupedPrefixJoin(docs, id_col, text_col, width, common, small)
     found = join.run()
     rows = join.sets.select("doc_id", "n_shingles", "group_key", "set_key").withColumn("_salt", salt_of("doc_id", 64))
-    linked = spread_join(rows.where("n_shingles > 0"), found, ["group_key", "set_key"], "_salt")
+    linked = spread_join(rows.where("n_shingles > 0"), found, ["group_key", "set_key"], "_salt", "left")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", "n_shingles", "component_id").union(alone).withColumnRenamed("doc_id", id_col)

@@ -83,6 +83,19 @@ def test_near_duplicates(spark):
     assert near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_null_ids(spark):
+    rng = random.Random(6)
+    base = words(rng, 200, 5000)
+    same = base.split()
+    near = " ".join([*same[:190], "new", *same[191:]])
+    lone = words(rng, 40, 5000)
+    # rows without an id come first in the task, and one has a set of its own
+    docs = [(None, base), (None, near), (None, lone), (None, None), (4, base), (7, near), (9, words(rng, 40, 5000)), (None, near)]
+    rows = spark.createDataFrame(docs, DOC).coalesce(1)
+    got = [(r.doc_id, r.component_id) for r in near_duplicates(rows).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 4)] * 3 + [(None, None)] * 2 + [(4, 4), (7, 4), (9, 9)], key=repr)
+
+
 def brute_report(docs, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     out = {}
