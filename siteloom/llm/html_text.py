@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,6 +35,12 @@ _OFF_WORDS = {
     "footer", "masthead", "topbar", "toolbar", "comment", "comments", "commentlist", "respond", "disqus", "reply", "replies",
     "share", "sharing", "social", "related", "recommended", "widget", "login", "search", "skip",
 }
+#: What may stand beside such a word in one name: cookie-notice, sidebar-left, post-comments; but not has-sidebar.
+_OFF_BESIDE = {
+    "area", "article", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "entry", "form", "global",
+    "icon", "icons", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "mobile", "outer", "panel", "post",
+    "posts", "primary", "right", "secondary", "section", "site", "thread", "title", "top", "wrap", "wrapper",
+}
 _OFF_NAMES = {"header", "site-header", "page-header", "siteheader", "pageheader", "banner"}
 _OFF_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu"}
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
@@ -45,7 +52,40 @@ def _is_off(tag: str, attributes: dict[str, str]) -> bool:
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
     if any(name in _OFF_NAMES for name in names):
         return True
-    return tag not in ("html", "body", "main") and any(w in _OFF_WORDS for name in names for w in re.split("[^a-z]+", name))
+    return tag not in ("html", "body", "main") and any(map(_off_name, names))
+
+
+def _off_name(name: str) -> bool:
+    """Whether a class or id is made up of words for what is not the article, and of words that may stand beside them."""
+    words = [w for w in re.split("[^a-z]+", name) if w]
+    return any(w in _OFF_WORDS for w in words) and all(w in _OFF_WORDS or w in _OFF_BESIDE for w in words)
+
+
+def _on_page(found: list[tuple[str, str, int, list[int], str, int]]) -> list[tuple[str, str, int]]:
+    """The blocks of (path, text, linked, elements around it that are off the article, innermost article or main, how many
+    of those elements this one is in).
+
+    Blocks inside such an element go, but for one that holds the page itself: if no article or main stands outside of
+    them, those around a main, those whose articles have more text than all blocks outside of them (so they are no
+    teasers), and those with most of the page's text are containers like others. Text inside links does not count.
+    """
+    total, plain, weights, around, outside = 0, 0, {}, {}, False
+    for _, text, linked, offs, inside, above in found:
+        weight = _weight(text, linked)
+        total += weight
+        for k in offs:
+            weights[k] = weights.get(k, 0) + weight
+        plain += 0 if offs else weight
+        if weight and above == len(offs):
+            for k in offs:
+                around[k] = around.get(k, 0) + (weight if inside == "article" else math.inf)
+            outside = outside or not offs
+    on = set() if outside else {k for k, w in weights.items() if around.get(k, 0) > plain or 2 * w > total}
+    return [(path, text, linked) for path, text, linked, offs, *_ in found if on.issuperset(offs)]
+
+
+def _weight(text: str, linked: int) -> int:
+    return max(0, len(text) - 2 * linked)
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -60,9 +100,10 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
     Inline elements make no blocks; a line break counts as white space. Containers end with their end tag, or with one
     around them; a paragraph also ends where any block begins. Character references are decoded after tags are found.
     """
-    blocks: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
-    off_at, links, linked = 0, 0, 0
+    found: list[tuple[str, str, int, list[int], str, int]] = []
+    #: tag, step, and whether the element is off the article: its number if so, else 0
+    stack: list[tuple[str, str, int]] = []
+    n_off, links, linked = 0, 0, 0
     held: list[str] = []
 
     def flush() -> None:
@@ -70,7 +111,13 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                blocks.append((">".join(step for tag, step in stack if tag != "p"), text, linked))
+                offs, inside, above = [], "", -1
+                for tag, _, off in stack:
+                    if off:
+                        offs.append(off)
+                    elif tag in ("article", "main"):
+                        inside, above = tag, len(offs)
+                found.append((">".join(step for tag, step, _ in stack if tag != "p"), text, linked, offs, inside, above))
             held.clear()
         linked = 0
 
@@ -80,10 +127,9 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
         at = m.end()
         tag = m[2]
         if tag is None:
-            if not off_at and page[m.start()] != "<" or m[0] == "<":
-                if not off_at:
-                    held.append(m[0])
-                    linked += len(m[0]) if links else 0
+            if page[m.start()] != "<" or m[0] == "<":
+                held.append(m[0])
+                linked += len(m[0]) if links else 0
             continue
         tag = tag.lower()
         if not m[1]:
@@ -93,7 +139,7 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
                     at = close.start() if close else end
                 continue
             if tag in _VOID or tag in _CELLS:
-                held.append(" " if not off_at else "")
+                held.append(" ")
                 if tag == "hr":
                     flush()
                 continue
@@ -103,27 +149,25 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
             flush()
             while stack and (stack[-1][0] == "p" or stack[-1][0] in _IMPLIED.get(tag, ())):
                 stack.pop()
-                off_at = off_at if off_at <= len(stack) else 0
             attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-            stack.append((tag, _step(tag, attributes)))
-            if not off_at and _is_off(tag, attributes):
-                off_at = len(stack)
+            off = _is_off(tag, attributes)
+            n_off += off
+            stack.append((tag, _step(tag, attributes), n_off if off else 0))
         elif tag in _INLINE:
             links = max(0, links - (tag == "a"))
         elif tag in _CELLS:
-            held.append(" " if not off_at else "")
+            held.append(" ")
         elif tag not in _RAW and tag not in _VOID:
             flush()
-            if any(tag == t for t, _ in stack):
+            if any(tag == t for t, _, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
-                off_at = off_at if off_at <= len(stack) else 0
             links = 0
     flush()
-    return blocks
+    return _on_page(found)
 
 
-_SCORED = {"html", "body", "main", "article", "section", "div", "td", "center"}
+_SCORED = {"html", "body", "main", "article", "section", "div", "td", "center", "form"}
 
 
 def scored_containers(blocks: list[tuple[str, str, int]]) -> list[tuple[str, float]]:

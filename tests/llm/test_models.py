@@ -91,3 +91,21 @@ def test_html_of_odd_pages():
     for page in ("<", "<p", "<!-- x", "<script>", "a<b>c</b>d", "</p></div>x", "<p>x" * 500, "<div>" * 500 + "x", '<a href="'):
         main_text(blocks_of(page), None)
     assert main_text(blocks_of("a<b>c</b>d"), "body") == "acd"
+
+
+@pytest.mark.parametrize(
+    "tag", ["div class='content has-sidebar'", "div class=no-sidebar", "div class='comments-open'", "div id=search-results", "article class=related-topic",
+            "div id='ad-free-content'", "form id=aspnetForm", "div class=sidebar-wrapper"],
+)
+def test_html_wrapper_with_the_page_is_no_side_part(tag):
+    text = "A paragraph of the article that goes on for some time. " * 4
+    page = f"<body><{tag}><div class=nav><a href=/>home</a></div><h1>Head</h1><p>{text}<div class='cookie-notice'>We use cookies</div></{tag.split()[0]}><footer>f</footer></body>"
+    assert [t for _, t, _ in blocks_of(page)] == ["Head", text.strip()]
+
+
+def test_html_side_parts_go_beside_an_article():
+    side = "<div id=comments><article class=comment-body><p>" + "troll text " * 40 + "</article></div><aside><article>teaser</article></aside>"
+    assert [t for _, t, _ in blocks_of(f"<article><p>Short text.</article>{side}")] == ["Short text."]
+    assert [t for _, t, _ in blocks_of("<div class=sidebar><main><p>Text.</main></div><p>more")] == ["Text.", "more"]
+    teasers = "<aside><article>teaser</article></aside>"
+    assert [t for _, t, _ in blocks_of(f"<div class=post><p>The text of the page.</div>{teasers}")] == ["The text of the page."]
