@@ -170,44 +170,58 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
 _SCORED = {"html", "body", "main", "article", "section", "div", "td", "center", "form"}
 
 
+def _under(path: str, container: str) -> bool:
+    return not container or path == container or path.startswith(container + ">")
+
+
 def scored_containers(blocks: list[tuple[str, str, int]]) -> list[tuple[str, float]]:
-    """(path, score) of the page's best chain of containers: each has three quarters of the text of the one around it.
+    """(path, score) of the containers that hold the page's article, outermost first; the score is the text outside links.
 
-    A score is the text outside links, more for deeper containers and much more for an article, below which the chain
-    does not go: what an article holds belongs to it.
+    In the chain of containers that each have three quarters of the text of the one around it, the search begins at the
+    first article or main, if there is one, and goes on to the container within if the outer one adds mostly links.
+    Containers that hold the same as the outermost one left get its score too: the host's votes decide between them.
     """
-    inside: dict[str, int] = {"": 0}
+    inside: dict[str, list[int]] = {"": [0, 0, 0]}
     for path, text, linked in blocks:
-        weight = max(0, len(text) - 2 * linked)
         steps = path.split(">") if path else []
-        inside[""] += weight
-        for k in range(1, len(steps) + 1):
-            if steps[k - 1].partition(".")[0] in _SCORED:
-                key = ">".join(steps[:k])
-                inside[key] = inside.get(key, 0) + weight
-    if not inside[""]:
+        keys = [">".join(steps[:k]) for k in range(1, len(steps) + 1) if steps[k - 1].partition(".")[0] in _SCORED]
+        for key in ("", *keys):
+            sums = inside.setdefault(key, [0, 0, 0])
+            for i, x in enumerate((_weight(text, linked), len(text), linked)):
+                sums[i] += x
+    if not inside[""][0]:
         return []
     chain, here = [], ""
     while True:
-        deeper = [p for p in inside if p != here and (not here or p.startswith(here + ">")) and inside[p] >= 0.75 * inside[here]]
+        deeper = [p for p in inside if p != here and _under(p, here) and inside[p][0] >= 0.75 * inside[here][0]]
         if not deeper:
             break
         here = min(deeper, key=len)
-        last = here.rpartition(">")[2].partition(".")[0]
-        chain.append((here, inside[here] * (1 + 0.1 * len(chain)) * (2 if last in ("article", "main") else 1)))
-        if last == "article":
+        chain.append(here)
+        if here.rpartition(">")[2].partition(".")[0] == "article":
             break
-    return chain
+    first = next((k for k, p in enumerate(chain) if p.rpartition(">")[2].partition(".")[0] in ("article", "main")), 0)
+    best: list[str] = []
+    for path in chain[first:]:
+        if best:
+            more, linked = (inside[best[-1]][i] - inside[path][i] for i in (1, 2))
+            if more and 2 * linked <= more:
+                break
+            best = [] if more else best
+        best.append(path)
+    return [(path, float(inside[path][0])) for path in best]
 
 
 def main_text(blocks: list[tuple[str, str, int]], path: str | None) -> str:
-    """The blocks under `path`; if the page has none there, those under its own best container, or all of them."""
-    for choice in (path, max(scored_containers(blocks), key=lambda x: x[1], default=("", 0))[0]):
-        if choice is not None:
-            found = [t for p, t, _ in blocks if not choice or p == choice or p.startswith(choice + ">")]
-            if found:
-                return "\n\n".join(found)
-    return "\n\n".join(t for _, t, _ in blocks)
+    """The blocks under `path`, or under the page's own best container if `path` has less than three quarters of its text
+    there; all of them if the page has neither."""
+    own = next((p for p, _ in scored_containers(blocks)), None)
+    under = {p: [b for b in blocks if _under(b[0], p)] for p in (path, own) if p is not None}
+    size = {p: sum(_weight(t, linked) for _, t, linked in found) for p, found in under.items()}
+    if path is not None and own is not None and 4 * size[path] < 3 * size[own]:
+        path = own
+    found = under.get(path) or under.get(own) or blocks
+    return "\n\n".join(t for _, t, _ in found)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,3 +109,14 @@ def test_html_side_parts_go_beside_an_article():
     assert [t for _, t, _ in blocks_of("<div class=sidebar><main><p>Text.</main></div><p>more")] == ["Text.", "more"]
     teasers = "<aside><article>teaser</article></aside>"
     assert [t for _, t, _ in blocks_of(f"<div class=post><p>The text of the page.</div>{teasers}")] == ["The text of the page."]
+
+
+def test_html_keeps_headline_and_lead_around_the_inner_container(spark):
+    body = "<p>" + "body text of the entry " * 60 + "</p>"
+    page = "<body><div class=links><a href=/>all the other pages of this site</a></div><div class=post><h1>Head</h1><p class=lead>Lead.</p><div class=entry>%s</div></div>"
+    odd = "<body><div class=post><p>Small.</p></div><div class=story><h1>Own</h1>" + body + "</div>"
+    pages = [(i, f"https://h.example/{i}", page % body) for i in range(5)] + [(9, "https://h.example/9", odd)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    text = ("body text of the entry " * 60).strip()
+    assert all(got[i] == f"Head\n\nLead.\n\n{text}" for i in range(5))
+    assert got[9].endswith(f"Own\n\n{text}")
