@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import saved
+from siteloom.llm.common import saved, spread_join
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Java forms of the base patterns with the same leftmost, non-overlapping matches. Possessive repeats and the conditions
@@ -118,8 +118,8 @@ def personal_data(
 
     Protected entities are the values of the base spans. Document counts over the whole corpus estimate how strongly a
     term t reveals an entity c: PMI(c; t) / IC(c) = log(N n_ct / (n_c n_t)) / log(N / n_c), which is 1 if t occurs only with
-    c. A term that occurs with c in at least `support` documents is removed from the documents that hold c if this reaches
-    `remove_at`, and generalised if it reaches `generalise_at`. Documents without a protected entity keep all their words.
+    c. A term that occurs with c in at least `support` documents is removed from all documents if this reaches `remove_at`
+    for any entity, and generalised if it reaches `generalise_at`, also where the document does not hold c itself.
 
     Entities in fewer than `support` documents leave nothing to estimate; counts go through partial sums, so an entity in a
     third of all documents is no hot key; term counts of the corpus cover the terms that came so far, which are broadcast
@@ -153,9 +153,14 @@ def personal_data(
     share = F.round(F.when(ic > 0, pmi / ic), 9)
     telling = pairs.join(counts, "t").withColumn("share", share).where(F.col("share") >= generalise_at)
     telling = saved(telling.select("c", "t", (F.col("share") >= remove_at).alias("out")), "telling")
-    hits = with_terms.select("_key", "t", F.explode("cs").alias("x")).select("_key", "t", "x.c")
-    hits = hits.join(few(telling), ["c", "t"]).groupBy("_key", "t").agg(F.max("out").alias("out"))
-    marked = saved(hits.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("t", "out"))).alias("_found")), "marked")
+    # a term discloses its entity wherever it stands, so it is looked for in all documents
+    terms = saved(telling.groupBy("t").agg(F.max("out").alias("out")), "telling-terms")
+    hits = rows.select("_key", F.explode(_terms(F.col("_text"))).alias("t"))
+    if terms.count() <= small:
+        hits = hits.join(F.broadcast(terms), "t")
+    else:
+        hits = spread_join(hits.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(64))), terms, ["t"], "_salt")
+    marked = saved(hits.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("t", "out"))).alias("_found")), "marked")
     pattern = F.concat(
         F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("_found", lambda x: x["t"]), "|"), F.lit(r")(?!\p{L})")
     )

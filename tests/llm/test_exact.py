@@ -179,6 +179,16 @@ def test_sanitisation_removes_telling_terms(spark):
     assert all(got[i] == ("", t) for i, t in docs if i >= 9)
 
 
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_sanitisation_marks_terms_in_documents_without_the_value(spark, small):
+    docs = [(i, f"call zorblat at z@q.io for n{'abcd'[i]}n things") for i in range(4)] + [(4, "only Zorblat and more things")]
+    docs += [(5 + i, "call at for and more things only") for i in range(95)] + [(4, "only Zorblat and more things")]
+    rows = [r for r in personal_data(spark.createDataFrame(docs, DOC), small=small).collect() if r.doc_id < 6]
+    # share log(101 * 4 / (4 * 6)) / log(101 / 4) = 0.87: generalised
+    assert sorted((r.doc_id, r.spans) for r in rows) == [(i, "term:5:12,email:16:22") for i in range(4)] + [(4, "term:5:12")] * 2 + [(5, "")]
+    assert not any(r.removed_terms for r in rows)
+
+
 def test_pfair_meets_weights_to_less_than_a_block():
     shares = whole_shares({"a": 5.5, "b": 1.0, "c": 0.25, "d": 3.0}, 200)
     had = dict.fromkeys(shares, 0)
