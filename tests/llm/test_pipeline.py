@@ -56,3 +56,12 @@ def test_mixing_keeps_rows_beside_a_source_of_one_row(spark):
     docs = [(i, f"s{i % 4}") for i in range(4000)] + [(9000, "lone"), (9001, None)]
     kept = corpus_pipeline.mixing(spark, spark.createDataFrame(docs, "doc_id long, source string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in docs]
+
+
+def test_rows_that_repeat_an_id_are_kept_by_text(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4))
+    docs = [(1, a), (7, a + " more"), (7, b), (7, b), (5, c), (5, d), (9, d + " more"), (None, "x y"), (11, "")]
+    kept = corpus_pipeline.near_duplicate_groups(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    rows = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert rows == sorted([(1, a), (7, b), (5, c), (5, d), (None, "x y"), (11, "")], key=repr)
