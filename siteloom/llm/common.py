@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN_FOLDERS: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests, local mode)."""
+    """The folder all executors see: spark.checkpoint.dir. Where that is unset, local mode (tests) has one of our own,
+    removed when Python ends; on several machines there is none to guess, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="siteloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN_FOLDERS:
+        own = tempfile.mkdtemp(prefix="siteloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN_FOLDERS[context.applicationId] = f"file://{own}"
+    return _OWN_FOLDERS[context.applicationId]
 
 
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Hand Python workers Arrow batches of at most `most` bytes, whatever the length of the texts in them."""
+    """Hand Python workers Arrow batches of at most `most` bytes, whatever the length of the texts in them.
+
+    The setting is the session's and stays: results are lazy, and it must hold when they are computed.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/siteloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/siteloom/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application's operators wrote to the shared folder; call it after results are written,
+    as results read those tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -39,11 +64,14 @@ def salt_of(key: str, salts: int, run: int = 1024):
     return F.coalesce(F.pmod(F.xxhash64(F.floor(F.col(key) / run)), F.lit(salts)).cast("int"), F.lit(0))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], salt: str, how: str = "inner") -> DataFrame:
+def spread_join(
+    rows: DataFrame, facts: DataFrame, on: list[str], salt: str, how: str = "inner", homes: DataFrame | None = None
+) -> DataFrame:
     """Join `facts` (one row for each key) to `rows` when one key may hold a third of `rows`; `how` is inner or left.
 
     `rows` carries a salt column. The distinct (key, salt) pairs, at most the number of salts for each key, fetch the
     facts first; the wide join then runs on (key, salt), so a hot key is dealt over as many tasks as it has salts.
+    `homes` may give a cheaper table with those pairs than `rows`.
     """
-    homes = rows.select(*on, salt).distinct()
+    homes = (rows if homes is None else homes).select(*on, salt).distinct()
     return rows.join(homes.join(facts, on, how), [*on, salt])

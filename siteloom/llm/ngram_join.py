@@ -127,7 +127,7 @@ def frequent_shingles(texts: DataFrame, width: int, most: int, least: int = 3, h
     return rows["shingle"].to_numpy(np.int64).view(np.uint64)
 
 
-_SET_SCHEMA = "doc_id long, n_shingles long, group_key binary, set_key binary, prefix array<long>, head array<long>"
+_SET_SCHEMA = "doc_id long, n_shingles long, group_key binary, set_key binary, prefix array<long>, n_rare int, head array<long>"
 
 
 def _sets(width: int, frequent):
@@ -140,7 +140,7 @@ def _sets(width: int, frequent):
         seen: set[bytes] = set()
         for batch in batches:
             for first, texts in _chunks(batch, 1):
-                sizes, groups, keys, prefixes, heads = [], [], [], [], []
+                sizes, groups, keys, prefixes, rare, heads = [], [], [], [], [], []
                 known = batch.column(0).slice(first, len(texts)).is_valid().to_pylist()
                 for named, values in zip(known, shingler.of(texts)):
                     n = len(values)
@@ -155,6 +155,7 @@ def _sets(width: int, frequent):
                     # a row without an id can't stand for its group: the next one with an id does
                     new = n and named and group not in seen
                     prefixes.append(prefix.view(np.int64) if new else None)
+                    rare.append(min(len(prefix), n - int(late.sum())))
                     heads.append(values[:_HEAD].view(np.int64) if new else None)
                     if named:
                         seen.add(group)
@@ -167,9 +168,10 @@ def _sets(width: int, frequent):
                         pa.array(groups, pa.binary()),
                         pa.array(keys, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
+                        pa.array(rare, pa.int32()),
                         pa.array(heads, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "group_key", "set_key", "prefix", "head"],
+                    ["doc_id", "n_shingles", "group_key", "set_key", "prefix", "n_rare", "head"],
                 )
 
     return run
@@ -239,7 +241,12 @@ class GroupedPrefixJoin:
         texts = self.docs.join(self._few(ids), "doc_id", "left_semi")
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+        # the first of a large group is `a` of all its copies: their texts are dealt over salts
+        hot = pairs.groupBy("a").count().where("count > 64").select("a", F.lit(True).alias("_hot"))
+        salt = F.when(F.col("_hot"), salt_of("b", 64, run=1)).otherwise(0)
+        rows = pairs.join(hot, "a", "left").withColumn("_salt", salt).select("a", "b", "_salt")
+        both = spread_join(rows.join(right, "b"), left, ["a"], "_salt", homes=rows.select("a", "_salt"))
+        both = both.select("a", "b", "left", "right")
         return saved(both.mapInArrow(_verify(self.width), "a long, b long"), "links").distinct()
 
     @staticmethod
@@ -260,23 +267,35 @@ class GroupedPrefixJoin:
         return self.verified(inner.where("a <> b").union(pairs.where(ok[0] & ok[1]).select("a", "b")).distinct())
 
     def postings(self, comps: DataFrame) -> DataFrame:
-        """(token, rep, n, comp) for each shingle of each group's prefix, once for each component in the group."""
+        """(prefix, n_rare, rep, n, comp) for each group, once for each component in the group."""
         named = self.classes.join(comps, F.col("rep") == F.col("node"), "left")
         named = saved(named.select("group_key", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "named")
         groups = named.groupBy("group_key", "comp").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
         self.mates = named.select("group_key", "comp", F.col("rep").alias("mate")).join(
             groups.select("group_key", "comp", "rep"), ["group_key", "comp"]
         )
-        known = saved(self.holders.select("doc_id", "group_key").join(groups, "group_key").drop("group_key"), "known")
-        rows = self.sets.where("prefix IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "prefix")
-        return rows.join(self._few(known), "doc_id").select(F.explode("prefix").alias("token"), "rep", "n", "comp")
+        firsts = self.holders.groupBy("group_key").agg(F.min("doc_id").alias("doc_id"))
+        known = saved(firsts.join(groups, "group_key").drop("group_key"), "known")
+        rows = self.sets.where("prefix IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "prefix", "n_rare")
+        return rows.join(self._few(known), "doc_id")
 
     def crossing(self, comps: DataFrame) -> DataFrame:
-        """Postings of the shingles that groups of two or more components share."""
-        postings = self.postings(comps)
-        ends = postings.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"))
-        shared = saved(ends.where("_a < _b").select("token"), "shared")
-        return saved(postings.join(self._few(shared), "token").distinct(), "crossing")
+        """(token, rep, n, comp, f) of the prefix shingles that groups of two or more components share; f groups have it.
+
+        Shingles outside of the table of common ones are in few documents: their rows are dealt out once, and a window over
+        a shingle sees whether its components differ. Common ones are summed in partial sums first, as each may be in a
+        third of all groups, and the few that are shared then meet their rows again.
+        """
+        groups, of = self.postings(comps), ["rep", "n", "comp"]
+        own = Window.partitionBy("token")
+        rare = groups.select(F.explode(F.slice("prefix", 1, F.col("n_rare"))).alias("token"), *of)
+        ends = [F.min("comp").over(own).alias("_a"), F.max("comp").over(own).alias("_b"), F.count(F.lit(1)).over(own).alias("f")]
+        rare = rare.select("token", *of, *ends).where("_a < _b").select("token", *of, "f")
+        late = F.slice("prefix", F.col("n_rare") + 1, F.greatest(F.size("prefix") - F.col("n_rare"), F.lit(0)))
+        common = groups.where(F.size("prefix") > F.col("n_rare")).select(F.explode(late).alias("token"), *of)
+        sums = common.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("f"))
+        shared = saved(sums.where("_a < _b").select("token", "f"), "shared")
+        return saved(rare.union(common.join(self._few(shared), "token").select("token", *of, "f")), "crossing")
 
     def merged(self, comps: DataFrame, links: DataFrame) -> DataFrame:
         """Components after `links` are added."""
@@ -296,21 +315,7 @@ class GroupedPrefixJoin:
     @staticmethod
     def relabelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
         moved = postings.drop("comp").join(comps, F.col("rep") == F.col("node"), "left")
-        return moved.select("token", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-
-    @staticmethod
-    def enough(shared: str, a: str, b: str):
-        """Whether sets of sizes `a` and `b` with so many common prefix shingles can still be similar.
-
-        At most n - overlap shingles of a set are not in the other, and of the two prefixes the one that ends first in the
-        global order has all its common shingles in the other; so two similar sets share this many shingles of prefixes.
-        """
-        overlap = F.ceil((F.col(a) + F.col(b)) * 3 / 7)
-
-        def least(n: str):
-            return F.col(n) - F.ceil(F.col(n) * 3 / 4) + 1 - (F.col(n) - overlap)
-
-        return F.col(shared) >= F.least(least(a), least(b))
+        return moved.select("token", "rep", "n", F.coalesce("comp", "rep").alias("comp"), "f")
 
     def stars(self, crossing: DataFrame, turn: int) -> DataFrame:
         """Candidates between each component of a shingle, by one of its classes, and one component of the shingle.
@@ -325,21 +330,43 @@ class GroupedPrefixJoin:
         pairs = heads.join(pivots, "token").where("a.rep <> b.rep").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_shared"))
         pairs = pairs.select("_shared", F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("_m"), F.col("b.n").alias("_n"))
         ok = self.near_in_size("_m", "_n")
-        pairs = pairs.where(ok[0] & ok[1] & self.enough("_shared", "_m", "_n"))
+        pairs = pairs.where(ok[0] & ok[1] & (F.col("_shared") >= self.must_share("_m", "_n")))
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    @staticmethod
+    def must_share(a: str, b: str):
+        """How many shingles the prefixes of similar sets of sizes `a` and `b` share at least.
+
+        At most n - overlap shingles of a set are not in the other, and of the two prefixes the one that ends first in the
+        global order has all its common shingles in the other.
+        """
+        overlap = F.ceil((F.col(a) + F.col(b)) * 3 / 7)
+
+        def least(n: str):
+            return overlap - F.ceil(F.col(n) * 3 / 4) + 1
+
+        return F.greatest(F.lit(1), F.least(least(a), least(b)))
+
     def rest(self, crossing: DataFrame) -> DataFrame:
         """All candidates between components: groups that fit in size and share enough shingles of their prefixes.
 
-        What two groups must share grows as their sizes draw near, so groups meet by bands of size: under a key of shingle,
-        size class of the smaller and difference of the classes, hashed. If groups of a band must share k shingles, each leaves out
-        its k - 1 most frequent ones: the rarest shingle of any k that they share is kept on both sides.
+        Groups meet by bands of size: under a key of shingle, size class of the smaller and difference of the classes, hashed.
+        If two groups must share k shingles, the rarest that they share has k - 1 more frequent ones on both sides: `_top`
+        counts a group's shingles from the most frequent, and rows that can't be that rarest one do not meet. So a copy with
+        many shingles of its own, which has few left to share, meets nobody in a group of copies that it can't be linked with.
+
+        Under a common shingle, one component may have most of the groups (the copies of one text). Its groups need not meet
+        each other, so of two groups that meet, one at least is from another component: tag 0 holds those of other components
+        on one side and all on the other, tag 1 those of the main one and those of others.
         """
         step, bands = 1.06, 5
-        often = crossing.groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
-        top = Window.partitionBy("rep").orderBy(F.desc("_f"), "token")
-        rows = crossing.join(often, "token").withColumn("_top", F.row_number().over(top))
+        counts = crossing.where("f > 32").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("_c")).where("_c > 16")
+        main = saved(counts.groupBy("token").agg(F.max(F.struct("_c", "comp"))["comp"].alias("_main")), "main")
+        top = Window.partitionBy("rep").orderBy(F.desc("f"), "token")
+        rows = crossing.withColumn("_top", F.row_number().over(top)).join(self._few(main), "token", "left")
         rows = saved(rows.withColumn("_class", F.floor(F.log("n") / math.log(step))), "ranked")
+        is_main = F.coalesce(F.col("comp") == F.col("_main"), F.lit(False))
+        tags = {"a": F.array(is_main.cast("int")), "b": F.when(is_main | F.col("_main").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))}
         n, sides = F.col("n").cast("double"), {}
         for side, way in (("a", 1), ("b", -1)):
             options = []
@@ -350,20 +377,24 @@ class GroupedPrefixJoin:
                 options.append(
                     F.struct(F.lit(d).alias("d"), (F.col("_class") - (0 if way > 0 else d)).alias("low"), F.greatest(F.lit(1), F.least(*musts)).alias("must"))
                 )
-            banded = rows.select("token", "rep", "n", "comp", "_top", F.explode(F.array(*options)).alias("o"))
-            banded = banded.where(F.col("_top") >= F.col("o.must"))
+            banded = rows.select("token", "rep", "n", "comp", "_top", tags[side].alias("_tags"), F.explode(F.array(*options)).alias("o"))
+            banded = banded.where(F.col("_top") >= F.col("o.must")).withColumn("_tag", F.explode("_tags"))
             sides[side] = banded.select(
-                F.xxhash64("token", "o.d", "o.low").alias("key"), *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "comp"))
+                F.xxhash64("token", "o.d", "o.low", "_tag").alias("key"),
+                *(F.col(c).alias(f"{side}_{c.strip('_')}") for c in ("rep", "n", "comp", "_top")),
             )
         ok = self.near_in_size("a_n", "b_n")
         order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_rep") < F.col("b_rep")))
-        pairs = sides["a"].join(sides["b"], "key").where((F.col("a_comp") != F.col("b_comp")) & order & ok[0] & ok[1])
-        pairs = saved(pairs.select("a_rep", "b_rep").distinct(), "near")
+        enough = F.least("a_top", "b_top") >= self.must_share("a_n", "b_n")
+        meet = (F.col("a_comp") != F.col("b_comp")) & order & ok[0] & ok[1] & enough
+        pairs = sides["a"].join(sides["b"], "key").where(meet).select("a_rep", "b_rep")
+        pairs = saved(pairs.distinct(), "near")
         held = saved(crossing.groupBy("rep", "n").agg(F.collect_set("token").alias("held")), "held")
         for side in ("a", "b"):
             own = held.select(F.col("rep").alias(f"{side}_rep"), F.col("n").alias(f"{side}_n"), F.col("held").alias(f"{side}_held"))
             pairs = pairs.join(own, f"{side}_rep")
-        pairs = pairs.withColumn("_shared", F.size(F.array_intersect("a_held", "b_held"))).where(self.enough("_shared", "a_n", "b_n"))
+        shared = F.size(F.array_intersect("a_held", "b_held"))
+        pairs = pairs.where(shared >= self.must_share("a_n", "b_n"))
         return pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
 
     def members(self, pairs: DataFrame) -> DataFrame:
@@ -390,7 +421,58 @@ class GroupedPrefixJoin:
         comps = self.merged(comps, self.verified(self.members(self.rest(crossing))))
         named = self.classes.join(comps, F.col("rep") == F.col("node"), "left").withColumn("_comp", F.coalesce("comp", "rep"))
         lows = named.groupBy("_comp").agg(F.min("low").alias("component_id"))
-        return named.join(lows, "_comp").select("group_key", "set_key", "component_id")
+        named = spread_join(named.withColumn("_salt", salt_of("rep", 64, run=1)), lows, ["_comp"], "_salt")
+        return named.select("group_key", "set_key", "component_id")
+
+
+def row_keys(docs: DataFrame, id_col: str, text_col: str, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """`docs` with `_key`, which no two different texts share, and (_key, _id) of the keys that are no ids, if any.
+
+    Rows that repeat an id with different texts are different documents: the text with the least digest has the id as its
+    key, each other one a key above all ids. Null ids have no key. Usually no id is repeated, and ids are their own keys.
+    """
+
+    def few(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= small else df
+
+    own = docs.withColumn("_key", F.col(id_col).cast("long"))
+    again = own.where("_key IS NOT NULL").groupBy("_key").count().where("count > 1").select("_key")
+    again = saved(again, "again")
+    if again.isEmpty():
+        return own, None
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    texts = own.join(few(again), "_key", "left_semi").select("_key", digest.alias("_digest")).distinct()
+    texts = saved(texts, "texts")
+    first = texts.groupBy("_key").agg(F.min("_digest").alias("_digest"))
+    top = own.agg(F.max("_key")).first()[0]
+    more = texts.join(first, ["_key", "_digest"], "left_anti").withColumnRenamed("_key", "_id")
+    keys = saved(more.withColumn("_other", F.monotonically_increasing_id() + (top + 1)), "keys")
+    keyed = own.withColumn("_digest", digest).join(few(keys.withColumnRenamed("_id", "_key")), ["_key", "_digest"], "left")
+    keyed = keyed.withColumn("_key", F.coalesce("_other", "_key")).select(*docs.columns, "_key")
+    return keyed, keys.select(F.col("_other").alias("_key"), "_id")
+
+
+def linked_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, common: int = 1_000_000, small: int = 1_000_000
+) -> tuple[DataFrame, DataFrame]:
+    """`docs` with a `_key` for each (id, text), and per row of it (_key, _id, n_shingles, component_id, stays).
+
+    `component_id` is the least id of the component, and `stays` the key of the row that has it. See `near_duplicates`.
+    """
+    docs, others = row_keys(docs, id_col, text_col, small)
+    join = GroupedPrefixJoin(docs, "_key", text_col, width, common, small)
+    found = join.run()
+    rows = join.sets.select("doc_id", "n_shingles", "group_key", "set_key").withColumn("_salt", salt_of("doc_id", 64))
+    linked = spread_join(rows.where("n_shingles > 0"), found, ["group_key", "set_key"], "_salt", "left")
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = linked.select("doc_id", "n_shingles", "component_id").union(alone).withColumnRenamed("doc_id", "_key")
+    if others is None:
+        return docs, rows.select("_key", F.col("_key").alias("_id"), "n_shingles", "component_id", F.col("component_id").alias("stays"))
+    rows = rows.join(F.broadcast(others) if others.count() <= small else others, "_key", "left")
+    rows = saved(rows.withColumn("_id", F.coalesce("_id", "_key")).withColumn("_salt", salt_of("_key", 64, run=1)), "rows")
+    least = rows.where("_key IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("_low"))
+    rows = spread_join(rows, least, ["component_id"], "_salt", "left")
+    return docs, rows.select("_key", "_id", "n_shingles", F.col("_low._id").alias("component_id"), F.col("_low._key").alias("stays"))
 
 
 def near_duplicates(
@@ -415,12 +497,10 @@ def near_duplicates(
 
     `common` bounds the broadcast table of common shingles (it steers cost, not results); `small` is the most rows of
     an id table that is broadcast, beyond which the same join shuffles. Texts without words (null, empty) have an empty
-    set and link with nothing; documents of fewer than five words have one shingle. Rows that repeat an id are one
-    document. Null ids get the component of an equal set, or null. Other columns are ignored.
+    set and link with nothing; documents of fewer than five words have one shingle. Rows are documents: those that repeat
+    an id each have the set and the component of their own text. Null ids get the component of an equal set, or null.
+    Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    join = GroupedPrefixJoin(docs, id_col, text_col, width, common, small)
-    found = join.run()
-    rows = join.sets.select("doc_id", "n_shingles", "group_key", "set_key").withColumn("_salt", salt_of("doc_id", 64))
-    linked = spread_join(rows.where("n_shingles > 0"), found, ["group_key", "set_key"], "_salt", "left")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n_shingles", "component_id").union(alone).withColumnRenamed("doc_id", id_col)
+    docs = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    _, found = linked_rows(docs, "_doc", "_text", width, common, small)
+    return found.select(F.col("_id").alias(id_col), "n_shingles", "component_id")
