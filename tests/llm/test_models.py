@@ -4,7 +4,6 @@ import random
 
 import pytest
 
-from siteloom.llm.html_text import blocks_of, extract_main_text, main_text
 from siteloom.llm.language import identify_languages, train_grams
 from siteloom.llm.quality import accepted, fit_ordinal, graded, train_quality
 
@@ -67,56 +66,3 @@ def test_language_identification(spark):
     assert len(rows) == len(pages) and all(0 < r.p_lang <= 1 + 1e-9 for r in rows)
     assert sum(r.lang == truth[r.page_id] for r in rows if r.page_id in truth) == 90
     assert identify_languages(p.limit(0), model).count() == 0
-
-
-PAGE = """<html><head><title>t</title></head><body><div class="cookie-notice">We use <p>cookies</p></div><nav><a href=/>menu</a></nav>
-<main><article class="post-{n}"><h1>T &amp; U {n}</h1><p>One<br>two <a href=x>link</a> and much more of the text<aside>side</aside>
-<p>Three <script>var a="</p>"</script>four<div class="ad">buy</div><ul><li>a<li>b</ul><form><p>name</form></article>
-<section id=comments><p>troll text that is long enough to count as a block of its own</section></main><footer>f</footer>"""
-TEXT = "T & U {n}\n\nOne two link and much more of the text\n\nThree four\n\na\n\nb"
-
-
-@pytest.mark.parametrize("small", [100, 0])
-def test_html_extraction(spark, small):
-    pages = [(i, f"https://h{i % 2}.example/{i}", PAGE.replace("{n}", str(i)), "k") for i in range(6)]
-    pages += [(10, "https://h0.example/x", "", "k"), (11, None, None, "k"), (12, "::", "<p>lone &lt;b&gt;", "k"), (12, "::", "<p>lone &lt;b&gt;", "k")]
-    rows = extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string, text string"), small=small).collect()
-    got = {r.page_id: (r.text, r.n_chars) for r in rows}
-    assert len(rows) == len(pages)
-    assert all(got[i] == (TEXT.replace("{n}", str(i)), len(TEXT.replace("{n}", str(i)))) for i in range(6))
-    assert got[10] == got[11] == ("", 0) and got[12] == ("lone <b>", 8)
-
-
-def test_html_of_odd_pages():
-    for page in ("<", "<p", "<!-- x", "<script>", "a<b>c</b>d", "</p></div>x", "<p>x" * 500, "<div>" * 500 + "x", '<a href="'):
-        main_text(blocks_of(page), None)
-    assert main_text(blocks_of("a<b>c</b>d"), "body") == "acd"
-
-
-@pytest.mark.parametrize(
-    "tag", ["div class='content has-sidebar'", "div class=no-sidebar", "div class='comments-open'", "div id=search-results", "article class=related-topic",
-            "div id='ad-free-content'", "form id=aspnetForm", "div class=sidebar-wrapper"],
-)
-def test_html_wrapper_with_the_page_is_no_side_part(tag):
-    text = "A paragraph of the article that goes on for some time. " * 4
-    page = f"<body><{tag}><div class=nav><a href=/>home</a></div><h1>Head</h1><p>{text}<div class='cookie-notice'>We use cookies</div></{tag.split()[0]}><footer>f</footer></body>"
-    assert [t for _, t, _ in blocks_of(page)] == ["Head", text.strip()]
-
-
-def test_html_side_parts_go_beside_an_article():
-    side = "<div id=comments><article class=comment-body><p>" + "troll text " * 40 + "</article></div><aside><article>teaser</article></aside>"
-    assert [t for _, t, _ in blocks_of(f"<article><p>Short text.</article>{side}")] == ["Short text."]
-    assert [t for _, t, _ in blocks_of("<div class=sidebar><main><p>Text.</main></div><p>more")] == ["Text.", "more"]
-    teasers = "<aside><article>teaser</article></aside>"
-    assert [t for _, t, _ in blocks_of(f"<div class=post><p>The text of the page.</div>{teasers}")] == ["The text of the page."]
-
-
-def test_html_keeps_headline_and_lead_around_the_inner_container(spark):
-    body = "<p>" + "body text of the entry " * 60 + "</p>"
-    page = "<body><div class=links><a href=/>all the other pages of this site</a></div><div class=post><h1>Head</h1><p class=lead>Lead.</p><div class=entry>%s</div></div>"
-    odd = "<body><div class=post><p>Small.</p></div><div class=story><h1>Own</h1>" + body + "</div>"
-    pages = [(i, f"https://h.example/{i}", page % body) for i in range(5)] + [(9, "https://h.example/9", odd)]
-    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    text = ("body text of the entry " * 60).strip()
-    assert all(got[i] == f"Head\n\nLead.\n\n{text}" for i in range(5))
-    assert got[9].endswith(f"Own\n\n{text}")
