@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import bounded_batches
+from siteloom.llm.common import bounded_batches, saved, spread_join
 
 #: Bytes that separate words after lower-casing A-Z: all of ASCII but digits and letters. Other bytes belong to words.
 _FOLD = bytes(
@@ -119,68 +120,127 @@ _FOUND_ARROW = pa.struct(
 )
 
 
-def _scan(windows, text_at: int, kept: list[int], before: int | None, cut: bool):
-    """A pass over documents against one broadcast block; `before` is the column with the findings of earlier blocks."""
+def _texts_of(batch: pa.RecordBatch, at: int) -> Iterator[list[bytes | None]]:
+    """The texts of a batch in runs of a bounded number of bytes."""
+    some, size = [], 0
+    for text in batch.column(at).cast(pa.binary()).to_pylist():
+        some.append(text)
+        size += len(text or b"")
+        if size > _CHUNK_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _findings(windows: WindowSet, texts: list[bytes]) -> list[dict]:
+    """For each text: its number of words, merged spans of words that are hit, and the items they come from."""
+    known = windows.codes.get
+    codes, starts, at = [], [], 0
+    for text in texts:
+        words = words_of(text)
+        starts.append(at)
+        codes.append(np.array([known(w, -1) for w in words] + [-1], dtype=np.int64))
+        at += len(words) + 1
+    spans: dict[int, list[tuple[int, int]]] = {}
+    items: dict[int, set[str]] = {}
+    for p, n, of in windows.found(np.concatenate(codes)) if codes else []:
+        k = int(np.searchsorted(starts, p, "right")) - 1
+        spans.setdefault(k, []).append((p - starts[k], p - starts[k] + n))
+        items.setdefault(k, set()).update(of)
+    return [_finding(len(codes[k]) - 1, spans.get(k, []), items.get(k, set())) for k in range(len(texts))]
+
+
+def _finding(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> dict:
+    own = _merged(spans)
+    return {"n_words": n_words, "starts": [a for a, _ in own], "stops": [b for _, b in own], "items": sorted(items)}
+
+
+def _without(text: bytes, found: dict) -> bytes:
+    if not found["starts"]:
+        return text
+    at = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
+    parts, last = [], 0
+    for a, b in zip(found["starts"], found["stops"]):
+        parts.append(text[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*parts, text[last:]])
+
+
+def _digest(text: bytes) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(text)
+
+
+def _scan(windows, text_at: int, kept: list[int], cut: bool):
+    """One pass over documents against one broadcast block of windows; `kept` columns and `found` come out."""
     ready: list[WindowSet] = []
 
-    def findings(texts: list[bytes], earlier: list[dict | None]) -> list[dict]:
-        if not ready:
-            ready.append(WindowSet(windows.value))
-        known = ready[0].codes.get
-        codes, starts, at = [], [], 0
-        for text in texts:
-            words = words_of(text)
-            starts.append(at)
-            codes.append(np.array([known(w, -1) for w in words] + [-1], dtype=np.int64))
-            at += len(words) + 1
-        spans: dict[int, list[tuple[int, int]]] = {}
-        items: dict[int, set[str]] = {}
-        for p, n, of in ready[0].found(np.concatenate(codes)) if codes else []:
-            k = int(np.searchsorted(starts, p, "right")) - 1
-            spans.setdefault(k, []).append((p - starts[k], p - starts[k] + n))
-            items.setdefault(k, set()).update(of)
-        out = []
-        for k, old in enumerate(earlier):
-            own, of = spans.get(k, []), items.get(k, set())
-            if old:
-                own, of = own + list(zip(old["starts"], old["stops"])), of | set(old["items"])
-            own = _merged(own)
-            out.append(
-                {
-                    "n_words": len(codes[k]) - 1,
-                    "starts": [a for a, _ in own],
-                    "stops": [b for _, b in own],
-                    "items": sorted(of),
-                }
-            )
-        return out
-
-    def without(text: bytes, found: dict) -> bytes:
-        if not found["starts"]:
-            return text
-        at = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
-        parts, last = [], 0
-        for a, b in zip(found["starts"], found["stops"]):
-            parts.append(text[last : at[a][0]])
-            last = at[b - 1][1]
-        return b"".join([*parts, text[last:]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not ready:
+                ready.append(WindowSet(windows.value))
+            found = [f for texts in _texts_of(batch, text_at) for f in _findings(ready[0], [t or b"" for t in texts])]
+            yield _with_found(batch, text_at, kept, cut, found)
+
+    return run
+
+
+def _with_found(batch: pa.RecordBatch, text_at: int, kept: list[int], cut: bool, found: list[dict]) -> pa.RecordBatch:
+    columns = [batch.column(i) for i in kept]
+    if cut:
+        texts = batch.column(text_at).cast(pa.binary()).to_pylist()
+        new = [None if x is None else _without(x, f) for x, f in zip(texts, found)]
+        columns[kept.index(text_at)] = pa.array(new, pa.binary()).cast(pa.string())
+    names = [f"c{i}" for i in range(len(columns))] + ["found"]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(found, _FOUND_ARROW)], names)
+
+
+def _hits(windows):
+    """The texts that a block of windows hits, as (digest, starts, stops, items)."""
+    ready: list[WindowSet] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_at).cast(pa.binary()).to_pylist()
-            earlier = [None] * len(texts) if before is None else batch.column(before).to_pylist()
-            found, some, size = [], 0, 0
-            for k, text in enumerate(texts):
-                size += len(text or b"")
-                if size > _CHUNK_BYTES or k + 1 == len(texts):
-                    found += findings([x or b"" for x in texts[some : k + 1]], earlier[some : k + 1])
-                    some, size = k + 1, 0
-            columns = [batch.column(i) for i in kept]
-            if cut:
-                new = [None if x is None else without(x, f) for x, f in zip(texts, found)]
-                columns[kept.index(text_at)] = pa.array(new, pa.binary()).cast(pa.string())
-            names = [f"c{i}" for i in range(len(columns))] + ["found"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _FOUND_ARROW)], names)
+            if not ready:
+                ready.append(WindowSet(windows.value))
+            for texts in _texts_of(batch, 0):
+                found = _findings(ready[0], [t or b"" for t in texts])
+                hit = [(_digest(t), f) for t, f in zip(texts, found) if f["starts"]]
+                columns = [pa.array([d for d, _ in hit], pa.binary())]
+                columns += [pa.array([f[k] for _, f in hit], t) for k, t in (("starts", _LONGS), ("stops", _LONGS), ("items", pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays(columns, ["digest", "starts", "stops", "items"])
+
+    return run
+
+
+_LONGS = pa.list_(pa.int64())
+
+
+def _digested(text_at: int):
+    """Rows with the digest and the number of words of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(text_at).cast(pa.binary()).to_pylist()]
+            more = [pa.array([_digest(t) for t in texts], pa.binary()), pa.array([len(words_of(t)) for t in texts], pa.int64())]
+            columns = [*batch.columns, *more]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    return run
+
+
+def _joined(text_at: int, kept: list[int], cut: bool, n: int):
+    """Rows with what all blocks found in their texts (columns n to n + 3: words, starts, stops, items of the blocks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for words, starts, stops, items in zip(*(batch.column(n + i).to_pylist() for i in range(4))):
+                spans = [(a, b) for x, y in zip(starts or (), stops or ()) for a, b in zip(x, y)]
+                found.append(_finding(words, spans, {i for some in items or () for i in some}))
+            yield _with_found(batch, text_at, kept, cut, found)
 
     return run
 
@@ -195,32 +255,57 @@ def find_benchmark(
     block_windows: int = 1_000_000,
     keep_text: bool = True,
     cut: bool = False,
+    small: int = 1_000_000,
 ) -> DataFrame:
     """`docs` with a last column `found`: n_words, hit word spans (starts, stops; merged, stop exclusive) and item ids.
 
-    The benchmark's windows are counted first. They are broadcast in blocks of at most `block_windows`, so what one pass
-    holds is bounded whatever the benchmark's size; a larger benchmark takes more passes over the same rows, chained
-    without any shuffle. With `cut`, the words of hit spans, and what lies between them, are removed from the text.
+    The benchmark's windows are written and counted first. Up to `block_windows` of them are broadcast, and one pass over
+    the documents finds them, without any shuffle. A larger benchmark is broadcast in blocks of that size, one after the
+    other: each has a pass of its own that writes what it hits, by digest of the text, and is then freed, so the driver and
+    a worker hold one block at a time; the hits of all blocks are joined to the documents at last. With `cut`, the words of
+    hit spans, and what lies between them, are removed from the text.
 
     Null texts have no words; repeated rows are scanned each for itself; an empty benchmark finds nothing; columns of
     `docs` are carried by position, so a column named like ours is no problem until the caller selects by name.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    pairs = benchmark_windows(benchmark, item_col, item_text_col, width)
+    pairs = saved(benchmark_windows(benchmark, item_col, item_text_col, width), "windows")
     blocks = max(1, -(-pairs.count() // block_windows))
     text_at, names = docs.columns.index(text_col), docs.columns
     docs = docs.toDF(*(f"_{i}" for i in range(len(names))))
-    fields = docs.schema.fields
-    found = T.StructField("found", _FOUND)
-    for b in range(blocks):
+    fields, n = docs.schema.fields, len(names)
+    kept = [i for i in range(n) if keep_text or i != text_at]
+    schema = T.StructType([*(fields[i] for i in kept), T.StructField("found", _FOUND)])
+
+    def block(b: int):
         part = pairs.where(F.pmod(F.xxhash64("_window"), F.lit(blocks)) == b).select("_window", "_item")
-        windows = spark.sparkContext.broadcast([(bytes(w), i) for w, i in part.toLocalIterator()])
-        last = b == blocks - 1
-        kept = [i for i in range(len(fields)) if keep_text or not last or i != text_at]
-        scan = _scan(windows, text_at, kept, len(fields) if b else None, cut and last)
-        docs = docs.mapInArrow(scan, T.StructType([*(fields[i] for i in kept), found]))
-    return docs.toDF(*(names[i] for i in kept), "found")
+        return spark.sparkContext.broadcast([(bytes(w), i) for w, i in part.toLocalIterator()])
+
+    if blocks == 1:
+        return docs.mapInArrow(_scan(block(0), text_at, kept, cut), schema).toDF(*(names[i] for i in kept), "found")
+    lists = "starts array<bigint>, stops array<bigint>, items array<string>"
+    hits = []
+    for b in range(blocks):
+        windows = block(b)
+        hits.append(saved(docs.select(f"_{text_at}").mapInArrow(_hits(windows), f"digest binary, {lists}"), "hits"))
+        windows.destroy()
+    every = reduce(DataFrame.union, hits).distinct()
+    every = every.groupBy("digest").agg(*(F.collect_list(F.struct(*_SPANS)).getField(c).alias(c) for c in _SPANS))
+    every = saved(every, "all-hits")
+    more = [T.StructField("digest", T.BinaryType()), T.StructField("words", T.LongType())]
+    rows = docs.mapInArrow(_digested(text_at), T.StructType([*fields, *more]))
+    if every.count() <= small:
+        rows = rows.join(F.broadcast(every), "digest", "left")
+    else:
+        plain = [f.name for f in fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        salt = F.pmod(F.xxhash64(*plain), F.lit(64))
+        rows = spread_join(rows.withColumn("_salt", salt), every, ["digest"], "_salt", "left")
+    rows = rows.select(*(f"_{i}" for i in range(n)), "words", *_SPANS)
+    return rows.mapInArrow(_joined(text_at, kept, cut, n), schema).toDF(*(names[i] for i in kept), "found")
+
+
+_SPANS = ("starts", "stops", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:

@@ -12,10 +12,41 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.common import bounded_batches, salt_of, saved, spread_join
 
-_TAGS = re.compile(r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_HIDDEN = re.compile(r"<(script|style|head)(?![a-zA-Z0-9_])", re.I)
+_HIDDEN_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in ("script", "style", "head")}
 _SLOTS = 1 << 14
 
 
+def visible(page: str) -> str:
+    """A page without tags, comments, scripts, styles and head, each replaced by a space, in one pass.
+
+    What never ends is looked for once: then a comment or script without an end is a tag, and a tag without an end is text.
+    """
+    out, at, lost = [], 0, set()
+
+    def end_of(kind: str, begin: int) -> int:
+        if kind in lost:
+            return -1
+        if kind in _HIDDEN_END:
+            found = _HIDDEN_END[kind].search(page, begin)
+            found = found.end() if found else -1
+        else:
+            found = page.find(kind, begin)
+            found = found + len(kind) if found >= 0 else -1
+        if found < 0:
+            lost.add(kind)
+        return found
+
+    while (begin := page.find("<", at)) >= 0:
+        out.append(page[at:begin])
+        hidden = _HIDDEN.match(page, begin)
+        end = end_of(hidden[1].lower(), hidden.end()) if hidden else end_of("-->", begin + 4) if page.startswith("<!--", begin) else -1
+        end = end if end >= 0 else end_of(">", begin)
+        out.append(" " if end >= 0 else "<")
+        at = end if end >= 0 else begin + 1
+    return "".join([*out, page[at:]])
+
+
 def _grams(text: bytes) -> np.ndarray:
     """Slots of the byte trigrams of a text, ASCII letters folded, runs of other ASCII bytes as one space."""
     raw = np.frombuffer(b" ".join([b"", *text.translate(_LETTERS).split(), b""]), np.uint8).astype(np.uint32)
@@ -74,7 +105,10 @@ def identify_languages(
 
     Pages with no text, no declaration (null html) or no host (null url) fall back on the evidence that is left. Sums have a
     row for each task and host before they are shuffled, and priors return to pages over salts, so a host with a third of
-    the pages is spread. Repeated rows count each; other columns are ignored; ties go to the first language by name.
+    the pages is spread. A registered domain is the last two labels of a host, three where the last is a country and the one
+    before it a kind (co, com, org, net, gov, ac, edu); an address of numbers is its own. Repeated rows count each; other
+    columns are ignored; ties go to the first language by name. A model without languages gives every page with `lang`,
+    `p_lang` and `text_lang` null. An empty table gives an empty result.
     """
     langs, table = model
     bounded_batches(pages.sparkSession)
@@ -92,24 +126,32 @@ def identify_languages(
     suffix = F.when(F.col("_path").isin(langs), F.concat(F.lit("/"), "_path")).when(F.length(last) == 2, last)
     rows = rows.withColumn("suffix", F.coalesce(suffix, F.lit("")))
     rows = rows.withColumn("tld", last)
-    rows = rows.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
+    numbers = F.regexp_like("host", F.lit(r"^[0-9.]+$|:"))
+    domain = F.regexp_extract("host", r"((?:[^.]+\.(?=(?:co|com|org|net|gov|ac|edu)\.[a-z]{2}$))?[^.]+\.[^.]+)$", 1)
+    rows = rows.withColumn("domain", F.when(numbers, F.col("host")).otherwise(domain))
+    if not langs:
+        none = F.lit(None).cast("string")
+        return rows.select(
+            F.col("_id").alias(id_col), F.col("_url").alias(url_col), none.alias("lang"), F.lit(None).cast("double").alias("p_lang"),
+            none.alias("text_lang"), "declared", "suffix", "host",
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for page in batch.column(len(kept)).to_pylist():
-                grams = _grams(_TAGS.sub(" ", page).encode())
+                grams = _grams(visible(page).encode("utf-8", "replace"))
                 log = shared.value[:, grams].sum(axis=1) * (min(1.0, trigrams / len(grams)) if len(grams) else 0.0)
-                out.append((log - log.max()).tolist() if len(langs) else [])
+                out.append((log - log.max()).tolist())
             columns = [*(batch.column(i) for i in range(len(kept))), pa.array(out, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
     kept = ["_id", "_url", "host", "domain", "tld", "declared", "suffix"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     scored = rows.select(*kept, "_html").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", log array<double>")
-    scored = saved(scored.where(F.lit(bool(langs))), "text-likelihoods")
+    scored = saved(scored, "text-likelihoods")
     mass = [F.exp(F.col("log")[k]) for k in range(len(langs))]
-    whole = sum(mass[1:], mass[0]) if mass else F.lit(1.0)
+    whole = sum(mass[1:], mass[0])
     # millionths, so that sums do not depend on their order
     soft = [F.sum(F.round(1e6 * m / whole).cast("long")).alias(f"n{k}") for k, m in enumerate(mass)]
     names = [f"n{k}" for k in range(len(langs))]
@@ -133,7 +175,7 @@ def identify_languages(
         pairs = [(v, x) for v, x in out.items()]
         return F.broadcast(pages.sparkSession.createDataFrame(pairs, f"{column} string, _{column} array<double>"))
 
-    if not langs or not evidence:
+    if not evidence:
         empty = "lang string, p_lang double, text_lang string, declared string, suffix string, host string"
         schema = f"{id_col} {kinds['_id']}, {url_col} {kinds['_url']}, {empty}"
         return pages.sparkSession.createDataFrame([], schema)
@@ -144,9 +186,13 @@ def identify_languages(
 
     top = [F.lit(float(x)) for x in (base + 1) / (base + 1).sum()]
     by_tld = again(hosts, "tld").select("tld", *smoothed(hosts, top, "s"))
-    by_domain = again(hosts, "tld", "domain").join(by_tld, "tld")
+    # a row for each top-level domain, of which names have a bounded number; hosts of one are spread over salts
+    by_tld = saved(by_tld, "by-tld")
+    by_domain = again(hosts, "tld", "domain").withColumn("_salt", F.pmod(F.xxhash64("domain"), F.lit(64)))
+    by_domain = spread_join(by_domain, by_tld, ["tld"], "_salt")
     by_domain = by_domain.select("tld", "domain", *smoothed(by_domain, [F.col(f"s{k}") for k in range(len(langs))], "d"))
-    by_host = hosts.join(by_domain, ["tld", "domain"])
+    own = hosts.withColumn("_salt", F.pmod(F.xxhash64("host"), F.lit(64)))
+    by_host = spread_join(own, by_domain, ["tld", "domain"], "_salt")
     prior = F.array(*(F.log(p) for p in smoothed(by_host, [F.col(f"d{k}") for k in range(len(langs))], "h")))
     by_host = by_host.select("host", prior.alias("_prior"))
     found = spread_join(scored.withColumn("_salt", salt_of("_id", 64, run=1)), by_host, ["host"], "_salt")

@@ -135,14 +135,16 @@ def mix(
     block_rows: int = 8,
     buckets: int = 1024,
     small: int = 500_000,
+    most_blocks: int = 4_000_000,
 ) -> DataFrame:
     """`docs` with a last column `mix`: source block number `block`, its `slot`, the row's `position` in the slot, and
     `within`: whether the slot comes before the first source ran out, up to where the weights hold for every source.
 
     A source's rows are ordered by a hash of their id and cut into blocks of `block_rows`; `fair_schedule` gives each block
     its slot, from the exact weights, and goes on among the sources that remain when one runs out. It is one pass over the
-    blocks in one task, written in parts; the table of slots is broadcast up to `small` blocks and joined by a shuffle
-    beyond. Without `weights`, a source weighs its row count to the power `smoothing`. Ranks come from counts of (source,
+    blocks, not the rows, in one task, written in parts. So that this pass is bounded, a block has more than `block_rows`
+    rows where the table would else have more than `most_blocks` blocks (and one more for each source); the weights are met
+    to less than one block all the same. The table of slots is broadcast up to `small` blocks and joined by a shuffle beyond. Without `weights`, a source weighs its row count to the power `smoothing`. Ranks come from counts of (source,
     bucket) and a row number inside each bucket, so a source with a third of all rows is dealt over all buckets. No row
     is dropped or repeated here; see `mixed_to_weights`.
 
@@ -174,6 +176,7 @@ def mix(
     if wrong := [s[1:] for s, w in weighed.items() if not w > 0]:
         raise ValueError(f"weights of sources {wrong[:5]} are not above zero")
     exact = {s: Fraction(w) for s, w in weighed.items()}
+    block_rows = max(block_rows, -(-sum(sizes.values()) // most_blocks))
     blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
     # the weights hold for every source while each has whole blocks left
     horizon = int(sum(exact.values()) * min(n // block_rows / exact[s] for s, n in sizes.items()))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.common import saved, spread_join
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+_BASE, _SECRET, _TERM = 4, 4, 5
 #: Java forms of the base patterns with the same leftmost, non-overlapping matches. Possessive repeats and the conditions
 #: on what stands before keep a long run without a match linear: only its start, or the end of the last match, can begin one.
 _PATTERNS = {
@@ -18,6 +19,12 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A value of twelve characters or more with a digit, after a label for what must not be known.
+_LABEL = (
+    r"(?:[a-z0-9]{1,20}[_-]){0,3}(?:token|secret|password|passwd|passphrase|apikey|api[_-]key|access[_-]key|private[_-]key)"
+    r"[\x22']?\s{0,3}[:=]\s{0,3}[\x22']?"
+)
+_SECRETS = rf"(?i)(?<![\p{{L}}\p{{N}}]){_LABEL}(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{{12,}}+"
 _PART = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]|)"
 _SPANS = "array<struct<start:int,stop:int,hit:string>>"
 _BLOCK = 64
@@ -94,7 +101,17 @@ def base_spans(text: Column) -> Column:
             lambda s: F.struct(s["start"].alias("start"), F.lit(index).alias("kind"), s["stop"].alias("stop"), s["hit"].alias("hit")),
         )
 
-    return F.array_sort(F.concat(*(of(i, k) for i, k in enumerate(KINDS[:4]))))
+    return F.array_sort(F.concat(*(of(i, k) for i, k in enumerate(KINDS[:_BASE]))))
+
+
+def secret_spans(text: Column) -> Column:
+    """Labelled secrets as (start, kind index, stop, hit); the span is the value without its label."""
+
+    def value(s: Column) -> Column:
+        hit = F.regexp_replace(s["hit"], f"^(?i){_LABEL}", "")
+        return F.struct((s["stop"] - F.length(hit)).alias("start"), F.lit(_SECRET).alias("kind"), s["stop"].alias("stop"), hit.alias("hit"))
+
+    return F.transform(located(text, F.lit(_SECRETS)), value)
 
 
 def _listed(spans: Column) -> Column:
@@ -105,52 +122,86 @@ def _listed(spans: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Distinct words of letters, three or more, outside e-mail addresses."""
+    """Distinct words of letters, three or more, outside e-mail addresses and strings with a digit."""
     bare = F.when(text.contains("@"), F.regexp_replace(text, _PATTERNS["email"], " ")).otherwise(text)
+    bare = F.regexp_replace(bare, r"(?<![\p{L}\p{N}_+/=-])[\p{L}_+/=-]*+[0-9][\p{L}\p{N}_+/=-]*+", " ")
     return F.filter(F.array_distinct(F.split(F.lower(bare), r"[^\p{L}]+")), lambda t: F.length(t) >= 3)
 
 
+def entities_of(spans: Column) -> Column:
+    """The protected entities of a row at the levels that recur: each value, its group, and its kind.
+
+    Groups are the domain of an address, the network of an ip, the issuer digits of a card and the area of a phone number.
+    """
+
+    def value(s: Column) -> Column:
+        return F.when(s["kind"] == 0, F.lower(s["hit"])).when(s["kind"] == _SECRET, s["hit"]).otherwise(_digits(s["hit"]))
+
+    def group(s: Column) -> Column:
+        return (
+            F.when(s["kind"] == 0, F.lower(F.regexp_extract(s["hit"], "@(.*)$", 1)))
+            .when(s["kind"] == 1, F.regexp_extract(s["hit"], r"^[0-9]+\.[0-9]+\.[0-9]+", 0))
+            .when(s["kind"] == 2, F.substring(_digits(s["hit"]), 1, 6))
+            .when(s["kind"] == 3, F.substring(_digits(s["hit"]), 1, 4))
+        )
+
+    levels = [
+        F.transform(spans, lambda s: F.concat_ws(":", F.lit("value"), s["kind"].cast("string"), value(s))),
+        F.transform(F.filter(spans, lambda s: s["kind"] < _SECRET), lambda s: F.concat_ws(":", F.lit("group"), s["kind"].cast("string"), group(s))),
+        F.transform(spans, lambda s: F.concat_ws(":", F.lit("kind"), s["kind"].cast("string"))),
+    ]
+    return F.array_distinct(F.concat(*levels))
+
+
 def personal_data(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95, generalise_at: float = 0.85,
-    support: int = 3, small: int = 1_000_000,
+    evidence: float = 20.0, small: int = 1_000_000,
 ) -> DataFrame:
-    """Per row: id, counts and `base_sha256` of the base spans, `spans` (base and terms), `sanitised` actions as an array.
-
-    Protected entities are the values of the base spans. Document counts over the whole corpus estimate how strongly a
-    term t reveals an entity c: PMI(c; t) / IC(c) = log(N n_ct / (n_c n_t)) / log(N / n_c), which is 1 if t occurs only with
-    c. A term that occurs with c in at least `support` documents is removed from all documents if this reaches `remove_at`
-    for any entity, and generalised if it reaches `generalise_at`, also where the document does not hold c itself.
-
-    Entities in fewer than `support` documents leave nothing to estimate; counts go through partial sums, so an entity in a
-    third of all documents is no hot key; term counts of the corpus cover the terms that came so far, which are broadcast
-    if there are at most `small` of them and joined otherwise. Null text counts as empty; repeated rows count each and are
-    reported each; null ids are allowed; other columns are ignored; an empty table gives an empty result.
+    """Per row: id, counts and `base_sha256` of the base spans, `spans` (base, secrets and terms), `found` (the same as an
+    array) and `removed_terms`.
+
+    Protected entities are the values of the base spans and of labelled secrets, their groups and their kinds
+    (`entities_of`). Document counts over the whole corpus estimate how strongly a term t reveals an entity c:
+    PMI(c; t) / IC(c) = log(N n_ct / (n_c n_t)) / log(N / n_c), which is 1 if t occurs only with c. A term is removed from
+    all documents if this reaches `remove_at` for any entity, and generalised if it reaches `generalise_at`, also where the
+    document does not hold c itself. What is estimated must not be chance: t and c stand together in two documents at
+    least, and n_ct log(N / n_c), the information by which chance would have to be beaten, is `evidence` nats at least.
+
+    An entity that all documents hold reveals nothing; one in a single document leaves nothing to estimate. Counts go
+    through partial sums, so an entity in a third of all documents is no hot key; term counts of the corpus cover the terms
+    that came so far, which are broadcast if there are at most `small` of them and joined otherwise. Null text counts as
+    empty; rows that repeat id and text count once and are reported each; null ids are allowed; other columns are ignored;
+    an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
     rows = rows.withColumn("_key", F.concat_ws(":", F.col("_id").cast("string"), F.xxhash64("_text").cast("string")))
-    base = saved(rows.select("_id", "_key", base_spans(F.col("_text")).alias("base")), "base-spans")
+    spans = [base_spans(F.col("_text")).alias("base"), secret_spans(F.col("_text")).alias("secrets")]
+    base = saved(rows.select("_id", "_key", *spans), "base-spans")
 
     def few(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= small else df
 
-    value = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.when(s["kind"] == 0, F.lower(s["hit"])).otherwise(_digits(s["hit"])))
-    held = base.where(F.size("base") > 0).select("_key", F.explode(F.array_distinct(F.transform("base", value))).alias("c"))
-    entities = held.groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
+    keys = base.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    counted = keys.agg(F.count(F.lit(1)), F.max("_n")).first()
+    n = counted[0]
+    # each row once: texts are shuffled only if a row repeats both id and text
+    once = rows.select("_key", "_text") if (counted[1] or 1) == 1 else rows.select("_key", "_text").dropDuplicates(["_key"])
+    held = base.where(F.size("base") + F.size("secrets") > 0).select("_key", F.explode(entities_of(F.concat("base", "secrets"))).alias("c"))
+    held = held.distinct()
+    entities = held.groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where((F.col("n_c") >= 2) & (F.col("n_c") < n))
     entities = saved(entities, "entities")
     known = saved(held.join(few(entities), "c").groupBy("_key").agg(F.collect_list(F.struct("c", "n_c")).alias("cs")), "holders")
-    n = base.count()
-    with_terms = rows.select("_key", "_text").join(few(known), "_key").select("_key", "cs", F.explode(_terms(F.col("_text"))).alias("t"))
+    with_terms = once.join(few(known), "_key").select("_key", "cs", F.explode(_terms(F.col("_text"))).alias("t"))
     pairs = with_terms.select(F.explode("cs").alias("x"), "t").groupBy("x.c", "x.n_c", "t").agg(F.count(F.lit(1)).alias("n_ct"))
-    pairs = saved(pairs.where(F.col("n_ct") >= support), "pairs")
+    pairs = pairs.where((F.col("n_ct") >= 2) & (F.col("n_ct") * F.log(F.lit(float(n)) / F.col("n_c")) >= evidence))
+    pairs = saved(pairs, "pairs")
     wanted = saved(pairs.select("t").distinct(), "terms")
-    counts = rows.select(F.explode(_terms(F.col("_text"))).alias("t"))
+    counts = once.select(F.explode(_terms(F.col("_text"))).alias("t"))
     counts = counts.join(few(wanted), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     total = F.lit(float(n))
-    # an entity that all documents hold carries no information to reveal
-    ic = F.log(total / F.col("n_c"))
     pmi = F.log(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    share = F.round(F.when(ic > 0, pmi / ic), 9)
+    share = F.round(pmi / F.log(total / F.col("n_c")), 9)
     telling = pairs.join(counts, "t").withColumn("share", share).where(F.col("share") >= generalise_at)
     telling = saved(telling.select("c", "t", (F.col("share") >= remove_at).alias("out")), "telling")
     # a term discloses its entity wherever it stands, so it is looked for in all documents
@@ -166,18 +217,20 @@ def personal_data(
     )
     spans = rows.join(few(marked), "_key").select("_key", "_found", located(F.col("_text"), pattern).alias("_hits"))
     spans = spans.groupBy("_key").agg(F.first("_found").alias("_found"), F.first("_hits").alias("_hits"))
-    term = lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["stop"].alias("stop"), s["hit"].alias("hit"))
+    term = lambda s: F.struct(s["start"].alias("start"), F.lit(_TERM).alias("kind"), s["stop"].alias("stop"), s["hit"].alias("hit"))
     found = base.join(spans, "_key", "left")
     extra = F.coalesce(F.transform("_hits", term), F.array().cast("array<struct<start:int,kind:int,stop:int,hit:string>>"))
     gone = F.coalesce(F.transform(F.filter("_found", lambda x: x["out"]), lambda x: x["t"]), F.array().cast("array<string>"))
-    every = F.array_sort(F.concat("base", extra))
+    every = F.array_sort(F.concat("base", "secrets", extra))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         F.col("_id").alias(id_col),
-        *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])),
+        *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:_BASE])),
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(every).alias("spans"),
+        F.size("secrets").cast("long").alias("n_secret"),
         F.size(extra).cast("long").alias("n_term"),
+        F.size(every).cast("long").alias("n_spans"),
         every.alias("found"),
         gone.alias("removed_terms"),
     )
@@ -185,12 +238,12 @@ def personal_data(
 
 def sanitised(text: Column, found: Column, removed_terms: Column) -> Column:
     """A text with base spans replaced by their kind, and terms removed or generalised to [WORD]; overlaps go once."""
-    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:4]))
+    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:_TERM]))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(a: Column, s: Column) -> Column:
         word = F.when(F.array_contains(removed_terms, F.lower(s["hit"])), F.lit("")).otherwise(F.lit("[WORD]"))
-        mark = F.when(s["kind"] < 4, F.get(marks, s["kind"])).otherwise(word)
+        mark = F.when(s["kind"] < _TERM, F.get(marks, s["kind"])).otherwise(word)
         step = F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), mark)
         ahead = s["start"] >= a["at"]
         return F.struct(

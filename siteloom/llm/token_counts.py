@@ -14,7 +14,8 @@ from siteloom.llm.common import bounded_batches
 
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
-_CACHE_WORDS = 500_000
+#: Characters of words whose counts are kept, and the longest word that is.
+_CACHE_CHARS, _CACHE_WORD = 8_000_000, 100
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -47,6 +48,7 @@ class PieceCounter:
         self.matches.make_automaton()
         self.unknown = min(score for _, score in pieces) - _UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
+        self.room = _CACHE_CHARS
 
     def viterbi(self, run: str) -> int:
         """Pieces of one run, by a dynamic programme that carries only the best score and its count for each end."""
@@ -84,9 +86,13 @@ class PieceCounter:
         for run in runs:
             size = known.get(run)
             if size is None:
-                if len(known) > _CACHE_WORDS:
-                    known.clear()
-                size = known[run] = self.viterbi(run)
+                size = self.viterbi(run)
+                if len(run) <= _CACHE_WORD:
+                    if self.room < len(run):
+                        known.clear()
+                        self.room = _CACHE_CHARS
+                    known[run] = size
+                    self.room -= len(run)
             total += size
         return total
 

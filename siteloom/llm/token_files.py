@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from siteloom.llm.common import bounded_batches
 from siteloom.llm.dac import Packed, pack
 
+#: Folder of a token file's directory of shards; Spark passes over names that begin so when it reads the blocks.
+_SHARDS = "_shards"
 _CACHE_WORDS = 400_000
 _BATCH_BYTES = 2_000_000
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -165,24 +167,32 @@ def write_token_file(
     bounded_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = spark.sparkContext.broadcast(file.read())
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many as the input has splits, so that a shard's size does not grow with the data
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.repartitionByRange(shards, "_id", F.xxhash64("_text")).sortWithinPartitions("_id", "_text")
     blocks = rows.mapInArrow(_encode_blocks(tokenizer, end_id, block_tokens), _BLOCK_SCHEMA)
     blocks.write.option("compression", "none").parquet(path)
+    # a row for each shard: as many as the writer had tasks
+    sizes = spark.read.schema(_BLOCK_SCHEMA).parquet(path).groupBy("shard").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("shard", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases.coalesce(1).write.parquet(f"{path}/{_SHARDS}")
 
 
 def open_token_file(spark: SparkSession, path: str) -> DataFrame:
     """The blocks of a token file, with `start`: the number of ids in the whole file before the block."""
     blocks = spark.read.schema(_BLOCK_SCHEMA).parquet(path)
-    # a row for each shard: as many as the writer had tasks
-    sizes = blocks.groupBy("shard").agg(F.sum("n").alias("_n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    bases = _shards(spark, path).select("shard", F.col("base").alias("_base"))
     blocks = blocks.join(F.broadcast(bases), "shard")
     return blocks.withColumn("start", F.col("_base") + F.col("first")).drop("_base")
 
 
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """The directory of a token file: of each shard, its ids and those in shards before it."""
+    return spark.read.schema("shard int, n long, base long").parquet(f"{path}/{_SHARDS}")
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, doc_ids, starts, sizes, payload in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -200,10 +210,15 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int | None:
-    """One id by its place in the whole file; only its block is fetched, and no other id of it is decoded."""
-    block = open_token_file(spark, path).where((F.col("start") <= position) & (F.col("start") + F.col("n") > position))
-    found = block.select("start", "payload").head()
-    return None if found is None else Packed(bytes(found["payload"]))[position - found["start"]]
+    """One id by its place in the whole file: the directory gives the shard, the shard's statistics its block; only that is
+    fetched, and no other id of it is decoded."""
+    home = _shards(spark, path).where((F.col("base") <= position) & (F.col("base") + F.col("n") > position)).head()
+    if home is None:
+        return None
+    at = position - home["base"]
+    blocks = spark.read.schema(_BLOCK_SCHEMA).parquet(path).where((F.col("shard") == home["shard"]) & (F.col("first") <= at))
+    found = blocks.where(F.col("first") + F.col("n") > at).select("first", "payload").head()
+    return Packed(bytes(found["payload"]))[at - found["first"]]
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

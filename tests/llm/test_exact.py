@@ -1,9 +1,11 @@
 """Operators with exact results, against brute force on small tables with nulls, empties, copies, ties and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -96,6 +98,30 @@ def test_near_duplicates_with_null_ids(spark):
     assert sorted(got, key=repr) == sorted([(None, 4)] * 3 + [(None, None)] * 2 + [(4, 4), (7, 4), (9, 9)], key=repr)
 
 
+def test_near_duplicates_of_repeated_ids_go_by_row(spark):
+    rng = random.Random(7)
+    a, b, c, d = (words(rng, 60, 5000) for _ in range(4))
+    docs = [(1, a), (7, a + " more"), (7, b), (7, b), (5, c), (5, d), (9, d + " more"), (4, b + " more"), (None, d), (5, None)]
+    rows = spark.createDataFrame([(i, t, "x", 3) for i, t in docs], f"{DOC}, _key string, component_id int")
+    # two texts of id 5: one stands alone, one is linked with 9; ids name components, the least of their rows
+    expected = [(1, 57, 1), (7, 56, 4), (7, 56, 4), (7, 57, 1), (5, 56, 5), (5, 56, 5), (9, 57, 5), (4, 57, 4), (None, 56, 5), (5, 0, 5)]
+    expected = sorted([(1, 56, 1), *expected[1:]], key=repr)
+    assert sorted(map(tuple, near_duplicates(rows).collect()), key=repr) == expected
+
+
+@pytest.mark.parametrize("size", [150])
+def test_near_duplicates_of_a_hot_group_with_far_copies(spark, size):
+    rng = random.Random(11)
+    base, docs = words(rng, size, 10**6).split(), {}
+    for i in range(160):  # copies with few and with many words of their own, around the least similarity
+        copy = list(base)
+        for p in rng.sample(range(size), rng.choice([0, 1, 2, 3, 4, 4, 5, 6, 8])):
+            copy[p] = f"x{rng.random()}"
+        docs[i] = " ".join(copy[: size - rng.choice([0, 0, 3])])
+    rows = spark.createDataFrame(list(docs.items()), DOC).repartition(5)
+    assert {r.doc_id: tuple(r)[1:] for r in near_duplicates(rows).collect()} == brute_components(docs)
+
+
 def brute_report(docs, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     out = {}
@@ -113,21 +139,21 @@ def brute_report(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1_000_000, 7])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize(("block", "small"), [(1_000_000, 9), (7, 1000), (7, 0)])
+def test_decontamination(spark, block, small):
     rng = random.Random(3)
     items = [(k, words(rng, n)) for k, n in enumerate([3, 10, 12, 40, 40, 9])] + [(10, None), (11, "--"), (2, "éa ÉA 7")]
     parts = [t for _, t in items if t]
     docs = [(i, " ".join([words(rng, rng.randrange(20)), rng.choice(parts).upper(), words(rng, 5), rng.choice(parts)[5:]])) for i in range(40)]
-    docs += [(90, None), (91, ""), (92, "plain words"), (93, parts[3] + "\n" + parts[3])]
+    docs += [(90, None), (91, ""), (92, "plain words"), (93, parts[3] + "\n" + parts[3]), (93, parts[3] + "\n" + parts[3]), (None, parts[4])]
     d = spark.createDataFrame([(i, t, "k") for i, t in docs], f"{DOC}, found string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in contamination_report(d, b, block_windows=block).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in contamination_report(d, b, block_windows=block, small=small).collect()}
     expected = brute_report(docs, items)
     assert got == expected
-    kept = decontaminate(d, b, block_windows=block)
+    kept = decontaminate(d, b, block_windows=block, small=small)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, r in expected.items() if not r[4]}
-    cleaned = [(r.doc_id, r.text) for r in decontaminate(d, b, remove="spans", block_windows=block).collect()]
+    cleaned = [(r.doc_id, r.text) for r in decontaminate(d, b, remove="spans", block_windows=block, small=small).collect()]
     assert len(cleaned) == len(docs) and dict(cleaned)[92] == "plain words" and dict(cleaned)[90] is None
     assert contamination_report(d.limit(0), b).count() == 0 and not any(r.contaminated for r in contamination_report(d, b.limit(0)).collect())
 
@@ -173,7 +199,7 @@ def test_sanitisation_removes_telling_terms(spark):
     ws = ["red", "blue", "green", "odd"]
     docs = [(i, f"call zorblat at z@q.io for {w} things") for i, w in enumerate(ws)] + [(9 + i, f"call the {w} things for nothing") for i, w in enumerate(ws)]
     d = spark.createDataFrame(docs, DOC)
-    rows = personal_data(d).join(d, "doc_id").select("doc_id", "spans", sanitised(F.col("text"), F.col("found"), F.col("removed_terms")).alias("clean"))
+    rows = personal_data(d, evidence=2.5).join(d, "doc_id").select("doc_id", "spans", sanitised(F.col("text"), F.col("found"), F.col("removed_terms")).alias("clean"))
     got = {r.doc_id: (r.spans, r.clean) for r in rows.collect()}
     assert got[0] == ("term:5:12,email:16:22", "call  at [EMAIL] for red things")
     assert all(got[i] == ("", t) for i, t in docs if i >= 9)
@@ -183,12 +209,79 @@ def test_sanitisation_removes_telling_terms(spark):
 def test_sanitisation_marks_terms_in_documents_without_the_value(spark, small):
     docs = [(i, f"call zorblat at z@q.io for n{'abcd'[i]}n things") for i in range(4)] + [(4, "only Zorblat and more things")]
     docs += [(5 + i, "call at for and more things only") for i in range(95)] + [(4, "only Zorblat and more things")]
-    rows = [r for r in personal_data(spark.createDataFrame(docs, DOC), small=small).collect() if r.doc_id < 6]
-    # share log(101 * 4 / (4 * 6)) / log(101 / 4) = 0.87: generalised
+    rows = [r for r in personal_data(spark.createDataFrame(docs, DOC), evidence=10, small=small).collect() if r.doc_id < 6]
+    # the row that repeats id and text counts once: share log(100 * 4 / (4 * 5)) / log(100 / 4) = 0.93, generalised
     assert sorted((r.doc_id, r.spans) for r in rows) == [(i, "term:5:12,email:16:22") for i in range(4)] + [(4, "term:5:12")] * 2 + [(5, "")]
     assert not any(r.removed_terms for r in rows)
 
 
+def brute_terms(docs, evidence, remove_at=0.95, generalise_at=0.85):
+    """(spans, removed terms) of each (id, text), from the definitions: document counts over distinct rows."""
+    email, secret = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"(?i)(?:token|password)\s?[:=] ?[\"']?([A-Za-z0-9]{12,})"
+    ip, once = r"[0-9]+(?:\.[0-9]+){3}", {(i, t or "") for i, t in docs}
+    spans, entities, terms = {}, {}, {}
+    for row in once:
+        text = row[1]
+        found = [(m.start(), 0, m.end(), m[0]) for m in re.finditer(email, text)] + [(m.start(), 1, m.end(), m[0]) for m in re.finditer(ip, text)]
+        found += [(m.start(1), 4, m.end(1), m[1]) for m in re.finditer(secret, text) if re.search("[0-9]", m[1])]
+        spans[row], entities[row] = found, set()
+        for _, k, _, hit in found:
+            value = hit.lower() if k == 0 else hit if k == 4 else re.sub("[^0-9]", "", hit)
+            entities[row] |= {("value", k, value), ("kind", k)}
+            if k < 4:
+                entities[row].add(("group", k, value.split("@")[1] if k == 0 else hit.rpartition(".")[0]))
+        bare = re.sub(r"[\w+/=-]*[0-9][\w+/=-]*", " ", re.sub(email, " ", text))
+        terms[row] = {t for t in re.findall(r"[^\W\d_]+", bare.lower()) if len(t) >= 3}
+    n, n_t = len(once), Counter(t for ts in terms.values() for t in ts)
+    n_c = Counter(c for cs in entities.values() for c in cs)
+    n_ct = Counter((c, t) for row in once for c in entities[row] for t in terms[row])
+    out = {}
+    for (c, t), k in n_ct.items():
+        if k >= 2 and n_c[c] < n and k * math.log(n / n_c[c]) >= evidence:
+            share = round(math.log(n * k / (n_c[c] * n_t[t])) / math.log(n / n_c[c]), 9)
+            if share >= generalise_at:
+                out[t] = out.get(t, False) or share >= remove_at
+    result = {}
+    for row in once:
+        hits = [(m.start(), 5, m.end(), m[0]) for m in re.finditer(r"[^\W\d_]+", row[1]) if m[0].lower() in out and m[0].lower() in terms[row]]
+        kinds = ("email", "ip", "card", "phone", "secret", "term")
+        result[row] = (",".join(f"{kinds[k]}:{a}:{b}" for a, k, b, _ in sorted(spans[row] + hits)), sorted(t for t in terms[row] if out.get(t)))
+    return result
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_personal_data_terms_against_brute_force(spark, small):
+    rng = random.Random(21)
+    vocabulary = [f"{a}{b}" for a in ("kor", "Éli", "mun", "tra") for b in ("ba", "den", "sul", "vix", "ó")]
+    docs = []
+    for i in range(240):
+        parts = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 25))]
+        if i % 6 == 0:
+            parts += ["Contact", f"u{i % 4}@m{i % 3}.org"]
+        if i % 8 == 0:
+            parts += ["Server", f"10.0.{i % 2}.{i % 5}"] + ["host"] * (i % 16)
+        if i % 10 == 0:
+            parts += [f'token = "{rng.randrange(10**15, 10**16):x}a1b2cde"', "deploy"]
+        docs.append((i, " ".join(parts)))
+    docs += [(1000, "server and host"), (1001, "deploy host host"), (1002, None), (None, "Contact x@y.z"), (0, docs[0][1]), (0, docs[0][1]), (0, "Contact again"), (0, docs[0][1])]
+    rows = spark.createDataFrame([(i, t, 3) for i, t in docs], f"{DOC}, _key int").repartition(3)
+    got = [((r.doc_id, r.spans), sorted(r.removed_terms), r.n_spans) for r in personal_data(rows, evidence=8, small=small).collect()]
+    expected = brute_terms(docs, 8)
+    full = [((i, expected[i, t or ""][0]), expected[i, t or ""][1], len(list(filter(None, expected[i, t or ""][0].split(","))))) for i, t in docs]
+    assert sorted(got, key=repr) == sorted(full, key=repr)
+    assert {t for _, ts, _ in full for t in ts} >= {"contact", "server"} and not any("kor" in t for _, ts, _ in full for t in ts)
+
+
+def test_labelled_secrets(spark):
+    texts = ['x token = "04dbebab91ab" y', "my API_KEY: abcdef-12345-zz", "db_password=Secret12345678== end", "token = abcdefghijklmnop", "token 1234567890123", "retoken = 1234567890123"]
+    d = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got = {r.doc_id: (r.spans, r.n_secret) for r in personal_data(d).collect()}
+    for i, value in enumerate(["04dbebab91ab", "abcdef-12345-zz", "Secret12345678=="]):
+        at = texts[i].index(value)
+        assert got[i] == (f"secret:{at}:{at + len(value)}", 1)
+    assert got[3] == got[4] == got[5] == ("", 0)
+
+
 def test_pfair_meets_weights_to_less_than_a_block():
     shares = whole_shares({"a": 5.5, "b": 1.0, "c": 0.25, "d": 3.0}, 200)
     had = dict.fromkeys(shares, 0)
@@ -262,3 +355,25 @@ def test_token_files(spark, tmp_path):
     assert [token_at(spark, f"file://{tmp_path}/t", p) for p in (0, 17, at - 1, at)] == [flat[0], flat[17], 2, None]
     write_token_file(rows.limit(0), f"file://{tmp_path}/e", path)
     assert document_digests(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_scratch_tables_need_a_shared_folder_and_can_be_cleared(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from siteloom.llm.common import clear_scratch, saved, scratch_path, shared_folder
+
+    unset = SimpleNamespace(get=lambda key, default: None)
+    far = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(far)
+    near = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[2]", applicationId="y"))
+    assert shared_folder(near) == shared_folder(near) != ""
+    other = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: f"file://{tmp_path}/"), sparkContext=SimpleNamespace(master="yarn", applicationId="z"),
+        _jvm=spark._jvm, _jsc=spark._jsc,
+    )
+    assert scratch_path(other, "t").startswith(f"file://{tmp_path}/siteloom/z/t-")
+    spark.range(3).write.parquet(scratch_path(other, "t"))
+    clear_scratch(other)
+    assert not (tmp_path / "siteloom" / "z").exists()
+    assert saved(spark.range(3), "t").count() == 3
