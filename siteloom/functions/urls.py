@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from siteloom.functions import fixed
 from siteloom.functions.text import filled, strip
 
-#: Fixed values. Public suffixes of two labels, besides which the last label of a host is its suffix.
-TWO_LABEL_SUFFIXES = [
-    "co.uk", "org.uk", "me.uk", "net.uk", "ltd.uk", "plc.uk", "sch.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au",
-    "co.nz", "org.nz", "co.jp", "or.jp", "com.cn", "org.cn", "co.in", "org.in", "com.br", "co.za",
-]
+#: Fixed values. Public suffixes of two labels that the rule below does not give.
+TWO_LABEL_SUFFIXES = ["me.uk", "ltd.uk", "plc.uk", "sch.uk", "nhs.uk", "police.uk", "id.au", "asn.au", "geek.nz", "gen.nz", "firm.in", "gen.in", "web.za"]
+#: The second label of a suffix under a country of two letters; else the last label of a host is its suffix.
+_SECOND_LABELS = "co|com|org|net|gov|gob|gouv|gub|ac|edu|or|ne|go|mil"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,13 +38,18 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def base_domain(url: Column) -> Column:
-    """Registered domain: the public suffix and one label before it; empty without one."""
+def base_domain(url: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> Column:
+    """Registered domain: the public suffix and one label before it; empty without one.
+
+    Suffixes of two labels are `suffixes`, which a caller may read from a list of public suffixes, and those that have a
+    kind of organisation under a country (co.uk, com.mx).
+    """
     bare = F.regexp_replace(F.lower(url), r"^[a-z][a-z0-9+.-]*://", "")
     host = F.regexp_replace(F.split_part(bare, F.lit("/"), F.lit(1)), r"[?#:].*$", "")
     last = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
     longer = F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1)
-    return F.when(last.isin(TWO_LABEL_SUFFIXES), longer).otherwise(last)
+    two = last.isin(suffixes) | last.rlike(rf"^({_SECOND_LABELS})\.[a-z]{{2}}$")
+    return F.when(two, longer).otherwise(last)
 
 
 def same_site(a: Column, b: Column) -> Column:
@@ -110,8 +114,24 @@ def _clean_query(query: Column) -> Column:
 
 
 def canonical_url(base: Column, link: Column) -> Column:
-    """A link of a page in canonical form, or null if it leads to no page."""
-
+    """A link of a page in canonical form, or null if it leads to no page.
+
+    Most links are whole addresses or paths from the root, without parameters and dot segments: two patterns settle them,
+    in generated code. Only others take the way through arrays of segments and parameters.
+    """
+    media = rf"(?i)\.({'|'.join(fixed.SKIPPED_ENDINGS)})\z"
+    bare = F.regexp_replace(strip(link), "#.*", "")
+    plain = ~bare.rlike(r"\?|/\.\.?(/|\z)|\s")
+    whole = plain & bare.rlike(r"^https?://[^/?#A-Z:]+(:\d+)?(/.*)?\z")
+    rooted = plain & bare.rlike(r"^/([^/].*)?\z") & base.rlike(r"^https?://[^/?#A-Z:]+(:\d+)?([/?#]|\z)")
+    home = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    short = F.regexp_replace(F.regexp_replace(bare, r"^(https?://[^/]+)\z", "$1/"), r"^((?:https?://[^/]+)?/.*)/\z", "$1")
+    ending = F.regexp_replace(bare, "^https?://[^/]+", "").rlike(media)
+    fast = F.when(whole & ~ending, short).when(rooted & ~ending, F.concat(home, short))
+    return F.when(whole | rooted, fast).otherwise(_canonical_any(base, link))
+
+
+def _canonical_any(base: Column, link: Column) -> Column:
     def of(link: Column) -> Column:
         skipped = link.rlike("^(?:" + "|".join(re.escape(x) for x in fixed.SKIPPED_SCHEMES) + ")")
         return F.when((link != "") & ~skipped, let(_resolved(base, link), clean))

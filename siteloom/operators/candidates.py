@@ -348,20 +348,41 @@ def profiles(found: DataFrame, sites: DataFrame) -> DataFrame:
         ).alias("evidence"),
         F.collect_set("url").alias("_pages"),
     )
+    said = F.struct("value", "url", "category", "method", "evidence", "confidence")
     firsts = found.where("field = 'subsidiaries'").groupBy("site", "value").agg(
-        F.min(F.struct(-F.col("confidence"), "batch", "stage", "page_ord", "seq", "url")).alias("_first")
+        F.min(F.struct(-F.col("confidence"), "batch", "stage", "page_ord", "seq", "url", said.alias("said"))).alias("_first")
     )
     subs = firsts.groupBy("site").agg(
         F.array_sort(F.collect_list(F.struct("_first", "value"))).alias("_subs")
     ).select(
         "site", F.transform("_subs", lambda x: x["value"]).alias("subsidiaries"),
         F.transform("_subs", lambda x: x["_first"]["url"]).alias("_sub_pages"),
+        F.get("_subs", F.lit(0))["_first"]["said"].alias("_sub_said"),
     )
     rows = sites.select("site", "domain").distinct().join(single, "site", "left").join(subs, "site", "left")
     derived = without_suffixes(F.col("legal_name"))
     name = F.coalesce("company_name", derived, "domain")
     method = F.when(F.col("company_name").isNotNull(), "candidate").when(F.col("legal_name").isNotNull(), "legal_name_suffix_strip").otherwise("domain_fallback")
-    rows = rows.withColumn("name_method", method).withColumn("company_name", name)
+    # what stands behind a derived name, and behind the list of subsidiaries
+    kind = "struct<value:string,url:string,category:string,method:string,evidence:string,confidence:decimal(4,2)>"
+    from_legal = F.struct(
+        name.alias("value"), F.element_at("evidence", F.lit("legal_name"))["url"].alias("url"), F.lit("derived").alias("category"),
+        method.alias("method"), F.concat(F.lit("Derived from legal_name: "), "legal_name").alias("evidence"), F.lit("0.70").alias("confidence"),
+    ).cast(kind)
+    home = F.concat(F.lit("https://"), "domain", F.lit("/"))
+    from_domain = F.struct(
+        name.alias("value"), home.alias("url"), F.lit("fallback").alias("category"), method.alias("method"),
+        F.concat(F.lit("Domain fallback: "), "domain").alias("evidence"), F.lit("0.30").alias("confidence"),
+    ).cast(kind)
+    derived_said = F.when(method == "legal_name_suffix_strip", from_legal).when(method == "domain_fallback", from_domain)
+    listed = F.struct(F.array_join("subsidiaries", ", ").alias("value"), *(F.col("_sub_said")[k].alias(k) for k in ("url", "category", "method", "evidence", "confidence")))
+    more = F.array(
+        F.when(derived_said.isNotNull(), F.struct(F.lit("company_name").alias("key"), derived_said.alias("value"))),
+        F.when(F.col("_sub_said").isNotNull(), F.struct(F.lit("subsidiaries").alias("key"), listed.cast(kind).alias("value"))),
+    )
+    given = F.coalesce(F.col("evidence"), F.create_map().cast(f"map<string,{kind}>"))
+    every = F.map_concat(given, F.map_from_entries(F.filter(more, lambda x: x.isNotNull())))
+    rows = rows.withColumn("evidence", every).withColumn("name_method", method).withColumn("company_name", name)
     place = ["full_address", "city", "state_province", "postal_code", "country"]
     some = F.coalesce("full_address", "postal_code", "city", "country").isNotNull()
     count = sum((F.col(f).isNotNull().cast("int") for f in fixed.IMPORTANT_FIELDS[1:]), F.col(fixed.IMPORTANT_FIELDS[0]).isNotNull().cast("int"))

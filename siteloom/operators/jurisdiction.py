@@ -62,6 +62,8 @@ def signals(companies: DataFrame, key: str = "site") -> DataFrame:
     if "website_address" in have:
         parts = ("full_address", "city", "state_province", "postal_code", "country")
         address = filled(strip(F.concat_ws(" ", address, *(filled(F.col(f"website_address.{p}")) for p in parts))))
+    # a column of its own, as many votes read it: the plan of all votes together would be far too large
+    companies, address = companies.withColumn("_address", address), F.col("_address")
     votes.append(_vote("country_in_address", country_in_text(address), "country", country_in_text(address), "0.55"))
     state, there = _places(address)
     votes += _us("city_state_zip_pattern", state, "0.80", "0.65")
@@ -77,9 +79,11 @@ def signals(companies: DataFrame, key: str = "site") -> DataFrame:
         votes.append(_vote(f"field_evidence_{f}_zip", value, "country", code, "0.50"))
         votes.append(_vote(f"field_evidence_{f}_country", country_in_text(value), "country", country_in_text(value), "0.45"))
         votes += _us(f"field_evidence_{f}_state", F.when(~there, state_in_text(value)), "0.45", "0.35")
-    given = F.filter(F.array(*votes).cast(_VOTE), lambda v: v["key"].isNotNull())
+    votes = F.filter(F.array(*votes).cast(_VOTE), lambda v: v["key"].isNotNull())
+    companies = companies.select(key, c["phone"].alias("_phone"), votes.alias("_given"))
+    given, called = F.col("_given"), F.col("_phone")
     us = F.exists(given, lambda v: v["key"] == fixed.US)
-    phone = _vote("phone_ny_area_code_supporting", c["phone"], "state", F.when(ny_phone(c["phone"]), "NY"), F.when(us, "0.15").otherwise("0.05"))
+    phone = _vote("phone_ny_area_code_supporting", called, "state", F.when(ny_phone(called), "NY"), F.when(us, "0.15").otherwise("0.05"))
     every = F.filter(F.concat(given, F.array(phone).cast(_VOTE)), lambda v: v["key"].isNotNull())
     rows = companies.select(key, F.posexplode(every).alias("ord", "v"))
     return rows.select(key, "ord", "v.signal", "v.value", "v.kind", F.col("v.key").alias("vote"), "v.weight")

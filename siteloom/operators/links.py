@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import strip
-from siteloom.functions.urls import canonical_url, host_of, path_of, same_site
+from siteloom.functions.urls import canonical_url, host_of, same_site
+from siteloom.sources.scratch import saved
 
 
 def hrefs(html: Column) -> Column:
@@ -15,26 +20,34 @@ def hrefs(html: Column) -> Column:
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Distinct (src, dst) links inside a site, in canonical form."""
-    found = pages.select(F.col(url).alias("_url"), F.explode(hrefs(F.col(html))).alias("_href"))
-    found = found.select(canonical_url(F.col("_url"), F.col("_url")).alias("src"), canonical_url(F.col("_url"), F.col("_href")).alias("dst"))
-    return found.where(F.col("dst").isNotNull() & F.col("src").isNotNull() & same_site(F.col("src"), F.col("dst"))).distinct()
+    page = F.col(url)
+    # the page's own form is made before its links are unnested, once for a page
+    found = pages.select(page.alias("_url"), canonical_url(page, page).alias("src"), F.array_distinct(hrefs(F.col(html))).alias("_hrefs"))
+    found = found.where("src IS NOT NULL").select("_url", "src", F.explode("_hrefs").alias("_href"))
+    found = found.select("src", canonical_url(F.col("_url"), F.col("_href")).alias("dst"))
+    return found.where(F.col("dst").isNotNull() & same_site(F.col("src"), F.col("dst"))).distinct()
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int, per_site: int | None = None) -> DataFrame:
     """(site, url, depth) of all that `seeds` (site, url) reach over `edges` (src, dst) in at most `depth` steps.
 
-    A step joins the frontier with the edges and drops what was visited by an anti-join; the number of steps is a
-    parameter, so the plan is bounded. `per_site` keeps the first URLs of each site by depth and name.
+    A step joins the frontier with the edges and drops what was visited by an anti-join. Each frontier is written, so a step
+    starts from files and not from the plans of all steps before it. With `per_site`, each step keeps as many URLs of a site, by name, as are missing to
+    that number, and goes on from those only.
     """
-    visited = seeds.select("site", "url").distinct().withColumn("depth", F.lit(0))
+    edges = saved(edges.select("src", "dst"), "edges")
+    visited = saved(seeds.select("site", "url").distinct().withColumn("depth", F.lit(0)), "frontier")
     frontier = visited
     for k in range(1, depth + 1):
         found = frontier.join(edges, F.col("url") == F.col("src")).select("site", F.col("dst").alias("url")).distinct()
         frontier = found.join(visited.select("site", "url"), ["site", "url"], "left_anti").withColumn("depth", F.lit(k))
+        if per_site is not None:
+            have = visited.groupBy("site").agg(F.count(F.lit(1)).alias("_have"))
+            place = F.row_number().over(Window.partitionBy("site").orderBy("url"))
+            frontier = frontier.withColumn("_n", place).where(F.col("_n") <= per_site).join(have, "site")
+            frontier = frontier.where(F.col("_n") <= per_site - F.col("_have")).select("site", "url", "depth")
+        frontier = saved(frontier, "frontier")
         visited = visited.unionByName(frontier)
-    if per_site is not None:
-        order = Window.partitionBy("site").orderBy("depth", "url")
-        visited = visited.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_site).drop("_n")
     return visited
 
 
@@ -61,39 +74,125 @@ def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, depth: int = 3) -> Data
     return pages.where(same_site(F.col("site"), F.col("url")))
 
 
-def robots_rules(robots: DataFrame) -> DataFrame:
-    """(host, allow, path) rules for all agents, and (host, null, loc) for sitemaps, from robots files (host, body).
+#: Fixed value. The name under which sites are asked for.
+AGENT = "Mozilla/5.0"
+
+
+def _decoded(c: Column) -> Column:
+    plus = F.replace(c, F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(plus), c)
+
+
+def robots_rules(robots: DataFrame, agent: str = AGENT) -> DataFrame:
+    """(host, ord, allow, path) of the rules for `agent` in robots files (host, body), in order; (host, ord, null, location)
+    for sitemaps.
 
-    A group begins with its user-agent lines; rules of groups that do not name * are left out.
+    A group begins with its user-agent lines, which an empty line before any rule cancels. The first group that names the
+    agent holds, else the first one for *. A rule without a path allows everything.
     """
-    lines = F.transform(F.split("body", r"\r?\n"), lambda x: strip(F.regexp_replace(x, "#.*$", "")))
-    pair = lambda x: F.struct(
-        F.lower(strip(F.split_part(x, F.lit(":"), F.lit(1)))).alias("k"), strip(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")
-    )
-    pairs = F.filter(F.transform(lines, pair), lambda p: p["k"].isin("user-agent", "allow", "disallow", "sitemap"))
+    # blank lines count before comments go, rules after
+    kinds = ["user-agent", "allow", "disallow", "sitemap", "crawl-delay", "request-rate"]
 
-    def step(a: Column, p: Column) -> Column:
-        agent = p["k"] == "user-agent"
-        here = F.when(agent, (p["v"] == "*") | (a["agents"] & a["here"])).otherwise(a["here"])
-        takes = (p["k"] == "sitemap") | (~agent & a["here"] & (p["v"] != ""))
+    def read(raw: Column) -> Column:
+        line = strip(F.regexp_replace(raw, "#.*$", ""))
         return F.struct(
-            agent.alias("agents"), here.alias("here"), F.when(takes, F.array_append(a["out"], p)).otherwise(a["out"]).alias("out")
-        )
+            (raw == "").alias("blank"), F.lower(strip(F.split_part(line, F.lit(":"), F.lit(1)))).alias("k"),
+            F.contains(line, F.lit(":")).alias("pair"), _decoded(strip(F.regexp_extract(line, "^[^:]*:(.*)$", 1))).alias("v"),
+        )
+
+    lines = F.filter(F.transform(F.split("body", r"\r\n|\n|\r"), read), lambda p: p["blank"] | (p["pair"] & p["k"].isin(kinds)))
+    item = "array<struct<g:int,k:string,v:string>>"
 
-    zero = F.struct(
-        F.lit(False).alias("agents"), F.lit(False).alias("here"), F.array().cast("array<struct<k:string,v:string>>").alias("out")
-    )
-    found = robots.select("host", F.explode(F.aggregate(pairs, zero, step)["out"]).alias("p"))
-    return found.select("host", F.when(F.col("p.k") == "allow", True).when(F.col("p.k") == "disallow", False).alias("allow"), F.col("p.v").alias("path"))
+    def step(a: Column, p: Column) -> Column:
+        # state 0: outside of a group, 1: after its agents, 2: after its first rule
+        state, named = a["state"], ~p["blank"] & (p["k"] == "user-agent")
+        rule = ~p["blank"] & ~p["k"].isin("user-agent", "sitemap") & (state != 0)
+        fresh = (p["blank"] & (state != 0)) | (named & (state == 2))
+        group = a["g"] + F.when(fresh, 1).otherwise(0)
+        after = F.when(p["blank"], 0).when(named, 1).when(rule, 2).otherwise(state)
+        kept = named | rule | (~p["blank"] & (p["k"] == "sitemap"))
+        out = F.when(kept, F.array_append(a["out"], F.struct(group.alias("g"), p["k"].alias("k"), p["v"].alias("v")))).otherwise(a["out"])
+        return F.struct(group.cast("int").alias("g"), after.cast("int").alias("state"), out.cast(item).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("g"), F.lit(0).alias("state"), F.array().cast(item).alias("out"))
+    rows = robots.select("host", F.aggregate(lines, zero, step)["out"].alias("_all"))
+    name = agent.split("/")[0].lower()
+    ruled = F.array_distinct(F.transform(F.filter("_all", lambda x: ~x["k"].isin("user-agent", "sitemap")), lambda x: x["g"]))
+    agents = lambda g: F.transform(F.filter("_all", lambda x: (x["g"] == g) & (x["k"] == "user-agent")), lambda x: x["v"])
+    any_agent = lambda g: F.array_contains(agents(g), "*")
+    named = F.filter(ruled, lambda g: ~any_agent(g) & F.exists(agents(g), lambda v: F.contains(F.lit(name), F.lower(v))))
+    rest = F.filter(ruled, any_agent)
+    rows = rows.withColumn("_group", F.coalesce(F.get(F.array_sort(named), F.lit(0)), F.get(F.array_sort(rest), F.lit(0))))
+    rows = rows.select("host", "_group", F.posexplode("_all").alias("ord", "x"))
+    rows = rows.where((F.col("x.k") == "sitemap") | ((F.col("x.g") == F.col("_group")) & F.col("x.k").isin("allow", "disallow")))
+    allow = F.when(F.col("x.k") != "sitemap", (F.col("x.k") == "allow") | (F.col("x.v") == ""))
+    return rows.select("host", "ord", allow.alias("allow"), F.col("x.v").alias("path"))
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rows of `urls` (url) that the longest matching rule of their host allows, or that none forbids."""
-    near = urls.select("url").distinct().join(
-        rules.where("allow IS NOT NULL"), (host_of(F.col("url")) == F.col("host")) & F.startswith(path_of(F.col("url")), F.col("path"))
-    )
-    longest = near.groupBy("url").agg(F.max(F.struct(F.length("path").alias("n"), "allow")).alias("r"))
-    return urls.join(longest.where("NOT r.allow").select("url"), "url", "left_anti")
+    """The rows of `urls` (url) that the first matching rule of their host allows, or that no rule matches."""
+    target = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    asked = urls.select("url").distinct().withColumn("_path", _decoded(F.when(target == "", "/").otherwise(target)))
+    near = asked.join(rules.where("allow IS NOT NULL"), host_of(F.col("url")) == F.col("host"))
+    # paths are compared as they are: a star stands for itself
+    near = near.where(F.startswith("_path", "path"))
+    first = near.groupBy("url").agg(F.min_by("allow", "ord").alias("_allow"))
+    return urls.join(first.where("NOT _allow").select("url"), "url", "left_anti")
+
+
+def sitemap_roots(sites: DataFrame, rules: DataFrame) -> DataFrame:
+    """(site, url, ord) of the sitemaps of `sites` (site, start): those its robots file lists, then three usual places."""
+    root = F.regexp_extract("start", r"^([a-z]+://[^/?#]*)", 1)
+    usual = F.array(*(F.concat(root, F.lit(p)) for p in ("/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml")))
+    usual = sites.select("site", F.posexplode(usual).alias("ord", "url")).select("site", "url", (F.col("ord") + 1_000_000).alias("ord"))
+    said = sites.join(rules.where("allow IS NULL"), host_of(F.col("start")) == F.col("host")).select("site", F.col("path").alias("url"), "ord")
+    return said.union(usual).groupBy("site", "url").agg(F.min("ord").alias("ord"))
+
+
+def unzipped(raw: DataFrame) -> DataFrame:
+    """(url, body) of fetched sitemaps (url, content binary): gunzipped where they are gzip files. Broken files have no body."""
+
+    def opened(contents: pd.Series) -> pd.Series:
+        def one(b: bytes | None) -> str | None:
+            try:
+                return None if b is None else (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b).decode("utf-8", "replace")
+            except (OSError, EOFError, zlib.error):
+                return None
+
+        return contents.map(one)
+
+    return raw.select("url", F.pandas_udf(opened, "string")(F.col("content")).alias("body"))
+
+
+def discovered(
+    sites: DataFrame, listed: DataFrame, edges: DataFrame, rules: DataFrame, depth: int = 2, most: int = 400, seeds: int = 10, most_listed: int = 1000
+) -> DataFrame:
+    """(site, url, source, depth) of what is found on `sites` (site, start): the start itself, up to `most_listed` pages of
+    sitemaps (`listed`: site, url), and what `depth` steps over allowed links reach from the start and the first `seeds`
+    listed pages, until a site has `most` URLs. Of several sources the first holds; lists and steps go by URL.
+    """
+    edges, rules = saved(edges, "links"), saved(rules, "rules")
+    order = Window.partitionBy("site").orderBy("url")
+    listed = allowed(listed.select("site", "url").distinct(), rules).withColumn("_n", F.row_number().over(order))
+    listed = saved(listed.where(F.col("_n") <= most_listed), "listed")
+    start = sites.select("site", F.col("start").alias("url"))
+    first = start.union(listed.where(F.col("_n") <= seeds).select("site", "url")).distinct()
+    open_edges = edges.join(allowed(edges.select(F.col("dst").alias("url")).distinct(), rules), F.col("dst") == F.col("url"), "left_semi")
+    walked = reachable(open_edges, first, depth, most)
+    rows = start.select("site", "url", F.lit(0).alias("_rank"), F.lit(0).alias("depth"))
+    rows = rows.union(listed.select("site", "url", F.lit(1), F.lit(0))).union(walked.select("site", "url", F.lit(2), "depth"))
+    best = rows.groupBy("site", "url").agg(F.min(F.struct("_rank", "depth")).alias("b"))
+    source = F.element_at(F.array(*map(F.lit, ("start", "sitemap", "links"))), F.col("b._rank") + 1)
+    return best.select("site", "url", source.alias("source"), F.col("b.depth").alias("depth"))
+
+
+def discovery_summary(found: DataFrame) -> DataFrame:
+    """Per site of `discovered`: counts by source and the sorted URLs, at most as many as a site's caps allow."""
+    n = lambda s: F.count_if(F.col("source") == s)
+    return found.groupBy("site").agg(
+        F.count(F.lit(1)).alias("total_discovered"), n("sitemap").alias("sitemap_urls_count"), n("links").alias("bfs_urls_count"),
+        F.array_sort(F.collect_list("url")).alias("urls"),
+    )
 
 
 def url_union(*sources: DataFrame) -> DataFrame:

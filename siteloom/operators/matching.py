@@ -27,21 +27,38 @@ def similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(ratios, "double")(a, b)
 
 
+def _grams(text: Column, size: int) -> Column:
+    """Distinct parts of `size` characters of a text, none if it is shorter."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+
+
 def name_search(companies: DataFrame, registry: DataFrame, most: int = 25) -> DataFrame:
     """Registry entities (entity, name) whose name contains that of a company (key, search_name), `most` for each, by name.
 
-    Containment is no equality, so names are first joined on their first words: an entity is listed under each of its
-    words, and only rows under the first word of the searched name, as a part of that word, are compared in full.
+    Containment is no equality, so names are first joined on a part of three characters: every part of the searched name
+    must be in the other, and the one that fewest entities have is taken, by counts over the registry. Names of one or two
+    characters are parts themselves. All joins are equi-joins; the first `most` of a company are kept by a limit inside
+    each task before they are shuffled, so a company that thousands of entities match is no hot key.
     """
     wanted = companies.select("key", F.upper(strip(F.col("search_name"))).alias("_name")).where("_name <> ''")
-    words = F.array_distinct(F.split(F.upper("name"), r"\s+"))
-    gram = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))
-    listed = registry.select("entity", "name", F.explode(F.array_distinct(F.flatten(F.transform(words, gram)))).alias("_gram"))
-    wanted = wanted.withColumn("_gram", F.substring(F.split_part("_name", F.lit(" "), F.lit(1)), 1, 3))
-    long = wanted.where(F.length("_gram") == 3)
-    found = long.join(listed, "_gram").where(F.contains(F.upper("name"), "_name"))
-    short = wanted.where(F.length("_gram") < 3).join(registry.select("entity", "name"), F.contains(F.upper("name"), "_name"))
-    both = found.select("key", "entity", "name").union(short.select("key", "entity", "name")).distinct()
+    names = registry.select("entity", "name", F.upper("name").alias("_upper"))
+    searched = wanted.select("_name").distinct()
+    found = []
+    for size in (3, 2, 1):
+        here = searched.where((F.length("_name") >= 3) if size == 3 else (F.length("_name") == size))
+        listed = names.select("entity", "name", "_upper", F.explode(_grams(F.col("_upper"), size)).alias("_gram"))
+        if size == 3:
+            parts = here.select("_name", F.explode(_grams(F.col("_name"), 3)).alias("_gram"))
+            wanted_grams = parts.select("_gram").distinct()
+            counts = listed.join(wanted_grams, "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+            # a part that no entity has counts 0: then nothing matches
+            ranked = parts.join(counts, "_gram", "left").groupBy("_name")
+            here = ranked.agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram"))["_gram"].alias("_gram"))
+        else:
+            here = here.select("_name", F.col("_name").alias("_gram"))
+        found.append(here.join(listed, "_gram").where(F.contains("_upper", "_name")).select("_name", "entity", "name"))
+    both = wanted.join(found[0].union(found[1]).union(found[2]), "_name").select("key", "entity", "name").distinct()
     order = Window.partitionBy("key").orderBy("name", "entity")
     return both.withColumn("hit_ord", F.row_number().over(order)).where(F.col("hit_ord") <= most)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import fixed
 from siteloom.functions.text import filled
+from siteloom.functions.urls import base_domain
 
 
 def latest(records: DataFrame, key: str, newest: list, most: int) -> DataFrame:
@@ -169,6 +170,32 @@ def website_of(c: Column) -> Column:
     return F.coalesce(*(filled(F.regexp_extract(c, t, 1)) for t in tries))
 
 
+def by_id(ids: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """The records with one of `ids` (id): a point look-up for one id, a join for many."""
+    return records.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+
+
+def verified_articles(brands: DataFrame, hits: DataFrame, articles: DataFrame, outside: DataFrame) -> DataFrame:
+    """One row for each of `brands` (brand, domain) whose article has an infobox: its fields, and `domain_match`.
+
+    An article belongs to the company if the website in its infobox is on the company's domain, or else if one of its links
+    (`outside`: title, link) is; a company found by its links gets its own domain as the website that is missing. Domains
+    are compared as keys, so both checks are equi-joins.
+    """
+    found = brands.join(article_of(hits), F.col("brand") == F.col("query")).drop("query")
+    fields = infobox_fields(articles).groupBy("title").pivot("field", sorted(set(fixed.INFOBOX_FIELDS.values()))).agg(F.first("value"))
+    rows = found.join(fields, "title")
+    own = base_domain(F.concat(F.lit("https://"), F.regexp_replace(F.lower("domain"), "^https?://", "")))
+    site = base_domain(F.concat(F.lit("https://"), F.regexp_replace(F.lower("website"), "^https?://", "")))
+    rows = rows.withColumn("_own", own)
+    linked = outside.select("title", base_domain(F.col("link")).alias("_own"), F.lit(True).alias("_linked")).distinct()
+    rows = rows.join(linked, ["title", "_own"], "left")
+    by_site = F.coalesce((site == F.col("_own")) & (site != ""), F.lit(False))
+    by_link = F.coalesce("_linked", F.lit(False))
+    website = F.coalesce("website", F.when(by_link, F.col("domain")))
+    return rows.withColumn("website", website).withColumn("domain_match", by_site | by_link).drop("_own", "_linked")
+
+
 def article_of(hits: DataFrame) -> DataFrame:
     """One article for each query (query, hit_ord, title, snippet): of the first three, the first that is no disambiguation."""
     aside = F.contains(F.lower(F.coalesce("snippet", F.lit(""))), F.lit("disambiguation"))

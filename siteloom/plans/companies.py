@@ -10,6 +10,7 @@ from siteloom.functions.urls import host_of
 from siteloom.operators import candidates, jurisdiction, links, matching, registry, reports
 from siteloom.plans import fixtures
 from siteloom.sources.pages import parse_pages, read_pages
+from siteloom.sources.scratch import saved
 
 _MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -57,8 +58,8 @@ def site_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of all sites from all candidate branches, as cards."""
     pages = parse_pages(read_pages(spark, sf_dir))
     # five branches read the parsed pages; parsing is the only Python step
-    pages = pages.withColumns({"site": host_of(F.col("url")), "batch": F.lit(0), "page_ord": F.col("page_id")}).persist()
-    found = candidates.all_candidates(pages)
+    pages = saved(pages.withColumns({"site": host_of(F.col("url")), "batch": F.lit(0), "page_ord": F.col("page_id")}), "pages")
+    found = saved(candidates.all_candidates(pages), "candidates")
     sites = pages.select("site", F.col("site").alias("domain")).distinct()
     return reports.cards(candidates.profiles(found, sites))
 
@@ -133,13 +134,12 @@ def jurisdictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uk_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = fixtures.websites(spark).where("key < 'W7' AND key NOT LIKE 'W1_'")
-    found = matching.resolve_uk(sites, fixtures.uk_search(spark), fixtures.uk_profiles(spark))
+    found = matching.resolve_uk(fixtures.websites(spark), fixtures.uk_search(spark), fixtures.uk_profiles(spark))
     return found.select("key", "status", "company_number", "method", *(F.col(c).cast("double").alias(c) for c in ("confidence", "score", "gap")))
 
 
 def ny_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.resolve_ny(fixtures.websites(spark).where("key IN ('W6', 'W7', 'W8', 'W2')"), fixtures.ny_entities(spark))
+    found = matching.resolve_ny(fixtures.websites(spark), fixtures.ny_entities(spark))
     return found.select("key", "status", "matched", "matched_name", *(F.col(c).cast("double").alias(c) for c in ("confidence", "score", "gap")))
 
 
@@ -171,7 +171,7 @@ def company_revenue_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = per_order.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.cube("r_name", "n_name").agg(F.sum("revenue").cast("double").alias("revenue"), F.count(F.lit(1)).alias("n_orders")).where("r_name IS NOT NULL OR n_name IS NULL")
+    return rows.rollup("r_name", "n_name").agg(F.sum("revenue").cast("double").alias("revenue"), F.count(F.lit(1)).alias("n_orders"))
 
 
 QUERIES = {
@@ -269,11 +269,20 @@ ORACLE_SQL = {
         SELECT key, status, company_number, method, CAST(confidence AS DOUBLE) AS confidence, CAST(score AS DOUBLE) AS score, CAST(gap AS DOUBLE) AS gap FROM (VALUES
             ('W1', 'resolved_direct', 'SC311560', 'registration_number', 1.0, NULL, NULL), ('W2', 'not_found', '99999999', NULL, NULL, NULL, NULL),
             ('W3', 'resolved', '12345678', 'exact_name_verified', 0.95, 100.0, 42.14), ('W4', 'resolved', 'AAAAAA', 'exact_name_verified', 0.95, 90.0, 50.23),
-            ('W5', 'unresolved', NULL, NULL, 0.5, 50.0, 4.71), ('W6', 'skipped', NULL, NULL, NULL, NULL, NULL)
+            ('W5', 'unresolved', NULL, NULL, 0.5, 50.0, 4.71), ('W6', 'skipped', NULL, NULL, NULL, NULL, NULL),
+            ('W7', 'not_found', NULL, NULL, NULL, NULL, NULL), ('W8', 'not_found', NULL, NULL, NULL, NULL, NULL),
+            ('W9', 'skipped', NULL, NULL, NULL, NULL, NULL), ('W10', 'skipped', NULL, NULL, NULL, NULL, NULL),
+            ('W11', 'skipped', NULL, NULL, NULL, NULL, NULL), ('W12', 'skipped', NULL, NULL, NULL, NULL, NULL),
+            ('W13', 'skipped', NULL, NULL, NULL, NULL, NULL)
         ) t(key, status, company_number, method, confidence, score, gap)""",
     "ny_resolution": """
         SELECT key, status, matched, matched_name, CAST(confidence AS DOUBLE) AS confidence, CAST(score AS DOUBLE) AS score, CAST(gap AS DOUBLE) AS gap FROM (VALUES
-            ('W2', 'not_found', FALSE, NULL, NULL, NULL, NULL), ('W6', 'skipped', FALSE, NULL, NULL, NULL, NULL),
+            ('W1', 'not_found', FALSE, NULL, NULL, NULL, NULL), ('W2', 'not_found', FALSE, NULL, NULL, NULL, NULL),
+            ('W3', 'not_found', FALSE, NULL, NULL, NULL, NULL), ('W4', 'not_found', FALSE, NULL, NULL, NULL, NULL),
+            ('W5', 'not_found', FALSE, NULL, NULL, NULL, NULL), ('W6', 'skipped', FALSE, NULL, NULL, NULL, NULL),
+            ('W9', 'skipped', FALSE, NULL, NULL, NULL, NULL), ('W10', 'skipped', FALSE, NULL, NULL, NULL, NULL),
+            ('W11', 'skipped', FALSE, NULL, NULL, NULL, NULL), ('W12', 'skipped', FALSE, NULL, NULL, NULL, NULL),
+            ('W13', 'skipped', FALSE, NULL, NULL, NULL, NULL),
             ('W7', 'resolved', TRUE, 'ACME TECHNOLOGIES INC', 1.0, 100.0, 55.0), ('W8', 'ambiguous', FALSE, 'ABC GROUP INC', 0.95, 95.0, 0.0)
         ) t(key, status, matched, matched_name, confidence, score, gap)""",
     "sequence_similarity": """
@@ -282,7 +291,7 @@ ORACLE_SQL = {
         SELECT * FROM (VALUES ('Acme', 'legal_name', 'Acme Corp'), ('Acme', 'company_type', 'Public'), ('Acme', 'industry', 'Tools'),
             ('Acme', 'full_address', 'Leeds'), ('Acme', 'website', 'https://acme.example')) t(title, field, value)""",
     "robots_allowed": """
-        SELECT * FROM (VALUES ('https://h.example/'), ('https://h.example/private/open/y'), ('https://h.example/public'), ('https://o.org/private')) t(url)""",
+        SELECT * FROM (VALUES ('https://h.example/'), ('https://h.example/public'), ('https://o.org/private')) t(url)""",
     "sitemap_pages": """
         SELECT 'https://h.example/' AS site, url FROM (VALUES ('https://h.example/a?x=1&y=2'), ('https://sub.h.example/b')) t(url)""",
     "company_revenue_cube": """

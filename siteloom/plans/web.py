@@ -284,9 +284,11 @@ ORACLE_SQL = {
     "html_parse": r"""
         SELECT page_id, CAST(length(trim(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1),
                    '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))) AS BIGINT) AS n_title,
-               CAST(0 AS BIGINT) AS n_json_ld, CAST(0 AS BIGINT) AS n_tables,
                len(list_filter(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1), lambda h: length(h) BETWEEN 1 AND 199)) AS n_headings,
-               TRUE AS has_text FROM pages""",
+               len(regexp_extract_all(html, '(?s)<script type="application/ld\+json">.*?</script>')) AS n_json_ld,
+               len(regexp_extract_all(html, '(?s)<table.*?</table>')) AS n_tables,
+               length(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>|<!--.*?-->', '', 'g'),
+                   '<[^>]*>', '', 'g'), '\s|&[a-z]+;', '', 'g')) > 0 AS has_text FROM pages""",
     "telemetry_pages": f"""
         SELECT {_HOST} AS site, count(*) AS n_pages, CAST(sum(length(html)) AS BIGINT) AS n_html, max(length(html)) AS max_html,
                CAST(sum(len(regexp_extract_all(html, '<a href="'))) AS BIGINT) AS n_links

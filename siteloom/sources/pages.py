@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _SILENT = {"script", "style"}
+_QUIET = {"script", "style", "noscript", "svg", "iframe"}
 _FOOTER_WORDS = ("footer", "legal", "imprint", "copyright", "bottom", "contact", "address", "impressum")
 _KEY_WORDS = ("label", "key", "term", "title")
 _VALUE_WORDS = ("value", "val", "desc", "data", "content")
@@ -23,68 +27,140 @@ PARSED_SCHEMA = (
 )
 
 
-class _Node:
-    """An element: its children are elements and pieces of text."""
-
-    __slots__ = ("tag", "attrs", "inner")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.inner = tag, attrs, []
-
-    def walk(self) -> Iterator[_Node]:
-        """The elements below, in page order; no recursion, as unclosed tags nest without bound."""
-        ahead = [x for x in reversed(self.inner) if isinstance(x, _Node)]
-        while ahead:
-            node = ahead.pop()
-            yield node
-            ahead += [x for x in reversed(node.inner) if isinstance(x, _Node)]
-
-    def all(self, *tags: str) -> list[_Node]:
-        return [x for x in self.walk() if x.tag in tags]
-
-    def text(self, between: str = " ", without: frozenset[str] = frozenset(_SILENT)) -> str:
-        out, ahead = [], [self]
-        while ahead:
-            x = ahead.pop()
-            if isinstance(x, str):
-                if x := x.strip():
-                    out.append(x)
-            elif x is self or x.tag not in without:
-                ahead += reversed(x.inner)
-        return between.join(out)
-
-    def has_class(self, words: tuple[str, ...]) -> bool:
-        return any(w in c for c in self.attrs.get("class", "").lower().split() for w in words)
-
-
 class _Tree(HTMLParser):
-    """No element ends but by an end tag of its name, its own or one around it; stray end tags are ignored."""
+    """A page as lists in page order: elements, each with the stretch of elements and of texts that it holds.
+
+    No element ends but by an end tag of its name, its own or one around it; stray end tags are ignored. An element that
+    hides its text in an attribute holds that text and nothing else. Texts in scripts and styles are kept apart.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("", {})
-        self.open = [self.root]
+        self.tags: list[str] = []
+        self.attrs: list[dict[str, str]] = []
+        #: of each element: its first text, the element and the text after it, and its number of children
+        self.first: list[int] = []
+        self.ends: list[int] = []
+        self.last: list[int] = []
+        self.inner: list[int] = []
+        self.at: dict[str, list[int]] = {}
+        self.links: list[str] = []
+        #: texts without white space around them, and of each the element, the paragraph, and whether it is quiet there
+        self.texts: list[str] = []
+        self.owner: list[int] = []
+        self.paragraph: list[int] = []
+        self.quiet: list[bool] = []
+        self.scripts: dict[int, list[str]] = {}
+        #: tag and element of what is open, -1 inside an element that hides its text; open paragraphs with their quiet levels
+        self.open: list[tuple[str, int]] = []
         self.names: dict[str, int] = {}
+        self.paragraphs: list[tuple[int, int]] = []
+        self.muted, self.by_link, self.n_silent, self.n_quiet = 0, False, 0, 0
+
+    def _add(self, tag: str, attrs: dict[str, str]) -> int:
+        k = len(self.tags)
+        self.tags.append(tag)
+        self.attrs.append(attrs)
+        self.first.append(len(self.texts))
+        self.ends.append(k + 1)
+        self.last.append(len(self.texts))
+        self.inner.append(0)
+        self.at.setdefault(tag, []).append(k)
+        if self.open:
+            self.inner[self.open[-1][1]] += 1
+        return k
+
+    def _say(self, text: str) -> None:
+        here = self.open[-1][1] if self.open else -1
+        if here >= 0:
+            self.inner[here] += 1
+        if self.n_silent:
+            self.scripts.setdefault(here, []).append(text)
+        elif text := text.strip():
+            self.texts.append(text)
+            self.owner.append(here)
+            inside, level = self.paragraphs[-1] if self.paragraphs else (-1, 0)
+            self.paragraph.append(inside if self.n_quiet <= level else -1)
+            self.quiet.append(self.n_quiet > 0)
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].inner.append(node)
-        if tag not in _VOID:
-            self.open.append(node)
-            self.names[tag] = self.names.get(tag, 0) + 1
+        given = {k: v or "" for k, v in attrs}
+        if tag == "a" and (not self.muted or self.by_link):
+            self.links.append(given.get("href", "").strip())
+        if self.muted:
+            if tag not in _VOID:
+                self.open.append((tag, -1))
+                self.names[tag] = self.names.get(tag, 0) + 1
+            return
+        k = self._add(tag, given)
+        if tag in _VOID:
+            return
+        self.open.append((tag, k))
+        self.names[tag] = self.names.get(tag, 0) + 1
+        self.n_silent += tag in _SILENT
+        self.n_quiet += tag in _QUIET
+        if tag == "p":
+            self.paragraphs.append((k, self.n_quiet))
+        said = _hidden(given.get("data-cfemail", ""))
+        by_link = not said and tag == "a"
+        if by_link:
+            said = _protected(given.get("href", "").strip())
+        if said:
+            self._say(said)
+            self.muted, self.by_link = len(self.open), by_link
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].inner.append(_Node(tag, {k: v or "" for k, v in attrs}))
+        given = {k: v or "" for k, v in attrs}
+        if tag == "a" and (not self.muted or self.by_link):
+            self.links.append(given.get("href", "").strip())
+        if not self.muted:
+            self._add(tag, given)
+
+    def _close(self) -> str:
+        tag, k = self.open.pop()
+        if k >= 0:
+            self.muted = 0 if self.muted > len(self.open) else self.muted
+            self.ends[k], self.last[k] = len(self.tags), len(self.texts)
+            self.n_silent -= tag in _SILENT
+            self.n_quiet -= tag in _QUIET
+            if tag == "p":
+                self.paragraphs.pop()
+        return tag
 
     def handle_endtag(self, tag):
         while self.names.get(tag):
-            name = self.open.pop().tag
+            name = self._close()
             self.names[name] -= 1
             if name == tag:
                 break
 
     def handle_data(self, data):
-        self.open[-1].inner.append(data)
+        if not self.muted:
+            self._say(data)
+
+    def finish(self) -> None:
+        while self.open:
+            self._close()
+        self.sizes = [0, *accumulate(map(len, self.texts))]
+
+    def text(self, k: int) -> str:
+        return " ".join(self.texts[self.first[k] : self.last[k]])
+
+    def size(self, k: int) -> int:
+        """Characters of the texts in element `k`: known without joining them."""
+        return self.sizes[self.last[k]] - self.sizes[self.first[k]]
+
+    def all(self, *tags: str) -> list[int]:
+        if len(tags) == 1:
+            return self.at.get(tags[0], [])
+        return sorted(k for t in tags for k in self.at.get(t, ()))
+
+    def within(self, k: int, found: list[int]) -> tuple[int, int]:
+        """The stretch of `found`, elements in page order, that is below element `k`."""
+        return bisect_right(found, k), bisect_left(found, self.ends[k])
+
+    def has_class(self, k: int, words: tuple[str, ...]) -> bool:
+        return any(w in c for c in self.attrs[k].get("class", "").lower().split() for w in words)
 
 
 def _hidden(hexed: str) -> str | None:
@@ -95,80 +171,123 @@ def _hidden(hexed: str) -> str | None:
     return "".join(chr(b ^ raw[0]) for b in raw[1:]).strip() if len(raw) > 1 else None
 
 
-def _pairs(pairs: Iterator[tuple[str, str]]) -> dict[str, str]:
+def _protected(href: str) -> str | None:
+    """The address in a link to a mail protection page."""
+    protected = not href.lower().startswith("mailto:") and "/cdn-cgi/l/email-protection#" in href
+    return _hidden(href.split("#")[-1].strip()) if protected else None
+
+
+def _unnested(block: str) -> list[str]:
+    """The JSON objects of a block in order: those of arrays and of @graph lists, however deep, each for itself."""
+    try:
+        ahead, out = [json.loads(block)], []
+    except (ValueError, RecursionError):
+        return []
+    while ahead:
+        x = ahead.pop()
+        inner = x if isinstance(x, list) else x.get("@graph") if isinstance(x, dict) else []
+        if isinstance(inner, list):
+            ahead += reversed(inner)
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return out
+
+
+def _pairs(pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
     return {k: v for k, v in pairs if k and v and len(k) <= 80 and len(v) <= 500}
 
 
-def _tables(root: _Node) -> list[dict[str, str]]:
+def _tables(page: _Tree) -> list[dict[str, str]]:
+    rows, cells, pairs = [], page.all("th", "td"), []
+    for r in page.all("tr"):
+        a, b = page.within(r, cells)
+        if b - a == 2 and page.size(cells[a]) <= 80 and page.size(cells[a + 1]) <= 500:
+            rows.append(r)
+            pairs.append((page.text(cells[a]), page.text(cells[a + 1])))
     found = []
-    for table in root.all("table"):
-        cells = (row.all("th", "td") for row in table.all("tr"))
-        found.append(_pairs((c[0].text(), c[1].text()) for c in cells if len(c) == 2))
+    for table in page.all("table"):
+        a, b = page.within(table, rows)
+        found.append(_pairs(pairs[a:b]))
     return [x for x in found if x]
 
 
-def _labelled(root: _Node) -> dict[str, str]:
+def _labelled(page: _Tree) -> dict[str, str]:
     out: dict[str, str] = {}
-    for dl in root.all("dl"):
-        names, values = dl.all("dt"), dl.all("dd")
-        if len(names) == len(values):
-            out |= _pairs((k.text(), v.text()) for k, v in zip(names, values))
-    for box in root.all("div", "section", "ul", "ol"):
-        key = next((x for x in box.walk() if x.has_class(_KEY_WORDS)), None)
-        value = next((x for x in box.walk() if x.has_class(_VALUE_WORDS)), None)
-        if key is not None and value is not None and key is not value:
-            out |= _pairs(iter([(key.text(), value.text())]))
+
+    def pair(k: int, v: int) -> None:
+        if page.size(k) <= 80 and page.size(v) <= 500:
+            out.update(_pairs([(page.text(k), page.text(v))]))
+
+    names, values = page.all("dt"), page.all("dd")
+    taken = (-1, 0)
+    for dl in page.all("dl"):
+        (a, b), (c, d) = page.within(dl, names), page.within(dl, values)
+        # a list inside of one that has just given the same pairs adds nothing
+        if b - a == d - c and not (page.ends[dl] <= taken[0] and c - a == taken[1]):
+            taken = (page.ends[dl], c - a)
+            for k, v in zip(names[a:b], values[c:d]):
+                pair(k, v)
+    keys, values = ([k for k in range(len(page.tags)) if page.has_class(k, words)] for words in (_KEY_WORDS, _VALUE_WORDS))
+    for box in page.all("div", "section", "ul", "ol"):
+        (a, b), (c, d) = page.within(box, keys), page.within(box, values)
+        if a < b and c < d and keys[a] != values[c]:
+            pair(keys[a], values[c])
     return out
 
 
 def parse_page(html: str | None) -> dict:
+    """The parsed columns of a page. What is looked up inside an element is a stretch of the page's lists, and texts longer
+    than their limits are not joined, so the time does not grow with the depth of nesting. A paragraph's text ends where
+    another paragraph begins in it."""
     if not html or not html.strip():
         return {"clean_text": ""}
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    root, mailto = tree.root, []
-    for node in root.walk():
-        if seen := _hidden(node.attrs.get("data-cfemail", "")):
-            node.inner = [seen]
-    for a in root.all("a"):
-        href = a.attrs.get("href", "").strip()
+    page = _Tree()
+    page.feed(html)
+    page.close()
+    page.finish()
+    mailto = []
+    for href in page.links:
         if href.lower().startswith("mailto:"):
             if address := href[7:].split("?")[0].strip():
                 mailto.append(address)
-        elif "/cdn-cgi/l/email-protection#" in href and (seen := _hidden(href.split("#")[-1].strip())):
+        elif seen := _protected(href):
             mailto.append(seen)
-            a.inner = [seen]
-    metas = root.all("meta")
+    metas = [page.attrs[m] for m in page.all("meta")]
 
     def meta(key: str, value: str, fold: bool = False) -> str | None:
-        found = (m for m in metas if (m.attrs.get(key, "").lower() if fold else m.attrs.get(key)) == value)
-        return (m.attrs.get("content", "").strip() or None) if (m := next(found, None)) else None
-
-    title = next(iter(root.all("title")), None)
-    canonical = next((x for x in root.all("link") if x.attrs.get("rel", "").lower() == "canonical"), None)
-    whole = title is not None and len(title.inner) == 1 and isinstance(title.inner[0], str)
-    labelled = _labelled(root)
-    quiet = frozenset({"script", "style", "noscript", "svg", "iframe"})
-    heads = [(h.tag, h.text()) for h in root.all("h1", "h2", "h3", "h4")]
-    feet = [x.text() for x in root.all("footer", "div", "section", "address") if x.has_class(_FOOTER_WORDS)]
+        found = (m for m in metas if (m.get(key, "").lower() if fold else m.get(key)) == value)
+        return (m.get("content", "").strip() or None) if (m := next(found, None)) else None
+
+    def only_text(k: int) -> str | None:
+        whole = page.inner[k] == 1 and page.last[k] == page.first[k] + 1 and page.owner[page.first[k]] == k
+        return page.texts[page.first[k]] if whole else None
+
+    title = next(iter(page.all("title")), None)
+    canonical = next((page.attrs[x] for x in page.all("link") if page.attrs[x].get("rel", "").lower() == "canonical"), None)
+    labelled = _labelled(page)
+    heads = [(page.tags[h], page.text(h)) for h in page.all("h1", "h2", "h3", "h4") if page.size(h) < 200]
+    feet = [page.text(x) for x in page.all("footer", "div", "section", "address") if page.size(x) <= 3000 and page.has_class(x, _FOOTER_WORDS)]
+    paragraphs: dict[int, list[str]] = {p: [] for p in page.all("p")}
+    for text, p in zip(page.texts, page.paragraph):
+        if p >= 0:
+            paragraphs[p].append(text)
     return {
-        "title": title.inner[0].strip() or None if whole else None,
+        "title": only_text(title) if title is not None else None,
         "meta_description": meta("name", "description", fold=True),
         "og_site_name": meta("property", "og:site_name"),
         "og_title": meta("property", "og:title"),
-        "canonical_url": (canonical.attrs.get("href", "").strip() or None) if canonical else None,
+        "canonical_url": (canonical.get("href", "").strip() or None) if canonical else None,
         "headings": [{"tag": t, "text": x} for t, x in heads if x and len(x) < 200],
-        "paragraphs": [x for p in root.all("p") if len(x := p.text(without=quiet)) >= 20],
-        "tables_kv": _tables(root),
+        "paragraphs": [x for some in paragraphs.values() if len(x := " ".join(some)) >= 20],
+        "tables_kv": _tables(page),
         "div_kv": [labelled] if labelled else [],
         "footer_texts": [x for x in feet if 15 <= len(x) <= 3000],
         "json_ld": [
-            x for s in root.all("script") if s.attrs.get("type") == "application/ld+json"
-            if (x := "".join(y for y in s.inner if isinstance(y, str)).strip())
+            x for s in page.all("script") if page.attrs[s].get("type") == "application/ld+json"
+            for x in _unnested("".join(page.scripts.get(s, ())).strip())
         ],
         "mailto": mailto,
-        "clean_text": root.text("\n", quiet),
+        "clean_text": "\n".join(x for x, hidden in zip(page.texts, page.quiet) if not hidden),
     }
 
 
@@ -192,19 +311,7 @@ def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.select(*rest, parsed(F.col(html_col)).alias("_page")).select(*rest, "_page.*")
 
 
-def json_ld_nodes(pages: DataFrame, depth: int = 3) -> DataFrame:
-    """One row for each JSON-LD object of a page: arrays and @graph lists are unnested, up to `depth` deep."""
-    nodes = pages.select("*", F.posexplode("json_ld").alias("block", "_text"))
-    nodes = nodes.withColumn("node", F.try_parse_json("_text")).where("node IS NOT NULL").drop("_text")
-    nodes = nodes.withColumn("path", F.array(F.col("block").cast("int")))
-    for _ in range(depth):
-        kind = F.schema_of_variant("node")
-        graph = F.try_variant_get("node", '$["@graph"]', "variant")
-        inner = F.when(F.startswith(kind, F.lit("ARRAY")), F.col("node")).when(
-            F.startswith(F.schema_of_variant(graph), F.lit("ARRAY")), graph
-        )
-        listed = F.coalesce(inner.cast("array<variant>"), F.array("node"))
-        nodes = nodes.select(
-            *[c for c in nodes.columns if c not in ("node", "path")], "path", F.posexplode(listed).alias("_at", "node")
-        ).withColumn("path", F.array_append("path", F.col("_at"))).drop("_at")
-    return nodes
+def json_ld_nodes(pages: DataFrame) -> DataFrame:
+    """One row for each JSON-LD object of parsed pages, as a variant `node` with its place `path`."""
+    nodes = pages.select("*", F.posexplode("json_ld").alias("path", "_text"))
+    return nodes.withColumn("node", F.try_parse_json("_text")).where("node IS NOT NULL").drop("_text")
