@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_FOLDERS: dict[str, str] = {}
-
+from siteloom.sources.scratch import clear_scratch, saved, scratch_path, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir. Where that is unset, local mode (tests) has one of our own,
-    removed when Python ends; on several machines there is none to guess, so that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.master != "local" and not context.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _OWN_FOLDERS:
-        own = tempfile.mkdtemp(prefix="siteloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        _OWN_FOLDERS[context.applicationId] = f"file://{own}"
-    return _OWN_FOLDERS[context.applicationId]
+__all__ = ["bounded_batches", "clear_scratch", "salt_of", "saved", "scratch_path", "shared_folder", "spread_join"]
 
 
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
@@ -37,28 +18,6 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
-def _scratch_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/siteloom/{spark.sparkContext.applicationId}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the tables that this application's operators wrote to the shared folder; call it after results are written,
-    as results read those tables."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a Parquet table in the shared folder and read back, so later jobs start from files."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def salt_of(key: str, salts: int, run: int = 1024):
     """A salt that is the same for `run` neighbouring ids, so that local combining still meets most copies."""
     return F.coalesce(F.pmod(F.xxhash64(F.floor(F.col(key) / run)), F.lit(salts)).cast("int"), F.lit(0))
