@@ -92,7 +92,115 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
+_SPAN_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "word": r"\p{L}+",
+    "secret": r"(?i)(?:^|[^\p{L}\p{N}])(?:[a-z0-9]{1,20}[_-]){0,3}(?:token|secret|password|passwd|passphrase|apikey|api[_-]key|access[_-]key|private[_-]key)"
+    r"[\x22\x27]?\s{0,3}[:=]\s{0,3}[\x22\x27]?[A-Za-z0-9_+/=-]{12,}",
+}
+
+
+def _located_sql(kind: str, table: str) -> str:
+    """doc_id, start, hit of the matches of a pattern: what stands between matches gives their places."""
+    pattern = _SPAN_PATTERNS[kind]
+    return f"""
+        SELECT doc_id, hit, CAST(sum(length(gap) + coalesce(length(before), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS start
+        FROM (
+            SELECT doc_id, i, gaps[i] AS gap, hits[i] AS hit, CASE WHEN i > 1 THEN hits[i - 1] END AS before
+            FROM (
+                SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i
+                FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM {table})
+            )
+        )"""
+
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0
+    THEN CAST({_DIGITS}[length({_DIGITS}) - i] AS INT)
+    ELSE CAST({_DIGITS}[length({_DIGITS}) - i] AS INT) * 2 - CASE WHEN CAST({_DIGITS}[length({_DIGITS}) - i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+
 ORACLE_SQL = {
+    "op3_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                       ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+            FROM d
+        ), postings AS (
+            SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM s
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS shared
+            FROM postings a JOIN postings b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+                AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+            GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM pairs WHERE 100 * shared >= 75 * (an + bn - shared)
+        ), ways AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach AS (
+            SELECT doc_id AS node, doc_id AS comp FROM s
+            UNION
+            SELECT ways.b, reach.comp FROM reach JOIN ways ON ways.a = reach.node
+        )
+        SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id
+        FROM s JOIN (SELECT node, min(comp) AS component_id FROM reach GROUP BY node) ON doc_id = node
+    """,
+    "op5_personal_data": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        found AS (
+            SELECT doc_id, 0 AS kind, 'email' AS name, start, hit FROM ({_located_sql("email", "d")})
+            UNION ALL SELECT doc_id, 1, 'ip', start, hit FROM ({_located_sql("ip", "d")})
+                WHERE len(list_filter(string_split(hit, '.'), lambda x: TRY_CAST(x AS HUGEINT) IS NULL OR CAST(x AS HUGEINT) > 255)) = 0
+            UNION ALL SELECT doc_id, 2, 'card', start, hit FROM ({_located_sql("card", "d")}) WHERE length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}
+            UNION ALL SELECT doc_id, 3, 'phone', start, hit FROM ({_located_sql("phone", "d")}) WHERE length({_DIGITS}) BETWEEN 9 AND 15
+            UNION ALL SELECT doc_id, 4, 'secret', start + length(whole) - length(hit), hit FROM (
+                SELECT doc_id, start, hit AS whole, regexp_extract(hit, '[:=]\\s{{0,3}}[\\x22\\x27]?([A-Za-z0-9_+/=-]{{12,}})$', 1) AS hit
+                FROM ({_located_sql("secret", "d")})) WHERE regexp_matches(hit, '[0-9]')
+        ),
+        values_of AS (
+            SELECT DISTINCT doc_id, unnest(list_filter([
+                'value:' || kind || ':' || CASE WHEN kind = 0 THEN lower(hit) WHEN kind = 4 THEN hit ELSE {_DIGITS} END,
+                'group:' || kind || ':' || CASE kind WHEN 0 THEN lower(split_part(hit, '@', 2)) WHEN 1 THEN regexp_extract(hit, '^[0-9]+\\.[0-9]+\\.[0-9]+')
+                    WHEN 2 THEN left({_DIGITS}, 6) WHEN 3 THEN left({_DIGITS}, 4) END,
+                'kind:' || kind], lambda x: x IS NOT NULL)) AS c
+            FROM found
+        ),
+        total AS (SELECT count(*) AS n FROM d),
+        entities AS (SELECT c, count(*) AS n_c FROM values_of GROUP BY c HAVING count(*) >= 2 AND count(*) < (SELECT n FROM total)),
+        terms AS (
+            SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '{_SPAN_PATTERNS["email"]}', ' ', 'g'),
+                '[\\p{{L}}\\p{{N}}_+/=-]*[0-9][\\p{{L}}\\p{{N}}_+/=-]*', ' ', 'g')), '[^\\p{{L}}]+'), lambda t: length(t) >= 3))) AS t
+            FROM d
+        ),
+        together AS (
+            SELECT c, n_c, t, count(*) AS n_ct FROM terms JOIN values_of USING (doc_id) JOIN entities USING (c) GROUP BY ALL
+            HAVING count(*) >= 2 AND count(*) * ln((SELECT n FROM total) / n_c) >= 20
+        ),
+        telling AS (
+            SELECT DISTINCT t FROM (SELECT c, n_c, t, n_ct, (SELECT n FROM total) AS n FROM together)
+            JOIN (SELECT t, count(*) AS n_t FROM terms GROUP BY t) USING (t)
+            WHERE round(ln(n * n_ct / (n_c * n_t)) / ln(n / n_c), 9) >= 0.85
+        ),
+        spans AS (
+            SELECT doc_id, kind, name, start, hit FROM found
+            UNION ALL
+            SELECT doc_id, 5, 'term', start, hit FROM ({_located_sql("word", "d")}) WHERE lower(hit) IN (SELECT t FROM telling)
+                AND (doc_id, lower(hit)) IN (SELECT (doc_id, t) FROM terms WHERE t IN (SELECT t FROM telling))
+        ),
+        listed AS (SELECT *, name || ':' || start || ':' || (start + length(hit)) AS span FROM spans)
+        SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_email, count(*) FILTER (WHERE kind = 1) AS n_ip,
+               count(*) FILTER (WHERE kind = 2) AS n_card, count(*) FILTER (WHERE kind = 3) AS n_phone,
+               sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 4), '')) AS base_sha256,
+               coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans,
+               count(*) FILTER (WHERE kind = 4) AS n_secret, count(*) FILTER (WHERE kind = 5) AS n_term, count(kind) AS n_spans
+        FROM d LEFT JOIN listed ON d.doc_id = listed.doc_id GROUP BY d.doc_id
+    """,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
