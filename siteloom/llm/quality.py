@@ -133,7 +133,8 @@ def train_quality(
 ) -> OrdinalModel:
     """Fit on at most `sample` labelled rows, those with the least hash of their id; grade 0 is low quality, 1 toxic, 2 clean.
 
-    Labels with a null quality are left out, a null toxic counts as 0. Only the sample's hashed features reach the driver.
+    Labels with a null quality or id are left out, a null toxic counts as 0; rows that repeat a label, or a document's id, are
+    fitted each; a table without labels gives a model that knows one grade. Only the sample's hashed features reach the driver.
     """
     bounded_batches(docs.sparkSession)
     grade = F.when(F.col("quality") <= 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 1).otherwise(2)
@@ -161,7 +162,8 @@ _GRADED = T.StructType([T.StructField(n, T.DoubleType()) for n in ("score", "exp
 def graded(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """`docs` with a last column `quality`: score, expected grade, tail probability of the highest grade.
 
-    One narrow pass over whole texts. Null texts count as empty. Columns pass through by position.
+    One narrow pass over whole texts. Null texts count as empty; repeated rows are graded each; columns pass through by
+    position, whatever their names; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     fields = docs.schema.fields

@@ -1,11 +1,14 @@
 """The pipeline, stage by stage, on a small folder of tables."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from siteloom.llm import queries
+from siteloom.llm.quality import features_of, train_quality
 
 TEXTS = [f"{a}{b}{c}" for a in ("the", "on", "in", "qua") for b in ("re", "ti", "ou", "ma") for c in ("an", "er", "st", "ly", "xo")]
 
@@ -52,6 +55,29 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == seen[4]
 
 
+def test_run_equals_plain_python(spark, folder):
+    """Every stage once more without Spark: scores, components, windows, and the library's ids."""
+    P = pytest.importorskip("public_tokenizers")
+    from test_exact import brute_components, brute_report
+    from tokenizers import Tokenizer
+
+    path, docs = folder
+    model = train_quality(queries.table(spark, path, "documents"), queries.table(spark, path, "labels"))
+    texts = {d[0]: d[1] for d in docs}
+    texts = {i: t for i, t in texts.items() if model.graded(model.score(features_of(t)))[1] >= queries.LEAST_P_TOP}
+    comps = brute_components(texts)
+    texts = {i: t for i, t in texts.items() if comps[i][1] == i}
+    items = [tuple(r) for r in queries.table(spark, path, "benchmark").select("item_id", "text").collect()]
+    report = brute_report(list(texts.items()), items)
+    texts = {i: t for i, t in texts.items() if not report[i][4]}
+    library, at, expected = Tokenizer.from_file(str(P.path(queries.WORD_TOKENIZER))), 0, {}
+    for i in sorted(texts):
+        ids = [*library.encode(texts[i], add_special_tokens=False).ids, 2]
+        expected[i] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, path).collect()} == expected
+
+
 def test_mixing_keeps_rows_beside_a_source_of_one_row(spark):
     docs = [(i, f"s{i % 4}") for i in range(4000)] + [(9000, "lone"), (9001, None)]
     kept = corpus_pipeline.mixing(spark, spark.createDataFrame(docs, "doc_id long, source string"), "")
