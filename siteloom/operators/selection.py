@@ -20,14 +20,17 @@ def ranked(urls: DataFrame) -> DataFrame:
 
 
 def selected(urls: DataFrame, most: int) -> DataFrame:
-    """At most `most` pages of a site: its best homepage, then pages that score 3 or more, then the best of the rest."""
-    rows = ranked(urls)
-    home = (F.col("category") == "homepage") & (F.col("score") >= 10)
-    first = F.min(F.when(home, F.col("rank"))).over(Window.partitionBy("site"))
-    tier = F.when(F.col("rank") == first, 0).when(F.col("score") >= 3, 1).otherwise(2)
-    rows = rows.withColumn("tier", tier)
-    order = Window.partitionBy("site").orderBy("tier", "rank")
-    return rows.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= most)
+    """At most `most` of a site's distinct pages: its best homepage, then pages that score 3 or more, then the best of the rest.
+
+    The homepage is an aggregate with partial sums; the window's limit is applied in each task before the shuffle, so a
+    site with very many URLs sends few.
+    """
+    is_home = (F.col("category") == "homepage") & (F.col("score") >= 10)
+    home = urls.where(is_home).groupBy("site").agg(F.min(F.struct((-F.col("score")).alias("_s"), "url"))["url"].alias("_home"))
+    rows = urls.join(home, "site", "left")
+    tier = F.when(F.col("url") == F.col("_home"), 0).when(F.col("score") >= 3, 1).otherwise(2)
+    order = Window.partitionBy("site").orderBy("tier", F.desc("score"), "url")
+    return rows.withColumn("tier", tier).drop("_home").withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= most)
 
 
 def sufficient_batches(pages: DataFrame, batch_pages: int, most_pages: int = 100) -> DataFrame:
