@@ -12,6 +12,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from siteloom.llm.dac import Packed, pack
 _SHARDS = "_shards"
 _CACHE_WORDS = 400_000
 _BATCH_BYTES = 2_000_000
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -33,8 +35,8 @@ class CachedEncoder:
     """Ids of UTF-8 texts as little-endian u32 bytes, from the tokenizers library, each distinct word encoded once.
 
     For tokenizers that lower-case, drop white space, and never join across it, as word_bpe_49k does: texts are folded in
-    A-Z and cut at spaces and line feeds, a full stop or comma after a letter is a word of its own, and words of letters
-    only are encoded many at a time, told apart by the word-end mark that their last token carries. A text that holds the
+    A-Z and cut at spaces and line feeds, ASCII marks (no apostrophes) after a Latin letter are a word of their own, as the
+    tokenizer cuts there whatever follows, and words of letters only are encoded many at a time, told apart by the word-end mark that their last token carries. A text that holds the
     opening of a special token goes to the library as it is.
     """
 
@@ -55,18 +57,31 @@ class CachedEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        stem = {w: w[:-1] for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-        new = [w.decode("utf-8", "replace") for w in ({stem.get(w, w) for w in words} | {b".", b","}) - self.known.keys()]
-        letters = [w for w in new if w.isalpha()]
-        runs = [letters[i : i + 500] for i in range(0, len(letters), 500)]
-        for run, code in zip(runs, self._plain([" ".join(r) for r in runs])):
+        stem: dict[bytes, tuple[bytes, bytes]] = {}
+        ends = set(_MARKS)
+        marked = [w for w in words if w and w[-1] in ends]
+        parts = words.difference(marked)
+        for w in marked:
+            bare = w.rstrip(_MARKS)
+            last = bare[-2:].decode("utf-8", "ignore")[-1:]
+            if last.isalpha() and last < "\u0250" and last != "\u0130":
+                stem[w] = (bare, w[len(bare) :])
+                parts.update(stem[w])
+            else:
+                parts.add(w)
+        new = list(parts - self.known.keys())
+        texts = [w.decode("utf-8", "replace") for w in new]
+        only = [t.isalpha() for t in texts]
+        letters, names = list(compress(texts, only)), list(compress(new, only))
+        runs = [(letters[i : i + 500], names[i : i + 500]) for i in range(0, len(letters), 500)]
+        for (run, words_of_run), code in zip(runs, self._plain([" ".join(r) for r, _ in runs])):
             cuts = [0, *(4 * (np.flatnonzero(self.ends[np.frombuffer(code, "<u4")]) + 1)).tolist()]
             codes = [code[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(run) + 1 else self._plain(run)
-            self.known.update(zip((w.encode() for w in run), codes))
-        others = [w for w in new if not w.isalpha()]
-        self.known.update(zip((w.encode() for w in others), self._plain(others)))
-        for w, bare in stem.items():
-            self.known[w] = self.known[bare] + self.known[w[-1:]]
+            self.known.update(zip(words_of_run, codes))
+        others = [not x for x in only]
+        self.known.update(zip(compress(new, others), self._plain(list(compress(texts, others)))))
+        for w, (bare, marks) in stem.items():
+            self.known[w] = self.known[bare] + self.known[marks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > _CACHE_WORDS:
