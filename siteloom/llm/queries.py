@@ -13,9 +13,12 @@ from siteloom.llm.language import identify_languages, train_grams
 from siteloom.llm.mixing import mix
 from siteloom.llm.ngram_join import near_duplicates
 from siteloom.llm.pii import personal_data
+from siteloom.llm.prefix_trie import conversation_trie, rebuilt, turn_sequences
 from siteloom.llm.quality import graded, train_quality
+from siteloom.llm.ranked_search import ranked_search
 from siteloom.llm.token_counts import count_tokens
 from siteloom.llm.token_files import document_digests, write_token_file
+from siteloom.llm.toxicity import remainder, scored, train_toxicity
 
 #: Production parameters: the tokenizer of token files, and the vocabulary of token counts.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -79,6 +82,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    found = scored(docs.select("doc_id", "text"), model, keep_text=False)
+    return found.select(
+        "doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(rebuilt(turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -90,6 +111,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_toxicity": op11_toxicity,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _SPAN_PATTERNS = {
@@ -244,4 +268,63 @@ ORACLE_SQL = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op12_prefix_trie": """
+        WITH o AS (
+            SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), h AS (
+            SELECT c, s, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                       lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])),
+                           lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS h
+            FROM o
+        ), m AS (
+            SELECT h.c, coalesce(b.s, [])[1:h.h] || h.s[h.h + 1:] AS s
+            FROM h LEFT JOIN o AS b ON b.c = h.c - ((h.c % 5) + 5) % 5
+        ), p AS (
+            SELECT c, d, s[1:d] AS prefix, len(s) = d AS last, CASE WHEN d > 0 THEN strlen(s[d].t) ELSE 0 END AS bytes
+            FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM m)
+        ), n AS (
+            SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256
+            FROM p GROUP BY d, prefix
+        ), k AS (
+            SELECT n.d, n.prefix, count(*) AS n_children FROM n JOIN n AS x ON x.d = n.d + 1 AND x.prefix[1:n.d] = n.prefix GROUP BY ALL
+        ), below AS (
+            SELECT a.d, a.prefix, CAST(sum((x.n_convs - 1) * x.bytes) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves
+            FROM (SELECT d AS at, prefix AS whole, n_convs, bytes, unnest(range(0, d + 1)) AS d FROM n) AS x
+            JOIN n AS a ON a.d = x.d AND a.prefix = x.whole[1:x.d]
+            LEFT JOIN k ON k.d = x.at AND k.prefix = x.whole GROUP BY ALL
+        )
+        SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, below.n_leaves,
+               below.saved_tokens, n.ends_sha256
+        FROM n JOIN below USING (d, prefix) LEFT JOIN k USING (d, prefix) LEFT JOIN n AS u ON u.d = n.d - 1 AND u.prefix = n.prefix[1:n.d - 1]
+    """,
+    "op13_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), whole AS (
+            SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0
+        ), postings AS (
+            SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d
+        ), held AS (
+            SELECT r, doc_id, n, term, count(*) AS tf FROM postings WHERE term IN (SELECT term FROM q) GROUP BY ALL
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM whole) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held GROUP BY term
+        ), scores AS (
+            SELECT item_id, r, doc_id,
+                   CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * (SELECT n FROM whole)) // (SELECT l FROM whole))))) AS BIGINT) AS score
+            FROM q JOIN held USING (term) JOIN weights USING (term) GROUP BY item_id, r, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 10
+    """,
 }
