@@ -15,17 +15,24 @@ from siteloom.sources.scratch import saved
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
+    """The link targets of a page, in order. A tag ends before the next one begins, so that tags without an end are read once."""
+    return F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^<>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
 
 
-def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Distinct (src, dst) links inside a site, in canonical form."""
+def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(src, ord, dst) of the links inside a site, in canonical form; `ord` is a link's first place on its page."""
     page = F.col(url)
     # the page's own form is made before its links are unnested, once for a page
     found = pages.select(page.alias("_url"), canonical_url(page, page).alias("src"), F.array_distinct(hrefs(F.col(html))).alias("_hrefs"))
-    found = found.where("src IS NOT NULL").select("_url", "src", F.explode("_hrefs").alias("_href"))
-    found = found.select("src", canonical_url(F.col("_url"), F.col("_href")).alias("dst"))
-    return found.where(F.col("dst").isNotNull() & same_site(F.col("src"), F.col("dst"))).distinct()
+    found = found.where("src IS NOT NULL").select("_url", "src", F.posexplode("_hrefs").alias("ord", "_href"))
+    found = found.select("src", "ord", canonical_url(F.col("_url"), F.col("_href")).alias("dst"))
+    found = found.where(F.col("dst").isNotNull() & same_site(F.col("src"), F.col("dst")))
+    return found.groupBy("src", "dst").agg(F.min("ord").alias("ord")).select("src", "ord", "dst")
+
+
+def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Distinct (src, dst) links inside a site, in canonical form."""
+    return page_links(pages, url, html).select("src", "dst")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int, per_site: int | None = None) -> DataFrame:
@@ -51,27 +58,27 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int, per_site: int | No
     return visited
 
 
-def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
-    """(url, kind, loc) of sitemap documents (url, body): kind is page or sitemap. Bodies that are no XML have none."""
-    body = F.regexp_replace("body", r"\sxmlns(:\w+)?\s*=\s*[\"'][^\"']*[\"']", "")
+def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
+    """(url, kind, ord, loc) of sitemap documents (url, body), in order; kind is page or sitemap. Bodies that are no XML have none.
+
+    Documents are cut at the end of each entry, and a location ends before the next tag, so each is read once.
+    """
 
     def of(kind: str, outer: str) -> Column:
-        blocks = F.regexp_extract_all(body, F.lit(rf"(?is)<{outer}\b[^>]*>(.*?)</{outer}>"), F.lit(1))
-        locs = F.transform(blocks, lambda b: strip(F.regexp_extract(b, r"(?is)<loc\b[^>]*>(.*?)</loc>", 1)))
-        return F.transform(F.filter(locs, lambda x: x != ""), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("loc")))
+        parts = F.split("body", rf"(?i)</{outer}\s*>", -1)
+        inside = F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda b: b.rlike(rf"(?i)<{outer}[\s>]"))
+        inside = F.transform(inside, lambda b: F.element_at(F.split(b, rf"(?i)<{outer}(?=[\s>])", -1), -1))
+        locs = F.flatten(F.transform(inside, lambda b: F.regexp_extract_all(b, F.lit(r"(?i)<loc(?:\s[^<>]*)?>(?:\s*<!\[CDATA\[)?([^<]*+)"), F.lit(1))))
+        locs = F.transform(locs, lambda x: F.replace(strip(F.regexp_replace(x, r"\]\]>\s*\z", "")), F.lit("&amp;"), F.lit("&")))
+        return F.transform(F.filter(locs, lambda x: x != ""), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), x.alias("loc")))
 
     both = F.concat(of("page", "url"), of("sitemap", "sitemap"))
-    found = sitemaps.select("url", F.explode(both).alias("x")).select("url", "x.kind", F.replace("x.loc", F.lit("&amp;"), F.lit("&")).alias("loc"))
-    return found.distinct()
+    return sitemaps.where("body IS NOT NULL").select("url", F.explode(both).alias("x")).select("url", "x.kind", "x.ord", "x.loc")
 
 
-def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """(site, url) of the pages that the sitemaps of `roots` (site, url) list, over at most `depth` levels of indexes."""
-    known = sitemap_locations(sitemaps)
-    tree = reachable(known.where("kind = 'sitemap'").select(F.col("url").alias("src"), F.col("loc").alias("dst")), roots, depth)
-    pages = tree.join(known.where("kind = 'page'").withColumnRenamed("url", "_map"), F.col("url") == F.col("_map"))
-    pages = pages.select("site", F.col("loc").alias("url")).distinct()
-    return pages.where(same_site(F.col("site"), F.col("url")))
+def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
+    """Distinct (url, kind, loc) of sitemap documents (url, body)."""
+    return sitemap_entries(sitemaps).select("url", "kind", "loc").distinct()
 
 
 #: Fixed value. The name under which sites are asked for.
@@ -164,35 +171,224 @@ def unzipped(raw: DataFrame) -> DataFrame:
     return raw.select("url", F.pandas_udf(opened, "string")(F.col("content")).alias("body"))
 
 
+def closed_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct `url` of `urls` that the rules of their own host close."""
+    asked = urls.select("url").distinct()
+    return asked.join(allowed(asked, rules), "url", "left_anti")
+
+
+def _open_on_site(rows: DataFrame, closed: DataFrame, sites: DataFrame) -> DataFrame:
+    """The rows (site, url, ...) that the robots file of the site's start does not close; it says nothing of other hosts."""
+    hosts = sites.select("site", host_of(F.col("start")).alias("_host"))
+    shut = closed.withColumn("_shut", F.lit(True)).join(hosts, host_of(F.col("url")) == F.col("_host")).select("site", "url")
+    return rows.join(shut, ["site", "url"], "left_anti")
+
+
+def walked_sitemaps(
+    sites: DataFrame, roots: DataFrame, sitemaps: DataFrame, rules: DataFrame,
+    most: int = 1000, most_visited: int = 25, most_known: int = 30, batch: int = 5,
+) -> tuple[DataFrame, DataFrame]:
+    """((site, url) of listed pages, (site, url) of visited sitemaps) of `sites` (site, start), from `roots` (site, url, ord).
+
+    Each site has a queue of sitemaps, of which a round takes the first `batch`; a round with none that is new ends the
+    site's walk, and so do `most` pages or `most_visited` visited sitemaps before it. A child goes to the end of the queue
+    if it is not visited and visited and queued ones are fewer than `most_known`. A sitemap adds pages in order until the
+    site has `most` of them, and one at least. All sites take their rounds together, and quotas are running counts in order
+    of queue and place; a round is written, and there are at most `most_visited` of them.
+
+    Pages are canonical, of the site's domain and not closed by its robots file.
+    """
+    entries = saved(sitemap_entries(sitemaps), "sitemap-entries")
+    here = Window.partitionBy("site")
+    closed = saved(closed_urls(entries.where("kind = 'page'").select(canonical_url(F.col("loc"), F.col("loc")).alias("url")), rules), "closed")
+    queue = roots.withColumn("pos", F.row_number().over(here.orderBy("ord", "url")).cast("long")).select("site", "pos", "url")
+    queue = saved(queue, "sitemap-queue")
+    visited = pages = None
+    for k in range(most_visited):
+        ranked = queue.withColumn("_n", F.row_number().over(here.orderBy("pos"))).withColumn("_queued", F.count(F.lit(1)).over(here))
+        if visited is not None:
+            done = visited.groupBy("site").agg(F.count(F.lit(1)).alias("_visited"))
+            got = pages.groupBy("site").agg(F.count(F.lit(1)).alias("_pages"))
+            ranked = ranked.join(done, "site", "left").join(got, "site", "left")
+            ranked = ranked.where((F.coalesce("_visited", F.lit(0)) < most_visited) & (F.coalesce("_pages", F.lit(0)) < most))
+            ranked = ranked.drop("_visited", "_pages")
+        fresh = ranked.where(F.col("_n") <= batch)
+        fresh = fresh if visited is None else fresh.join(visited, ["site", "url"], "left_anti")
+        fresh = saved(fresh.select("site", "pos", "url", "_queued"), "sitemap-batch")
+        if fresh.isEmpty():
+            break
+        # what all sites have after this round
+        now = fresh.select("site", "url").distinct()
+        visited = now if visited is None else visited.union(now)
+        counts = visited.groupBy("site").agg(F.count(F.lit(1)).alias("_visited"))
+        listed = fresh.join(entries.withColumnRenamed("url", "_map"), F.col("url") == F.col("_map")).select("site", "pos", "_queued", "kind", "ord", "loc")
+        place = F.struct("pos", "ord")
+        found = listed.where("kind = 'page'").join(sites, "site").select("site", "pos", "ord", "start", canonical_url(F.col("start"), F.col("loc")).alias("url"))
+        found = found.where(F.col("url").isNotNull() & same_site(F.col("start"), F.col("url"))).select("site", "pos", "ord", "url")
+        found = _open_on_site(found, closed, sites)
+        known = found.withColumn("_first", F.row_number().over(Window.partitionBy("site", "url").orderBy("pos", "ord")) == 1)
+        known = known.withColumn("_head", F.row_number().over(Window.partitionBy("site", "pos").orderBy("ord")) == 1)
+        if pages is not None:
+            before = pages.groupBy("site").agg(F.count(F.lit(1)).alias("_before"))
+            old = pages.withColumn("_old", F.lit(True))
+            known = known.join(old, ["site", "url"], "left").join(before, "site", "left")
+            known = known.withColumn("_first", F.col("_first") & F.col("_old").isNull())
+        else:
+            known = known.withColumns({"_old": F.lit(None).cast("boolean"), "_before": F.lit(0)})
+        earlier = F.sum(F.col("_first").cast("int")).over(here.orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+        taken = known.withColumn("_have", F.coalesce("_before", F.lit(0)) + F.coalesce(earlier, F.lit(0)))
+        taken = taken.where(F.col("_old").isNull() & ((F.col("_have") < most) | F.col("_head"))).select("site", "url").distinct()
+        taken = saved(taken, "sitemap-pages")
+        children = listed.where("kind = 'sitemap'").select("site", "pos", "ord", F.col("loc").alias("url"), "_queued")
+        children = children.join(visited, ["site", "url"], "left_anti").join(counts, "site")
+        left = F.greatest(F.col("_queued") - batch, F.lit(0)) + F.col("_visited")
+        children = children.withColumn("_n", F.row_number().over(here.orderBy("pos", "ord", "url"))).where(F.col("_n") - 1 + left < most_known)
+        rest = ranked.where(F.col("_n") > batch).join(fresh.select("site").distinct(), "site", "left_semi").select("site", "pos", "url")
+        added = children.select("site", (F.col("_n") + (k + 1) * 1_000_000_000).alias("pos"), "url")
+        queue = saved(rest.union(added), "sitemap-queue")
+        pages = taken if pages is None else pages.union(taken)
+    if visited is None:
+        none = sites.select("site", F.col("start").alias("url")).limit(0)
+        return none, none
+    return pages, visited
+
+
+def sitemap_pages(sites: DataFrame, roots: DataFrame, sitemaps: DataFrame, rules: DataFrame, **caps: int) -> DataFrame:
+    """(site, url) of the pages that the sitemaps of `sites` list; see `walked_sitemaps`."""
+    return walked_sitemaps(sites, roots, sitemaps, rules, **caps)[0]
+
+
+def walked_links(
+    sites: DataFrame, starts: DataFrame, links: DataFrame, rules: DataFrame, depth: int = 2, most: int = 400, seeds: int = 10, batch: int = 5
+) -> DataFrame:
+    """(site, url, depth, fetched) of what a walk over `links` (src, ord, dst) finds from `starts` (site, n, url).
+
+    Each site has a queue: the first `seeds` of its starts, and then what is found, in order of the page that links there
+    and of the link's place on it, down to `depth`; links of pages of that depth are found, but not walked. Pages are taken
+    `batch` at a time while less than `most` URLs are found, starts included; a batch is finished when the last is found,
+    and what is found from then on is not queued. `fetched` are the pages that were taken.
+
+    Levels are joined for all sites together. Inside a level the queue's order is a running count, so no site sends more
+    than `most` pages to the next; where batches begin and end, and with which one a site stops, is decided by a fold over
+    its at most `most` positions when all levels are there.
+    """
+    links = saved(links.select("src", "ord", "dst"), "links")
+    closed = saved(closed_urls(links.select(F.col("dst").alias("url")), rules), "closed")
+    here = Window.partitionBy("site")
+    starts = saved(starts.groupBy("site", "url").agg(F.min("n").alias("n")), "walk-starts")
+    queue = starts.where(F.col("n") < seeds).select("site", "url", (F.row_number().over(here.orderBy("n")) - 1).alias("pos"), F.lit(0).alias("depth"))
+    queue = saved(queue, "walk-queue")
+    known = starts.groupBy("site").agg(F.count(F.lit(1)).alias("found"))
+    known = saved(known.join(queue.groupBy("site").agg(F.count(F.lit(1)).alias("queued")), "site"), "walk-counts")
+    first_counts, positions, levels = known, [queue], []
+    seen = starts.select("site", "url")
+    for k in range(depth + 1):
+        reached = queue.join(links, F.col("url") == F.col("src")).select("site", "pos", "ord", F.col("dst").alias("url"))
+        best = reached.groupBy("site", "url").agg(F.min(F.struct("pos", "ord")).alias("at")).join(seen, ["site", "url"], "left_anti")
+        best = _open_on_site(best, closed, sites)
+        best = best.withColumn("_n", F.row_number().over(here.orderBy("at", "url"))).join(known, "site")
+        queues = (F.lit(k + 1 <= depth)) & (F.col("found") + F.col("_n") < most)
+        level = best.select(
+            "site", "url", F.col("at.pos").alias("parent"), F.lit(k + 1).alias("depth"), queues.alias("queued"), (F.col("queued") + F.col("_n") - 1).alias("pos"),
+        )
+        level = saved(level, "walk-level")
+        levels.append(level)
+        if k == depth or level.isEmpty():
+            break
+        more = level.groupBy("site").agg(F.count(F.lit(1)).alias("_found"), F.count_if("queued").alias("_queued"))
+        known = known.join(more, "site", "left").select(
+            "site", (F.col("found") + F.coalesce("_found", F.lit(0))).alias("found"), (F.col("queued") + F.coalesce("_queued", F.lit(0))).alias("queued")
+        )
+        known = saved(known, "walk-counts")
+        seen = seen.union(level.select("site", "url"))
+        queue = level.where("queued").select("site", "url", "pos", "depth")
+        positions.append(queue)
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.union(level)
+    taken = positions[0]
+    for some in positions[1:]:
+        taken = taken.union(some)
+    gains = every.groupBy("site", "parent").agg(F.count(F.lit(1)).alias("_new"), F.count_if("queued").alias("_more")).withColumnRenamed("parent", "pos")
+    steps = taken.join(gains, ["site", "pos"], "left").groupBy("site").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_new", F.lit(0)).alias("new"), F.coalesce("_more", F.lit(0)).alias("more")))).alias("_steps")
+    )
+    zero = F.struct(
+        F.lit(0).cast("long").alias("stop"), F.col("queued").cast("long").alias("known"), F.col("found").cast("long").alias("found"),
+        F.lit(False).alias("over"), F.lit(0).cast("long").alias("seen"),
+    )
+
+    def step(a: Column, x: Column) -> Column:
+        begins = x["pos"] == a["stop"]
+        over = a["over"] | (begins & (a["found"] >= most))
+        then = lambda new, old: F.when(over, old).otherwise(new).cast("long")
+        return F.struct(
+            F.when(begins, F.least(x["pos"] + batch, a["known"])).otherwise(a["stop"]).cast("long").alias("stop"),
+            then(a["known"] + x["more"], a["known"]).alias("known"), then(a["found"] + x["new"], a["found"]).alias("found"),
+            over.alias("over"), then(x["pos"] + 1, a["seen"]).alias("seen"),
+        )
+
+    ends = steps.join(first_counts, "site").select("site", F.aggregate("_steps", zero, step)["seen"].alias("_seen"))
+    ends = saved(ends, "walk-ends")
+    found = every.join(ends, "site").where(F.col("parent") < F.col("_seen")).select("site", "url", "depth", (F.col("queued") & (F.col("pos") < F.col("_seen"))).alias("fetched"))
+    first = positions[0].select("site", "url", "pos")
+    begun = starts.join(first, ["site", "url"], "left").join(ends, "site", "left")
+    begun = begun.select("site", "url", F.lit(0).alias("depth"), F.coalesce(F.col("pos") < F.col("_seen"), F.lit(False)).alias("fetched"))
+    return begun.union(found)
+
+
 def discovered(
-    sites: DataFrame, listed: DataFrame, edges: DataFrame, rules: DataFrame, depth: int = 2, most: int = 400, seeds: int = 10, most_listed: int = 1000
+    sites: DataFrame, listed: DataFrame, links: DataFrame, rules: DataFrame, depth: int = 2, most: int = 400, seeds: int = 10, batch: int = 5
 ) -> DataFrame:
-    """(site, url, source, depth) of what is found on `sites` (site, start): the start itself, up to `most_listed` pages of
-    sitemaps (`listed`: site, url), and what `depth` steps over allowed links reach from the start and the first `seeds`
-    listed pages, until a site has `most` URLs. Of several sources the first holds; lists and steps go by URL.
+    """(site, url, listed, walked, depth, fetched, n_starts) of what is found on `sites` (site, start): the start, the pages of
+    sitemaps (`listed`: site, url), and what a walk from the start and the first ten listed pages finds (`walked_links`).
+
+    Listed pages are taken by URL; a start that is listed too is one of the ten. `links` has (src, ord, dst), or (src, dst).
     """
-    edges, rules = saved(edges, "links"), saved(rules, "rules")
-    order = Window.partitionBy("site").orderBy("url")
-    listed = allowed(listed.select("site", "url").distinct(), rules).withColumn("_n", F.row_number().over(order))
-    listed = saved(listed.where(F.col("_n") <= most_listed), "listed")
-    start = sites.select("site", F.col("start").alias("url"))
-    first = start.union(listed.where(F.col("_n") <= seeds).select("site", "url")).distinct()
-    open_edges = edges.join(allowed(edges.select(F.col("dst").alias("url")).distinct(), rules), F.col("dst") == F.col("url"), "left_semi")
-    walked = reachable(open_edges, first, depth, most)
-    rows = start.select("site", "url", F.lit(0).alias("_rank"), F.lit(0).alias("depth"))
-    rows = rows.union(listed.select("site", "url", F.lit(1), F.lit(0))).union(walked.select("site", "url", F.lit(2), "depth"))
-    best = rows.groupBy("site", "url").agg(F.min(F.struct("_rank", "depth")).alias("b"))
-    source = F.element_at(F.array(*map(F.lit, ("start", "sitemap", "links"))), F.col("b._rank") + 1)
-    return best.select("site", "url", source.alias("source"), F.col("b.depth").alias("depth"))
-
-
-def discovery_summary(found: DataFrame) -> DataFrame:
-    """Per site of `discovered`: counts by source and the sorted URLs, at most as many as a site's caps allow."""
-    n = lambda s: F.count_if(F.col("source") == s)
-    return found.groupBy("site").agg(
-        F.count(F.lit(1)).alias("total_discovered"), n("sitemap").alias("sitemap_urls_count"), n("links").alias("bfs_urls_count"),
-        F.array_sort(F.collect_list("url")).alias("urls"),
+    links = links if "ord" in links.columns else links.withColumn("ord", F.lit(0))
+    listed = saved(listed.select("site", "url").distinct(), "listed")
+    first = listed.select("site", F.row_number().over(Window.partitionBy("site").orderBy("url")).alias("n"), "url").where(F.col("n") <= 10)
+    starts = saved(sites.select("site", F.lit(0).alias("n"), F.col("start").alias("url")).union(first), "starts")
+    walked = walked_links(sites, starts, links, rules, depth, most, seeds, batch)
+    sizes = starts.groupBy("site").agg(F.count(F.lit(1)).alias("n_starts"))
+    none = F.lit(None)
+    rows = walked.select("site", "url", F.lit(False).alias("listed"), F.lit(True).alias("walked"), "depth", "fetched")
+    rows = rows.union(listed.select("site", "url", F.lit(True), F.lit(False), none.cast("int"), F.lit(False)))
+    rows = rows.groupBy("site", "url").agg(
+        F.bool_or("listed").alias("listed"), F.bool_or("walked").alias("walked"), F.min("depth").alias("depth"), F.bool_or("fetched").alias("fetched")
+    )
+    return rows.join(sizes, "site")
+
+
+def discovery_summary(found: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Per site of `discovered`: all URLs in order and their number, how many sitemaps list, and how many the walk has beyond
+    its starts; with `errors` (site, stage, url, error, message) also those, in order."""
+    rows = found.groupBy("site").agg(
+        F.count(F.lit(1)).alias("total_discovered"), F.count_if("listed").alias("sitemap_urls_count"),
+        (F.count_if("walked") - F.first("n_starts")).alias("bfs_urls_count"), F.array_sort(F.collect_list("url")).alias("urls"),
     )
+    if errors is None:
+        return rows
+    lists = errors.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("stage", "url", "error", "message"))).alias("errors"))
+    kind = dict(lists.dtypes)["errors"]
+    return rows.join(lists, "site", "left").withColumn("errors", F.coalesce("errors", F.array().cast(kind)))
+
+
+def discovery_errors(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, visited: DataFrame, pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(site, stage, url, error, message) of what was asked for and failed: robots files (host, error, message), visited
+    sitemaps and fetched pages (url, error, message). Rows without an error did not fail."""
+    home = sites.select("site", host_of(F.col("start")).alias("host"), F.regexp_extract("start", r"^([a-z]+://[^/?#]*)", 1).alias("_root"))
+    robot = robots.where("error IS NOT NULL").join(home, "host")
+    robot = robot.select("site", F.lit("robots_discovery").alias("stage"), F.concat("_root", F.lit("/robots.txt")).alias("url"), "error", "message")
+    failed = lambda t: t.where("error IS NOT NULL").select("url", "error", "message")
+    maps = visited.join(failed(sitemaps), "url").select("site", F.lit("sitemap_parse").alias("stage"), "url", "error", "message")
+    walked = found.where("fetched").select("site", "url").join(failed(pages), "url")
+    return robot.union(maps).union(walked.select("site", F.lit("bfs_link_fetch").alias("stage"), "url", "error", "message"))
+
+
+def write_discovery(summary: DataFrame, path: str) -> None:
+    """Summaries as JSON, one object for each site; empty lists are kept."""
+    summary.withColumnRenamed("site", "domain").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def url_union(*sources: DataFrame) -> DataFrame:

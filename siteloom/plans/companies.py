@@ -158,11 +158,6 @@ def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.allowed(urls, links.robots_rules(fixtures.robots(spark)))
 
 
-def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = spark.createDataFrame([("https://h.example/", "https://h.example/map.xml")], "site string, url string")
-    return links.sitemap_pages(fixtures.sitemaps(spark), roots)
-
-
 def company_revenue_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by region and nation with all subtotals, from line items up."""
     t = lambda n: _table(spark, sf_dir, n)
@@ -179,7 +174,7 @@ QUERIES = {
     for f in (
         emails_validated, numbers_validated, scalar_vectors, site_completeness, registry_search, registry_top_gap, latest_records,
         nested_records, best_record_priority, first_status, vote_argmax, history_latest, jurisdictions, uk_resolution, ny_resolution,
-        sequence_similarity, wiki_infobox, robots_allowed, sitemap_pages, company_revenue_cube,
+        sequence_similarity, wiki_infobox, robots_allowed, company_revenue_cube,
     )
 }
 
@@ -292,8 +287,6 @@ ORACLE_SQL = {
             ('Acme', 'full_address', 'Leeds'), ('Acme', 'website', 'https://acme.example')) t(title, field, value)""",
     "robots_allowed": """
         SELECT * FROM (VALUES ('https://h.example/'), ('https://h.example/public'), ('https://o.org/private')) t(url)""",
-    "sitemap_pages": """
-        SELECT 'https://h.example/' AS site, url FROM (VALUES ('https://h.example/a?x=1&y=2'), ('https://sub.h.example/b')) t(url)""",
     "company_revenue_cube": """
         SELECT r_name, n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS revenue,
                count(DISTINCT l_orderkey) AS n_orders

@@ -76,8 +76,3 @@ def robots(spark: SparkSession) -> DataFrame:
     )
     return spark.createDataFrame([("h.example", body)], "host string, body string")
 
-
-def sitemaps(spark: SparkSession) -> DataFrame:
-    index = '<sitemapindex xmlns="http://x"><sitemap><loc>https://h.example/m1.xml</loc></sitemap><sitemap><loc> https://h.example/map.xml </loc></sitemap></sitemapindex>'
-    pages = "<urlset><url><loc>https://h.example/a?x=1&amp;y=2</loc></url><url><loc>https://sub.h.example/b</loc></url><url><loc>https://o.org/</loc></url></urlset>"
-    return spark.createDataFrame([("https://h.example/map.xml", index), ("https://h.example/m1.xml", pages), ("https://h.example/bad", "<not")], "url string, body string")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.functions.urls import host_of
+from siteloom.functions.urls import canonical_url, host_of, path_of
 from siteloom.operators import candidates, links, registry, resolution
 from siteloom.plans import web
 from siteloom.sources.pages import parse_pages, read_pages
@@ -135,12 +135,32 @@ def robots_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.allowed(read_pages(spark, sf_dir).select("page_id", "url"), links.robots_rules(_robots(spark, sf_dir))).select("page_id", "url")
 
 
+def _sitemaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sites, roots, sitemaps): an index for each host, at the place its robots file names, over a sitemap for each language."""
+    pages = read_pages(spark, sf_dir).select(host_of(F.col("url")).alias("site"), canonical_url(F.col("url"), F.col("url")).alias("url"))
+    pages = pages.distinct().withColumn("part", F.split_part(path_of(F.col("url")), F.lit("/"), F.lit(2)))
+    loc = lambda url: _join("<loc>", F.replace(url, F.lit("&"), F.lit("&amp;")), "</loc>")
+    child = _join("https://", F.col("site"), "/map-", F.col("part"), ".xml")
+    listed = lambda rows, of: F.array_join(F.array_sort(F.collect_list(_join(f"<{of}>", loc(rows), f"</{of}>"))), "\n")
+    maps = pages.groupBy("site", "part").agg(listed(F.col("url"), "url").alias("entries"))
+    leaves = maps.select(child.alias("url"), _join('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', F.col("entries"), "</urlset>").alias("body"))
+    index = maps.groupBy("site").agg(listed(child, "sitemap").alias("entries"))
+    index = index.select(_join("https://", F.col("site"), "/map.xml").alias("url"), _join("<sitemapindex>", F.col("entries"), "</sitemapindex>").alias("body"))
+    sites = pages.select("site").distinct().withColumn("start", _join("https://", F.col("site"), "/"))
+    return sites, links.sitemap_roots(sites, links.robots_rules(_robots(spark, sf_dir))), index.union(leaves)
+
+
+def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that the sitemaps of each host list and its robots file allows."""
+    return links.sitemap_pages(*_sitemaps(spark, sf_dir), links.robots_rules(_robots(spark, sf_dir)))
+
+
 def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is found on each host: its start page, its pages as sitemap, and links over two steps, under its robots file."""
-    edges = saved(links.link_edges(read_pages(spark, sf_dir)), "links")
-    listed = edges.select(host_of(F.col("src")).alias("site"), F.col("src").alias("url")).distinct()
-    sites = listed.select("site").distinct().withColumn("start", _join("https://", F.col("site"), "/"))
-    found = links.discovered(sites, listed, edges, links.robots_rules(_robots(spark, sf_dir)), seeds=3)
+    """What is found on each host: its start page, its sitemaps, and links, under its robots file and the usual caps."""
+    sites, roots, sitemaps = _sitemaps(spark, sf_dir)
+    sites, rules = saved(sites, "sites"), saved(links.robots_rules(_robots(spark, sf_dir)), "rules")
+    listed = links.sitemap_pages(sites, roots, sitemaps, rules)
+    found = links.discovered(sites, listed, links.page_links(read_pages(spark, sf_dir)), rules)
     rows = links.discovery_summary(found)
     return rows.select("site", "total_discovered", "sitemap_urls_count", "bfs_urls_count", F.array_join("urls", " ").alias("urls"))
 
@@ -159,7 +179,8 @@ def wiki_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (company_candidates, company_reports, registry_lookup, robots_pages, discovery_report, wiki_verified)
+    f.__name__: f
+    for f in (company_candidates, company_reports, registry_lookup, robots_pages, sitemap_pages, discovery_report, wiki_verified)
 }
 
 _C = f"SELECT *, street || ', ' || city || CASE WHEN kind = 0 THEN ', ' || code ELSE ', ' || state || ' ' || code END AS line FROM ({_COMPANY})"
@@ -232,23 +253,30 @@ ORACLE_SQL = {
             SELECT id FROM (SELECT arg_max(o_custkey, struct_pack(p := o_totalprice, k := o_orderkey)) AS id
                             FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey))""",
     "robots_pages": f"SELECT page_id, url FROM pages WHERE {_ALLOWED_SQL}",
+    "sitemap_pages": f"""
+        SELECT DISTINCT {web._HOST} AS site, url FROM (SELECT {web._canonical_sql("url")} AS url FROM pages) WHERE {_ALLOWED_SQL}""",
     "discovery_report": f"""
         WITH RECURSIVE raw AS ({web._EDGES_SQL}),
         edges AS (SELECT src, dst FROM (SELECT *, dst AS url FROM raw) WHERE {_ALLOWED_SQL}),
-        listed AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) AS n
-                   FROM (SELECT DISTINCT {web._HOST.replace("url,", "src,")} AS site, src AS url FROM raw) WHERE {_ALLOWED_SQL}),
-        starts AS (SELECT DISTINCT {web._HOST.replace("url,", "src,")} AS site, 'https://' || {web._HOST.replace("url,", "src,")} || '/' AS url FROM raw),
-        walk AS (
-            SELECT site, url, 0 AS depth FROM starts UNION SELECT site, url, 0 FROM listed WHERE n <= 3
-            UNION SELECT site, dst, depth + 1 FROM walk JOIN edges ON url = src WHERE depth < 2
+        own AS (SELECT DISTINCT {web._HOST} AS site, {web._canonical_sql("url")} AS url FROM pages),
+        listed AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) AS n FROM own WHERE {_ALLOWED_SQL}),
+        starts AS (
+            SELECT site, 'https://' || site || '/' AS url, 0 AS n FROM (SELECT DISTINCT site FROM own)
+            UNION ALL SELECT site, url, n FROM listed WHERE n <= 10
         ),
-        every AS (
-            SELECT site, url, 0 AS source FROM starts UNION ALL SELECT site, url, 1 FROM listed UNION ALL SELECT site, url, 2 FROM walk
+        -- ten pages are walked, and links of pages two steps away still count
+        walk AS (
+            SELECT site, url, 0 AS depth FROM starts WHERE n < 10
+            UNION SELECT site, dst, depth + 1 FROM walk JOIN edges ON url = src WHERE depth < 3
         ),
-        best AS (SELECT site, url, min(source) AS source FROM every GROUP BY ALL)
-        SELECT site, count(*) AS total_discovered, count(*) FILTER (WHERE source = 1) AS sitemap_urls_count,
-               count(*) FILTER (WHERE source = 2) AS bfs_urls_count, string_agg(url, ' ' ORDER BY url) AS urls
-        FROM best GROUP BY site""",
+        found AS (SELECT site, url FROM walk UNION SELECT site, url FROM starts),
+        every AS (SELECT site, url FROM found UNION SELECT site, url FROM listed)
+        SELECT site, count(*) AS total_discovered, any_value(sitemap_urls_count) AS sitemap_urls_count,
+               any_value(bfs_urls_count) AS bfs_urls_count, string_agg(url, ' ' ORDER BY url) AS urls
+        FROM every
+        LEFT JOIN (SELECT site, count(url) AS sitemap_urls_count FROM (SELECT DISTINCT site FROM own) LEFT JOIN listed USING (site) GROUP BY site) USING (site)
+        LEFT JOIN (SELECT site, (SELECT count(*) FROM found f WHERE f.site = s.site) - count(*) AS bfs_urls_count FROM starts s GROUP BY site) USING (site)
+        GROUP BY site""",
     "wiki_verified": f"""
         WITH c AS ({_C})
         SELECT name AS brand, CASE WHEN k % 7 <> 0 THEN name ELSE name || ' (disambiguation)' END AS title,
