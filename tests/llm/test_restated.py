@@ -65,53 +65,35 @@ def test_token_counts_of_equal_scores_and_a_full_cache(monkeypatch):
         PieceCounter([("a▁b", -1.0)])
 
 
-def plain_pfair(weights, blocks):
-    """Slots by earliest deadline first, release and deadline from the ideal flow, followed event by event."""
-    ends, flow, now = {s: [] for s in weights}, dict.fromkeys(weights, Fraction(0)), Fraction(0)
-    starts = {s: [Fraction(0)] for s in weights}
-    while alive := [s for s in weights if flow[s] < blocks[s]]:
-        total = sum(weights[s] for s in alive)
-        step = min((math.floor(flow[s]) + 1 - flow[s]) * total / weights[s] for s in alive)
-        now += step
-        for s in alive:
-            flow[s] += step * weights[s] / total
-            if flow[s].denominator == 1:
-                ends[s].append(now)
-                starts[s].append(now)
-    done, out = dict.fromkeys(weights, 0), []
-    for slot in range(sum(blocks.values())):
-        ready = [s for s in weights if done[s] < blocks[s] and starts[s][done[s]] < slot + 1]
-        s = min(ready, key=lambda s: (math.ceil(ends[s][done[s]]), s))
-        out.append((s, done[s]))
-        done[s] += 1
-    return out
-
-
 @pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 1.0, "c": 0.3, None: 2.5}])
 def test_mix_slot_by_slot(spark, weights):
+    """Every prefix of the slots against the ideal flow, restated event by event, and every source's rows in their order."""
     rng = random.Random(4)
     docs = [(rng.randrange(300), rng.choices(["a", "b", "c", None], [6, 2, 1, 1])[0]) for _ in range(500)] + [(None, "a"), (None, "a")]
     rows = spark.createDataFrame(docs, "doc_id long, source string").repartition(3)
-    got = mix(rows, weights=weights, block_rows=7).select("source", "doc_id", F.xxhash64("doc_id").alias("h"), "mix.*").collect()
+    got = mix(rows, weights=weights, block_rows=6, stretch=25).select("source", F.xxhash64("doc_id", "source").alias("h"), "mix.*").collect()
     sizes = {s: sum(x == s for _, x in docs) for _, s in docs}
-    names = {s: "" if s is None else f"={s}" for s in sizes}
-    share = {names[s]: Fraction(float(n) ** 0.9 if weights is None else weights[s]) for s, n in sizes.items()}
-    slots = {b: k for k, b in enumerate(plain_pfair(share, {names[s]: -(-n // 7) for s, n in sizes.items()}))}
+    share = {s: Fraction(float(n) ** 0.9 if weights is None else weights[s]) for s, n in sizes.items()}
+    units = {s: -(-n // 3) for s, n in sizes.items()}
     assert len(got) == len(docs)
+    order = {r.slot: r.source for r in got}
+    assert sorted(order) == list(range(sum(units.values())))
+    had, flow = dict.fromkeys(units, 0), dict.fromkeys(units, Fraction(0))
+    for slot in range(len(order)):
+        had[order[slot]] += 1
+        left = Fraction(1)
+        while left:
+            alive = [s for s in units if flow[s] < units[s]]
+            total = sum(share[s] for s in alive)
+            step = min([left / total, *((units[s] - flow[s]) / share[s] for s in alive)])
+            for s in alive:
+                flow[s] += step * share[s]
+            left -= step * total
+        assert all(abs(had[s] - flow[s]) < 2 for s in units)
     for s in sizes:
-        own = sorted((r for r in got if r.source == s), key=lambda r: (r.block, r.position))
-        assert [(r.block, r.position) for r in own] == [divmod(k, 7) for k in range(sizes[s])]
-        assert [(r.h % 1024, r.h, r.doc_id is not None, r.doc_id) for r in own] == sorted(((r.h % 1024, r.h, r.doc_id is not None, r.doc_id) for r in own), key=lambda x: (x[0], x[1], x[2], x[3] or 0))
-        assert all(slots[names[s], r.block] == r.slot for r in own)
-
-
-def test_mix_bounds_its_blocks_and_refuses_weights(spark):
-    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 900, "a").otherwise("b").alias("source"))
-    got = mix(rows, most_blocks=20).select("mix.*").collect()
-    assert len(got) == 1000 and max(r.position for r in got) == 49 and len({r.slot for r in got}) == 20
-    for wrong in (0.0, -1.0, float("nan")):
-        with pytest.raises(ValueError, match="not above zero"):
-            mix(rows, weights={"a": 1.0, "b": wrong})
+        own = sorted((r for r in got if r.source == s), key=lambda r: (r.slot, r.position))
+        assert [(r.block, r.position) for r in own] == [(k // 6, k % 3) for k in range(sizes[s])]
+        assert [r.h for r in own] == sorted(r.h for r in own)
 
 
 def test_ordinal_fit_is_near_the_optimum():
