@@ -429,7 +429,8 @@ def row_keys(docs: DataFrame, id_col: str, text_col: str, small: int) -> tuple[D
     """`docs` with `_key`, which no two different texts share, and (_key, _id) of the keys that are no ids, if any.
 
     Rows that repeat an id with different texts are different documents: the text with the least digest has the id as its
-    key, each other one a key above all ids. Null ids have no key. Usually no id is repeated, and ids are their own keys.
+    key, each other one a key above all ids; if ids reach so far up that there might be no room, all pairs of id and digest
+    are numbered anew. Null ids have no key. Usually no id is repeated, and ids are their own keys.
     """
 
     def few(df: DataFrame) -> DataFrame:
@@ -445,6 +446,11 @@ def row_keys(docs: DataFrame, id_col: str, text_col: str, small: int) -> tuple[D
     texts = saved(texts, "texts")
     first = texts.groupBy("_key").agg(F.min("_digest").alias("_digest"))
     top = own.agg(F.max("_key")).first()[0]
+    if top >= 1 << 62:
+        pairs = own.where("_key IS NOT NULL").select("_key", digest.alias("_digest")).distinct()
+        keys = saved(pairs.select(F.col("_key").alias("_id"), "_digest", F.monotonically_increasing_id().alias("_other")), "keys")
+        keyed = own.withColumn("_digest", digest).join(few(keys.withColumnRenamed("_id", "_key")), ["_key", "_digest"], "left")
+        return keyed.withColumn("_key", F.col("_other")).select(*docs.columns, "_key"), keys.select(F.col("_other").alias("_key"), "_id")
     more = texts.join(first, ["_key", "_digest"], "left_anti").withColumnRenamed("_key", "_id")
     keys = saved(more.withColumn("_other", F.monotonically_increasing_id() + (top + 1)), "keys")
     keyed = own.withColumn("_digest", digest).join(few(keys.withColumnRenamed("_id", "_key")), ["_key", "_digest"], "left")
