@@ -19,12 +19,13 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A value of twelve characters or more with a digit, after a label for what must not be known.
+#: A value of twelve characters or more with a digit, after a label for what must not be known. The value is read to its end
+#: before the digit is asked for, and the next label is looked for behind it, so each character is read a few times at most.
 _LABEL = (
     r"(?:[a-z0-9]{1,20}[_-]){0,3}(?:token|secret|password|passwd|passphrase|apikey|api[_-]key|access[_-]key|private[_-]key)"
     r"[\x22']?\s{0,3}[:=]\s{0,3}[\x22']?"
 )
-_SECRETS = rf"(?i)(?<![\p{{L}}\p{{N}}]){_LABEL}(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{{12,}}+"
+_SECRETS = rf"(?i)(?<![\p{{L}}\p{{N}}]){_LABEL}[A-Za-z0-9_+/=-]{{12,}}+"
 _PART = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]|)"
 _SPANS = "array<struct<start:int,stop:int,hit:string>>"
 _BLOCK = 64
@@ -111,7 +112,7 @@ def secret_spans(text: Column) -> Column:
         hit = F.regexp_replace(s["hit"], f"^(?i){_LABEL}", "")
         return F.struct((s["stop"] - F.length(hit)).alias("start"), F.lit(_SECRET).alias("kind"), s["stop"].alias("stop"), hit.alias("hit"))
 
-    return F.transform(located(text, F.lit(_SECRETS)), value)
+    return F.filter(F.transform(located(text, F.lit(_SECRETS)), value), lambda s: s["hit"].rlike("[0-9]"))
 
 
 def _listed(spans: Column) -> Column:
@@ -122,8 +123,12 @@ def _listed(spans: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Distinct words of letters, three or more, outside e-mail addresses and strings with a digit."""
+    """Distinct words of letters, three or more, outside e-mail addresses, labelled values and strings with a digit.
+
+    What a pattern names itself, the label of a secret, is no term: it would stand with every secret by construction.
+    """
     bare = F.when(text.contains("@"), F.regexp_replace(text, _PATTERNS["email"], " ")).otherwise(text)
+    bare = F.when(text.rlike("[:=]"), F.regexp_replace(bare, _SECRETS, " ")).otherwise(bare)
     bare = F.regexp_replace(bare, r"(?<![\p{L}\p{N}_+/=-])[\p{L}_+/=-]*+[0-9][\p{L}\p{N}_+/=-]*+", " ")
     return F.filter(F.array_distinct(F.split(F.lower(bare), r"[^\p{L}]+")), lambda t: F.length(t) >= 3)
 
@@ -168,8 +173,10 @@ def personal_data(
     least, and n_ct log(N / n_c), the information by which chance would have to be beaten, is `evidence` nats at least.
 
     An entity that all documents hold reveals nothing; one in a single document leaves nothing to estimate. Counts go
-    through partial sums, so an entity in a third of all documents is no hot key; term counts of the corpus cover the terms
-    that came so far, which are broadcast if there are at most `small` of them and joined otherwise. Null text counts as
+    through partial sums, so an entity in a third of all documents is no hot key. One pass over the words of all texts keeps
+    where the terms that came so far stand; these are broadcast if there are at most `small` of them and joined otherwise.
+    Terms are compared in lower case; a word of a case that differs from its lower case by more than single letters may go
+    unmarked. Texts of any length take time in proportion to it. Null text counts as
     empty; rows that repeat id and text count once and are reported each; null ids are allowed; other columns are ignored;
     an empty table gives an empty result.
     """
@@ -197,8 +204,10 @@ def personal_data(
     pairs = pairs.where((F.col("n_ct") >= 2) & (F.col("n_ct") * F.log(F.lit(float(n)) / F.col("n_c")) >= evidence))
     pairs = saved(pairs, "pairs")
     wanted = saved(pairs.select("t").distinct(), "terms")
-    counts = once.select(F.explode(_terms(F.col("_text"))).alias("t"))
-    counts = counts.join(few(wanted), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    # the words of all texts are read once: where the wanted ones stand gives their counts and, later, what is marked
+    stand = rows.select("_key", F.explode(_terms(F.col("_text"))).alias("t")).join(few(wanted), "t", "left_semi")
+    stand = saved(stand.select("_key", "t"), "standing-terms")
+    counts = (stand if (counted[1] or 1) == 1 else stand.distinct()).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     total = F.lit(float(n))
     pmi = F.log(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     share = F.round(pmi / F.log(total / F.col("n_c")), 9)
@@ -206,11 +215,10 @@ def personal_data(
     telling = saved(telling.select("c", "t", (F.col("share") >= remove_at).alias("out")), "telling")
     # a term discloses its entity wherever it stands, so it is looked for in all documents
     terms = saved(telling.groupBy("t").agg(F.max("out").alias("out")), "telling-terms")
-    hits = rows.select("_key", F.explode(_terms(F.col("_text"))).alias("t"))
     if terms.count() <= small:
-        hits = hits.join(F.broadcast(terms), "t")
+        hits = stand.join(F.broadcast(terms), "t")
     else:
-        hits = spread_join(hits.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(64))), terms, ["t"], "_salt")
+        hits = spread_join(stand.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(64))), terms, ["t"], "_salt")
     marked = saved(hits.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("t", "out"))).alias("_found")), "marked")
     pattern = F.concat(
         F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("_found", lambda x: x["t"]), "|"), F.lit(r")(?!\p{L})")

@@ -198,8 +198,8 @@ ORACLE_SQL = {
         total AS (SELECT count(*) AS n FROM d),
         entities AS (SELECT c, count(*) AS n_c FROM values_of GROUP BY c HAVING count(*) >= 2 AND count(*) < (SELECT n FROM total)),
         terms AS (
-            SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '{_SPAN_PATTERNS["email"]}', ' ', 'g'),
-                '[\\p{{L}}\\p{{N}}_+/=-]*[0-9][\\p{{L}}\\p{{N}}_+/=-]*', ' ', 'g')), '[^\\p{{L}}]+'), lambda t: length(t) >= 3))) AS t
+            SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(text, '{_SPAN_PATTERNS["email"]}', ' ', 'g'),
+                '{_SPAN_PATTERNS["secret"]}', ' ', 'g'), '[\\p{{L}}\\p{{N}}_+/=-]*[0-9][\\p{{L}}\\p{{N}}_+/=-]*', ' ', 'g')), '[^\\p{{L}}]+'), lambda t: length(t) >= 3))) AS t
             FROM d
         ),
         together AS (
