@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,83 @@ def similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(ratios, "double")(a, b)
 
 
+def _common_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs of strings of at most 64 characters, all pairs side by side.
+
+    A pair's state is one bit for each character of the left string; a step takes the next character of all right strings.
+    """
+    codes = [np.zeros((len(left), max(map(len, some), default=0)), dtype=np.int32) for some in (left, right)]
+    for table, some, none in zip(codes, (left, right), (-1, -2)):
+        table += none
+        for k, text in enumerate(some):
+            table[k, : len(text)] = [ord(c) for c in text]
+    bits = np.left_shift(np.uint64(1), np.arange(codes[0].shape[1], dtype=np.uint64))
+    state = np.full(len(left), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for i in range(codes[1].shape[1]):
+        equal = ((codes[0] == codes[1][:, i : i + 1]) * bits).sum(axis=1, dtype=np.uint64)
+        met = state & equal
+        state = (state + met) | (state - met)
+    lengths = np.array([len(x) for x in left])
+    used = (np.uint64(1) << lengths.clip(0, 63).astype(np.uint64)) - np.uint64(1)
+    used[lengths >= 64] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return np.bitwise_count(~state & used).astype(np.int64)
+
+
+def _common_length(left: str, right: str) -> int:
+    """The same for one pair of any length, on whole numbers."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(left):
+        places[c] = places.get(c, 0) | 1 << k
+    used = state = (1 << len(left)) - 1
+    for c in right:
+        met = state & places.get(c, 0)
+        state = ((state + met) | (state - met)) & used
+    return (~state & used).bit_count()
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """How many characters are deleted and inserted to make one string of the other; null counts as empty."""
+
+    def distances(left: pd.Series, right: pd.Series) -> pd.Series:
+        left, right = ([x or "" for x in some] for some in (left, right))
+        out = np.zeros(len(left), np.int64)
+        short = [k for k, (x, y) in enumerate(zip(left, right)) if max(len(x), len(y)) <= 64]
+        out[short] = _common_lengths([left[k] for k in short], [right[k] for k in short]) if short else 0
+        for k in set(range(len(left))) - set(short):
+            out[k] = _common_length(left[k], right[k])
+        return pd.Series([len(x) + len(y) for x, y in zip(left, right)] - 2 * out)
+
+    return F.pandas_udf(distances, "long")(a, b)
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Likeness of two names by their sets of words, 0 to 100: the words that both have, alone and with the rest of either
+    name, compared two by two, and the best of it. Names are compared in lower case by their ASCII letters and digits; null
+    if one is null, 0 if one has no words.
+
+    Sets and lengths are column expressions. Only the distance between the rests needs a step in Python, on Arrow batches.
+    """
+
+    def words(c: Column) -> Column:
+        clean = F.regexp_replace(F.lower(F.regexp_replace(c, r"[^\x00-\x7F]", "")), "[^a-z0-9]+", " ")
+        return F.array_sort(F.array_distinct(F.filter(F.split(clean, " "), lambda w: w != "")))
+
+    left, right = words(a), words(b)
+    both = F.array_join(F.array_intersect(left, right), " ")
+    rests = [F.array_join(F.array_except(x, y), " ") for x, y in ((left, right), (right, left))]
+    distance = edit_distance(*rests).cast("double")
+    n = F.length(both).cast("double")
+    gap = F.when(n > 0, 1.0).otherwise(0.0)
+    size = [F.length(r).cast("double") for r in rests]
+    ratio = lambda d, total: F.lit(100.0) - F.lit(100.0) * d / F.nullif(total, F.lit(0.0))
+    whole = ratio(distance, 2 * (n + gap) + size[0] + size[1])
+    parts = [ratio(gap + m, 2 * n + gap + m) for m in size]
+    best = F.when(n > 0, F.greatest(whole, *parts)).otherwise(whole)
+    empty = (F.size(left) == 0) | (F.size(right) == 0)
+    same = (n > 0) & ((size[0] == 0) | (size[1] == 0))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(empty, 0).when(same, 100).otherwise(F.bround(best, 0)).cast("int"))
+
+
 def _grams(text: Column, size: int) -> Column:
     """Distinct parts of `size` characters of a text, none if it is shorter."""
     starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
@@ -91,12 +169,13 @@ def uk_scores(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", _d(total)).withColumn("detail", detail).drop("_a", "_b", "_ratio")
 
 
-def ny_scores(pairs: DataFrame) -> DataFrame:
+def ny_scores(pairs: DataFrame, by_words: bool = False) -> DataFrame:
     """Scored pairs of a website (search_name, city, postal_code) and a New York entity: name 40, city 20, ZIP 20, county 10,
-    type 10, and 5 for the same ZIP."""
+    type 10, and 5 for the same ZIP. Names are compared by sequence, or by their sets of words (`by_words`)."""
     pairs = pairs.withColumn("_a", comparable_name(F.col("search_name"), fixed.NY_NAME_RULES))
     pairs = pairs.withColumn("_b", comparable_name(F.col("current_entity_name"), fixed.NY_NAME_RULES))
-    pairs = pairs.withColumn("_ratio", similarity(F.col("_a"), F.col("_b")))
+    likeness = token_set_ratio(F.col("_a"), F.col("_b")) / 100 if by_words else similarity(F.col("_a"), F.col("_b"))
+    pairs = pairs.withColumn("_ratio", likeness)
     a, b, zero = F.col("_a"), F.col("_b"), F.lit(0.0)
     near = F.when(F.contains(b, a) | F.contains(a, b), F.greatest(F.col("_ratio") * 40, F.lit(35.0))).otherwise(F.col("_ratio") * 40)
     name = F.when((a == "") | (b == ""), 0.0).when(a == b, 40.0).otherwise(F.round(near, 2))
@@ -156,36 +235,41 @@ def resolve_uk(companies: DataFrame, search: DataFrame, profiles: DataFrame) ->
         F.when(F.col("_known"), F.struct(F.lit("resolved_direct"), F.lit("registration_number"), F.lit(1)).cast(kinds))
         .otherwise(F.struct(F.lit("not_found"), none, none).cast(kinds)).alias("d"), none.cast(_SCORE).alias("score"), none.cast(_SCORE).alias("gap"),
     )
+    direct = direct.withColumn("candidates", none)
     rest = companies.where(filled(F.col("registration_number")).isNull())
     named = rest.where("search_name IS NOT NULL")
-    found = best_and_gap(uk_scores(named.join(search, F.col("search_name") == F.col("query"))))
+    scored = uk_scores(named.join(search, F.col("search_name") == F.col("query")))
+    found = best_and_gap(scored.select("key", "hit_ord", "company_number", "title", "company_status", "score", "detail"))
+    kind = dict(found.dtypes)["candidates"]
     found = found.withColumn("d", uk_decision(F.col("score"), F.col("gap"), F.col("detail.name"), F.col("detail.active")).cast(kinds))
     hits = named.select("key", "search_name").join(
-        found.select("key", "company_number", "d", "score", "gap"), "key", "left"
+        found.select("key", "company_number", "d", "score", "gap", "candidates"), "key", "left"
     ).withColumn("d", F.coalesce("d", F.struct(F.lit("not_found"), none, none).cast(kinds)))
     hits = hits.withColumn("company_number", F.when(F.col("d.status") == "resolved", F.col("company_number")))
     skipped = rest.where("search_name IS NULL").select(
         "key", "search_name", none.cast("string").alias("company_number"), F.struct(F.lit("skipped"), none, none).cast(kinds).alias("d"),
-        none.cast(_SCORE).alias("score"), none.cast(_SCORE).alias("gap"),
+        none.cast(_SCORE).alias("score"), none.cast(_SCORE).alias("gap"), none.alias("candidates"),
     )
+    direct, skipped = (t.withColumn("candidates", F.col("candidates").cast(kind)) for t in (direct, skipped))
     every = direct.unionByName(hits).unionByName(skipped)
-    return every.select("key", "search_name", "company_number", "d.*", "score", "gap")
+    return every.select("key", "search_name", "company_number", "d.*", "score", "gap", "candidates")
 
 
-def resolve_ny(companies: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row for each company: status, dos_id, matched_name, confidence, score and gap among `entities` whose name
-    contains the company's; of close candidates, the only one with the website's ZIP wins."""
+def resolve_ny(companies: DataFrame, entities: DataFrame, by_words: bool = False) -> DataFrame:
+    """One row for each company: status, dos_id, matched_name, confidence, score, gap and candidates among `entities` whose
+    name contains the company's; of close candidates, the only one with the website's ZIP wins. `candidates` are the ten best
+    with their scores in parts; see `ny_scores` for `by_words`."""
     companies = companies.withColumn("search_name", strip(F.coalesce(filled(F.col("legal_name")), filled(F.col("company_name")), F.lit(""))))
     hits = name_search(companies, entities.select(F.col("dos_id").alias("entity"), F.col("current_entity_name").alias("name")))
     pairs = hits.select("key", "hit_ord", F.col("entity").alias("dos_id")).join(entities, "dos_id").join(
         companies.select("key", "search_name", "city", "postal_code"), "key"
     )
-    scored = ny_scores(pairs)
+    scored = ny_scores(pairs, by_words)
     zx = F.left(digits(F.col("postal_code")), F.lit(5))
     here = filled(F.col("postal_code")).isNotNull() & (F.left(digits(F.coalesce("dos_process_zip", F.lit(""))), F.lit(5)) == zx) & (F.col("score") >= 50)
     every = Window.partitionBy("key")
     scored = scored.withColumn("_here", here).withColumn("_alone", F.count_if("_here").over(every) == 1)
-    best = best_and_gap(scored.drop("detail"))
+    best = best_and_gap(scored.select("key", "hit_ord", "dos_id", "current_entity_name", "score", "detail"))
     only = scored.where("_here AND _alone").select("key", F.col("dos_id").alias("_id"), F.col("current_entity_name").alias("_name"), F.col("score").alias("_score"))
     best = best.join(only, "key", "left")
     turned = (F.col("score") >= 50) & (F.col("gap") < 15) & F.col("_id").isNotNull()
@@ -193,6 +277,7 @@ def resolve_ny(companies: DataFrame, entities: DataFrame) -> DataFrame:
         "key", F.when(turned, F.col("_id")).otherwise(F.col("dos_id")).alias("dos_id"),
         F.when(turned, F.col("_name")).otherwise(F.col("current_entity_name")).alias("matched_name"),
         F.when(turned, F.col("_score")).otherwise(F.col("score")).alias("score"), F.when(turned, _d("15")).otherwise(F.col("gap")).alias("gap"),
+        "candidates",
     )
     resolved = (F.col("score") >= 65) & (F.col("gap") >= 15)
     status = F.when(F.col("search_name") == "", "skipped").when(F.col("score").isNull(), "not_found").when(resolved, "resolved").when(F.col("score") >= 50, "ambiguous").otherwise("unresolved")
@@ -201,5 +286,5 @@ def resolve_ny(companies: DataFrame, entities: DataFrame) -> DataFrame:
     shown = F.col("status").isin("resolved", "ambiguous")
     return rows.select(
         "key", "search_name", "status", (F.col("status") == "resolved").alias("matched"), F.when(shown, F.col("dos_id")).alias("dos_id"),
-        F.when(shown, F.col("matched_name")).alias("matched_name"), share.alias("confidence"), "score", "gap",
+        F.when(shown, F.col("matched_name")).alias("matched_name"), share.alias("confidence"), "score", "gap", "candidates",
     )

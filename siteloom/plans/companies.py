@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text
 from siteloom.functions.urls import host_of
-from siteloom.operators import candidates, jurisdiction, links, matching, registry, reports
-from siteloom.plans import fixtures
+from siteloom.operators import candidates, jurisdiction, matching, registry, reports
 from siteloom.sources.pages import parse_pages, read_pages
 from siteloom.sources.scratch import saved
 
@@ -36,24 +35,6 @@ def numbers_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_VECTORS = [
-    "AB41 8BX, UK", "ab418bx", "G2 1BP", "90210", "contact us today", "in England", "New York, NY 10118", "Los Angeles, CA 90028",
-    "West Virginia hills", "+1 212 555 0100", "0044 20 7946 0000", "brewdog.co.uk", "x.de/y", "Acme Holdings, Inc.", "Acme  Tools Ltd ,;", "SC12345",
-    "1234", "10 Downing Street, London", "all rights reserved 2024", "plain words",
-]
-_VECTOR_VALUES = ", ".join(f"('{v}')" for v in _VECTORS)
-
-
-def scalar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every scalar function over one set of strings."""
-    s = F.col("s")
-    return spark.createDataFrame([(v,) for v in _VECTORS], "s string").select(
-        "s", text.uk_postcode(s).alias("postcode"), text.country_in_text(s).alias("country"), text.ny_phone(s).alias("ny_phone"),
-        text.country_of_host(s).alias("host_country"), text.clean_text(s).alias("clean"), text.company_number(s).alias("number"),
-        text.valid_address(s).alias("address"), text.comparable_name(s, [(r"\bLIMITED\b", "LTD")]).alias("comparable"),
-    )
-
-
 def site_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of all sites from all candidate branches, as cards."""
     pages = parse_pages(read_pages(spark, sf_dir))
@@ -127,62 +108,14 @@ def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.latest_by_site(events)
 
 
-def jurisdictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jurisdiction.jurisdictions(fixtures.websites(spark), "key")
-    route = jurisdiction.registry_route(F.col("country"), F.col("state_abbr"))
-    return rows.select("key", "country", "state_abbr", F.col("confidence").cast("double").alias("confidence"), route.alias("route"))
-
-
-def uk_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.resolve_uk(fixtures.websites(spark), fixtures.uk_search(spark), fixtures.uk_profiles(spark))
-    return found.select("key", "status", "company_number", "method", *(F.col(c).cast("double").alias(c) for c in ("confidence", "score", "gap")))
-
-
-def ny_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.resolve_ny(fixtures.websites(spark), fixtures.ny_entities(spark))
-    return found.select("key", "status", "matched", "matched_name", *(F.col(c).cast("double").alias(c) for c in ("confidence", "score", "gap")))
-
-
-def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([("abcd", "bcde"), ("SMITH AND JONES LTD", "SMITH JONES LTD"), ("", ""), ("a", "")], "a string, b string")
-    return pairs.select("a", "b", F.round(matching.similarity(F.col("a"), F.col("b")), 4).alias("ratio"))
-
-
-def wiki_infobox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.infobox_fields(fixtures.articles(spark))
-
-
-def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = ["/", "/private/x", "/private/open/y", "/public"]
-    urls = spark.createDataFrame([(f"https://h.example{p}",) for p in paths] + [("https://o.org/private",)], "url string")
-    return links.allowed(urls, links.robots_rules(fixtures.robots(spark)))
-
-
-def company_revenue_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue by region and nation with all subtotals, from line items up."""
-    t = lambda n: _table(spark, sf_dir, n)
-    lines = t("lineitem").select("l_orderkey", (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("revenue"))
-    per_order = lines.groupBy("l_orderkey").agg(F.sum("revenue").alias("revenue"))
-    rows = per_order.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.rollup("r_name", "n_name").agg(F.sum("revenue").cast("double").alias("revenue"), F.count(F.lit(1)).alias("n_orders"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        emails_validated, numbers_validated, scalar_vectors, site_completeness, registry_search, registry_top_gap, latest_records,
-        nested_records, best_record_priority, first_status, vote_argmax, history_latest, jurisdictions, uk_resolution, ny_resolution,
-        sequence_similarity, wiki_infobox, robots_allowed, company_revenue_cube,
+        emails_validated, numbers_validated, site_completeness, registry_search, registry_top_gap, latest_records, nested_records,
+        best_record_priority, first_status, vote_argmax, history_latest,
     )
 }
 
-_UK_PC = r"regexp_extract(upper(regexp_replace(trim(s), '\s+', ' ', 'g')), '\b([A-Z]{1,2}[0-9][A-Z0-9]?\s*[0-9][A-Z]{2})\b', 1)"
-_ALIASES = " ".join(
-    rf"WHEN regexp_matches(lower(s), '\b{alias.replace('.', chr(92) + '.')}\b') THEN '{name}'" for alias, name in text.fixed.COUNTRY_ALIASES.items()
-)
-_ENDINGS = " ".join(f"WHEN h LIKE '%{e}' THEN '{n}'" for e, n in text.fixed.COUNTRY_ENDINGS.items())
 _REJECTS = "|".join(p.replace(r"\z", "$") for p in text.fixed.EMAIL_REJECTS)
 
 ORACLE_SQL = {
@@ -203,21 +136,6 @@ ORACLE_SQL = {
                CASE WHEN length(regexp_replace(raw_vat, '[^0-9]', '', 'g')) BETWEEN 6 AND 15
                     THEN trim(upper(regexp_replace(raw_vat, '\s+', ' ', 'g')), ' ,.-') END AS vat
         FROM w""",
-    "scalar_vectors": rf"""
-        WITH v AS (SELECT *, lower(s) AS l, split_part(split_part(lower(s), '/', 1), '?', 1) AS h, regexp_replace(s, '[^0-9]', '', 'g') AS d,
-                          trim(regexp_replace(trim(s, ' ,;-'), '\s+', ' ', 'g')) AS a, upper(regexp_replace(s, '\s+', '', 'g')) AS num,
-                          replace({_UK_PC}, ' ', '') AS pc FROM (VALUES {_VECTOR_VALUES}) t(s))
-        SELECT s, CASE WHEN pc <> '' THEN pc[:-4] || ' ' || pc[-3:] END AS postcode,
-               CASE {_ALIASES} WHEN contains(l, 'united kingdom') THEN 'United Kingdom' WHEN contains(l, 'united states') THEN 'United States' END AS country,
-               coalesce(CASE WHEN d LIKE '1%' AND length(d) >= 4 THEN d[2:4] WHEN length(d) >= 3 THEN d[1:3] END
-                        IN ({", ".join(f"'{c}'" for c in text.fixed.NY_AREA_CODES)}), FALSE) AS ny_phone,
-               CASE {_ENDINGS} END AS host_country, nullif(trim(regexp_replace(s, '\s+', ' ', 'g'), ' ,;'), '') AS clean,
-               CASE WHEN regexp_matches(num, '^(SC|NI|OC|LP|SO|IP|SL|NC|NL|NZ)[0-9]+$') THEN num[1:2] || CASE WHEN length(num) >= 8 THEN num[3:] ELSE lpad(num[3:], 6, '0') END
-                    WHEN regexp_matches(num, '^[0-9]+$') THEN CASE WHEN length(num) >= 8 THEN num ELSE lpad(num, 8, '0') END ELSE num END AS number,
-               CASE WHEN length(a) BETWEEN 10 AND 300 AND (regexp_matches(a, '[0-9]') OR regexp_matches(a, '(?i)\b({text.fixed.STREET_WORDS})\b'))
-                     AND NOT regexp_matches(a, '(?i)\b({text.fixed.ADDRESS_BOILERPLATE})\b') THEN a END AS address,
-               trim(regexp_replace(regexp_replace(regexp_replace(upper(trim(s)), '[^\w\s]', ' ', 'g'), '\bLIMITED\b', 'LTD', 'g'), '\s+', ' ', 'g')) AS comparable
-        FROM v""",
     "registry_search": """
         WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS entity, c_mktsegment || ' ' || c_name AS name FROM customer),
         w AS (SELECT DISTINCT c_mktsegment AS key, left(c_mktsegment, 4) AS q FROM customer)
@@ -252,45 +170,4 @@ ORACLE_SQL = {
     "history_latest": """
         SELECT user_id AS site, ts AS at, event_id AS entry FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 ORDER BY ts DESC, user_id LIMIT 20""",
-    "jurisdictions": """
-        SELECT * FROM (VALUES
-            ('W1', 'United Kingdom', NULL, 1.0, 'uk'), ('W2', 'United Kingdom', NULL, 0.715, 'uk'), ('W3', 'United Kingdom', NULL, 1.0, 'uk'),
-            ('W4', 'United Kingdom', NULL, 0.91, 'uk'), ('W5', NULL, NULL, 0.0, 'no_jurisdiction'), ('W6', NULL, NULL, 0.0, 'no_jurisdiction'),
-            ('W7', 'United States', 'NY', 1.0, 'ny'), ('W8', 'United States', 'NY', 1.0, 'ny'), ('W9', 'United States', 'NY', 1.0, 'ny'),
-            ('W10', 'United States', 'CA', 1.0, 'unsupported'), ('W11', 'United States', NULL, 0.91, 'state_required'),
-            ('W12', NULL, NULL, 0.0, 'no_jurisdiction'), ('W13', 'United Kingdom', NULL, 0.78, 'uk')
-        ) t(key, country, state_abbr, confidence, route)""",
-    "uk_resolution": """
-        SELECT key, status, company_number, method, CAST(confidence AS DOUBLE) AS confidence, CAST(score AS DOUBLE) AS score, CAST(gap AS DOUBLE) AS gap FROM (VALUES
-            ('W1', 'resolved_direct', 'SC311560', 'registration_number', 1.0, NULL, NULL), ('W2', 'not_found', '99999999', NULL, NULL, NULL, NULL),
-            ('W3', 'resolved', '12345678', 'exact_name_verified', 0.95, 100.0, 42.14), ('W4', 'resolved', 'AAAAAA', 'exact_name_verified', 0.95, 90.0, 50.23),
-            ('W5', 'unresolved', NULL, NULL, 0.5, 50.0, 4.71), ('W6', 'skipped', NULL, NULL, NULL, NULL, NULL),
-            ('W7', 'not_found', NULL, NULL, NULL, NULL, NULL), ('W8', 'not_found', NULL, NULL, NULL, NULL, NULL),
-            ('W9', 'skipped', NULL, NULL, NULL, NULL, NULL), ('W10', 'skipped', NULL, NULL, NULL, NULL, NULL),
-            ('W11', 'skipped', NULL, NULL, NULL, NULL, NULL), ('W12', 'skipped', NULL, NULL, NULL, NULL, NULL),
-            ('W13', 'skipped', NULL, NULL, NULL, NULL, NULL)
-        ) t(key, status, company_number, method, confidence, score, gap)""",
-    "ny_resolution": """
-        SELECT key, status, matched, matched_name, CAST(confidence AS DOUBLE) AS confidence, CAST(score AS DOUBLE) AS score, CAST(gap AS DOUBLE) AS gap FROM (VALUES
-            ('W1', 'not_found', FALSE, NULL, NULL, NULL, NULL), ('W2', 'not_found', FALSE, NULL, NULL, NULL, NULL),
-            ('W3', 'not_found', FALSE, NULL, NULL, NULL, NULL), ('W4', 'not_found', FALSE, NULL, NULL, NULL, NULL),
-            ('W5', 'not_found', FALSE, NULL, NULL, NULL, NULL), ('W6', 'skipped', FALSE, NULL, NULL, NULL, NULL),
-            ('W9', 'skipped', FALSE, NULL, NULL, NULL, NULL), ('W10', 'skipped', FALSE, NULL, NULL, NULL, NULL),
-            ('W11', 'skipped', FALSE, NULL, NULL, NULL, NULL), ('W12', 'skipped', FALSE, NULL, NULL, NULL, NULL),
-            ('W13', 'skipped', FALSE, NULL, NULL, NULL, NULL),
-            ('W7', 'resolved', TRUE, 'ACME TECHNOLOGIES INC', 1.0, 100.0, 55.0), ('W8', 'ambiguous', FALSE, 'ABC GROUP INC', 0.95, 95.0, 0.0)
-        ) t(key, status, matched, matched_name, confidence, score, gap)""",
-    "sequence_similarity": """
-        SELECT a, b, CAST(ratio AS DOUBLE) AS ratio FROM (VALUES ('abcd', 'bcde', 0.75), ('SMITH AND JONES LTD', 'SMITH JONES LTD', 0.8824), ('', '', 1.0), ('a', '', 0.0)) t(a, b, ratio)""",
-    "wiki_infobox": """
-        SELECT * FROM (VALUES ('Acme', 'legal_name', 'Acme Corp'), ('Acme', 'company_type', 'Public'), ('Acme', 'industry', 'Tools'),
-            ('Acme', 'full_address', 'Leeds'), ('Acme', 'website', 'https://acme.example')) t(title, field, value)""",
-    "robots_allowed": """
-        SELECT * FROM (VALUES ('https://h.example/'), ('https://h.example/public'), ('https://o.org/private')) t(url)""",
-    "company_revenue_cube": """
-        SELECT r_name, n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS revenue,
-               count(DISTINCT l_orderkey) AS n_orders
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        GROUP BY ROLLUP (r_name, n_name)""",
 }

@@ -227,16 +227,11 @@ def adaptive_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.sufficient_batches(rows, 3).select("site", "page_id", F.col("batch").cast("long").alias("batch"))
 
 
-def path_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    depth = F.size(F.filter(F.split(path_of(F.col("url")), "/"), lambda p: p != ""))
-    return read_pages(spark, sf_dir).groupBy(depth.cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         url_canonical, url_score, page_select_topk, base_domain_rollup, link_edges, bfs_depth, unseen_urls, source_union,
-        page_title_candidates, best_name_per_site, html_parse, telemetry_pages, adaptive_batches, path_depths,
+        page_title_candidates, best_name_per_site, html_parse, telemetry_pages, adaptive_batches,
     )
 }
 
@@ -300,6 +295,4 @@ ORACLE_SQL = {
               WINDOW w AS (PARTITION BY site ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         l AS (SELECT site, min(batch) AS last FROM f WHERE name = 1 AND other = 1 GROUP BY site)
         SELECT site, page_id, batch FROM b LEFT JOIN l USING (site) WHERE last IS NULL OR batch <= last""",
-    "path_depths": f"""
-        SELECT len(list_filter(string_split({_PATH}, '/'), lambda p: p <> '')) AS depth, count(*) AS n FROM pages GROUP BY 1""",
 }
