@@ -132,13 +132,15 @@ LOW_VALUE_PATHS = [
     "/documentation/", "/community/", "/events/", "/webinars/", "/feed/", "/vacancies/", "/jobs/", "/careers/",
 ]
 SKIPPED_SCHEMES = ["mailto:", "tel:", "javascript:", "data:", "#", "whatsapp:"]
-SKIPPED_ENDINGS = (
-    "png jpg jpeg gif webp svg ico bmp tiff pdf doc docx xls xlsx ppt pptx csv zip tar gz rar 7z exe dmg apk mp3 mp4 wav avi mov "
-    "flv webm css js mjs woff woff2 ttf eot otf xml rss atom json"
-).split()
-TRACKING_PARAMETERS = (
-    "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid msclkid ref source mc_eid attribute_pa _hsenc _hsmi v amp"
-).split()
+SKIPPED_ENDINGS = [
+    "png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "bmp", "tiff", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx",
+    "csv", "zip", "tar", "gz", "rar", "7z", "exe", "dmg", "apk", "mp3", "mp4", "wav", "avi", "mov", "flv", "webm", "css",
+    "js", "mjs", "woff", "woff2", "ttf", "eot", "otf", "xml", "rss", "atom", "json",
+]
+TRACKING_PARAMETERS = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid", "ref", "source",
+    "mc_eid", "attribute_pa", "_hsenc", "_hsmi", "v", "amp",
+]
 
 #: Fixed values. Page titles that name no company, and openings that are dropped from titles.
 GENERIC_TITLES = [

@@ -171,12 +171,3 @@ def country_of_host(c: Column) -> Column:
     for ending, name in reversed(fixed.COUNTRY_ENDINGS.items()):
         out = F.when(F.endswith(host, F.lit(ending)), name).otherwise(out)
     return out
-
-
-def hidden_email(c: Column) -> Column:
-    """An address hidden as hexadecimal digits, the first byte being the key of an exclusive or."""
-    byte = lambda at: F.conv(F.substr(c, at, F.lit(2)), 16, 10).cast("int")
-    chars = F.transform(
-        F.sequence(F.lit(3), F.greatest(F.length(c) - 1, F.lit(3)), F.lit(2)), lambda at: F.char(byte(at).bitwiseXOR(byte(F.lit(1))))
-    )
-    return F.when(c.rlike("^[0-9a-fA-F]{4,}$"), strip(F.array_join(chars, "")))

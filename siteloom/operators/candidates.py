@@ -19,6 +19,7 @@ from siteloom.sources.pages import json_ld_nodes
 STAGES = ("json_ld", "labels", "text", "address", "names")
 _KIND = "array<struct<field:string,value:string,method:string,evidence:string,confidence:decimal(4,2)>>"
 _SUFFIXES = "|".join(re.escape(s) for s in fixed.CORPORATE_SUFFIXES)
+#: Fixed value. City, state and ZIP in an address.
 _CITY_STATE_ZIP = r"\b([A-Za-z][A-Za-z\s]{1,25}),\s*([A-Z]{2})\s+(\d{5}(?:-\d{4})?)\b"
 
 
@@ -136,6 +137,7 @@ _LEGAL = [
     rf"(?:all\s+rights\s+reserved[,\s;]+)?(?:by\s+)?{_NAME}",
     rf"\b([A-Z][A-Za-z0-9\s&]{{2,35}}\b(?:{_SUFFIXES})\b)",
 ]
+#: Fixed value. An address in text.
 _MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -306,7 +308,7 @@ def from_addresses(pages: DataFrame) -> DataFrame:
 
 def capital_names(text: Column) -> Column:
     """Runs of two to four capitalised words, the stand-in for a named-entity model, which can be plugged in instead."""
-    return F.regexp_extract_all(text, F.lit(r"\b((?:[A-Z][A-Za-z&]+\s+){1,3}[A-Z][A-Za-z&]+)\b"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r"\b((?:[A-Z][A-Za-z&]+[ \t]+){1,3}[A-Z][A-Za-z&]+)\b"), F.lit(1))
 
 
 def from_names(pages: DataFrame, named: DataFrame, names=capital_names) -> DataFrame:
@@ -317,11 +319,22 @@ def from_names(pages: DataFrame, named: DataFrame, names=capital_names) -> DataF
     return _rows(pages, "names", F.lit("general"), rows)
 
 
-def all_candidates(pages: DataFrame) -> DataFrame:
-    """Candidates of all branches over parsed `pages` (site, batch, page_ord, url and the parsed columns)."""
+def all_candidates(pages: DataFrame, before: DataFrame | None = None, names=capital_names) -> DataFrame:
+    """Candidates of all branches over parsed `pages` (site, batch, page_ord, url and the parsed columns), and those `before`,
+    of earlier batches: names are looked for in running text of sites that have none from either."""
     branches = [from_json_ld(pages), from_labels(pages), from_text(pages), from_addresses(pages)]
     found = reduce(DataFrame.unionByName, branches)
-    return found.unionByName(from_names(pages, found.where("field = 'company_name'")))
+    if before is not None:
+        found = found.unionByName(before)
+    return found.unionByName(from_names(pages, found.where("field = 'company_name'"), names))
+
+
+def kept_candidates(found: DataFrame) -> DataFrame:
+    """What later candidates can still be compared with: the best row of each site and field, and of each subsidiary."""
+    order = F.struct(F.col("confidence"), *(-F.col(c).cast("long") for c in ("batch", "stage", "page_ord", "seq")))
+    one = F.when(F.col("field") == "subsidiaries", F.col("value")).otherwise("")
+    best = found.groupBy("site", "field", one.alias("_one")).agg(F.max_by(F.struct(*(c for c in found.columns if c not in ("site", "field"))), order).alias("b"))
+    return best.select("site", "field", "b.*").select(found.columns)
 
 
 def best_candidates(found: DataFrame) -> DataFrame:

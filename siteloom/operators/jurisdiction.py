@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import fixed
 from siteloom.functions.text import country, country_in_text, country_of_host, filled, ny_phone, state_in_text, strip, uk_postcode
 
+#: Fixed values. City, state and ZIP in an address, and a ZIP alone.
 _CITY_STATE_ZIP = r"\b([A-Za-z][A-Za-z\s]{1,25}),\s*([A-Z]{2})\s+(\d{5})\b"
 _ZIP = r"^\d{5}(?:-\d{4})?\z"
 _VOTE = "array<struct<signal:string,value:string,kind:string,key:string,weight:decimal(10,2)>>"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators.jurisdiction import jurisdictions, registry_route
 from siteloom.operators.matching import resolve_ny, resolve_uk
+from siteloom.operators.registry import ny_profiles, uk_profiles, verified_articles
 from siteloom.sources.scratch import saved
 
 #: What the registries are asked with.
@@ -84,3 +85,44 @@ def company_reports(profiles: DataFrame, uk: tuple[DataFrame, DataFrame] | None,
     official = F.when((F.col("registry_type") == "companies_house") & F.col("matched"), F.col("matched_name"))
     out = view.join(answers, "key").join(found.select("key", "jurisdiction_confidence"), "key")
     return out.withColumn("legal_name", F.coalesce(official, "legal_name")).withColumnRenamed("key", "site")
+
+
+def with_official_profiles(reports: DataFrame, uk: tuple[DataFrame, ...] | None, ny: tuple[DataFrame, ...] | None) -> DataFrame:
+    """`reports` with `official_uk` and `official_ny`: the nested registry profile of a matched UK company, and of a New York
+    company that is matched or one of several close ones; null elsewhere.
+
+    `uk` is (profiles, officers, owners, filings, charges, insolvency), `ny` (corporations, filings, addresses, stock,
+    entities), as `uk_profiles` and `ny_profiles` take them. Details are reduced to the companies in question first, so
+    that only their records are shuffled and nested.
+    """
+
+    def only(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+        return table.join(ids.select(F.col("company_number").alias(key)).distinct(), key, "left_semi")
+
+    out = reports
+    if uk is not None:
+        ids = saved(reports.where("registry_type = 'companies_house' AND matched").select("company_number"), "uk-ids")
+        profile = uk_profiles(*(only(t, "company_number", ids) for t in uk))
+        nested = profile.select(F.lit("companies_house").alias("registry_type"), "company_number", F.struct(*profile.columns).alias("official_uk"))
+        out = out.join(nested, ["registry_type", "company_number"], "left")
+    if ny is not None:
+        shown = reports.where("registry_type = 'ny_dos' AND registry_status IN ('resolved', 'ambiguous')")
+        shown = saved(shown.select("site", "registry_status", "matched", "company_number", "confidence", "name"), "ny-ids")
+        asked = shown.select(F.col("site").alias("key"), F.col("registry_status").alias("status"), "matched", F.col("company_number").alias("dos_id"), "confidence", F.col("name").alias("search_name"))
+        corps, *more = ny
+        profile = ny_profiles(asked, only(corps, "dos_id", shown), *(only(t, "corpid_num", shown) for t in more))
+        kept = [c for c in profile.columns if c not in ("key", "search_name")]
+        out = out.join(profile.select(F.col("key").alias("site"), F.struct(*kept).alias("official_ny")), "site", "left")
+    return out
+
+
+def with_articles(reports: DataFrame, hits: DataFrame, articles: DataFrame, outside: DataFrame) -> DataFrame:
+    """`reports` with `article`: the encyclopedia's fields of a company whose article is verified by its domain, null else.
+
+    Companies are looked up by their legal name, else their name.
+    """
+    asked = reports.select("site", F.coalesce("legal_name", "name").alias("brand"), F.col("site").alias("domain"))
+    found = verified_articles(asked.drop("site"), hits, articles, outside).where("domain_match")
+    fields = [c for c in found.columns if c not in ("brand", "domain", "domain_match")]
+    found = found.groupBy("brand", "domain").agg(F.first(F.struct(*fields)).alias("article"))
+    return reports.join(asked, "site").join(found, ["brand", "domain"], "left").drop("brand", "domain")

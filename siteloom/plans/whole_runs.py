@@ -6,11 +6,11 @@ for jurisdictions, and the registries list some of the companies, some twice. Ev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.urls import canonical_url, host_of, path_of
-from siteloom.operators import candidates, links, registry, resolution
+from siteloom.operators import adaptive, candidates, links, registry, resolution, selection
 from siteloom.plans import web
 from siteloom.sources.pages import parse_pages, read_pages
 from siteloom.sources.scratch import saved
@@ -100,19 +100,102 @@ def _registries(companies: DataFrame) -> tuple[tuple[DataFrame, DataFrame], Data
     return (search.union(other), profiles.union(direct)), entities
 
 
+def _official(companies: DataFrame, orders: DataFrame, numbers: DataFrame) -> tuple[DataFrame, ...]:
+    """The UK tables of companies with `numbers` (k, company_number, company_name): orders stand for officers, owners and filings."""
+    mine = orders.join(numbers, F.col("o_custkey") == F.col("k")).withColumn("ord", F.col("o_orderkey"))
+    person = _join("Person ", F.col("o_orderkey").cast("string"))
+    gone = F.when(F.col("o_orderstatus") == "P", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    role = F.when(F.col("o_orderstatus") == "O", "secretary").otherwise("director")
+    officers = mine.select("company_number", "ord", person.alias("name"), role.alias("officer_role"), gone.alias("resigned_on"))
+    owners = mine.where("o_orderpriority LIKE '1%'").select(
+        "company_number", "ord", person.alias("name"), F.lit("individual").alias("kind"), F.array(F.lit("ownership-of-shares")).alias("natures_of_control"),
+        F.lit("British").alias("nationality"), F.lit("England").alias("country_of_residence"),
+    )
+    newest = Window.partitionBy("company_number").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    filings = mine.select(
+        "company_number", F.row_number().over(newest).alias("ord"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderstatus").alias("type"),
+        F.col("o_orderkey").cast("string").alias("description"), F.col("o_orderpriority").alias("category"),
+    )
+    charges = mine.where("o_totalprice > 400000").select("company_number", "ord", person.alias("charge"))
+    insolvency = numbers.where("k % 50 = 0").select("company_number", F.lit("liquidation").alias("insolvency"))
+    address = "struct<address_line_1:string,address_line_2:string,locality:string,region:string,postal_code:string,country:string>"
+    place = F.struct(F.lit("1 High Street"), F.lit(""), F.lit("London"), F.lit(None), F.lit("SW1A 1AA"), F.lit("England")).cast(address)
+    profiles = numbers.select(
+        "company_number", "company_name", F.lit("active").alias("company_status"), F.lit("ltd").alias("type"), F.lit("england-wales").alias("jurisdiction"),
+        F.lit("2001-02-03").alias("date_of_creation"), F.array(F.lit("47110"), F.lit("47190")).alias("sic_codes"), place.alias("registered_office_address"),
+    )
+    return profiles, officers, owners, filings, charges, insolvency
+
+
+def _corporations(entities: DataFrame, orders: DataFrame) -> tuple[DataFrame, ...]:
+    """The New York tables of `entities`: orders of the customer stand for filings, addresses, stock and states."""
+    blank = {c: F.lit(None).cast("string") for c in (
+        "dos_process_name", "dos_process_address_1", "dos_process_address_2", "dos_process_state", "chairman_name", "chairman_address_1", "chairman_city",
+        "chairman_state", "chairman_zip", "registered_agent_name", "registered_agent_state", "jurisdiction", "initial_dos_filing_date",
+    )}
+    corps = entities.withColumns(blank)
+    mine = orders.join(entities.select("dos_id", (F.col("dos_id").cast("long") % 1_000_000).alias("k")), F.col("o_custkey") == F.col("k"))
+    day, key = F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_filed"), F.col("dos_id").alias("corpid_num")
+    film = F.col("o_orderkey").cast("string").alias("film_num")
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    order = F.col("o_orderkey").alias("ord")
+    filings = mine.select(key, film, day, order, *none("approved_date", "eff_date", "dura_date", "dis_eff_date", "mod_certcode", "entitytype", "law", "corp_name", "cnty_prin_ofc", "juris"), F.col("o_orderstatus").alias("documenttype"), F.when(F.col("o_orderstatus") == "P", "X").alias("amd_corp_name_flag"))
+    addresses = mine.select(key, film, day, order, F.left("o_orderpriority", F.lit(1)).alias("addr_type"), *none("name", "addr2", "state", "zip5", "country"), _join(F.col("o_orderkey").cast("string"), " Broadway").alias("addr1"), F.lit("Albany").alias("city"))
+    stock = mine.where("o_totalprice > 400000").select(key, film, day, order, *none("stock_num_shrs", "stock_val_shr"), F.col("o_orderstatus").alias("stock_type"))
+    states = mine.select(key, film, day, order, *none("mod_cert_code"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("status"))
+    return corps, filings, addresses, stock, states
+
+
 def company_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full run for every company: pages, candidates, profile, jurisdiction, registry, report."""
+    """The full run for every company: pages in batches, candidates, profile, jurisdiction, registry with its nested profile,
+    encyclopedia, report. A site's second page is read only if the first says too little."""
     companies = _companies(spark, sf_dir)
-    sites = companies.select("site", F.col("site").alias("domain"))
+    first = _pages(companies).select("site", "url", "html")
+    decoy = _join("<html><head><title>Team</title></head><body><p>Call us: +1 999 000 1111</p><p>", F.col("name"), " people</p></body></html>")
+    second = companies.where("kind < 3").select("site", _join("https://www.", F.col("site"), "/team").alias("url"), decoy.alias("html"))
+    pages = saved(first.union(second), "site-pages")
+    urls = selection.ranked(selection.scored(pages.select("site", "url", _join("https://www.", F.col("site"), "/").alias("start_url"))))
+    known, _ = adaptive.adaptive_run(urls.withColumn("domain", F.col("site")), pages, batch_pages=1)
     uk, ny = _registries(companies)
-    found = saved(_found(spark, sf_dir), "candidates")
-    reports = resolution.company_reports(candidates.profiles(found, sites), uk, ny)
+    reports = saved(resolution.company_reports(known, uk, ny), "reports")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    number = F.col("company_number").cast("long") % 10_000_000
+    numbers = uk[1].withColumn("k", number)
+    reports = resolution.with_official_profiles(reports, _official(companies, orders, numbers), _corporations(ny, orders))
+    reports = resolution.with_articles(reports, *_encyclopedia(companies, "legal"))
+    u, n = F.col("official_uk"), F.col("official_ny")
+    keys = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ","), F.lit(""))
     return reports.select(
         "site", "name", "legal_name", "website", "country", "address", "email", "phone", "state_abbr", "registry_type", "registry_status",
         "matched", "company_number", "matched_name", F.col("confidence").cast("double").alias("confidence"),
+        F.col("jurisdiction_confidence").cast("double").alias("jurisdiction_confidence"),
+        keys(u["officers"]["directors"], lambda x: x).alias("directors"), keys(u["officers"]["management"], lambda x: x).alias("management"),
+        F.coalesce(F.size(u["psc"]), F.lit(0)).cast("long").alias("n_owners"), u["insolvency"].alias("insolvency"),
+        keys(F.coalesce(u["filing_history"]["description"], n["filing_history"]["film_num"]), lambda x: x).alias("filings"),
+        F.coalesce(u["registered_address"]["city"], n["registered_address"]["address_line_1"]).alias("registered_at"),
+        n["company_status"].alias("ny_status"), F.coalesce(F.size(n["stock_info"]), F.lit(0)).cast("long").alias("n_stock"),
+        F.col("article.industry").alias("industry"),
     )
 
 
+def adaptive_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of six pages, read two at a time, best first: one page says how to call, which one differs, and the last page
+    says it better, which a site that stops before never sees."""
+    companies = _companies(spark, sf_dir)
+    paths = ["", "contact-us", "about-us", "legal", "team", "blog/x"]
+    rows = companies.select("site", "name", "k", F.explode(F.array(*(F.struct(F.lit(i + 1).alias("n"), F.lit(p).alias("path")) for i, p in enumerate(paths)))).alias("p"))
+    phone = lambda area: _join(f"+1 {area} 555 ", F.lpad((F.col("k") % 10000).cast("string"), 4, "0"))
+    title = F.when(F.col("p.n") == 1, F.col("name")).otherwise("About")
+    table = F.when(F.col("p.n") == 1 + F.col("k") % 7, _join("<table><tr><td>Telephone</td><td>", phone(303), "</td></tr></table>")).otherwise("")
+    node = F.when(F.col("p.n") == 6, _join('<script type="application/ld+json">{"@type":"Organization","telephone":"', phone(404), '"}</script>')).otherwise("")
+    html = _join("<html><head><title>", title, "</title></head><body>", table, node, "<p>text</p></body></html>")
+    pages = saved(rows.select("site", _join("https://", F.col("site"), "/", F.col("p.path")).alias("url"), html.alias("html")), "site-pages")
+    urls = selection.ranked(selection.scored(pages.select("site", "url", _join("https://", F.col("site"), "/").alias("start_url"))))
+    known, taken = adaptive.adaptive_run(urls.withColumn("domain", F.col("site")), pages, batch_pages=2)
+    sizes = taken.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"), F.max("batch").cast("long").alias("last_batch"))
+    return known.join(sizes, "site").select("site", "company_name", "phone", "sufficient", "n_pages", "last_batch", F.size("source_pages").cast("long").alias("n_sources"))
+
+
 def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers looked up by the key that each nation's largest order names."""
     orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
@@ -165,22 +248,27 @@ def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("site", "total_discovered", "sitemap_urls_count", "bfs_urls_count", F.array_join("urls", " ").alias("urls"))
 
 
+def _encyclopedia(companies: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, articles, outside links) of companies by their column `name`."""
+    k, title = F.col("k"), F.col(name)
+    aside = companies.where(k % 4 == 0).select(title.alias("query"), F.lit(0).alias("hit_ord"), _join(title, " (disambiguation)").alias("title"), F.lit("a disambiguation page").alias("snippet"))
+    hits = aside.union(companies.where(k % 7 != 0).select(title.alias("query"), F.lit(1).alias("hit_ord"), title.alias("title"), F.lit("a firm").alias("snippet")))
+    site = F.when(k % 3 == 0, _join("| website = {{URL|https://shop.", F.col("site"), "/en}}\n")).when(k % 3 == 1, "| website = [https://other.example.org o]\n").otherwise("")
+    articles = companies.select(title.alias("title"), _join("{{Infobox company\n| name = ", F.col("name"), "\n| industry = [[Tools]]\n", site, "}}").alias("wikitext"))
+    outside = companies.where(k % 2 == 0).select(title.alias("title"), _join("http://www.", F.col("site"), "/about").alias("link"))
+    return hits, articles, outside
+
+
 def wiki_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of companies, verified by the website in the infobox, or else by a link to the company's domain."""
     companies = _companies(spark, sf_dir)
-    k = F.col("k")
     brands = companies.select(F.col("name").alias("brand"), F.col("site").alias("domain"))
-    aside = companies.where(k % 4 == 0).select(F.col("name").alias("query"), F.lit(0).alias("hit_ord"), _join(F.col("name"), " (disambiguation)").alias("title"), F.lit("a disambiguation page").alias("snippet"))
-    hits = aside.union(companies.where(k % 7 != 0).select(F.col("name").alias("query"), F.lit(1).alias("hit_ord"), F.col("name").alias("title"), F.lit("a firm").alias("snippet")))
-    site = F.when(k % 3 == 0, _join("| website = {{URL|https://shop.", F.col("site"), "/en}}\n")).when(k % 3 == 1, "| website = [https://other.example.org o]\n").otherwise("")
-    articles = companies.select(F.col("name").alias("title"), _join("{{Infobox company\n| name = ", F.col("name"), "\n| industry = [[Tools]]\n", site, "}}").alias("wikitext"))
-    outside = companies.where(k % 2 == 0).select(F.col("name").alias("title"), _join("http://www.", F.col("site"), "/about").alias("link"))
-    return registry.verified_articles(brands, hits, articles, outside).select("brand", "title", "website", "industry", "domain_match")
+    return registry.verified_articles(brands, *_encyclopedia(companies, "name")).select("brand", "title", "website", "industry", "domain_match")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (company_candidates, company_reports, registry_lookup, robots_pages, sitemap_pages, discovery_report, wiki_verified)
+    for f in (company_candidates, company_reports, adaptive_profiles, registry_lookup, robots_pages, sitemap_pages, discovery_report, wiki_verified)
 }
 
 _C = f"SELECT *, street || ', ' || city || CASE WHEN kind = 0 THEN ', ' || code ELSE ', ' || state || ' ' || code END AS line FROM ({_COMPANY})"
@@ -236,18 +324,50 @@ ORACLE_SQL = {
                         WHEN kind = 2 THEN 'unsupported' ELSE 'no_jurisdiction' END AS registry_status
             FROM c
         )
-        SELECT site, name, CASE WHEN kind = 0 AND registry_status LIKE 'resolved%' THEN upper(legal) WHEN kind < 3 THEN legal END AS legal_name,
+        , answer AS (
+            SELECT *, CASE WHEN kind = 0 AND NOT ld THEN lpad(CAST(k AS STRING), 8, '0')
+                    WHEN kind = 0 AND registry_status = 'resolved' THEN CAST(k + 10000000 AS STRING)
+                    WHEN kind = 1 AND k % 3 <> 2 THEN CAST(k + 1000000 AS STRING) END AS company_number,
+                   kind = 0 AND registry_status LIKE 'resolved%' AS is_uk, kind = 1 AND k % 3 <> 2 AS is_ny
+            FROM r
+        ), o AS (
+            SELECT *, 'Person ' || o_orderkey AS person, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n,
+                   row_number() OVER (PARTITION BY o_custkey ORDER BY CASE left(o_orderpriority, 1) WHEN '3' THEN 0 WHEN '1' THEN 1 ELSE 2 END,
+                       strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS a,
+                   row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS d
+            FROM orders
+        ), details AS (
+            SELECT o_custkey AS k, string_agg(person, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS directors,
+                   string_agg(person, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS management,
+                   count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS n_owners,
+                   string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY n) FILTER (WHERE n <= 10) AS uk_filings,
+                   string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY d) FILTER (WHERE d <= 20) AS ny_filings,
+                   any_value(o_orderkey || ' Broadway') FILTER (WHERE a = 1) AS seat, arg_min(o_orderstatus, d) FILTER (WHERE d <= 10 AND o_orderstatus <> 'O') AS status,
+                   least(count(*) FILTER (WHERE o_totalprice > 400000), 10) AS n_stock
+            FROM o GROUP BY o_custkey
+        )
+        SELECT site, name, CASE WHEN is_uk THEN upper(legal) WHEN kind < 3 THEN legal END AS legal_name,
                'https://' || site || '/' AS website, CASE WHEN kind < 3 THEN country END AS country,
                CASE WHEN kind < 3 AND ld THEN concat_ws(', ', street, city, state, code, country) WHEN kind < 3 THEN line END AS address,
                CASE WHEN kind < 3 AND ld THEN 'info@' || site END AS email, CASE WHEN kind < 3 THEN phone END AS phone,
-               state AS state_abbr, registry_type, registry_status, registry_status LIKE 'resolved%' AS matched,
-               CASE WHEN kind = 0 AND NOT ld THEN lpad(CAST(k AS STRING), 8, '0')
-                    WHEN kind = 0 AND registry_status = 'resolved' THEN CAST(k + 10000000 AS STRING)
-                    WHEN kind = 1 AND k % 3 <> 2 THEN CAST(k + 1000000 AS STRING) END AS company_number,
-               CASE WHEN kind = 0 AND registry_status LIKE 'resolved%' OR kind = 1 AND k % 3 <> 2 THEN upper(legal) END AS matched_name,
+               state AS state_abbr, registry_type, registry_status, registry_status LIKE 'resolved%' AS matched, company_number,
+               CASE WHEN is_uk OR is_ny THEN upper(legal) END AS matched_name,
                CASE WHEN kind = 0 AND registry_status = 'resolved' THEN 0.95 WHEN registry_status LIKE 'resolved%' THEN 1.0
-                    WHEN registry_status = 'ambiguous' THEN 1.0 END AS confidence
-        FROM r""",
+                    WHEN registry_status = 'ambiguous' THEN 1.0 END AS confidence,
+               CASE WHEN kind = 3 THEN 0.0 ELSE 1.0 END AS jurisdiction_confidence,
+               CASE WHEN is_uk THEN coalesce(directors, '') ELSE '' END AS directors, CASE WHEN is_uk THEN coalesce(management, '') ELSE '' END AS management,
+               CASE WHEN is_uk THEN coalesce(n_owners, 0) ELSE 0 END AS n_owners, CASE WHEN is_uk AND k % 50 = 0 THEN 'liquidation' END AS insolvency,
+               CASE WHEN is_uk THEN coalesce(uk_filings, '') WHEN is_ny THEN coalesce(ny_filings, '') ELSE '' END AS filings,
+               CASE WHEN is_uk THEN 'London' WHEN is_ny THEN seat END AS registered_at, CASE WHEN is_ny THEN status END AS ny_status,
+               CASE WHEN is_ny THEN coalesce(n_stock, 0) ELSE 0 END AS n_stock,
+               CASE WHEN kind < 3 AND NOT is_uk AND k % 7 <> 0 AND (k % 3 = 0 OR k % 2 = 0) THEN 'Tools' END AS industry
+        FROM answer LEFT JOIN details USING (k)""",
+    "adaptive_profiles": f"""
+        WITH c AS (SELECT *, 1 + k % 7 AS j, lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS d FROM ({_COMPANY})),
+        b AS (SELECT *, CASE WHEN j > 4 THEN 2 ELSE (j - 1) // 2 END AS last FROM c)
+        SELECT site, name AS company_name, CASE WHEN last = 2 THEN '+1 404 555 ' || d ELSE '+1 303 555 ' || d END AS phone, TRUE AS sufficient,
+               2 * last + 2 AS n_pages, CAST(last AS BIGINT) AS last_batch, CAST(CASE WHEN j = 1 THEN 1 ELSE 2 END AS BIGINT) AS n_sources
+        FROM b""",
     "registry_lookup": """
         SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_custkey IN (
             SELECT id FROM (SELECT arg_max(o_custkey, struct_pack(p := o_totalprice, k := o_orderkey)) AS id

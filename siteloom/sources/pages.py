@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _SILENT = {"script", "style"}
 _QUIET = {"script", "style", "noscript", "svg", "iframe"}
+#: Fixed values. Parts of class names of footers, and of labels and values beside each other.
 _FOOTER_WORDS = ("footer", "legal", "imprint", "copyright", "bottom", "contact", "address", "impressum")
 _KEY_WORDS = ("label", "key", "term", "title")
 _VALUE_WORDS = ("value", "val", "desc", "data", "content")

@@ -25,8 +25,6 @@ def one(spark, f, *args):
         (text.company_number, "SC12345", "SC012345"),
         (text.company_number, "1234", "00001234"),
         (text.company_number, "", None),
-        (text.hidden_email, "4313262c332f260321312634272c246d202c2e", "People@brewdog.com"),
-        (text.hidden_email, "zz", None),
         (text.country, "U.S.A.", "United States"),
         (text.country_in_text, "contact us", "United States"),
         (text.state_in_text, "Los Angeles, CA 90028", "CA"),
