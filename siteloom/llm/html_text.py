@@ -59,14 +59,17 @@ def _off_name(name: str) -> bool:
     return any(w in _OFF_WORDS for w in words) and all(w in _OFF_WORDS or w in _OFF_BESIDE for w in words)
 
 
-def _step(tag: str, attributes: dict[str, str]) -> tuple[str, bool]:
+def _step(tag: str, attributes: dict[str, str], in_article: bool = False) -> tuple[str, bool]:
     """A container's step in a path, and whether its tag, role, classes or id speak against it.
 
     The step is the tag with its classes, numbers generalised so that pages of a host agree, and with what speaks against
-    the container, so that it shares no path with one that nothing speaks against.
+    the container, so that it shares no path with one that nothing speaks against. Inside an article an id is a place to
+    link to and speaks against nothing, nor do names against headings and paragraphs.
     """
     role = attributes.get("role", "").lower()
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    names = f"{attributes.get('class', '')} {'' if in_article else attributes.get('id', '')}".lower().split()
+    if in_article and (tag in _HEADINGS or tag == "p"):
+        names = []
     against = [n for n in names if n in _OFF_NAMES or tag not in ("html", "body", "main") and _off_name(n)]
     if role in _OFF_ROLES:
         against.append(f"role={role}")
@@ -94,10 +97,10 @@ class Page:
     blocks: list[tuple[int, str, int, int]] = field(default_factory=list)
     sums: tuple[list[int], ...] | None = None
 
-    def add(self, parent: int, tag: str, attributes: dict[str, str], in_article: bool) -> int:
+    def add(self, parent: int, tag: str, attributes: dict[str, str], in_article: bool, in_text: bool) -> int:
         from xxhash import xxh64_intdigest
 
-        step, against = _step(tag, attributes)
+        step, against = _step(tag, attributes, in_text)
         self.parent.append(parent)
         self.tag.append(tag)
         self.path.append(xxh64_intdigest(step, self.path[parent]))
@@ -200,8 +203,8 @@ def parsed(page: str) -> Page:
             close_one()
         attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         here = stack[-1][1] if stack else 0
-        if tag not in _HEADINGS and tag != "p" or attributes and _step(tag, attributes)[1]:
-            here = out.add(here, tag, attributes, in_article > 0)
+        if tag not in _HEADINGS and tag != "p" or attributes and _step(tag, attributes, open_tags.get("article", 0) > 0)[1]:
+            here = out.add(here, tag, attributes, in_article > 0, open_tags.get("article", 0) > 0)
         stack.append((tag, here))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         in_article += tag in ("article", "main")
@@ -341,6 +344,45 @@ def path_verdicts(page: Page, off: list[bool]) -> dict[int, bool | None]:
     return found
 
 
+def page_repeats(page: Page) -> tuple[int, list[tuple[int, int]]]:
+    """(signature of the page's article, [(path, signature)]) of the paths of boxes that the page itself keeps, beside its
+    article or inside. A signature is a sum over the blocks under a path: pages with the same texts there have the same.
+
+    Boxes are elements that make containers, of twenty characters or more. What is marked as an article or main is all the
+    author's, also where it repeats.
+    """
+    from xxhash import xxh64_intdigest
+
+    off = off_article(page)
+    blocks = kept_blocks(page, off)
+    own = next((p for p, _ in scored_containers(page, blocks)), 0)
+    n = len(off)
+    sums, holds, marked, chars = [0] * n, [False] * n, [False] * n, [0] * n
+    for k in range(1, n):
+        marked[k] = marked[page.parent[k]] or page.tag[k] in ("article", "main")
+    for at, text, _, _ in blocks:
+        sums[at] += xxh64_intdigest(text)
+        chars[at] += len(text)
+    by_path: dict[int, int] = {}
+    held: set[int] = set()
+    for k in range(n - 1, -1, -1):
+        path = page.path[k]
+        holds[k] = holds[k] or path == own
+        if holds[k] or marked[k] or page.tag[k] not in _SCORED:
+            held.add(path)
+        if sums[k]:
+            by_path[path] = by_path.get(path, 0) + sums[k]
+        if sums[k] and chars[k] < 20:
+            held.add(path)
+        if k:
+            sums[page.parent[k]] += sums[k]
+            chars[page.parent[k]] += chars[k]
+            holds[page.parent[k]] = holds[page.parent[k]] or holds[k]
+    least = 1 << 64
+    article = _signed(by_path.get(own, 0) % least)
+    return article, [(_signed(p), _signed(x % least)) for p, x in by_path.items() if p not in held]
+
+
 def page_votes(page: Page) -> list[tuple[int, int, int, int]]:
     """(path, score, off, voted) of a page: the scores of containers that hold its article, and its verdict on each path."""
     off = off_article(page)
@@ -379,25 +421,29 @@ def main_text(page: Page, path: int | None = None, off_paths: dict[int, bool] |
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of votes by host and path, and the signatures of the texts under paths that pages keep beside their article."""
     for batch in batches:
         sums: dict[tuple[str, int], list[int]] = {}
+        repeats: set[tuple[str, int, int, int]] = set()
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for path, *vote in page_votes(parsed(page)):
+            page = parsed(page)
+            for path, *vote in page_votes(page):
                 total = sums.setdefault((host, path), [0, 0, 0])
                 for i, x in enumerate(vote):
                     total[i] += x
-        columns = [[h for h, _ in sums], [p for _, p in sums], *([s[i] for s in sums.values()] for i in range(3))]
-        kinds = (pa.string(), *[pa.int64()] * 4)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "score", "off", "voted"]
-        )
+            article, found = page_repeats(page)
+            repeats.update((host, path, x, article) for path, x in found)
+        rows = [(h, p, *v, None, None) for (h, p), v in sums.items()] + [(h, p, 0, 0, 0, x, a) for h, p, x, a in repeats]
+        columns = list(zip(*rows)) or [[]] * 7
+        names = ["host", "path", "score", "off", "voted", "signature", "article"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 6))], names)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for page, path, off, on in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-            verdicts = dict.fromkeys(off or (), True) | dict.fromkeys(on or (), False)
+            verdicts = dict.fromkeys(on or (), False) | dict.fromkeys(off or (), True)
             texts.append(main_text(parsed(page), path, verdicts))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["c0", "c1", "text"]
@@ -409,14 +455,25 @@ def host_verdicts(pages: DataFrame) -> DataFrame:
 
     The path with the highest sum of scores wins. A path is disputed if pages do not all find the same of it; it is off if
     more than half of them find it off, each page with one vote; a page with both kinds under one path has none on it.
+
+    What pages of a host say again beside different articles is no part of any of them, whatever its names: a path is off
+    too if three articles or more have the very same texts under it, and more than half of those that have the path. Copies
+    of an article count once, and a path that holds a page's article is never one.
     """
-    votes = pages.where("_host <> ''").mapInArrow(_votes, "_host string, path long, score long, off long, voted long")
-    sums = votes.groupBy("_host", "path").agg(*(F.sum(c).alias(c) for c in ("score", "off", "voted")))
+    kinds = "_host string, path long, score long, off long, voted long, signature long, article long"
+    votes = saved(pages.where("_host <> ''").mapInArrow(_votes, kinds), "votes")
+    said = votes.where("signature IS NOT NULL").select("_host", "path", "signature", "article").distinct()
+    same = said.groupBy("_host", "path", "signature").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = same.groupBy("_host", "path").agg(F.max("_n").alias("_most"), F.sum("_n").alias("_all")).where("_most >= 3 AND 2 * _most > _all")
+    repeated = repeated.groupBy("_host").agg(F.collect_list("path").alias("_repeated"))
+    sums = votes.where("signature IS NULL").groupBy("_host", "path").agg(*(F.sum(c).alias(c) for c in ("score", "off", "voted")))
     disputed = (F.col("off") > 0) & (F.col("off") < F.col("voted"))
     is_off = 2 * F.col("off") > F.col("voted")
     best = F.max(F.when(F.col("score") > 0, F.struct("score", "path")))
     off, on = (F.collect_list(F.when(disputed & x, F.col("path"))) for x in (is_off, ~is_off))
-    return sums.groupBy("_host").agg(best["path"].alias("_path"), off.alias("_off"), on.alias("_on"))
+    found = sums.groupBy("_host").agg(best["path"].alias("_path"), off.alias("_off"), on.alias("_on"))
+    both = F.array_union("_off", F.coalesce("_repeated", F.array().cast("array<bigint>")))
+    return found.join(repeated, "_host", "left").select("_host", "_path", both.alias("_off"), "_on")
 
 
 def extract_main_text(
@@ -424,6 +481,9 @@ def extract_main_text(
 ) -> DataFrame:
     """Per page: its id, its url, `text` (main text, blocks joined by blank lines; empty if none) and `n_chars`.
 
+    A page scores its containers by their tags, roles, links, share of text and, outside of articles or by class, names made
+    up of words for what is not the article; its host's pages then decide by votes (`host_verdicts`).
+
     Votes are summed by host and path, with partial sums in each batch, so a host with a third of all pages sends few rows.
     The verdicts, a row for each host, are written; up to `small` hosts are broadcast, more are joined with the host's
     pages dealt over salts. Null html counts as empty; a page with no readable host has its own verdicts only; repeated

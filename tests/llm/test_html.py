@@ -50,6 +50,41 @@ def test_html_wrapper_with_the_page_is_no_side_part(tag):
     assert main_text(parsed(page)) == f"Head\n\n{text.strip()}"
 
 
+def test_html_sections_of_an_article_keep_their_text_whatever_their_ids():
+    text = "Long text about looking things up, with many words in it. " * 5
+    page = f"<article><h1>Head</h1><section id=login><h2>Log in</h2><p>First do this.</p></section><section id=search><h2 class=title-search>Search</h2><p class=notice>{text}</p></section><div class=ad>buy</div></article>"
+    assert main_text(parsed(page)) == f"Head\n\nLog in\n\nFirst do this.\n\nSearch\n\n{text.strip()}"
+
+
+def test_html_texts_that_a_host_says_again_are_no_article(spark):
+    """Boxes with names in other languages, beside and inside the article, and copies of one article."""
+
+    def page(host, k, box="Kaufen Sie jetzt unsere neuen Schuhe im Laden", own="Hinweis: heute nur die halbe Zahl"):
+        text = f"Article {k} of its host says what no other says, number {k * 7919 % 1000}. " * 6
+        return f"<body><div class=werbung><p>{box}</p></div><div class=text><h1>Head {k}</h1><p>{text}</p><div class=kasten>{own}</div></div></body>", f"Head {k}\n\n{text.strip()}"
+
+    pages, expected = [], {}
+    for k in range(6):
+        html, text = page("h", k)
+        pages.append((k, "https://h.example/%d" % k, html))
+        expected[k] = text
+    # another text under the path of a box goes with the box
+    html, text = page("h", 6, box="Something else")
+    pages.append((6, "https://h.example/6", html))
+    expected[6] = text
+    # two pages of a host are no majority of three, and copies count once
+    for k in (10, 11, 12, 13):
+        html, text = page("two", 10 if k < 13 else 11)
+        pages.append((k, "https://two.example/%d" % k, html))
+        expected[k] = text
+    rows = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(7):
+        assert rows[k] == expected[k]
+    for k in (10, 11, 12, 13):
+        assert "Hinweis" in rows[k] and expected[k] in rows[k]
+    assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_html_side_parts_go_beside_an_article():
     side = "<div id=comments><article class=comment-body><p>" + "troll text " * 40 + "</article></div><aside><article>teaser</article></aside>"
     assert main_text(parsed(f"<article><p>Short text.</article>{side}")) == "Short text."
