@@ -150,6 +150,17 @@ def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "a", "b", F.round(matching.similarity(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 
+def name_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness by words of the names of parts and of those that stand for their suppliers, wherever lines name both."""
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    parts = t("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("a"), F.concat_ws(" ", F.lower("p_type"), F.lit("of"), "p_name").alias("b"))
+    pairs = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n_lines"))
+    pairs = pairs.join(parts.select(F.col("p_partkey").alias("l_partkey"), "a"), "l_partkey").join(parts.select(F.col("p_partkey").alias("l_suppkey"), "b"), "l_suppkey")
+    # names repeat, so each pair of them is compared once
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n_lines").alias("n_lines"))
+    return pairs.select("a", "b", "n_lines", matching.token_set_ratio(F.col("a"), F.col("b")).alias("ratio"))
+
+
 def wiki_infobox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of articles with markup, links, templates and keys that overwrite others, or without an infobox."""
     body = (
@@ -172,7 +183,7 @@ def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (scalar_vectors, jurisdictions, uk_resolution, ny_resolution, sequence_similarity, wiki_infobox, robots_allowed)
+    f.__name__: f for f in (scalar_vectors, jurisdictions, uk_resolution, ny_resolution, sequence_similarity, name_likeness, wiki_infobox, robots_allowed)
 }
 
 _UK_PC = r"regexp_extract(upper(regexp_replace(trim(s), '\s+', ' ', 'g')), '\b([A-Z]{1,2}[0-9][A-Z0-9]?\s*[0-9][A-Z]{2})\b', 1)"
@@ -234,6 +245,24 @@ ORACLE_SQL = {
                CASE k % 4 WHEN 0 THEN upper('Ard' || l || ' Bex' || l || ' Ltd') WHEN 1 THEN upper(l) WHEN 2 THEN 'bcde' || k ELSE l END AS b,
                CASE k % 4 WHEN 0 THEN round({_RATIO}, 4) WHEN 1 THEN 1.0 WHEN 2 THEN round(6 / (8.0 + n), 4) ELSE 0.0 END AS ratio
         FROM ({_KEYED})""",
+    "name_likeness": """
+        WITH p AS (SELECT p_partkey, p_name || ' ' || p_type AS a, lower(p_type) || ' of ' || p_name AS b FROM part),
+        pairs AS (SELECT x.a, y.b, CAST(count(*) AS BIGINT) AS n_lines FROM lineitem JOIN p AS x ON l_partkey = x.p_partkey JOIN p AS y ON l_suppkey = y.p_partkey GROUP BY ALL),
+        w AS (SELECT *, list_sort(list_distinct(string_split(lower(a), ' '))) AS l, list_sort(list_distinct(string_split(lower(b), ' '))) AS r FROM pairs),
+        s AS (SELECT *, array_to_string(list_filter(l, lambda t: list_contains(r, t)), ' ') AS common,
+                     array_to_string(list_filter(l, lambda t: NOT list_contains(r, t)), ' ') AS x, array_to_string(list_filter(r, lambda t: NOT list_contains(l, t)), ' ') AS y FROM w),
+        -- longest common subsequence by rows of the usual table; the first entry of a step is the character's code
+        d AS (SELECT *, length(x) + length(y) - 2 * CASE WHEN x = '' OR y = '' THEN 0 ELSE list_reduce(
+                  list_prepend(list_transform(range(length(y) + 1), lambda i: CAST(0 AS BIGINT)), list_transform(string_split(x, ''), lambda c: [CAST(ord(c) AS BIGINT)])),
+                  lambda prev, c: list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, length(y) + 1), lambda j: [j])),
+                      lambda row, j: list_append(row, greatest(row[len(row)], prev[j[1] + 1], CASE WHEN ord(y[j[1]]) = c[1] THEN prev[j[1]] + 1 ELSE 0 END))))[-1] END AS dist
+              FROM s),
+        g AS (SELECT *, length(common) AS n, CASE WHEN common <> '' THEN 1 ELSE 0 END AS gap FROM d)
+        SELECT a, b, n_lines, CAST(CASE WHEN n > 0 AND (x = '' OR y = '') THEN 100
+                   WHEN n > 0 THEN round_even(greatest(100.0 - 100.0 * dist / (2 * (n + gap) + length(x) + length(y)),
+                        100.0 - 100.0 * (gap + length(x)) / (2 * n + gap + length(x)), 100.0 - 100.0 * (gap + length(y)) / (2 * n + gap + length(y))), 0)
+                   ELSE round_even(100.0 - 100.0 * dist / (length(x) + length(y)), 0) END AS INT) AS ratio
+        FROM g""",
     "wiki_infobox": f"""
         SELECT 'Nordvik ' || l AS title, field, replace(value, '#', l) AS value FROM ({_KEYED}) CROSS JOIN (VALUES
             ('legal_name', 'Nordvik #'), ('company_type', 'Public'), ('industry', 'Tools #'), ('full_address', 'Leeds'), ('website', 'https://#.example')) t(field, value)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import fixed
 from siteloom.functions.text import filled, matched, strip
 from siteloom.functions.urls import base_domain, canonical_url, host_of, path_of, seed_url
-from siteloom.operators import links, selection
+from siteloom.operators import links, selection, suffixes
 from siteloom.operators.candidates import title_names
 from siteloom.sources.pages import parse_pages, read_pages
 
@@ -227,11 +227,26 @@ def adaptive_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.sufficient_batches(rows, 3).select("site", "page_id", F.col("batch").cast("long").alias("batch"))
 
 
+#: Public suffixes of each kind: of one label and of two, with a star, and with an exception.
+SUFFIX_RULES = ["com", "net", "org", "uk", "co.uk", "jp", "*.kobe.jp", "!city.kobe.jp", "*.ck", "!www.ck", "us", "k12.ak.us"]
+_ENDINGS_OF_HOSTS = ["co.uk", "uk", "port.kobe.jp", "city.kobe.jp", "firm.ck", "www.ck", "school.k12.ak.us", "com", "unlisted"]
+_HOST_CASES = " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_ENDINGS_OF_HOSTS))
+_MADE_HOST = f"CASE WHEN s_suppkey % 4 = 0 THEN '' WHEN s_suppkey % 4 = 1 THEN 'www.shop' || s_suppkey || '.' ELSE 'shop' || s_suppkey || '.' END || CASE s_suppkey % 9 {_HOST_CASES} END"
+
+
+def registered_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public suffix and registered domain of the hosts of pages, and of hosts made from suppliers under rules of every kind."""
+    hosts = read_pages(spark, sf_dir).select(host_of(F.col("url")).alias("host"))
+    made = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.expr(_MADE_HOST).alias("host"))
+    rules = suffixes.suffix_rules(spark.createDataFrame([(r,) for r in SUFFIX_RULES], "value string"))
+    return suffixes.registered_domains(hosts.union(made), rules)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         url_canonical, url_score, page_select_topk, base_domain_rollup, link_edges, bfs_depth, unseen_urls, source_union,
-        page_title_candidates, best_name_per_site, html_parse, telemetry_pages, adaptive_batches,
+        page_title_candidates, best_name_per_site, html_parse, telemetry_pages, adaptive_batches, registered_domains,
     )
 }
 
@@ -295,4 +310,15 @@ ORACLE_SQL = {
               WINDOW w AS (PARTITION BY site ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         l AS (SELECT site, min(batch) AS last FROM f WHERE name = 1 AND other = 1 GROUP BY site)
         SELECT site, page_id, batch FROM b LEFT JOIN l USING (site) WHERE last IS NULL OR batch <= last""",
+    "registered_domains": f"""
+        WITH h AS (SELECT {_HOST} AS host FROM pages UNION SELECT {_MADE_HOST} FROM supplier),
+        r AS (SELECT * FROM (VALUES {", ".join(f"('{r}')" for r in SUFFIX_RULES)}) v(rule)),
+        l AS (SELECT host, string_split(host, '.') AS l FROM h),
+        t AS (SELECT host, n, array_to_string(l[len(l) - n + 1:], '.') AS own, '*.' || array_to_string(l[len(l) - n + 2:], '.') AS star
+              FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS n FROM l)),
+        m AS (SELECT host, n, 0 AS out FROM t JOIN r ON rule = own OR n > 1 AND rule = star
+              UNION ALL SELECT host, n - 1, 1 FROM t JOIN r ON rule = '!' || own),
+        b AS (SELECT host, arg_max(n, 1000 * out + n) AS n FROM m GROUP BY host)
+        SELECT host, array_to_string(l[len(l) - n + 1:], '.') AS suffix, CASE WHEN len(l) > n THEN array_to_string(l[len(l) - n:], '.') END AS domain
+        FROM l LEFT JOIN b USING (host)""",
 }
