@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import filled
@@ -14,10 +15,17 @@ REGISTRY_ONLY = [
 ]
 
 
+#: Fixed values. Fields of the evidence table, in order.
+EVIDENCE_FIELDS = [
+    "company_name", "legal_name", "brand_name", "registration_number", "vat_tax_number", "country", "city", "full_address", "phone",
+    "email", "industry", "parent_company",
+]
+
+
 def page_sizes(parsed: DataFrame) -> DataFrame:
-    """Per page of `parsed` (url, html length, parsed columns): sizes of what was found."""
+    """Per page of `parsed` (url, n_html, parsed columns): its length and the sizes of what was found."""
     return parsed.select(
-        "url", F.length("clean_text").cast("long").alias("n_text"), F.size("json_ld").cast("long").alias("n_json_ld"),
+        "url", "n_html", F.length("clean_text").cast("long").alias("n_text"), F.size("json_ld").cast("long").alias("n_json_ld"),
         F.size("headings").cast("long").alias("n_headings"), F.size("tables_kv").cast("long").alias("n_tables"),
     )
 
@@ -29,6 +37,68 @@ def latest_by_site(history: DataFrame, most: int = 20) -> DataFrame:
     return rows.orderBy(F.desc("at"), "site").limit(most)
 
 
+def merged_history(history: DataFrame | None, arrivals: DataFrame, most: int = 20) -> DataFrame:
+    """(owner, place, site, entry): each owner's list of results after `arrivals` (owner, ord, site, entry) came in order.
+
+    An update of a site on the list keeps its place, a new site goes first, and the last of more than `most` leaves. An
+    owner's list and arrivals meet in one task; lists are short, and of an owner's arrivals one pass is made with a list of
+    `most` entries in hand. Rows without a site are left out.
+    """
+    kinds = f"owner {arrivals.schema['owner'].dataType.simpleString()}, place int, site string, entry string"
+
+    def merge(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        listed = list(old.sort_values("place")[["site", "entry"]].itertuples(index=False, name=None))
+        for site, entry in new.sort_values("ord", kind="stable")[["site", "entry"]].itertuples(index=False, name=None):
+            at = next((k for k, (s, _) in enumerate(listed) if s == site), None)
+            if at is None:
+                listed = [(site, entry), *listed][:most]
+            else:
+                listed[at] = (site, entry)
+        return pd.DataFrame([(key[0], k, *x) for k, x in enumerate(listed)], columns=["owner", "place", "site", "entry"])
+
+    came = arrivals.where("site IS NOT NULL").select("owner", "ord", F.col("site").cast("string").alias("site"), F.col("entry").cast("string").alias("entry"))
+    if history is None:
+        history = arrivals.sparkSession.createDataFrame([], kinds)
+    return history.groupBy("owner").cogroup(came.groupBy("owner")).applyInPandas(merge, kinds)
+
+
+def write_history(spark: SparkSession, path: str, arrivals: DataFrame, most: int = 20) -> int:
+    """Merge `arrivals` into the newest version of the history in a folder and write the next one; returns its number.
+
+    A version is whole once Spark has committed it, which is when its marker appears, so a reader sees the old list or the new one.
+    """
+    version = newest_version(spark, path)
+    before = read_history(spark, path) if version else None
+    merged_history(before, arrivals, most).write.mode("overwrite").parquet(f"{path}/version-{version + 1:010d}")
+    return version + 1
+
+
+def newest_version(spark: SparkSession, path: str) -> int:
+    """The number of the newest committed version in a folder, 0 if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "version-*/_SUCCESS")) or []
+    return max((int(f.getPath().getParent().getName().split("-")[1]) for f in found), default=0)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The newest committed version (owner, place, site, entry) of the history in a folder."""
+    return spark.read.parquet(f"{path}/version-{newest_version(spark, path):010d}")
+
+
+def evidence_table(profiles: DataFrame) -> DataFrame:
+    """(site, ord, field, value, confidence, method) of the twelve main fields of each profile, also of those it has not: these
+    show [NULL], a confidence of 0 and the method null. Values are shown by their first 28 characters."""
+    columns = [F.col(f) if f in profiles.columns else F.lit(None) for f in EVIDENCE_FIELDS]
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), c.cast("string").alias("value")) for f, c in zip(EVIDENCE_FIELDS, columns)))
+    rows = profiles.select("site", "evidence", F.posexplode(fields).alias("ord", "x"))
+    said = F.try_element_at("evidence", F.col("x.field"))
+    return rows.select(
+        "site", (F.col("ord") + 1).alias("ord"), "x.field", F.coalesce(F.left(filled(F.col("x.value")), F.lit(28)), F.lit("[NULL]")).alias("value"),
+        F.coalesce(said["confidence"], F.lit("0").cast("decimal(4,2)")).alias("confidence"), F.coalesce(said["method"], F.lit("null")).alias("method"),
+    )
+
+
 def scraped_view(profiles: DataFrame) -> DataFrame:
     return profiles.drop(*REGISTRY_ONLY)
 
