@@ -202,16 +202,21 @@ def personal_data(
     with_terms = once.join(few(known), "_key").select("_key", "cs", F.explode(_terms(F.col("_text"))).alias("t"))
     pairs = with_terms.select(F.explode("cs").alias("x"), "t").groupBy("x.c", "x.n_c", "t").agg(F.count(F.lit(1)).alias("n_ct"))
     pairs = pairs.where((F.col("n_ct") >= 2) & (F.col("n_ct") * F.log(F.lit(float(n)) / F.col("n_c")) >= evidence))
-    pairs = saved(pairs, "pairs")
+    total = F.lit(float(n))
+
+    def share(n_t: Column) -> Column:
+        pmi = F.log(total * F.col("n_ct") / (F.col("n_c") * n_t))
+        return F.round(pmi / F.log(total / F.col("n_c")), 9)
+
+    # a term is in as many documents at least as hold an entity and have it: most common words are out by that alone
+    seen = with_terms.groupBy("t").agg(F.count(F.lit(1)).alias("_seen"))
+    pairs = saved(pairs.join(seen, "t").where(share(F.col("_seen")) >= generalise_at).drop("_seen"), "pairs")
     wanted = saved(pairs.select("t").distinct(), "terms")
     # the words of all texts are read once: where the wanted ones stand gives their counts and, later, what is marked
     stand = rows.select("_key", F.explode(_terms(F.col("_text"))).alias("t")).join(few(wanted), "t", "left_semi")
     stand = saved(stand.select("_key", "t"), "standing-terms")
     counts = (stand if (counted[1] or 1) == 1 else stand.distinct()).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    total = F.lit(float(n))
-    pmi = F.log(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    share = F.round(pmi / F.log(total / F.col("n_c")), 9)
-    telling = pairs.join(counts, "t").withColumn("share", share).where(F.col("share") >= generalise_at)
+    telling = pairs.join(counts, "t").withColumn("share", share(F.col("n_t"))).where(F.col("share") >= generalise_at)
     telling = saved(telling.select("c", "t", (F.col("share") >= remove_at).alias("out")), "telling")
     # a term discloses its entity wherever it stands, so it is looked for in all documents
     terms = saved(telling.groupBy("t").agg(F.max("out").alias("out")), "telling-terms")
