@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.urls import canonical_url, host_of, path_of
-from siteloom.operators import adaptive, candidates, links, registry, resolution, selection
+from siteloom.operators import adaptive, candidates, enrichment, links, registry, reports, resolution, selection
 from siteloom.plans import web
+from siteloom.sources import responses
 from siteloom.sources.pages import parse_pages, read_pages
-from siteloom.sources.scratch import saved
+from siteloom.sources.scratch import saved, scratch_path
 
 #: Company of a customer in SQL that both engines run: k its key, kind 0 UK, 1 New York, 2 California, 3 anywhere.
 _COMPANY = """
@@ -196,6 +197,65 @@ def adaptive_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.join(sizes, "site").select("site", "company_name", "phone", "sufficient", "n_pages", "last_batch", F.size("source_pages").cast("long").alias("n_sources"))
 
 
+def registry_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved answers of the registry for all customers, read for those in debt; some were not found, refused or broken."""
+    customers, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
+    k = F.col("c_custkey")
+    key = F.lpad(k.cast("string"), 8, "0").alias("key")
+    profile = customers.select(
+        F.lit("profile").alias("endpoint"), key, F.when(k % 10 == 3, 404).when(k % 10 == 7, 429).otherwise(200).alias("status"),
+        F.when(k % 10 == 9, F.lit("<html>")).otherwise(F.to_json(F.struct(F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("type")))).alias("body"),
+    )
+    officers = orders.where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(
+        F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("Person "), F.col("o_orderkey").cast("string")).alias("name"), F.lit("director").alias("officer_role")))).alias("items"))).alias("body")
+    )
+    officers = officers.select(F.lit("officers").alias("endpoint"), F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("key"), F.when(F.col("o_custkey") % 10 == 1, 500).otherwise(200).alias("status"), "body")
+    path = scratch_path(spark, "responses")
+    responses.write_responses(profile.union(officers), path)
+    asked = customers.where("c_acctbal < 0").select(key)
+    named = responses.read_responses(spark, path, "profile", asked).select("key", "company_name", F.col("type").alias("company_type"))
+    people = responses.read_responses(spark, path, "officers", asked).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows = asked.join(named, "key", "left").join(people, "key", "left")
+    return rows.select(F.col("key").alias("company_number"), "company_name", "company_type", F.coalesce("n", F.lit(0)).alias("n_officers"))
+
+
+def history_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of twenty users that each kind of event leaves, an update keeping its place and a new one going first."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    arrivals = events.select(F.col("event_type").alias("owner"), F.struct("ts", "event_id").alias("at"), F.col("user_id").cast("string").alias("site"), F.col("event_id").cast("string").alias("entry"))
+    order = Window.partitionBy("owner").orderBy("at")
+    arrivals = arrivals.withColumn("ord", F.row_number().over(order)).drop("at")
+    return reports.merged_history(None, arrivals).select("owner", "place", "site", "entry")
+
+
+def evidence_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve main fields of each company with value, confidence and method, also where there are none."""
+    sites = _companies(spark, sf_dir).select("site", F.col("site").alias("domain"))
+    rows = reports.evidence_table(candidates.profiles(saved(_found(spark, sf_dir), "candidates"), sites))
+    return rows.select("site", "ord", "field", "value", F.col("confidence").cast("double").alias("confidence"), "method")
+
+
+def enriched_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The UK company with the highest balance among customers, asked for by its number, and its records by SQL."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    companies = _companies(spark, sf_dir)
+    numbers = companies.where("kind = 0").select("k", F.lpad(F.col("k").cast("string"), 8, "0").alias("company_number"), F.upper("legal").alias("company_name"))
+    uk = [saved(t, "registry") for t in _official(companies, orders, numbers)]
+    top = customers.where("c_nationkey % 4 = 0").orderBy(F.desc("c_acctbal"), "c_custkey").select("c_custkey").first()
+    (search, _), _ = _registries(companies)
+    found = enrichment.enriched(spark, search, tuple(uk), number=str(top[0]))
+    for view, table in zip(("reg_profiles", "reg_officers", "reg_filings"), (uk[0], uk[1], uk[3])):
+        table.createOrReplaceTempView(view)
+    enrichment.register_company(spark, "uk_company", profile="reg_profiles", officers="reg_officers", filings="reg_filings")
+    records = spark.sql(f"SELECT * FROM uk_company('{top[0]:08d}')").groupBy().agg(*(F.count_if(F.col("source") == s).alias(f"n_{s}") for s in ("profile", "officers", "filings")))
+    people = F.col("normalized.officers")
+    return found.crossJoin(records).select(
+        "status", F.col("resolution.company_number").alias("company_number"), "legal_name", F.coalesce(F.array_join(people["directors"], ","), F.lit("")).alias("directors"),
+        F.coalesce(F.size("normalized.filing_history"), F.lit(0)).cast("long").alias("n_shown_filings"), "n_profile", "n_officers", "n_filings",
+    )
+
+
 def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers looked up by the key that each nation's largest order names."""
     orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
@@ -268,7 +328,10 @@ def wiki_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (company_candidates, company_reports, adaptive_profiles, registry_lookup, robots_pages, sitemap_pages, discovery_report, wiki_verified)
+    for f in (
+        company_candidates, company_reports, adaptive_profiles, registry_responses, history_merged, evidence_breakdown, enriched_company,
+        registry_lookup, robots_pages, sitemap_pages, discovery_report, wiki_verified,
+    )
 }
 
 _C = f"SELECT *, street || ', ' || city || CASE WHEN kind = 0 THEN ', ' || code ELSE ', ' || state || ' ' || code END AS line FROM ({_COMPANY})"
@@ -368,6 +431,37 @@ ORACLE_SQL = {
         SELECT site, name AS company_name, CASE WHEN last = 2 THEN '+1 404 555 ' || d ELSE '+1 303 555 ' || d END AS phone, TRUE AS sufficient,
                2 * last + 2 AS n_pages, CAST(last AS BIGINT) AS last_batch, CAST(CASE WHEN j = 1 THEN 1 ELSE 2 END AS BIGINT) AS n_sources
         FROM b""",
+    "registry_responses": """
+        SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS company_number, CASE WHEN c_custkey % 10 NOT IN (3, 7, 9) THEN c_name END AS company_name,
+               CASE WHEN c_custkey % 10 NOT IN (3, 7, 9) THEN c_mktsegment END AS company_type,
+               CASE WHEN c_custkey % 10 = 1 THEN 0 ELSE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'P') END AS n_officers
+        FROM customer WHERE c_acctbal < 0""",
+    "history_merged": """
+        WITH RECURSIVE e AS (SELECT event_type AS owner, CAST(user_id AS VARCHAR) AS site, CAST(event_id AS VARCHAR) AS entry,
+                                    row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+        s AS (
+            SELECT DISTINCT owner, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(site VARCHAR, entry VARCHAR)[]) AS l FROM e
+            UNION ALL
+            SELECT s.owner, e.n, CASE WHEN len(list_filter(l, lambda x: x.site = e.site)) > 0
+                       THEN list_transform(l, lambda x: CASE WHEN x.site = e.site THEN struct_pack(site := e.site, entry := e.entry) ELSE x END)
+                       ELSE list_prepend(struct_pack(site := e.site, entry := e.entry), l)[1:20] END
+            FROM s JOIN e ON e.owner = s.owner AND e.n = s.n + 1
+        ), f AS (SELECT owner, arg_max(l, n) AS l FROM s GROUP BY owner)
+        SELECT owner, CAST(i - 1 AS INT) AS place, l[i].site AS site, l[i].entry AS entry FROM (SELECT owner, l, unnest(range(1, len(l) + 1)) AS i FROM f)""",
+    "evidence_breakdown": f"""
+        WITH c AS ({_C}), r AS ({_rows_sql()}),
+        f AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{f}')" for i, f in enumerate(reports.EVIDENCE_FIELDS, 1))}) v(ord, field)),
+        d AS (SELECT site, 'company_name' AS field, name AS value FROM c)
+        SELECT c.site, f.ord, f.field, coalesce(left(r.value, 28), '[NULL]') AS value, coalesce(confidence, 0.0) AS confidence, coalesce(method, 'null') AS method
+        FROM c CROSS JOIN f LEFT JOIN r ON r.site = c.site AND r.field = f.field""",
+    "enriched_company": """
+        WITH t AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey % 4 = 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 1),
+        o AS (SELECT * FROM orders WHERE o_custkey = (SELECT k FROM t))
+        SELECT 'resolved_direct' AS status, lpad(CAST(k AS VARCHAR), 8, '0') AS company_number,
+               upper('Trade' || translate(CAST(k AS VARCHAR), '0123456789', 'abcdefghij') || ' Limited') AS legal_name,
+               coalesce((SELECT string_agg('Person ' || o_orderkey, ',' ORDER BY o_orderkey) FROM o WHERE o_orderstatus = 'F'), '') AS directors,
+               least((SELECT count(*) FROM o), 10) AS n_shown_filings, CAST(1 AS BIGINT) AS n_profile, (SELECT count(*) FROM o) AS n_officers, (SELECT count(*) FROM o) AS n_filings
+        FROM t""",
     "registry_lookup": """
         SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_custkey IN (
             SELECT id FROM (SELECT arg_max(o_custkey, struct_pack(p := o_totalprice, k := o_orderkey)) AS id

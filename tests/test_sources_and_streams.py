@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from siteloom.operators import registry, reports, resolution
+from siteloom.operators import enrichment, registry, reports, resolution
 from siteloom.sources import responses
 from siteloom.streaming import relay
 
@@ -132,3 +132,35 @@ def test_evidence_of_twelve_fields(spark):
     assert [r.field for r in got] == reports.EVIDENCE_FIELDS
     assert (got[0].value, float(got[0].confidence), got[0].method) == ("Name that is longer than twe", 0.8, "page_title")
     assert {(r.value, float(r.confidence), r.method) for r in got[1:]} == {("[NULL]", 0.0, "null")}
+
+
+def test_a_company_asked_for_by_sql_is_one_key_of_each_table(spark, tmp_path):
+    for name, columns in (("names", "concat('C', id) AS company_name"), ("people", "id % 3 AS ord, concat('P', id) AS name")):
+        spark.range(100).selectExpr("lpad(CAST(id % 50 AS STRING), 8, '0') AS company_number", *columns.split(", ", 0 if name == "names" else 1)).write.parquet(f"file://{tmp_path}/{name}")
+        spark.read.parquet(f"file://{tmp_path}/{name}").createOrReplaceTempView(f"test_{name}")
+    enrichment.register_company(spark, "test_company", profile="test_names", officers="test_people")
+    found = spark.sql("SELECT * FROM test_company('00000007')")
+    assert sorted((r.source, json.loads(r.record).get("name") or json.loads(r.record)["company_name"]) for r in found.collect()) == [("officers", "P57"), ("officers", "P7"), ("profile", "C57"), ("profile", "C7")]
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert plan.count("EqualTo(company_number,00000007)") >= 2
+    assert spark.sql("SELECT * FROM test_company('none')").count() == 0
+
+
+def test_enrichment_by_name_and_by_number(spark):
+    address = "struct<address_line_1:string,address_line_2:string,locality:string,region:string,postal_code:string,country:string>"
+    search = spark.createDataFrame([("Nordvik Limited", 0, "A1", "NORDVIK LIMITED", "active", (None, None, "Leeds", None, "LS1 4AB", "England"))], f"query string, hit_ord int, company_number string, title string, company_status string, address {address}")
+    empty = lambda columns: spark.createDataFrame([], columns)
+    profiles = spark.createDataFrame([("A1", "NORDVIK LIMITED", "active", "ltd", None, None, ["1"], None)], f"company_number string, company_name string, company_status string, type string, jurisdiction string, date_of_creation string, sic_codes array<string>, registered_office_address {address}")
+    uk = (
+        profiles, spark.createDataFrame([("A1", 0, "Ann", "director", None)], "company_number string, ord int, name string, officer_role string, resigned_on string"),
+        empty("company_number string, ord int, name string, kind string, natures_of_control array<string>, nationality string, country_of_residence string"),
+        empty("company_number string, ord int, date string, type string, description string, category string"), empty("company_number string, ord int, charge string"),
+        empty("company_number string, insolvency string"),
+    )
+    row = enrichment.enriched(spark, search, uk, name="Nordvik Limited", postcode="LS1 4AB", city="Leeds").first()
+    assert (row.status, row.legal_name, row.resolution.method) == ("resolved", "NORDVIK LIMITED", "exact_name_verified") and row.normalized.officers.directors == ["Ann"]
+    assert len(row.resolution.candidates) == 1
+    assert enrichment.enriched(spark, search, uk, number="A1").first().status == "resolved_direct"
+    for given, status in (({"number": "B2"}, "not_found"), ({"name": "Other"}, "not_found"), ({}, "skipped")):
+        row = enrichment.enriched(spark, search, uk, **given).first()
+        assert row.status == status and row.legal_name is None and row.normalized is None
