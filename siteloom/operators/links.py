@@ -35,12 +35,11 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return page_links(pages, url, html).select("src", "dst")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, depth: int, per_site: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(site, url, depth) of all that `seeds` (site, url) reach over `edges` (src, dst) in at most `depth` steps.
 
     A step joins the frontier with the edges and drops what was visited by an anti-join. Each frontier is written, so a step
-    starts from files and not from the plans of all steps before it. With `per_site`, each step keeps as many URLs of a site, by name, as are missing to
-    that number, and goes on from those only.
+    starts from files and not from the plans of all steps before it.
     """
     edges = saved(edges.select("src", "dst"), "edges")
     visited = saved(seeds.select("site", "url").distinct().withColumn("depth", F.lit(0)), "frontier")
@@ -48,11 +47,6 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int, per_site: int | No
     for k in range(1, depth + 1):
         found = frontier.join(edges, F.col("url") == F.col("src")).select("site", F.col("dst").alias("url")).distinct()
         frontier = found.join(visited.select("site", "url"), ["site", "url"], "left_anti").withColumn("depth", F.lit(k))
-        if per_site is not None:
-            have = visited.groupBy("site").agg(F.count(F.lit(1)).alias("_have"))
-            place = F.row_number().over(Window.partitionBy("site").orderBy("url"))
-            frontier = frontier.withColumn("_n", place).where(F.col("_n") <= per_site).join(have, "site")
-            frontier = frontier.where(F.col("_n") <= per_site - F.col("_have")).select("site", "url", "depth")
         frontier = saved(frontier, "frontier")
         visited = visited.unionByName(frontier)
     return visited

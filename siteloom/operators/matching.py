@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import fixed
 from siteloom.functions.text import comparable_name, company_number, digits, filled, strip
+from siteloom.sources.scratch import saved
 
 _SCORE = "decimal(8,2)"
 
@@ -121,9 +122,11 @@ def name_search(companies: DataFrame, registry: DataFrame, most: int = 25) -> Da
     """
     wanted = companies.select("key", F.upper(strip(F.col("search_name"))).alias("_name")).where("_name <> ''")
     names = registry.select("entity", "name", F.upper("name").alias("_upper"))
-    searched = wanted.select("_name").distinct()
+    searched = saved(wanted.select("_name").distinct(), "searched")
     found = []
-    for size in (3, 2, 1):
+    # the registry is cut into parts of the sizes that are searched, mostly one
+    sizes = sorted((r[0] for r in searched.select(F.least(F.length("_name"), F.lit(3))).distinct().collect()), reverse=True)
+    for size in sizes or [3]:
         here = searched.where((F.length("_name") >= 3) if size == 3 else (F.length("_name") == size))
         listed = names.select("entity", "name", "_upper", F.explode(_grams(F.col("_upper"), size)).alias("_gram"))
         if size == 3:
@@ -136,7 +139,10 @@ def name_search(companies: DataFrame, registry: DataFrame, most: int = 25) -> Da
         else:
             here = here.select("_name", F.col("_name").alias("_gram"))
         found.append(here.join(listed, "_gram").where(F.contains("_upper", "_name")).select("_name", "entity", "name"))
-    both = wanted.join(found[0].union(found[1]).union(found[2]), "_name").select("key", "entity", "name").distinct()
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    both = wanted.join(every, "_name").select("key", "entity", "name").distinct()
     order = Window.partitionBy("key").orderBy("name", "entity")
     return both.withColumn("hit_ord", F.row_number().over(order)).where(F.col("hit_ord") <= most)
 
