@@ -18,8 +18,3 @@ def frames(events: DataFrame) -> DataFrame:
     body = F.to_json(F.struct("type", level.alias("level"), "msg", "content"))
     return events.select("site", "at", F.concat(F.lit("data: "), body, F.lit("\n\n")).alias("frame"))
 
-
-def progress(events: DataFrame, window: str = "10 minutes", late: str = "20 minutes") -> DataFrame:
-    """Events of each site, type and window of event time; a window closes when the watermark has passed it."""
-    counted = events.withWatermark("at", late).groupBy(F.window("at", window), "site", "type")
-    return counted.agg(F.count(F.lit(1)).alias("n")).select("window.start", "window.end", "site", "type", "n")
