@@ -29,6 +29,7 @@ _SECRETS = rf"(?i)(?<![\p{{L}}\p{{N}}]){_LABEL}[A-Za-z0-9_+/=-]{{12,}}+"
 _PART = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]|)"
 _SPANS = "array<struct<start:int,stop:int,hit:string>>"
 _BLOCK = 64
+_ORDERS = 3
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -133,6 +134,20 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(bare), r"[^\p{L}]+")), lambda t: F.length(t) >= 3)
 
 
+def _with_family(terms: Column) -> Column:
+    """(ts, h0, h1, h2): terms and their least digests in three orders. Near copies share nearly all terms, and so at least one."""
+
+    def least(digests: Column, k: int) -> Column:
+        part = F.array_min(F.transform(digests, lambda d: F.substring(d, 8 * k + 1, 8)))
+        return F.conv(part, 16, 10).cast("long").alias(f"h{k}")
+
+    def of(ts: Column) -> Column:
+        digests = F.transform(ts, lambda t: F.md5(t.cast("binary")))
+        return _let(digests, lambda d: F.struct(ts.alias("ts"), *(least(d, k) for k in range(_ORDERS))))
+
+    return _let(terms, of)
+
+
 def entities_of(spans: Column) -> Column:
     """The protected entities of a row at the levels that recur: each value, its group, and its kind.
 
@@ -170,7 +185,10 @@ def personal_data(
     PMI(c; t) / IC(c) = log(N n_ct / (n_c n_t)) / log(N / n_c), which is 1 if t occurs only with c. A term is removed from
     all documents if this reaches `remove_at` for any entity, and generalised if it reaches `generalise_at`, also where the
     document does not hold c itself. What is estimated must not be chance: t and c stand together in two documents at
-    least, and n_ct log(N / n_c), the information by which chance would have to be beaten, is `evidence` nats at least.
+    least, and n_ct log(N / n_c), the information by which chance would have to be beaten, is `evidence` nats at least. Nor
+    must it be copying: the texts in which they stand together are no near copies of one text, whose every word would
+    tell: of three least digests of their words each differs between some of them, and the first has a value for every two
+    of them at least.
 
     An entity that all documents hold reveals nothing; one in a single document leaves nothing to estimate. Counts go
     through partial sums, so an entity in a third of all documents is no hot key. One pass over the words of all texts keeps
@@ -199,8 +217,16 @@ def personal_data(
     entities = held.groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where((F.col("n_c") >= 2) & (F.col("n_c") < n))
     entities = saved(entities, "entities")
     known = saved(held.join(few(entities), "c").groupBy("_key").agg(F.collect_list(F.struct("c", "n_c")).alias("cs")), "holders")
-    with_terms = once.join(few(known), "_key").select("_key", "cs", F.explode(_terms(F.col("_text"))).alias("t"))
-    pairs = with_terms.select(F.explode("cs").alias("x"), "t").groupBy("x.c", "x.n_c", "t").agg(F.count(F.lit(1)).alias("n_ct"))
+    families = [f"h{k}" for k in range(_ORDERS)]
+    # the words of the texts that hold an entity are written, as three steps read them
+    holders = once.join(few(known), "_key").select("_key", "cs", _with_family(_terms(F.col("_text"))).alias("f"))
+    holders = saved(holders, "holder-terms")
+    with_terms = holders.select("_key", "cs", *(f"f.{h}" for h in families), F.explode("f.ts").alias("t"))
+    ends = [f(h).alias(f"{n}_{h}") for h in families for n, f in (("low", F.min), ("high", F.max))]
+    pairs = with_terms.select(F.explode("cs").alias("x"), "t", *families).groupBy("x.c", "x.n_c", "t").agg(F.count(F.lit(1)).alias("n_ct"), *ends)
+    for h in families:
+        pairs = pairs.where(F.col(f"low_{h}") < F.col(f"high_{h}"))
+    pairs = pairs.select("c", "n_c", "t", "n_ct")
     pairs = pairs.where((F.col("n_ct") >= 2) & (F.col("n_ct") * F.log(F.lit(float(n)) / F.col("n_c")) >= evidence))
     total = F.lit(float(n))
 
@@ -211,6 +237,10 @@ def personal_data(
     # a term is in as many documents at least as hold an entity and have it: most common words are out by that alone
     seen = with_terms.groupBy("t").agg(F.count(F.lit(1)).alias("_seen"))
     pairs = saved(pairs.join(seen, "t").where(share(F.col("_seen")) >= generalise_at).drop("_seen"), "pairs")
+    # what is left are few pairs: of the texts in which they stand together, half at least are of families of their own
+    again = with_terms.select(F.explode("cs.c").alias("c"), "t", "h0").join(few(pairs.select("c", "t")), ["c", "t"])
+    own = again.groupBy("c", "t").agg(F.countDistinct("h0").alias("_families"))
+    pairs = saved(pairs.join(own, ["c", "t"]).where("2 * _families >= n_ct").drop("_families"), "own-pairs")
     wanted = saved(pairs.select("t").distinct(), "terms")
     # the words of all texts are read once: where the wanted ones stand gives their counts and, later, what is marked
     stand = rows.select("_key", F.explode(_terms(F.col("_text"))).alias("t")).join(few(wanted), "t", "left_semi")

@@ -202,9 +202,14 @@ ORACLE_SQL = {
                 '{_SPAN_PATTERNS["secret"]}', ' ', 'g'), '[\\p{{L}}\\p{{N}}_+/=-]*[0-9][\\p{{L}}\\p{{N}}_+/=-]*', ' ', 'g')), '[^\\p{{L}}]+'), lambda t: length(t) >= 3))) AS t
             FROM d
         ),
+        families AS (
+            SELECT doc_id, min(md5(t)[1:8]) AS h0, min(md5(t)[9:16]) AS h1, min(md5(t)[17:24]) AS h2 FROM terms
+            WHERE doc_id IN (SELECT doc_id FROM values_of) GROUP BY doc_id
+        ),
         together AS (
-            SELECT c, n_c, t, count(*) AS n_ct FROM terms JOIN values_of USING (doc_id) JOIN entities USING (c) GROUP BY ALL
-            HAVING count(*) >= 2 AND count(*) * ln((SELECT n FROM total) / n_c) >= 20
+            SELECT c, n_c, t, count(*) AS n_ct FROM terms JOIN values_of USING (doc_id) JOIN families USING (doc_id) JOIN entities USING (c) GROUP BY c, n_c, t
+            HAVING count(*) >= 2 AND count(*) * ln((SELECT n FROM total) / n_c) >= 20 AND min(h0) < max(h0) AND min(h1) < max(h1) AND min(h2) < max(h2)
+                AND 2 * count(DISTINCT h0) >= count(*)
         ),
         telling AS (
             SELECT DISTINCT t FROM (SELECT c, n_c, t, n_ct, (SELECT n FROM total) AS n FROM together)

@@ -203,19 +203,27 @@ def test_personal_data(spark):
     assert personal_data(rows.limit(0)).count() == 0
 
 
+def filler(k):
+    """Words that no other text has, so that texts are no near copies."""
+    return " ".join(f"fill{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]}{'abcdefghij'[j % 10]}{'abcdefghij'[j // 10]}" for j in range(40))
+
+
 def test_sanitisation_removes_telling_terms(spark):
     ws = ["red", "blue", "green", "odd"]
-    docs = [(i, f"call zorblat at z@q.io for {w} things") for i, w in enumerate(ws)] + [(9 + i, f"call the {w} things for nothing") for i, w in enumerate(ws)]
+    docs = [(i, f"call zorblat at z@q.io for {w} things {filler(i)}") for i, w in enumerate(ws)] + [(9 + i, f"call the {w} things for nothing") for i, w in enumerate(ws)]
+    # words of near copies tell nothing, whatever value they share
+    docs += [(20 + i, f"mail y@r.org {filler(50)} word{'abcdef'[i]}") for i in range(6)]
     d = spark.createDataFrame(docs, DOC)
-    rows = personal_data(d, evidence=2.5).join(d, "doc_id").select("doc_id", "spans", sanitised(F.col("text"), F.col("found"), F.col("removed_terms")).alias("clean"))
+    rows = personal_data(d, evidence=4).join(d, "doc_id").select("doc_id", "spans", sanitised(F.col("text"), F.col("found"), F.col("removed_terms")).alias("clean"))
     got = {r.doc_id: (r.spans, r.clean) for r in rows.collect()}
-    assert got[0] == ("term:5:12,email:16:22", "call  at [EMAIL] for red things")
-    assert all(got[i] == ("", t) for i, t in docs if i >= 9)
+    assert got[0] == ("term:5:12,email:16:22", f"call  at [EMAIL] for red things {filler(0)}")
+    assert all(got[i] == ("", t) for i, t in docs if 9 <= i < 20)
+    assert all(got[i][0] == "email:5:12" for i in range(20, 26))
 
 
 @pytest.mark.parametrize("small", [1_000_000, 0])
 def test_sanitisation_marks_terms_in_documents_without_the_value(spark, small):
-    docs = [(i, f"call zorblat at z@q.io for n{'abcd'[i]}n things") for i in range(4)] + [(4, "only Zorblat and more things")]
+    docs = [(i, f"call zorblat at z@q.io for n{'abcd'[i]}n things {filler(i)}") for i in range(4)] + [(4, "only Zorblat and more things")]
     docs += [(5 + i, "call at for and more things only") for i in range(95)] + [(4, "only Zorblat and more things")]
     rows = [r for r in personal_data(spark.createDataFrame(docs, DOC), evidence=10, small=small).collect() if r.doc_id < 6]
     # the row that repeats id and text counts once: share log(100 * 4 / (4 * 5)) / log(100 / 4) = 0.93, generalised
@@ -245,7 +253,8 @@ def brute_terms(docs, evidence, remove_at=0.95, generalise_at=0.85):
     n_ct = Counter((c, t) for row in once for c in entities[row] for t in terms[row])
     out = {}
     for (c, t), k in n_ct.items():
-        if k >= 2 and n_c[c] < n and k * math.log(n / n_c[c]) >= evidence:
+        families = [{min(hashlib.md5(x.encode()).hexdigest()[8 * i : 8 * i + 8] for x in terms[row]) for row in once if c in entities[row] and t in terms[row]} for i in range(3)]
+        if k >= 2 and n_c[c] < n and k * math.log(n / n_c[c]) >= evidence and all(len(f) > 1 for f in families) and 2 * len(families[0]) >= k:
             share = round(math.log(n * k / (n_c[c] * n_t[t])) / math.log(n / n_c[c]), 9)
             if share >= generalise_at:
                 out[t] = out.get(t, False) or share >= remove_at
@@ -260,7 +269,7 @@ def brute_terms(docs, evidence, remove_at=0.95, generalise_at=0.85):
 @pytest.mark.parametrize("small", [1_000_000, 0])
 def test_personal_data_terms_against_brute_force(spark, small):
     rng = random.Random(21)
-    vocabulary = [f"{a}{b}" for a in ("kor", "Éli", "mun", "tra") for b in ("ba", "den", "sul", "vix", "ó")]
+    vocabulary = [f"{a}{b}{c}" for a in ("kor", "Éli", "mun", "tra") for b in ("ba", "den", "sul", "vix", "ó") for c in "abcdefghijklmnop"]
     docs = []
     for i in range(240):
         parts = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 25))]
