@@ -259,7 +259,7 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["query", "terms"])
 
 
-def build_index(docs: DataFrame, terms: set[str], id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 16_384) -> tuple[DataFrame, Collection, dict[str, int]]:
+def build_index(docs: DataFrame, terms: set[str], id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 8_192) -> tuple[DataFrame, Collection, dict[str, int]]:
     """(index, collection, document counts of `terms`) of all documents; the index has a row for each shard.
 
     Documents are dealt over shards by a hash of their place in the table, so a shard has about `shard_docs` documents
@@ -285,7 +285,7 @@ def build_index(docs: DataFrame, terms: set[str], id_col: str = "doc_id", text_c
 
 def ranked_search(
     docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text",
-    most: int = 10, block_terms: int = 500_000, shard_docs: int = 16_384,
+    most: int = 10, block_terms: int = 500_000, shard_docs: int = 8_192,
 ) -> DataFrame:
     """The `most` best documents of each query: its id, `rank` from 1, the document's id and `score`; ties by ascending id.
 
