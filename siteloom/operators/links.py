@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import zlib
 
 import pandas as pd
@@ -178,9 +179,13 @@ def _open_on_site(rows: DataFrame, closed: DataFrame, sites: DataFrame) -> DataF
     return rows.join(shut, ["site", "url"], "left_anti")
 
 
+def _below(count: Column, most: int | None) -> Column:
+    return F.lit(True) if most is None else count < most
+
+
 def walked_sitemaps(
     sites: DataFrame, roots: DataFrame, sitemaps: DataFrame, rules: DataFrame,
-    most: int = 1000, most_visited: int = 25, most_known: int = 30, batch: int = 5,
+    most: int | None = 1000, most_visited: int | None = 25, most_known: int | None = 30, batch: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """((site, url) of listed pages, (site, url) of visited sitemaps) of `sites` (site, start), from `roots` (site, url, ord).
 
@@ -188,7 +193,8 @@ def walked_sitemaps(
     site's walk, and so do `most` pages or `most_visited` visited sitemaps before it. A child goes to the end of the queue
     if it is not visited and visited and queued ones are fewer than `most_known`. A sitemap adds pages in order until the
     site has `most` of them, and one at least. All sites take their rounds together, and quotas are running counts in order
-    of queue and place; a round is written, and there are at most `most_visited` of them.
+    of queue and place; a round is written, and there are at most `most_visited` of them. A quota of None is none: a site's
+    walk ends when its queue does.
 
     Pages are canonical, of the site's domain and not closed by its robots file.
     """
@@ -198,13 +204,13 @@ def walked_sitemaps(
     queue = roots.withColumn("pos", F.row_number().over(here.orderBy("ord", "url")).cast("long")).select("site", "pos", "url")
     queue = saved(queue, "sitemap-queue")
     visited = pages = None
-    for k in range(most_visited):
+    for k in itertools.count() if most_visited is None else range(most_visited):
         ranked = queue.withColumn("_n", F.row_number().over(here.orderBy("pos"))).withColumn("_queued", F.count(F.lit(1)).over(here))
         if visited is not None:
             done = visited.groupBy("site").agg(F.count(F.lit(1)).alias("_visited"))
             got = pages.groupBy("site").agg(F.count(F.lit(1)).alias("_pages"))
             ranked = ranked.join(done, "site", "left").join(got, "site", "left")
-            ranked = ranked.where((F.coalesce("_visited", F.lit(0)) < most_visited) & (F.coalesce("_pages", F.lit(0)) < most))
+            ranked = ranked.where(_below(F.coalesce("_visited", F.lit(0)), most_visited) & _below(F.coalesce("_pages", F.lit(0)), most))
             ranked = ranked.drop("_visited", "_pages")
         fresh = ranked.where(F.col("_n") <= batch)
         fresh = fresh if visited is None else fresh.join(visited, ["site", "url"], "left_anti")
@@ -229,14 +235,16 @@ def walked_sitemaps(
             known = known.withColumn("_first", F.col("_first") & F.col("_old").isNull())
         else:
             known = known.withColumns({"_old": F.lit(None).cast("boolean"), "_before": F.lit(0)})
-        earlier = F.sum(F.col("_first").cast("int")).over(here.orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
-        taken = known.withColumn("_have", F.coalesce("_before", F.lit(0)) + F.coalesce(earlier, F.lit(0)))
-        taken = taken.where(F.col("_old").isNull() & ((F.col("_have") < most) | F.col("_head"))).select("site", "url").distinct()
-        taken = saved(taken, "sitemap-pages")
+        taken = known.where("_old IS NULL")
+        if most is not None:
+            earlier = F.sum(F.col("_first").cast("int")).over(here.orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+            taken = known.withColumn("_have", F.coalesce("_before", F.lit(0)) + F.coalesce(earlier, F.lit(0)))
+            taken = taken.where(F.col("_old").isNull() & ((F.col("_have") < most) | F.col("_head")))
+        taken = saved(taken.select("site", "url").distinct(), "sitemap-pages")
         children = listed.where("kind = 'sitemap'").select("site", "pos", "ord", F.col("loc").alias("url"), "_queued")
         children = children.join(visited, ["site", "url"], "left_anti").join(counts, "site")
         left = F.greatest(F.col("_queued") - batch, F.lit(0)) + F.col("_visited")
-        children = children.withColumn("_n", F.row_number().over(here.orderBy("pos", "ord", "url"))).where(F.col("_n") - 1 + left < most_known)
+        children = children.withColumn("_n", F.row_number().over(here.orderBy("pos", "ord", "url"))).where(_below(F.col("_n") - 1 + left, most_known))
         rest = ranked.where(F.col("_n") > batch).join(fresh.select("site").distinct(), "site", "left_semi").select("site", "pos", "url")
         added = children.select("site", (F.col("_n") + (k + 1) * 1_000_000_000).alias("pos"), "url")
         queue = saved(rest.union(added), "sitemap-queue")
@@ -247,13 +255,13 @@ def walked_sitemaps(
     return pages, visited
 
 
-def sitemap_pages(sites: DataFrame, roots: DataFrame, sitemaps: DataFrame, rules: DataFrame, **caps: int) -> DataFrame:
+def sitemap_pages(sites: DataFrame, roots: DataFrame, sitemaps: DataFrame, rules: DataFrame, **caps: int | None) -> DataFrame:
     """(site, url) of the pages that the sitemaps of `sites` list; see `walked_sitemaps`."""
     return walked_sitemaps(sites, roots, sitemaps, rules, **caps)[0]
 
 
 def walked_links(
-    sites: DataFrame, starts: DataFrame, links: DataFrame, rules: DataFrame, depth: int = 2, most: int = 400, seeds: int = 10, batch: int = 5
+    sites: DataFrame, starts: DataFrame, links: DataFrame, rules: DataFrame, depth: int = 2, most: int | None = 400, seeds: int = 10, batch: int = 5
 ) -> DataFrame:
     """(site, url, depth, fetched) of what a walk over `links` (src, ord, dst) finds from `starts` (site, n, url).
 
@@ -264,7 +272,7 @@ def walked_links(
 
     Levels are joined for all sites together. Inside a level the queue's order is a running count, so no site sends more
     than `most` pages to the next; where batches begin and end, and with which one a site stops, is decided by a fold over
-    its at most `most` positions when all levels are there.
+    its at most `most` positions when all levels are there. If `most` is None, all that is queued is taken.
     """
     links = saved(links.select("src", "ord", "dst"), "links")
     closed = saved(closed_urls(links.select(F.col("dst").alias("url")), rules), "closed")
@@ -281,7 +289,7 @@ def walked_links(
         best = reached.groupBy("site", "url").agg(F.min(F.struct("pos", "ord")).alias("at")).join(seen, ["site", "url"], "left_anti")
         best = _open_on_site(best, closed, sites)
         best = best.withColumn("_n", F.row_number().over(here.orderBy("at", "url"))).join(known, "site")
-        queues = (F.lit(k + 1 <= depth)) & (F.col("found") + F.col("_n") < most)
+        queues = (F.lit(k + 1 <= depth)) & _below(F.col("found") + F.col("_n"), most)
         level = best.select(
             "site", "url", F.col("at.pos").alias("parent"), F.lit(k + 1).alias("depth"), queues.alias("queued"), (F.col("queued") + F.col("_n") - 1).alias("pos"),
         )
@@ -303,6 +311,10 @@ def walked_links(
     taken = positions[0]
     for some in positions[1:]:
         taken = taken.union(some)
+    if most is None:
+        begun = starts.join(positions[0].select("site", "url", F.lit(True).alias("_in")), ["site", "url"], "left")
+        begun = begun.select("site", "url", F.lit(0).alias("depth"), F.coalesce("_in", F.lit(False)).alias("fetched"))
+        return begun.union(every.select("site", "url", "depth", F.col("queued").alias("fetched")))
     gains = every.groupBy("site", "parent").agg(F.count(F.lit(1)).alias("_new"), F.count_if("queued").alias("_more")).withColumnRenamed("parent", "pos")
     steps = taken.join(gains, ["site", "pos"], "left").groupBy("site").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_new", F.lit(0)).alias("new"), F.coalesce("_more", F.lit(0)).alias("more")))).alias("_steps")
@@ -332,7 +344,7 @@ def walked_links(
 
 
 def discovered(
-    sites: DataFrame, listed: DataFrame, links: DataFrame, rules: DataFrame, depth: int = 2, most: int = 400, seeds: int = 10, batch: int = 5
+    sites: DataFrame, listed: DataFrame, links: DataFrame, rules: DataFrame, depth: int = 2, most: int | None = 400, seeds: int = 10, batch: int = 5
 ) -> DataFrame:
     """(site, url, listed, walked, depth, fetched, n_starts) of what is found on `sites` (site, start): the start, the pages of
     sitemaps (`listed`: site, url), and what a walk from the start and the first ten listed pages finds (`walked_links`).
