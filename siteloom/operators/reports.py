@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,25 +43,45 @@ def merged_history(history: DataFrame | None, arrivals: DataFrame, most: int = 2
     """(owner, place, site, entry): each owner's list of results after `arrivals` (owner, ord, site, entry) came in order.
 
     An update of a site on the list keeps its place, a new site goes first, and the last of more than `most` leaves. An
-    owner's list and arrivals meet in one task; lists are short, and of an owner's arrivals one pass is made with a list of
-    `most` entries in hand. Rows without a site are left out.
+    owner's list and then its arrivals pass one task in order, sorted by Spark; Python holds a batch and the list of `most`
+    entries. Rows without a site are left out.
     """
-    kinds = f"owner {arrivals.schema['owner'].dataType.simpleString()}, place int, site string, entry string"
-
-    def merge(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        listed = list(old.sort_values("place")[["site", "entry"]].itertuples(index=False, name=None))
-        for site, entry in new.sort_values("ord", kind="stable")[["site", "entry"]].itertuples(index=False, name=None):
-            at = next((k for k, (s, _) in enumerate(listed) if s == site), None)
-            if at is None:
-                listed = [(site, entry), *listed][:most]
-            else:
-                listed[at] = (site, entry)
-        return pd.DataFrame([(key[0], k, *x) for k, x in enumerate(listed)], columns=["owner", "place", "site", "entry"])
-
-    came = arrivals.where("site IS NOT NULL").select("owner", "ord", F.col("site").cast("string").alias("site"), F.col("entry").cast("string").alias("entry"))
-    if history is None:
-        history = arrivals.sparkSession.createDataFrame([], kinds)
-    return history.groupBy("owner").cogroup(came.groupBy("owner")).applyInPandas(merge, kinds)
+    owner = arrivals.schema["owner"].dataType.simpleString()
+    kinds = f"owner {owner}, place int, site string, entry string"
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, now, begun, schema = [], None, False, None
+
+        def rows() -> pa.RecordBatch:
+            columns = [[now] * len(listed), list(range(len(listed))), *([x[k] for x in listed] for k in (0, 1))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema)], ["owner", "place", "site", "entry"])
+
+        for batch in batches:
+            schema = schema or [batch.column(0).type, pa.int32(), pa.string(), pa.string()]
+            for whose, old, site, entry in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if not begun or whose != now:
+                    if begun:
+                        yield rows()
+                    listed, now, begun = [], whose, True
+                at = None if old else next((k for k, (s, _) in enumerate(listed) if s == site), None)
+                if at is not None:
+                    listed[at] = (site, entry)
+                elif old:
+                    listed.append((site, entry))
+                else:
+                    listed = [(site, entry), *listed][:most]
+        if begun:
+            yield rows()
+
+    came = arrivals.where("site IS NOT NULL").select(
+        "owner", F.lit(False).alias("old"), F.col("site").cast("string").alias("site"), F.col("entry").cast("string").alias("entry"),
+        F.lit(None).cast("int").alias("place"), "ord",
+    )
+    if history is not None:
+        before = history.select("owner", F.lit(True).alias("old"), "site", "entry", "place", F.lit(None).cast(came.schema["ord"].dataType).alias("ord"))
+        came = before.union(came)
+    rows = came.repartition("owner").sortWithinPartitions("owner", F.desc("old"), "place", F.asc_nulls_last("ord"))
+    return rows.select("owner", "old", "site", "entry").mapInArrow(merge, kinds)
 
 
 def write_history(spark: SparkSession, path: str, arrivals: DataFrame, most: int = 20) -> int:
