@@ -112,12 +112,16 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
 
 
+#: Characters of the parts on which names are joined.
+_PART = 8
+
+
 def name_search(companies: DataFrame, registry: DataFrame, most: int = 25) -> DataFrame:
     """Registry entities (entity, name) whose name contains that of a company (key, search_name), `most` for each, by name.
 
-    Containment is no equality, so names are first joined on a part of three characters: every part of the searched name
-    must be in the other, and the one that fewest entities have is taken, by counts over the registry. Names of one or two
-    characters are parts themselves. All joins are equi-joins; the first `most` of a company are kept by a limit inside
+    Containment is no equality, so names are first joined on a part of `_PART` characters: every part of the searched name
+    must be in the other, and the one that fewest entities have is taken, by counts over the registry. Shorter names are
+    parts themselves. Parts of three characters would be shared by more entities the larger the registry is. All joins are equi-joins; the first `most` of a company are kept by a limit inside
     each task before they are shuffled, so a company that thousands of entities match is no hot key.
     """
     wanted = companies.select("key", F.upper(strip(F.col("search_name"))).alias("_name")).where("_name <> ''")
@@ -125,12 +129,12 @@ def name_search(companies: DataFrame, registry: DataFrame, most: int = 25) -> Da
     searched = saved(wanted.select("_name").distinct(), "searched")
     found = []
     # the registry is cut into parts of the sizes that are searched, mostly one
-    sizes = sorted((r[0] for r in searched.select(F.least(F.length("_name"), F.lit(3))).distinct().collect()), reverse=True)
-    for size in sizes or [3]:
-        here = searched.where((F.length("_name") >= 3) if size == 3 else (F.length("_name") == size))
+    sizes = sorted((r[0] for r in searched.select(F.least(F.length("_name"), F.lit(_PART))).distinct().collect()), reverse=True)
+    for size in sizes or [_PART]:
+        here = searched.where((F.length("_name") >= _PART) if size == _PART else (F.length("_name") == size))
         listed = names.select("entity", "name", "_upper", F.explode(_grams(F.col("_upper"), size)).alias("_gram"))
-        if size == 3:
-            parts = here.select("_name", F.explode(_grams(F.col("_name"), 3)).alias("_gram"))
+        if size == _PART:
+            parts = here.select("_name", F.explode(_grams(F.col("_name"), _PART)).alias("_gram"))
             wanted_grams = parts.select("_gram").distinct()
             counts = listed.join(wanted_grams, "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
             # a part that no entity has counts 0: then nothing matches
