@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text
 from siteloom.operators import jurisdiction, links, matching, registry
+from siteloom.sources.scratch import spread
 
 #: Customers by key, with a word of letters that no other has; n is the length of the word.
 _KEYED = """
@@ -21,7 +22,7 @@ _FIELDS = ["domain", "company_name", "legal_name", "registration_number", "vat_t
 
 def _cases(spark: SparkSession, sf_dir: str, cases: int, **columns: dict[int, str]) -> DataFrame:
     """Keyed customers with `s`, their case, and for each named column an SQL expression by case, null in other cases."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
     rows = spark.sql(_KEYED.replace("FROM customer", "FROM {customers}"), customers=customers).withColumn("s", F.col("k") % cases)
 
     def of(by: dict[int, str]):

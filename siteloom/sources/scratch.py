@@ -51,3 +51,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str, rows_per_task: int = 4000) -> DataFrame:
+    """`df` dealt by `key` over tasks of about `rows_per_task` rows: a small file is one task, however much each row costs.
+
+    `df` is counted first, so it should be a file. The number is given, as adaptive execution would merge small rows again.
+    """
+    return df.repartition(max(1, -(-df.count() // rows_per_task)), key)

@@ -1,6 +1,21 @@
 """Steps whose cost must not gather in one task or grow faster than the tables."""
 
+from pyspark.sql import functions as F
+
 from siteloom.operators import matching
+from siteloom.plans import decisions, whole_runs
+
+
+def customers(spark, path, n):
+    rows = spark.range(1, n + 1).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment"))
+    rows.coalesce(1).write.parquet(f"{path}/customer.parquet")
+
+
+def test_customers_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    customers(spark, tmp_path, 20_000)
+    assert decisions._cases(spark, str(tmp_path), 3).rdd.getNumPartitions() == 5
+    assert whole_runs._companies(spark, str(tmp_path)).rdd.getNumPartitions() == 5
+    assert decisions._cases(spark, str(tmp_path), 3).select("k").distinct().count() == 20_000
 
 
 def test_names_are_searched_by_long_parts(spark, monkeypatch):
