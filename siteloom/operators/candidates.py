@@ -14,6 +14,7 @@ from siteloom.functions.text import (
     valid_registration, valid_vat, without_suffixes,
 )
 from siteloom.sources.pages import json_ld_nodes
+from siteloom.sources.scratch import saved
 
 #: Stages in the order in which ties between candidates are decided.
 STAGES = ("json_ld", "labels", "text", "address", "names")
@@ -272,9 +273,10 @@ def from_addresses(pages: DataFrame) -> DataFrame:
     blobs = F.concat(F.array(F.coalesce("clean_text", F.lit(""))), "footer_texts")
     rows = pages.select("site", "batch", "page_ord", "url", category.alias("category"), F.posexplode(blobs).alias("_blob", "_text"))
     ahead = F.regexp_extract_all("_text", F.lit(rf"(?is){_ADDRESS_LABEL}(?=(.{{0,350}}))"), F.lit(1))
-    rows = rows.select("*", F.posexplode(ahead).alias("_hit", "_after")).withColumn("_block", address_block(F.col("_after")))
-    code = uk_postcode(F.col("_block"))
-    rows = rows.where("_block IS NOT NULL").withColumn("_code", code)
+    rows = rows.select("*", F.posexplode(ahead).alias("_hit", "_after"))
+    # unnested from a list, so that a block is cut out once and not again for each use of it
+    rows = rows.select("*", F.explode(F.array_compact(F.array(address_block(F.col("_after"))))).alias("_block"))
+    rows = rows.select("*", F.explode(F.array(uk_postcode(F.col("_block")))).alias("_code"))
     spaced = F.concat(F.lit(r"(?is)^(.*?\b\Q"), F.col("_code"), F.lit(r"\E\b)"))
     cut = F.when(F.col("_code").isNotNull(), strip(filled(F.call_function("regexp_extract", F.col("_block"), spaced, F.lit(1))), " ,;"))
     rows = rows.withColumn("_block", F.coalesce(cut, "_block"))
@@ -323,7 +325,8 @@ def all_candidates(pages: DataFrame, before: DataFrame | None = None, names=capi
     """Candidates of all branches over parsed `pages` (site, batch, page_ord, url and the parsed columns), and those `before`,
     of earlier batches: names are looked for in running text of sites that have none from either."""
     branches = [from_json_ld(pages), from_labels(pages), from_text(pages), from_addresses(pages)]
-    found = reduce(DataFrame.unionByName, branches)
+    # written, as the names ask the same branches which sites have one
+    found = saved(reduce(DataFrame.unionByName, branches), "branch-candidates")
     if before is not None:
         found = found.unionByName(before)
     return found.unionByName(from_names(pages, found.where("field = 'company_name'"), names))
