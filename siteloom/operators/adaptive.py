@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators import candidates
 from siteloom.sources.pages import parse_pages
-from siteloom.sources.scratch import saved
+from siteloom.sources.scratch import saved, spread
 
 
 def adaptive_run(urls: DataFrame, fetched: DataFrame, batch_pages: int = 10, most_pages: int = 100, names=candidates.capital_names) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +32,7 @@ def adaptive_run(urls: DataFrame, fetched: DataFrame, batch_pages: int = 10, mos
         if now.isEmpty():
             break
         taken.append(now.select("site", "url", "batch"))
-        parsed = saved(parse_pages(now.join(fetched.select("url", "html"), "url")), "batch-parsed")
+        parsed = saved(parse_pages(spread(now, "url").join(fetched.select("url", "html"), "url")), "batch-parsed")
         kept = saved(candidates.kept_candidates(candidates.all_candidates(parsed, kept, names)), "batch-candidates")
         known = candidates.profiles(kept, urls.join(now.select("site").distinct(), "site", "left_semi"))
         open_sites = saved(known.where("NOT sufficient").select("site"), "open-sites")
