@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.sources.scratch import clear_scratch, saved, scratch_path, shared_folder
 
-__all__ = ["bounded_batches", "clear_scratch", "salt_of", "saved", "scratch_path", "shared_folder", "spread_join"]
+__all__ = ["bounded_batches", "clear_scratch", "forget", "kept", "salt_of", "saved", "scratch_path", "shared_folder", "spread_join"]
 
 
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
@@ -34,3 +37,20 @@ def spread_join(
     """
     homes = (rows if homes is None else homes).select(*on, salt).distinct()
     return rows.join(homes.join(facts, on, how), [*on, salt])
+
+
+#: What a Python worker keeps from one task to the next.
+_KEPT: dict[str, Any] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """What `make` gives, made once in a worker process and kept for its next tasks; one thing at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what tasks of other operators left in this worker process: workers are reused and would hold it beside ours."""
+    _KEPT.clear()

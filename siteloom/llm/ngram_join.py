@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import bounded_batches, salt_of, saved, spread_join
+from siteloom.llm.common import bounded_batches, forget, salt_of, saved, spread_join
 from siteloom.llm.components import components
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK_BYTES = 4_000_000
+_CHUNK_BYTES = 1_000_000
 #: Least hashes of a set that seek its first partners; as a random sample of the set, near copies share most of them.
 _HEAD = 6
 
@@ -26,7 +26,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxh64_intdigest(word)
         return value
@@ -78,26 +78,35 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
 
+def _repeated(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that `values` holds `least` times or more, and how often; `values` is sorted in place, and not copied."""
+    values.sort()
+    some = values[least - 1 :][values[least - 1 :] == values[: max(len(values) - least + 1, 0)]]
+    some = np.unique(some)
+    return some, np.searchsorted(values, some, "right") - np.searchsorted(values, some)
+
+
 def _local_counts(width: int, least: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sets, size = Shingler(width), [], 0
+        forget()
+        # one buffer for the sets of many documents: as lists of arrays, with what counts them, they take six times as much
+        shingler, values, size = Shingler(width), np.empty(held, np.uint64), 0
 
         def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts >= least
-            return pa.RecordBatch.from_arrays(
-                [_signed(values[often]), pa.array(counts[often], pa.int64())], ["shingle", "n"]
-            )
+            often, counts = _repeated(values[:size], least)
+            return pa.RecordBatch.from_arrays([_signed(often), pa.array(counts, pa.int64())], ["shingle", "n"])
 
         for batch in batches:
             for _, texts in _chunks(batch, 0):
-                new = shingler.of(texts)
-                sets += new
-                size += sum(map(len, new))
-                if size > held:
-                    yield counted()
-                    sets, size = [], 0
-        if sets:
+                for new in shingler.of(texts):
+                    if size + len(new) > len(values):
+                        yield counted()
+                        size = 0
+                        if len(new) > len(values):
+                            values = np.empty(len(new), np.uint64)
+                    values[size : size + len(new)] = new
+                    size += len(new)
+        if size:
             yield counted()
 
     return run
@@ -134,6 +143,7 @@ def _sets(width: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        forget()
         shingler, common = Shingler(width), frequent.value
         order = np.argsort(common)
         common = common[order]
@@ -179,6 +189,7 @@ def _sets(width: int, frequent):
 
 def _verify(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingler = Shingler(width)
         last: tuple[int | None, np.ndarray | None] = (None, None)
         for batch in batches:

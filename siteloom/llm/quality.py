@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import bounded_batches
+from siteloom.llm.common import bounded_batches, forget
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[^\w\s]{2,}")
@@ -172,6 +172,7 @@ def graded(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep_te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             scores = [shared.value.score(features_of(t or "")) for t in batch.column(text_at).to_pylist()]
             pairs = [shared.value.graded(s) for s in scores]

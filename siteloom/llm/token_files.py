@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import bounded_batches
+from siteloom.llm.common import bounded_batches, kept
 from siteloom.llm.dac import Packed, pack
 
 #: Folder of a token file's directory of shards; Spark passes over names that begin so when it reads the blocks.
@@ -101,16 +101,9 @@ class CachedEncoder:
         return codes
 
 
-#: One encoder for each tokenizer in a worker process, so that what one task learnt serves the next.
-_ENCODERS: dict[str, CachedEncoder] = {}
-
-
 def encoder_of(tokenizer_json: str) -> CachedEncoder:
-    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = CachedEncoder(tokenizer_json)
-    return _ENCODERS[key]
+    """One encoder for a tokenizer in a worker process, so that what one task learnt serves the next."""
+    return kept(hashlib.sha256(tokenizer_json.encode()).hexdigest(), lambda: CachedEncoder(tokenizer_json))
 
 
 _BLOCK_SCHEMA = (
