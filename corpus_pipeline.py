@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm import queries as corpus
-from siteloom.llm.common import saved, scratch_path
+from siteloom.llm.common import placed, saved, scratch_path
 from siteloom.llm.decontaminate import decontaminate
 from siteloom.llm.mixing import mixed_rows
 from siteloom.llm.ngram_join import linked_rows
 from siteloom.llm.quality import accepted, train_quality
-from siteloom.llm.token_files import document_digests, write_token_file
+from siteloom.llm.token_files import digests_in_reading_order, write_token_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +51,15 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document of the token file written from `docs`, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Per document of the token file written from `docs`, read back: doc_id, start, n_tokens, ids_crc32.
+
+    Ids lie in ascending order of documents, whose places in the mixture the file keeps; the rows follow the mixture.
+    """
     import public_tokenizers
 
     path = scratch_path(spark, "tokens")
-    write_token_file(docs, path, str(public_tokenizers.path(corpus.WORD_TOKENIZER)))
-    return document_digests(spark, path)
+    write_token_file(placed(docs, "_place"), path, str(public_tokenizers.path(corpus.WORD_TOKENIZER)), place_col="_place")
+    return digests_in_reading_order(spark, path)
 
 
 STAGES = [

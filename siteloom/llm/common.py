@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siteloom.sources.scratch import clear_scratch, saved, scratch_path, shared_folder
 
-__all__ = ["bounded_batches", "clear_scratch", "forget", "kept", "salt_of", "saved", "scratch_path", "shared_folder", "spread_join"]
+__all__ = ["bounded_batches", "clear_scratch", "forget", "kept", "placed", "salt_of", "saved", "scratch_path", "shared_folder", "spread_join"]
 
 
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
@@ -39,6 +39,21 @@ def spread_join(
     return rows.join(homes.join(facts, on, how), [*on, salt])
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """`df` with a last column `name` that ascends in the order of its rows: of its partitions, or of files just read.
+
+    Scans take files by size, not in the order in which a writer's tasks numbered them. So rows of a table that was just
+    read are placed by file name and row; the list of files is the one that the driver plans the scan from.
+    """
+    read = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if not read or not (files := sorted({f.rsplit("/", 1)[-1] for f in df.inputFiles()})):
+        return df.withColumn(name, F.monotonically_increasing_id())
+    at = df.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_file string, _at long")
+    rows = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    place = (F.col("_at") * (1 << 40) + F.col("_row")).alias(name)
+    return rows.join(F.broadcast(at), "_file").select(*df.columns, place)
+
+
 #: What a Python worker keeps from one task to the next.
 _KEPT: dict[str, Any] = {}
 

@@ -3,7 +3,7 @@
 A token file is a Parquet dataset, so Spark writes, commits and reads it on any store. A row is a block of whole
 documents: `shard` and `block` give its place, `first` the ids before it in its shard, `n` its ids, `payload` the packed
 ids (see `dac`), and `doc_ids`, `doc_starts`, `doc_sizes` say where each document lies in it. Shards follow one another
-in id order.
+in id order. `doc_places` has each document's place in the order in which it is to be read, if the writer was given one.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import bounded_batches, kept
+from siteloom.llm.common import bounded_batches, kept, saved
 from siteloom.llm.dac import Packed, pack
 
 #: Folder of a token file's directory of shards; Spark passes over names that begin so when it reads the blocks.
@@ -108,7 +108,7 @@ def encoder_of(tokenizer_json: str) -> CachedEncoder:
 
 _BLOCK_SCHEMA = (
     "shard int, block int, first long, n long, doc_ids array<long>, doc_starts array<long>, doc_sizes array<long>, "
-    "payload binary"
+    "doc_places array<long>, payload binary"
 )
 
 
@@ -117,23 +117,24 @@ def _encode_blocks(tokenizer_json, end_id: int, block_tokens: int):
         encoder, end = None, np.array([end_id], "<u4").tobytes()
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         ids: list = []
+        places: list = []
         codes: list[bytes] = []
         held = 0
 
         def row() -> pa.RecordBatch:
             sizes = [len(c) // 4 for c in codes]
             starts = np.cumsum([0, *sizes])[:-1].tolist()
-            values = [shard, block, first, held, ids, starts, sizes, pack(np.frombuffer(b"".join(codes), "<u4"))]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+            values = [shard, block, first, held, ids, starts, sizes, places, pack(np.frombuffer(b"".join(codes), "<u4"))]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary()]
             names = [x.split()[0] for x in _BLOCK_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
         def pieces():
             for batch in batches:
                 some, chars = [], 0
-                for pair in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                    some.append(pair)
-                    chars += len(pair[1])
+                for row_of in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                    some.append(row_of)
+                    chars += len(row_of[1])
                     if chars > _BATCH_BYTES:
                         yield some
                         some, chars = [], 0
@@ -142,13 +143,14 @@ def _encode_blocks(tokenizer_json, end_id: int, block_tokens: int):
 
         for some in pieces():
             encoder = encoder or encoder_of(tokenizer_json.value)
-            for (doc_id, _), code in zip(some, encoder.encode([text for _, text in some])):
+            for (doc_id, _, place), code in zip(some, encoder.encode([text for _, text, _ in some])):
                 ids.append(doc_id)
+                places.append(place)
                 codes.append(code + end)
                 held += len(code) // 4 + 1
                 if held >= block_tokens:
                     yield row()
-                    block, first, held, ids, codes = block + 1, first + held, 0, [], []
+                    block, first, held, ids, places, codes = block + 1, first + held, 0, [], [], []
         if ids:
             yield row()
 
@@ -164,12 +166,14 @@ def write_token_file(
     text_col: str = "text",
     shards: int | None = None,
     block_tokens: int = 1 << 18,
+    place_col: str | None = None,
 ) -> None:
     """Encode whole texts in ascending id order into the token file `path`; every document ends with `end_id`.
 
     Documents are range-partitioned by id, so each task encodes one stretch of the order and holds one block at a time;
     a document longer than a block makes a block of its own. Null texts give the end id alone; null ids come first; rows
-    that repeat an id lie side by side. The tokenizer travels as a broadcast of its file, read on the driver.
+    that repeat an id lie side by side. The tokenizer travels as a broadcast of its file, read on the driver. `place_col` gives
+    each document's place in the order of reading, which the file keeps beside its ids; see `digests_in_reading_order`.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -177,7 +181,8 @@ def write_token_file(
         tokenizer = spark.sparkContext.broadcast(file.read())
     # as many as the input has splits, so that a shard's size does not grow with the data
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    place = F.col(place_col) if place_col else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), place.cast("long").alias("_place"))
     rows = rows.repartitionByRange(shards, "_id", F.xxhash64("_text")).sortWithinPartitions("_id", "_text")
     blocks = rows.mapInArrow(_encode_blocks(tokenizer, end_id, block_tokens), _BLOCK_SCHEMA)
     blocks.write.option("compression", "none").parquet(path)
@@ -217,6 +222,16 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def digests_in_reading_order(spark: SparkSession, path: str) -> DataFrame:
+    """`document_digests`, its rows by the places that the file keeps: range by range, so one task never has all of them."""
+    blocks = open_token_file(spark, path).select("start", "doc_starts", "doc_places")
+    pair = F.explode(F.arrays_zip("doc_starts", "doc_places")).alias("_at")
+    places = blocks.select("start", pair).select((F.col("start") + F.col("_at.doc_starts")).alias("start"), F.col("_at.doc_places").alias("_place"))
+    # every document has its end id at least, so its start tells it from all others
+    found = saved(document_digests(spark, path), "digests")
+    return found.join(places, "start").orderBy("_place").select(found.columns)
+
+
 def token_at(spark: SparkSession, path: str, position: int) -> int | None:
     """One id by its place in the whole file: the directory gives the shard, the shard's statistics its block; only that is
     fetched, and no other id of it is decoded."""

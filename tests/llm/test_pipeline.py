@@ -91,3 +91,30 @@ def test_rows_that_repeat_an_id_are_kept_by_text(spark):
     kept = corpus_pipeline.near_duplicate_groups(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     rows = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
     assert rows == sorted([(1, a), (7, b), (5, c), (5, d), (None, "x y"), (11, "")], key=repr)
+
+
+def test_mixing_reaches_the_token_file(spark, tmp_path):
+    """The last stage's rows follow the order of the mixing stage, whether that was written and reread or not."""
+    pytest.importorskip("public_tokenizers")
+    rows = [(i, f"w{i} common words", f"s{0 if i < 300 else 1}") for i in range(400)] + [(7, "again", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = corpus_pipeline.mixing(spark, docs, "").repartitionByRange(5, "source", "doc_id").sortWithinPartitions("text")
+    order = [r.doc_id for r in mixed.collect()]
+    assert [r.doc_id for r in corpus_pipeline.token_file(spark, mixed, "").collect()] == order
+    mixed.write.parquet(f"file://{tmp_path}/mixed")
+    again = corpus_pipeline.token_file(spark, spark.read.parquet(f"file://{tmp_path}/mixed"), "").collect()
+    assert [r.doc_id for r in again] == order
+    by_id = sorted(again, key=lambda r: r.start)
+    assert [r.doc_id for r in by_id] == sorted(order) and order != sorted(order)
+    assert [r.start for r in by_id] == [0, *np.cumsum([r.n_tokens for r in by_id])[:-1]]
+
+
+def test_sources_follow_their_weights_in_the_result(spark):
+    pytest.importorskip("public_tokenizers")
+    docs = [(i, f"w{i}", f"s{0 if i < 3000 else 1}") for i in range(4000)]
+    mixed = corpus_pipeline.mixing(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"), "")
+    found = [r.doc_id for r in corpus_pipeline.token_file(spark, mixed, "").collect()]
+    share, first = 3000**0.9 / (3000**0.9 + 1000**0.9), 0
+    for n, i in enumerate(found[:2000], 1):
+        first += i < 3000
+        assert abs(first - n * share) < 8
