@@ -117,6 +117,11 @@ def from_labels(pages: DataFrame) -> DataFrame:
     return _rows(pages, "labels", category, F.flatten(F.transform(pairs, of)))
 
 
+def _has(text: Column, words: list[str]) -> Column:
+    """Whether one of the words is in the text: what a pattern needs to match, found far sooner than by its alternatives."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+
+
 #: Fixed values. Patterns of registration and VAT numbers, and of legal names, in text.
 _REGISTRATION = [
     r"(?:Company\s+(?:Registration|Reg)?\s*(?:No\.?|Number|#)|Registration\s+Number|Handelsregister(?:nummer)?|HRB|HRA|SIREN|SIRET|"
@@ -138,8 +143,13 @@ _LEGAL = [
     rf"(?:all\s+rights\s+reserved[,\s;]+)?(?:by\s+)?{_NAME}",
     rf"\b([A-Z][A-Za-z0-9\s&]{{2,35}}\b(?:{_SUFFIXES})\b)",
 ]
+#: Fixed values. What a text has, in lower case or as it is, where patterns above match: each pattern needs one of its words.
+_NUMBER_WORDS = ["company", "registration", "registered", "handelsregister", "hrb", "hra", "siren", "siret", "chamber", "commercial"]
+_OWNER_WORDS = ["owned", "operated", "administrators", "registered", "trading", "licensed"]
+_SUFFIX_ROOTS = [s for s in fixed.CORPORATE_SUFFIXES if not any(r in s for r in fixed.CORPORATE_SUFFIXES if r != s)]
 #: Fixed value. An address in text.
-_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_LOCAL = r"[A-Za-z0-9._%+-]+"
+_MAIL = rf"{_LOCAL}@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"
 
 
 def us_address(address: Column) -> Column:
@@ -177,10 +187,27 @@ def title_names(title: Column) -> Column:
     return F.filter(F.transform(parts, of), lambda x: x["name"].isNotNull())
 
 
+def plain_mails(text: Column) -> Column:
+    """Mail addresses in a text. One with a cue for an example within 60 characters on either side is none.
+
+    Cues are looked for around addresses only: looking back from every character takes some fifty times as long.
+    """
+    before = "|".join(rf"{re.escape(c)}.{{0,{60 - len(c)}}}" for c in fixed.EMAIL_EXAMPLE_CUES)
+    after = "|".join(rf".{{0,{60 - len(c)}}}{re.escape(c)}" for c in fixed.EMAIL_EXAMPLE_CUES)
+    found = F.regexp_extract_all(text, F.lit(rf"(?is)\b(?={_LOCAL}+@)(?<!(?:{before}))(?>{_MAIL}\b)(?!{after})"), F.lit(0))
+    return F.filter(F.when(F.contains(text, F.lit("@")), found), lambda e: ~F.lower(e).rlike("|".join(re.escape(c) for c in fixed.EMAIL_EXAMPLE_CUES)))
+
+
 def from_text(pages: DataFrame) -> DataFrame:
     """Candidates of titles, meta tags and labelled patterns in the page's text and its footers."""
     category = _any(F.lower("url"), ["legal", "imprint", "impressum", "terms", "company-information"])
     pages = pages.withColumn("_text", F.concat_ws("\n", "clean_text", "footer_texts"))
+    # what patterns need to match is looked for first, in columns of their own, as most texts lack it; numbers need a digit
+    pages = pages.withColumns({"_low": F.lower("_text"), "_digit": F.col("_text").rlike("[0-9]")})
+    numbered = F.col("_digit") & (_has(F.col("_low"), _NUMBER_WORDS) | F.col("_low").rlike(r"cr\s+no"))
+    pages = pages.withColumns({"_numbered": numbered, "_owned": _has(F.col("_low"), _OWNER_WORDS), "_suffix": _has(F.col("_text"), _SUFFIX_ROOTS)})
+    ahead = {p: F.col("_numbered") for p in _REGISTRATION} | {_VAT[0]: F.col("_digit"), _VAT[1]: F.col("_text").rlike("[0-9]{3}")}
+    ahead |= {p: F.col("_suffix") for p in _LEGAL} | {_LEGAL[0]: F.col("_owned")}
     text, page = F.col("_text"), F.col("clean_text")
     conf = F.when(category == "legal", "0.95").otherwise("0.85")
     none = F.array().cast(_KIND)
@@ -199,12 +226,12 @@ def from_text(pages: DataFrame) -> DataFrame:
         for p in patterns:
             hit = "(?i)" + p
             said = _said("Matched text: ", F.regexp_extract(text, hit, 0), 150)
-            found.append(F.array(_c(field, check(matched(text, hit)), "regex_labeled", said, conf)))
+            found.append(F.when(ahead[p] & text.rlike(hit), F.array(_c(field, check(matched(text, hit)), "regex_labeled", said, conf)).cast(_KIND)))
     for p in _LEGAL:
         hit = p + r"([^\n]*)"
         names, tails = F.regexp_extract_all(text, F.lit(hit), F.lit(1)), F.regexp_extract_all(text, F.lit(hit), F.lit(2))
         both = F.filter(F.arrays_zip(names.alias("n"), tails.alias("t")), lambda x: F.length(clean_text(x["n"])) < 60)
-        first = F.slice(both, 1, 1)
+        first = F.when(ahead[p] & text.rlike(p), F.slice(both, 1, 1))
 
         def of(x: Column) -> Column:
             rest = strip(x["t"])
@@ -223,17 +250,15 @@ def from_text(pages: DataFrame) -> DataFrame:
         found.append(F.flatten(F.transform(first, of)))
     mail = lambda m, label, c: lambda e: _c("email", valid_email(e), m, _said(label, valid_email(e)), c)
     labelled = F.regexp_extract_all(text, F.lit(rf"(?i)(?:Email|E-mail|Contact\s+Email|Mail)[:\s]+({_MAIL})"), F.lit(1))
-    # an address with a cue for an example within 60 characters on either side is none
-    before = "|".join(rf"{re.escape(c)}.{{0,{60 - len(c)}}}" for c in fixed.EMAIL_EXAMPLE_CUES)
-    after = "|".join(rf".{{0,{60 - len(c)}}}{re.escape(c)}" for c in fixed.EMAIL_EXAMPLE_CUES)
-    plain = F.regexp_extract_all(page, F.lit(rf"(?is)(?<!(?:{before}))\b(?>{_MAIL}\b)(?!{after})"), F.lit(0))
-    plain = F.filter(plain, lambda e: ~F.lower(e).rlike("|".join(re.escape(c) for c in fixed.EMAIL_EXAMPLE_CUES)))
+    labelled = F.when(F.contains(text, F.lit("@")), labelled)
+    called = F.regexp_extract_all(page, F.lit(r"(?i)(?:Tel(?:ephone)?|Phone|Call|Contact|Office)[:\s]+(\+?[0-9\s\-\(\)\.]{8,20})"), F.lit(1))
+    plain = plain_mails(page)
     found += [
         F.transform("mailto", mail("mailto_link", "Mailto/Deobfuscated link: ", "0.95")),
         F.transform(labelled, mail("labeled_email", "Labeled email: ", "0.90")),
         F.transform(plain, mail("regex_email", "Email found in text: ", "0.70")),
         F.transform(
-            F.regexp_extract_all(page, F.lit(r"(?i)(?:Tel(?:ephone)?|Phone|Call|Contact|Office)[:\s]+(\+?[0-9\s\-\(\)\.]{8,20})"), F.lit(1)),
+            F.when(F.col("_digit"), called),
             lambda p: _c("phone", valid_phone(p), "regex_phone", _said("Phone found: ", valid_phone(p)), "0.80"),
         ),
     ]
@@ -246,6 +271,8 @@ _ADDRESS_LABEL = (
     r"registered\s+address|principal\s+office|main\s+office|our\s+address|office\s+address|company\s+address|visiting\s+address|"
     r"postal\s+address|physical\s+address|mailing\s+address|business\s+address|corporate\s+address|address)\s*[:\-]?\s*"
 )
+#: Fixed values. Words of which each label has one.
+_ADDRESS_WORDS = ["office", "headquarters", "hq", "address"]
 
 
 def address_block(after: Column) -> Column:
@@ -272,6 +299,7 @@ def from_addresses(pages: DataFrame) -> DataFrame:
     category = _any(F.col("url"), ["imprint", "legal", "contact", "company-information", "about", "help"])
     blobs = F.concat(F.array(F.coalesce("clean_text", F.lit(""))), "footer_texts")
     rows = pages.select("site", "batch", "page_ord", "url", category.alias("category"), F.posexplode(blobs).alias("_blob", "_text"))
+    rows = rows.where(_has(F.lower("_text"), _ADDRESS_WORDS))
     ahead = F.regexp_extract_all("_text", F.lit(rf"(?is){_ADDRESS_LABEL}(?=(.{{0,350}}))"), F.lit(1))
     rows = rows.select("*", F.posexplode(ahead).alias("_hit", "_after"))
     # unnested from a list, so that a block is cut out once and not again for each use of it
