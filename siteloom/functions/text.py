@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,20 +143,25 @@ def country_in_text(c: Column) -> Column:
     out = F.lit(None).cast("string")
     for name in (fixed.US, fixed.UK):
         out = F.when(F.contains(text, F.lit(name.lower())), name).otherwise(out)
-    for alias, name in reversed(fixed.COUNTRY_ALIASES.items()):
-        out = F.when(text.rlike(rf"\b{re.escape(alias)}\b"), name).otherwise(out)
+    # aliases of one country that follow each other are one pattern
+    for name, aliases in reversed([(n, list(a)) for n, a in groupby(fixed.COUNTRY_ALIASES, fixed.COUNTRY_ALIASES.get)]):
+        out = F.when(text.rlike(rf"\b(?:{'|'.join(map(re.escape, aliases))})\b"), name).otherwise(out)
     return out
 
 
 def state_in_text(c: Column) -> Column:
-    """Two-letter state: by full name, longest first, else by an abbreviation in address context."""
+    """Two-letter state: by full name, longest first, else by an abbreviation in address context.
+
+    All names are one pattern: no name ends in what another begins with, and one inside another is the shorter.
+    """
     names = sorted(fixed.US_STATES, key=lambda n: (-len(n), n))
+    states = {n.lower(): fixed.US_STATES[n] for n in names}
+    said = F.regexp_extract_all(F.lower(c), F.lit(rf"\b({'|'.join(states)})\b"), F.lit(1))
+    first = lambda said: F.get(F.filter(F.array(*(F.lit(n) for n in states)), lambda n: F.array_contains(said, n)), F.lit(0))
+    named = F.get(F.transform(F.array(said), lambda x: F.when(F.size(x) > 0, F.try_element_at(_map(states), first(x)))), F.lit(0))
     short = F.regexp_extract_all(c, F.lit(r"(?m)(?:,\s*|\(\s*|\b)([A-Z]{2})(?:\s+\d{5}|\s*[,)\s]|$)"), F.lit(1))
     known = F.filter(short, lambda s: s.isin(list(fixed.US_STATES.values())))
-    out = F.get(known, F.lit(0))
-    for name in reversed(names):
-        out = F.when(F.lower(c).rlike(rf"\b{name.lower()}\b"), fixed.US_STATES[name]).otherwise(out)
-    return out
+    return F.coalesce(named, F.get(known, F.lit(0)))
 
 
 def ny_phone(c: Column) -> Column:

@@ -152,7 +152,10 @@ def _canonical_any(base: Column, link: Column) -> Column:
 
 def url_score(url: Column, start: Column) -> Column:
     """(score, category) of a page: how likely its path is to identify the company. Scores are decimals."""
-    path = F.lower(path_of(url))
+    return let(F.lower(path_of(url)), lambda path: _path_score(url, start, path))
+
+
+def _path_score(url: Column, start: Column, path: Column) -> Column:
     words = F.filter(F.split(F.translate(path, "/-_.", "    "), r"\s+"), lambda w: w != "")
     table = F.array(
         *(
@@ -163,7 +166,11 @@ def url_score(url: Column, start: Column) -> Column:
             for kw, w, c in fixed.URL_KEYWORDS
         )
     )
-    hits = let(words, lambda ws: F.filter(table, lambda k: (F.size(F.array_except(k["words"], ws)) == 0) | F.contains(path, k["kw"])))
+    # a keyword needs its first word in the path, also where its words stand apart: most paths have none
+    apart = lambda k, ws: F.contains(path, k["words"][0]) & (F.size(F.array_except(k["words"], ws)) == 0)
+    hits = let(words, lambda ws: F.filter(table, lambda k: F.contains(path, k["kw"]) | apart(k, ws)))
+    firsts = sorted({re.split("[-_]", kw)[0] for kw, _, _ in fixed.URL_KEYWORDS})
+    hits = F.when(path.rlike("|".join(firsts)), hits).otherwise(F.slice(table, 1, 0))
     three = F.lit("3").cast("decimal(6,3)")
 
     def fold(a: Column, k: Column) -> Column:

@@ -34,11 +34,11 @@ def adaptive_run(urls: DataFrame, fetched: DataFrame, batch_pages: int = 10, mos
         taken.append(now.select("site", "url", "batch"))
         parsed = saved(parse_pages(spread(now, "url").join(fetched.select("url", "html"), "url")), "batch-parsed")
         kept = saved(candidates.kept_candidates(candidates.all_candidates(parsed, kept, names)), "batch-candidates")
-        known = candidates.profiles(kept, urls.join(now.select("site").distinct(), "site", "left_semi"))
+        known = candidates.profiles(kept, urls.join(now.select("site").distinct(), "site", "left_semi"), kept=True)
         open_sites = saved(known.where("NOT sufficient").select("site"), "open-sites")
     if kept is None:
         raise ValueError("there are no pages to take")
     every = taken[0]
     for some in taken[1:]:
         every = every.union(some)
-    return candidates.profiles(kept, urls), every
+    return candidates.profiles(kept, urls, kept=True), every

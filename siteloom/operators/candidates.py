@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import fixed
@@ -13,6 +13,7 @@ from siteloom.functions.text import (
     clean_address, clean_text, filled, matched, strip, uk_postcode, valid_address, valid_email, valid_phone,
     valid_registration, valid_vat, without_suffixes,
 )
+from siteloom.functions.urls import let
 from siteloom.sources.pages import json_ld_nodes
 from siteloom.sources.scratch import saved
 
@@ -37,10 +38,17 @@ def _said(label: str, value: Column, most: int | None = None) -> Column:
     return F.concat(F.lit(label), value if most is None else F.substring(value, 1, most))
 
 
+def unnested(rows: DataFrame, at: str, item: str) -> DataFrame:
+    """`rows` for each element of their column `_list`, with its place. Unnested outer: of an inner one Spark asks first whether
+    a list has elements, and moves the question below the columns, where the list is worked out once more for it."""
+    return rows.select(*(c for c in rows.columns if c != "_list"), F.posexplode_outer("_list").alias(at, item)).where(F.col(at).isNotNull())
+
+
 def _rows(pages: DataFrame, stage: str, category: Column, found: Column) -> DataFrame:
     """`found`, an array of candidates of each page in order, as rows; empty values are no candidates."""
-    rows = pages.select("site", "batch", "page_ord", "url", category.alias("category"), F.posexplode(found.cast(_KIND)).alias("seq", "c"))
-    rows = rows.select("site", "batch", F.lit(STAGES.index(stage)).alias("stage"), "page_ord", "seq", "url", "category", "c.*")
+    rows = unnested(pages.select("site", "batch", "page_ord", "url", category.alias("category"), found.cast(_KIND).alias("_list")), "seq", "c")
+    seq = F.col("seq").cast("long").alias("seq")
+    rows = rows.select("site", "batch", F.lit(STAGES.index(stage)).alias("stage"), "page_ord", seq, "url", "category", "c.*")
     return rows.where("value IS NOT NULL")
 
 
@@ -86,12 +94,12 @@ def from_json_ld(pages: DataFrame) -> DataFrame:
         F.coalesce(names, F.array().cast("array<string>")),
         lambda s: _c("subsidiaries", s, "json_ld_subsidiary", F.concat(F.lit(at + "subOrganization: "), s), "0.95"),
     ).cast(_KIND)
-    rows = nodes.where(org).select(
-        "site", "batch", "page_ord", "url", "path", F.posexplode(F.concat(found, below)).alias("_at", "c")
-    ).where("c.value IS NOT NULL")
-    order = Window.partitionBy("site", "batch", "page_ord", "url").orderBy("path", "_at")
+    rows = nodes.where(org).select("site", "batch", "page_ord", "url", "path", F.concat(found, below).alias("_list"))
+    rows = unnested(rows, "_at", "c").where("c.value IS NOT NULL")
+    # a place in the page's order, as that is all a seq is for: numbering without gaps would sort all candidates
+    place = F.shiftleft(F.col("path").cast("long"), 32) + F.col("_at")
     return rows.select(
-        "site", "batch", F.lit(0).alias("stage"), "page_ord", (F.row_number().over(order) - 1).alias("seq"), "url",
+        "site", "batch", F.lit(0).alias("stage"), "page_ord", place.alias("seq"), "url",
         F.lit("general").alias("category"), "c.*",
     )
 
@@ -105,13 +113,16 @@ def from_labels(pages: DataFrame) -> DataFrame:
     checks = {"registration_number": valid_registration, "vat_tax_number": valid_vat, "phone": valid_phone}
 
     def of(pair: Column) -> Column:
-        label, value = F.lower(strip(pair["key"])), clean_text(pair["value"])
+        return let(F.struct(F.lower(strip(pair["key"])).alias("l"), pair["key"].alias("k"), clean_text(pair["value"]).alias("v")), fields)
+
+    def fields(pair: Column) -> Column:
+        label, value = pair["l"], pair["v"]
         out = []
         for field, aliases in fixed.LABEL_ALIASES.items():
             good = valid_email(value, label) if field == "email" else checks.get(field, lambda v: v)(value)
             named = label.rlike("|".join(re.escape(a) for a in aliases))
-            said = F.concat(F.lit("Table ["), pair["key"], F.lit("]: "), value)
-            out.append(_c(field, F.when(named, good), "html_table_kv", said, conf))
+            said = F.concat(F.lit("Table ["), pair["k"], F.lit("]: "), value)
+            out.append(F.when(named, _c(field, good, "html_table_kv", said, conf)))
         return F.array(*out)
 
     return _rows(pages, "labels", category, F.flatten(F.transform(pairs, of)))
@@ -179,12 +190,15 @@ def title_names(title: Column) -> Column:
     parts = F.when(F.contains(title, F.lit("|")), F.split(title, r"\|")).otherwise(F.split(title, "-"))
     parts = F.filter(F.transform(parts, lambda p: strip(p)), lambda p: p != "")
 
-    def of(p: Column) -> Column:
-        name = strip(F.regexp_replace(p, fixed.TITLE_OPENINGS, ""))
-        ok = ~F.lower(name).isin(fixed.GENERIC_TITLES) & F.length(name).between(2, 59)
-        return F.struct(F.when(ok, name).alias("name"), F.when(p == F.get(parts, F.lit(0)), "0.65").otherwise("0.80").alias("conf"))
+    def named(parts: Column) -> Column:
+        def of(p: Column) -> Column:
+            name = strip(F.regexp_replace(p, fixed.TITLE_OPENINGS, ""))
+            conf = F.when(p == parts[0], "0.65").otherwise("0.80").alias("conf")
+            return let(name, lambda n: F.struct(F.when(~F.lower(n).isin(fixed.GENERIC_TITLES) & F.length(n).between(2, 59), n).alias("name"), conf))
 
-    return F.filter(F.transform(parts, of), lambda x: x["name"].isNotNull())
+        return F.transform(parts, of)
+
+    return F.filter(let(parts, named), lambda x: x["name"].isNotNull())
 
 
 def plain_mails(text: Column) -> Column:
@@ -301,7 +315,7 @@ def from_addresses(pages: DataFrame) -> DataFrame:
     rows = pages.select("site", "batch", "page_ord", "url", category.alias("category"), F.posexplode(blobs).alias("_blob", "_text"))
     rows = rows.where(_has(F.lower("_text"), _ADDRESS_WORDS))
     ahead = F.regexp_extract_all("_text", F.lit(rf"(?is){_ADDRESS_LABEL}(?=(.{{0,350}}))"), F.lit(1))
-    rows = rows.select("*", F.posexplode(ahead).alias("_hit", "_after"))
+    rows = unnested(rows.withColumn("_list", ahead), "_hit", "_after")
     # unnested from a list, so that a block is cut out once and not again for each use of it
     rows = rows.select("*", F.explode(F.array_compact(F.array(address_block(F.col("_after"))))).alias("_block"))
     rows = rows.select("*", F.explode(F.array(uk_postcode(F.col("_block")))).alias("_code"))
@@ -327,11 +341,12 @@ def from_addresses(pages: DataFrame) -> DataFrame:
             _c("full_address", place, "address_block_parser", _said("Address block: ", place), conf),
         ).cast(_KIND),
     )
-    rows = rows.select("site", "batch", "page_ord", "url", "category", "_blob", "_hit", F.posexplode(found).alias("_at", "c"))
-    rows = rows.where("c.value IS NOT NULL")
-    order = Window.partitionBy("site", "batch", "page_ord", "url").orderBy("_blob", "_hit", "_at")
+    rows = rows.select("site", "batch", "page_ord", "url", "category", "_blob", "_hit", found.alias("_list"))
+    rows = unnested(rows, "_at", "c").where("c.value IS NOT NULL")
+    # each block has eight candidates at most, and a text of 2 GB less than 2 ** 31 labels
+    place = F.shiftleft(F.col("_blob").cast("long"), 35) + F.shiftleft(F.col("_hit").cast("long"), 4) + F.col("_at")
     return rows.select(
-        "site", "batch", F.lit(STAGES.index("address")).alias("stage"), "page_ord", (F.row_number().over(order) - 1).alias("seq"),
+        "site", "batch", F.lit(STAGES.index("address")).alias("stage"), "page_ord", place.alias("seq"),
         "url", "category", "c.*",
     )
 
@@ -378,13 +393,16 @@ def best_candidates(found: DataFrame) -> DataFrame:
     return found.groupBy("site", "field").agg(best.alias("best")).select("site", "field", "best.*")
 
 
-def profiles(found: DataFrame, sites: DataFrame) -> DataFrame:
-    """One row for each of `sites` (site, domain): its best values, evidence, completeness and source pages."""
+def profiles(found: DataFrame, sites: DataFrame, kept: bool = False) -> DataFrame:
+    """One row for each of `sites` (site, domain): its best values, evidence, completeness and source pages.
+
+    Of candidates that are `kept` (see `kept_candidates`) each is the best of its field, and they are not compared again.
+    """
     fields = [
         "company_name", "brand_name", "legal_name", "registration_number", "vat_tax_number", "phone", "email",
         "business_description", "country", "city", "state_province", "postal_code", "full_address", "parent_company",
     ]
-    best = best_candidates(found)
+    best = found if kept else best_candidates(found)
     single = best.where("field <> 'subsidiaries'").groupBy("site").agg(
         *(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields),
         F.map_from_entries(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import fixed
 from siteloom.functions.text import country, country_in_text, country_of_host, filled, ny_phone, state_in_text, strip, uk_postcode
+from siteloom.sources.scratch import saved
 
 #: Fixed values. City, state and ZIP in an address, and a ZIP alone.
 _CITY_STATE_ZIP = r"\b([A-Za-z][A-Za-z\s]{1,25}),\s*([A-Z]{2})\s+(\d{5})\b"
@@ -44,8 +45,22 @@ def signals(companies: DataFrame, key: str = "site") -> DataFrame:
     have = set(companies.columns)
     c = {f: filled(F.col(f)) if f in have else F.lit(None).cast("string") for f in FIELDS}
     evidence = {f: filled(F.col(f"evidence_{f}")) if f"evidence_{f}" in have else F.lit(None).cast("string") for f in FIELDS}
-    votes = [_vote("extracted_country_field", country(c["country"]), "country", country(c["country"]), "0.70")]
-    votes += _us("extracted_state_province_field", state_in_text(c["state_province"]), "0.65", "0.50")
+    address = filled(strip(F.concat_ws(" ", c["full_address"], c["city"], c["postal_code"])))
+    if "website_address" in have:
+        parts = ("full_address", "city", "state_province", "postal_code", "country")
+        address = filled(strip(F.concat_ws(" ", address, *(filled(F.col(f"website_address.{p}")) for p in parts))))
+    # what several votes read is a column of its own: each use would be worked out anew, and the plan would be far too large
+    companies = companies.withColumn("_address", address)
+    texts = {"address": F.col("_address")} | {f: evidence[f] for f in ("full_address", "city", "country", "postal_code", "state_province")}
+    once = {"_country": country(c["country"]), "_state": state_in_text(c["state_province"]), "_host_country": country_of_host(c["domain"])}
+    for name, value in texts.items():
+        state, there = _places(value)
+        once |= {f"_{name}_state": state, f"_{name}_there": there, f"_{name}_country": country_in_text(value)}
+        once[f"_{name}_said"] = F.when(~there, state_in_text(value))
+    companies = companies.withColumns(once)
+    col = F.col
+    votes = [_vote("extracted_country_field", col("_country"), "country", col("_country"), "0.70")]
+    votes += _us("extracted_state_province_field", col("_state"), "0.65", "0.50")
     number = F.upper(strip(c["registration_number"]))
     prefixed = F.regexp_extract(number, "^([A-Z]{2})", 1).isin(fixed.UK_PREFIXES)
     plain = number.rlike("^[0-9]{7,8}$")
@@ -57,36 +72,29 @@ def signals(companies: DataFrame, key: str = "site") -> DataFrame:
     votes += [
         _vote("uk_postcode", F.coalesce(c["postal_code"], F.lit("(in address)")), "country", F.when(postcode.isNotNull(), fixed.UK), "0.70"),
         _vote("us_zip_code_field", c["postal_code"], "country", F.when(strip(c["postal_code"]).rlike(_ZIP), fixed.US), "0.65"),
-        _vote("domain_cctld", c["domain"], "country", country_of_host(c["domain"]), "0.55"),
+        _vote("domain_cctld", c["domain"], "country", col("_host_country"), "0.55"),
     ]
-    address = filled(strip(F.concat_ws(" ", c["full_address"], c["city"], c["postal_code"])))
-    if "website_address" in have:
-        parts = ("full_address", "city", "state_province", "postal_code", "country")
-        address = filled(strip(F.concat_ws(" ", address, *(filled(F.col(f"website_address.{p}")) for p in parts))))
-    # a column of its own, as many votes read it: the plan of all votes together would be far too large
-    companies, address = companies.withColumn("_address", address), F.col("_address")
-    votes.append(_vote("country_in_address", country_in_text(address), "country", country_in_text(address), "0.55"))
-    state, there = _places(address)
-    votes += _us("city_state_zip_pattern", state, "0.80", "0.65")
-    votes += _us("state_in_address", F.when(~there, state_in_text(address)), "0.55", "0.40")
+    votes.append(_vote("country_in_address", col("_address_country"), "country", col("_address_country"), "0.55"))
+    votes += _us("city_state_zip_pattern", col("_address_state"), "0.80", "0.65")
+    votes += _us("state_in_address", col("_address_said"), "0.55", "0.40")
     vat = F.upper(strip(c["vat_tax_number"]))
     of_vat = F.coalesce(*(F.when(F.startswith(vat, F.lit(p)), n) for p, n in fixed.VAT_COUNTRIES.items()))
     votes.append(_vote("vat_number_country_prefix", vat, "country", of_vat, "0.60"))
-    for f in ("full_address", "city", "country", "postal_code", "state_province"):
+    for f in list(texts)[1:]:
         value = evidence[f]
-        state, there = _places(value)
-        votes += _us(f"field_evidence_{f}_city_state_zip", state, "0.70", "0.55")
-        code = F.when(~there & strip(value).rlike(_ZIP), fixed.US)
+        votes += _us(f"field_evidence_{f}_city_state_zip", col(f"_{f}_state"), "0.70", "0.55")
+        code = F.when(~col(f"_{f}_there") & strip(value).rlike(_ZIP), fixed.US)
         votes.append(_vote(f"field_evidence_{f}_zip", value, "country", code, "0.50"))
-        votes.append(_vote(f"field_evidence_{f}_country", country_in_text(value), "country", country_in_text(value), "0.45"))
-        votes += _us(f"field_evidence_{f}_state", F.when(~there, state_in_text(value)), "0.45", "0.35")
+        votes.append(_vote(f"field_evidence_{f}_country", col(f"_{f}_country"), "country", col(f"_{f}_country"), "0.45"))
+        votes += _us(f"field_evidence_{f}_state", col(f"_{f}_said"), "0.45", "0.35")
     votes = F.filter(F.array(*votes).cast(_VOTE), lambda v: v["key"].isNotNull())
     companies = companies.select(key, c["phone"].alias("_phone"), votes.alias("_given"))
     given, called = F.col("_given"), F.col("_phone")
     us = F.exists(given, lambda v: v["key"] == fixed.US)
     phone = _vote("phone_ny_area_code_supporting", called, "state", F.when(ny_phone(called), "NY"), F.when(us, "0.15").otherwise("0.05"))
     every = F.filter(F.concat(given, F.array(phone).cast(_VOTE)), lambda v: v["key"].isNotNull())
-    rows = companies.select(key, F.posexplode(every).alias("ord", "v"))
+    # outer, as Spark asks of an inner one whether there are any votes, and works them all out for that
+    rows = companies.select(key, every.alias("_every")).select(key, F.posexplode_outer("_every").alias("ord", "v")).where("ord IS NOT NULL")
     return rows.select(key, "ord", "v.signal", "v.value", "v.kind", F.col("v.key").alias("vote"), "v.weight")
 
 
@@ -100,7 +108,8 @@ def winners(votes: DataFrame, key: str = "site") -> DataFrame:
 
 def jurisdictions(companies: DataFrame, key: str = "site") -> DataFrame:
     """One row for each company: country, state, state_abbr, city, confidence and its signals in order."""
-    votes = signals(companies, key)
+    # written, as three aggregates read the votes
+    votes = saved(signals(companies, key), "votes")
     best = winners(votes, key)
     of = lambda kind: best.where(F.col("kind") == kind).select(
         key, F.col("vote").alias(f"_{kind}"), F.col("score").alias(f"_{kind}_score"), F.col("total").alias(f"_{kind}_total")

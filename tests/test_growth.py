@@ -6,8 +6,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from siteloom.functions import fixed
-from siteloom.operators import candidates, matching
+from siteloom.functions import fixed, text
+from siteloom.operators import candidates, jurisdiction, matching
 from siteloom.plans import decisions, whole_runs
 from siteloom.sources.pages import parse_pages
 
@@ -71,3 +71,25 @@ def test_every_pattern_is_tried_where_it_matches(spark):
     found = candidates.from_text(pages).unionByName(candidates.from_addresses(pages))
     got = {(r.site, r.field) for r in found.collect()}
     assert {(s, s.split("-")[0]) for s, *_ in rows} <= got
+
+
+def test_lists_are_worked_out_once(spark):
+    """No filter on the size of a list stands below the columns of which the list is made."""
+    pages = parse_pages(spark.createDataFrame([("s", 0, 0, "https://e.org/", "<p>x</p>")], "site string, batch int, page_ord int, url string, html string"))
+    fields = spark.createDataFrame([("s", "Albany, NY 12207", "+1 212 555 0100")], "site string, full_address string, phone string")
+    for rows in (candidates.from_labels(pages), candidates.from_text(pages), candidates.from_addresses(pages), jurisdiction.signals(fields)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Filter .*\(size\((concat|filter|flatten|regexp_extract_all)", plan)
+
+
+def test_states_and_countries_by_name(spark):
+    pick, names = random.Random(3), sorted(fixed.US_STATES, key=lambda n: (-len(n), n))
+    words = [*names, *fixed.COUNTRY_ALIASES, "united kingdom", "United States", "arkansas city", "x", "Virginia,", "U.S.A.x", "(NY)", ", TX 75001", "Ohios"]
+    texts = [" ".join(pick.choices(words, k=pick.randrange(1, 4))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = rows.select(text.state_in_text(F.col("t")).alias("s"), text.country_in_text(F.col("t")).alias("c")).collect()
+    for t, r in zip(texts, got):
+        state = next((fixed.US_STATES[n] for n in names if re.search(rf"\b{n.lower()}\b", t.lower())), None)
+        assert r.s == state if state else r.s in (None, *fixed.US_STATES.values()), t
+        given = [n for a, n in fixed.COUNTRY_ALIASES.items() if re.search(rf"\b{re.escape(a)}\b", t.lower())]
+        assert r.c == next(iter(given + [n for n in (fixed.UK, fixed.US) if n.lower() in t.lower()]), None), t
