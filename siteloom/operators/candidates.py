@@ -39,8 +39,8 @@ def _said(label: str, value: Column, most: int | None = None) -> Column:
 
 
 def unnested(rows: DataFrame, at: str, item: str) -> DataFrame:
-    """`rows` for each element of their column `_list`, with its place. Unnested outer: of an inner one Spark asks first whether
-    a list has elements, and moves the question below the columns, where the list is worked out once more for it."""
+    """`rows` for each element of their column `_list`, with its place. The list is a column first, as Spark works out once what
+    expressions of a column share, but not those of a generator; unnested outer, so that no filter on it is moved below."""
     return rows.select(*(c for c in rows.columns if c != "_list"), F.posexplode_outer("_list").alias(at, item)).where(F.col(at).isNotNull())
 
 

@@ -93,7 +93,7 @@ def signals(companies: DataFrame, key: str = "site") -> DataFrame:
     us = F.exists(given, lambda v: v["key"] == fixed.US)
     phone = _vote("phone_ny_area_code_supporting", called, "state", F.when(ny_phone(called), "NY"), F.when(us, "0.15").otherwise("0.05"))
     every = F.filter(F.concat(given, F.array(phone).cast(_VOTE)), lambda v: v["key"].isNotNull())
-    # outer, as Spark asks of an inner one whether there are any votes, and works them all out for that
+    # a column first, and unnested outer, as candidates are
     rows = companies.select(key, every.alias("_every")).select(key, F.posexplode_outer("_every").alias("ord", "v")).where("ord IS NOT NULL")
     return rows.select(key, "ord", "v.signal", "v.value", "v.kind", F.col("v.key").alias("vote"), "v.weight")
 
